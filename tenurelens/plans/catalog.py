@@ -1,7 +1,7 @@
 """Imports every query module so that the registry is complete."""
 from __future__ import annotations
 
-from . import q_survival  # noqa: F401
+from . import q_features, q_survival  # noqa: F401
 from .registry import ORACLE, QUERIES
 
 __all__ = ["QUERIES", "ORACLE"]
