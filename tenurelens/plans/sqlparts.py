@@ -98,6 +98,19 @@ CTES["scaled"] = ("SELECT fm.* REPLACE (" + ", ".join(
 _MARGIN = f"CAST({FIXED_INTERCEPT!r} AS DOUBLE)" + "".join(f" + f_{k} * CAST({b!r} AS DOUBLE)" for k, b in FIXED_COEFFICIENTS.items())
 CTES["scored"] = f"SELECT *, ({_MARGIN}) AS margin FROM scaled"
 
+
+
+def scored_over(src: str, suffix: str) -> None:
+    """Register fm_/scaled_/scored_<suffix> CTEs: the fixed model applied to
+    ``src`` with the scaler fitted on the cohort (``mm``)."""
+    CTES[f"fm_{suffix}"] = ("SELECT *, " + ", ".join(f"CAST({e} AS DOUBLE) AS f_{k}" for k, e in _F.items())
+                            + f" FROM {src}")
+    CTES[f"scaled_{suffix}"] = (f"SELECT fm_{suffix}.* REPLACE (" + ", ".join(
+        f"CASE WHEN {k}__max - {k}__min > 0 THEN (f_{k} - {k}__min) / ({k}__max - {k}__min) ELSE 0.0 END AS f_{k}"
+        for k in _F) + f") FROM fm_{suffix}, mm")
+    CTES[f"scored_{suffix}"] = f"SELECT *, ({_MARGIN}) AS margin FROM scaled_{suffix}"
+
+
 CTES["per_t"] = """
   SELECT t, sum(n_t) AS n_t, sum(d) AS d FROM (
     SELECT CAST(years_at_company AS DOUBLE) AS t, count(*) AS n_t, CAST(sum(attrition) AS BIGINT) AS d
