@@ -2,8 +2,9 @@
 scaling, in-group normalisation, stratified split and the survival target.
 
 Fitted statistics are small aggregates (one row, or one row per category).
-They reach the rows through scalar subqueries or equi-joins, never through a
-driver-side loop over data.
+One-row fits are collected once and enter the plan as literals (the
+fit/transform split of Spark ML); per-category fits reach the rows through
+equi-joins.  No driver-side loop ever touches the data rows.
 """
 from __future__ import annotations
 
@@ -75,7 +76,8 @@ def target_stats(df: DataFrame, col: str, target: str) -> DataFrame:
 
 
 def _global_mean(df: DataFrame, target: str) -> Column:
-    return df.agg(F.avg(F.col(target).cast("double"))).scalar()
+    """The fitted global mean (one number) as a literal."""
+    return F.lit(df.agg(F.avg(F.col(target).cast("double"))).first()[0]).cast("double")
 
 
 def loo_encode_train(df: DataFrame, col: str, target: str, out: str) -> DataFrame:
@@ -109,16 +111,27 @@ def minmax_fit(df: DataFrame, cols) -> DataFrame:
     return df.agg(*aggs)
 
 
-def minmax_apply(df: DataFrame, stats: DataFrame, cols, suffix: str = "") -> DataFrame:
+def minmax_bounds(stats: DataFrame, cols) -> dict:
+    """Collect the fitted bounds: one row of 2·len(cols) numbers (the
+    fit/transform split of a Spark ML scaler)."""
+    row = stats.first()
+    return {c: (row[f"{c}__min"], row[f"{c}__max"]) for c in cols}
+
+
+def minmax_apply(df: DataFrame, stats, cols, suffix: str = "") -> DataFrame:
     """(x - min) / (max - min) with the fitted bounds; a constant column → 0.
 
-    Bounds arrive as scalar subqueries over the one-row ``stats`` frame.
+    ``stats`` is the one-row fitted frame (collected once) or a dict of
+    bounds; the bounds enter the plan as literals.
     """
+    bounds = stats if isinstance(stats, dict) else minmax_bounds(stats, cols)
     outs = {}
     for c in cols:
-        lo = stats.select(f"{c}__min").scalar()
-        hi = stats.select(f"{c}__max").scalar()
-        outs[f"{c}{suffix}"] = F.when(hi - lo > 0, (F.col(c).cast("double") - lo) / (hi - lo)).otherwise(0.0)
+        lo, hi = bounds[c]
+        if lo is None or hi is None or hi - lo <= 0:
+            outs[f"{c}{suffix}"] = F.lit(0.0)
+        else:
+            outs[f"{c}{suffix}"] = (F.col(c).cast("double") - F.lit(float(lo))) / F.lit(float(hi - lo))
     return df.withColumns(outs)
 
 

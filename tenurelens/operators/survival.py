@@ -185,8 +185,9 @@ def horizon_probabilities(scored: DataFrame, curve: DataFrame, kind: str = "near
     if extra_multiplier is not None:
         m = m * extra_multiplier
     outs = {}
+    row = look.first()  # one row: S0 at each horizon (fit step)
     for h in horizons:
-        s0 = look.select(f"s0_h{h}").scalar()
+        s0 = F.lit(float(row[f"s0_h{h}"]))
         p = 1.0 - F.pow(s0, m)
         if kind != "nearest":
             p = F.least(F.greatest(p, F.lit(0.0)), F.lit(1.0))

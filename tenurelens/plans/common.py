@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators.cohort import cohort
 from ..operators.survival import horizon_probabilities, nelson_aalen, score, theme_contributions
+from ..session import cut_lineage
 
 
 def cohort_df(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,10 +21,20 @@ def curve_df(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nelson_aalen(cohort(spark, sf_dir))
 
 
+def materialized_cohort(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cohort written once to the shared checkpoint folder: consumers
+    that fit statistics and then score read it instead of re-running the
+    orders aggregation for every fit step."""
+    return cut_lineage(cohort(spark, sf_dir))
+
+
+def scores_from(c: DataFrame, kind: str = "nearest") -> DataFrame:
+    return horizon_probabilities(score(c), nelson_aalen(c), kind=kind)
+
+
 def scores_df(spark: SparkSession, sf_dir: str, kind: str = "nearest") -> DataFrame:
     """Cohort + scaled features + margin + horizon probabilities."""
-    c = cohort(spark, sf_dir)
-    return horizon_probabilities(score(c), nelson_aalen(c), kind=kind)
+    return scores_from(materialized_cohort(spark, sf_dir), kind)
 
 
 def risk_scores_df(spark: SparkSession, sf_dir: str) -> DataFrame:

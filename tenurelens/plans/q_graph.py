@@ -9,7 +9,7 @@ from ..functions.labels import GRAPH_RISK_BANDS, RISK_BANDS
 from ..operators import graph
 from ..operators.attributes import exposure_fallback, slug
 from ..operators.cohort import AS_OF_DATE
-from .common import cohort_df, scores_df
+from .common import cohort_df, materialized_cohort, scores_df, scores_from
 from .registry import query, r
 from .sqlparts import CTES, md5_mod_sql, md5_prefix_sql, with_ctes
 
@@ -175,8 +175,11 @@ def q_exposure_curve(spark, d):
 
 
 def boosted_df(spark, d):
-    s = scores_df(spark, d)
-    x = graph.exposure_scores(_contrib(spark, d)).select(F.col("node").alias("employee_id"), "exposure_score")
+    c = materialized_cohort(spark, d)
+    s = scores_from(c)
+    n = graph.node_table(c)
+    x = graph.exposure_scores(graph.exposure_contributions(graph.all_edges(n), n, AS_OF_DATE)).select(
+        F.col("node").alias("employee_id"), "exposure_score")
     b = s.join(x, "employee_id", "left").withColumn("exposure", F.coalesce("exposure_score", F.lit(0.0)))
     return b.withColumn("boosted_risk_score", graph.boosted_risk(F.col("general_risk_score"), F.col("exposure")))
 
