@@ -308,3 +308,24 @@ FROM cohort c LEFT JOIN (SELECT * FROM (SELECT *, row_number() OVER (PARTITION B
                                         AS rn FROM actions) WHERE rn = 1) a ON c.emp_key = a.emp_key"""))
 def q_apply_actions(spark, d):
     return apply_actions(cohort_df(spark, d), actions_df(spark, d))
+
+
+# ---------------------------------------------------------------------------
+# streaming load (micro-batches of snapshots)
+# ---------------------------------------------------------------------------
+@query("scd2_stream", with_ctes("SELECT " + ", ".join(_HCOLS) + " FROM hist_built"))
+def q_scd2_stream(spark, d):
+    """The three snapshots fed as a file stream (one file per trigger) into
+    the foreachBatch SCD2 sink; the final history equals the batch build."""
+    import uuid
+
+    from ..streaming.scd2_stream import run_snapshot_stream
+    base = table_dir(spark, f"scd2_stream_{uuid.uuid4().hex}")
+    src = base + "/source"
+    schema = None
+    for t in SNAPSHOTS:
+        s = _snap(spark, d, t).withColumn("snapshot_ts", F.lit(t).cast("timestamp_ntz"))
+        s.coalesce(1).write.mode("append").parquet(src)
+        schema = s.schema
+    hist = run_snapshot_stream(spark, src, schema, base + "/state", base + "/checkpoint")
+    return hist.select(*_HCOLS)
