@@ -67,3 +67,34 @@ def grouped_quantiles(df: DataFrame, group: list[str], value: str, probs, n_spli
             for p in probs]
     out = q.groupBy(*g).agg(*aggs)
     return out if group else out.drop("_g")
+
+
+def rows_at_ranks(df: DataFrame, value: str, tie_hex: str, ranks, n_splits: int = N_SPLITS) -> DataFrame:
+    """The rows at 0-based global positions ``ranks`` of the order
+    (value, tie_hex), where ``tie_hex`` is a hex digest column (e.g. md5 of
+    the id).  Same bucketing as ``grouped_quantiles``: open buckets are
+    ranked with a window over ~n/B rows; a point bucket (one value, possibly
+    a third of all rows) is ranked by the hash-prefix group rank."""
+    from .ranking import group_rank, hex_sub_bucket
+    x = df.withColumn("_x", F.col(value).cast("double")).where(F.col("_x").isNotNull())
+    sp = [i / n_splits for i in range(1, n_splits)]
+    got = x.agg(F.array_distinct(F.array_sort(F.percentile_approx("_x", sp, 10_000)))).first()[0] or []
+    splits = F.array(*[F.lit(float(v)) for v in got]) if got else F.array().cast("array<double>")  # <= B values
+    j = F.size(F.filter(splits, lambda s: s < F.col("_x")))
+    is_point = (j < F.size(splits)) & (F.element_at(splits, j + 1) == F.col("_x"))
+    xb = x.withColumn("_b", F.when(is_point, j * 2 + 1).otherwise(j * 2))
+    bk = xb.groupBy("_b").agg(F.count(F.lit(1)).alias("_cnt"), F.min("_x").alias("_lo"), F.max("_x").alias("_hi"))
+    bk = bk.withColumn("_off", F.coalesce(F.sum("_cnt").over(
+        Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))  # <= 2B+1 rows
+    spark = df.sparkSession
+    tgt = spark.createDataFrame([(int(r),) for r in ranks], "r long")
+    hit = tgt.join(F.broadcast(bk), (F.col("r") >= F.col("_off")) & (F.col("r") < F.col("_off") + F.col("_cnt")))
+    hit = F.broadcast(hit.select("r", "_b", "_off", (F.col("_lo") == F.col("_hi")).alias("_const")))
+    rows = xb.join(hit.select("_b", "_const").distinct(), "_b")
+    open_rows = rows.where(~F.col("_const")).withColumn(
+        "_rk", F.row_number().over(Window.partitionBy("_b").orderBy("_x", tie_hex)) - 1)
+    point_rows = group_rank(rows.where(F.col("_const")), ["_b"], tie_hex, tie_hex, hex_sub_bucket(F.col(tie_hex)),
+                            rank_col="_rk1", size_col="_sz").withColumn("_rk", F.col("_rk1") - 1).drop("_rk1", "_sz")
+    ranked = open_rows.unionByName(point_rows)
+    out = ranked.join(hit.select("r", "_b", "_off"), "_b").where(F.col("_rk") == F.col("r") - F.col("_off"))
+    return out.drop("_x", "_b", "_const", "_rk", "_off")

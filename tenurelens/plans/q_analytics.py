@@ -179,3 +179,30 @@ def q_permutation_test(spark, d):
     res = permutation_test(ex, "department", "date_of_leaving", "employee_id", n_perm=1000)
     return res.select(r("observed").alias("observed"), r("expected").alias("expected"), r("lift").alias("lift"),
                       "p_value", "permutations")
+
+
+# FIXED VALUES — labels of the five spectrum picks
+SPECTRUM_LABELS = ("Lowest Flight Risk", "Low-Medium Risk", "Median Flight Risk", "High-Medium Risk",
+                   "Highest Flight Risk")
+
+
+@query("risk_spectrum", with_ctes("""
+SELECT pos, label, emp_key, employee_id, round(margin, 9) AS margin FROM (
+  SELECT *, row_number() OVER (ORDER BY margin, md5(employee_id)) - 1 AS rn, count(*) OVER () AS n FROM scored) s
+JOIN (SELECT * FROM (VALUES (0, 'Lowest Flight Risk'), (1, 'Low-Medium Risk'), (2, 'Median Flight Risk'),
+                            (3, 'High-Medium Risk'), (4, 'Highest Flight Risk')) v(pos, label)) l
+  ON s.rn = CASE l.pos WHEN 0 THEN 0 WHEN 1 THEN s.n // 4 WHEN 2 THEN s.n // 2 WHEN 3 THEN 3 * s.n // 4
+                       ELSE s.n - 1 END"""))
+def q_risk_spectrum(spark, d):
+    """Entities at positions 0, n/4, n/2, 3n/4, n-1 of the risk order
+    (ties by md5 of the id), found by exact distributed rank selection."""
+    from ..operators.quantiles import rows_at_ranks
+    from .common import materialized_cohort
+    s = score(materialized_cohort(spark, d)).withColumn("_h", F.md5("employee_id"))
+    n = s.count()
+    positions = [0, n // 4, n // 2, 3 * n // 4, n - 1]
+    picks = rows_at_ranks(s.select("emp_key", "employee_id", "margin", "_h"), "margin", "_h", positions)
+    lab = spark.createDataFrame([(i, p, lbl) for i, (p, lbl) in enumerate(zip(positions, SPECTRUM_LABELS))],
+                                "pos int, r long, label string")
+    return picks.join(F.broadcast(lab), "r").select(F.col("pos").cast("int").alias("pos"), "label", "emp_key",
+                                                     "employee_id", r("margin").alias("margin"))

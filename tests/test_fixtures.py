@@ -146,3 +146,15 @@ def test_dq_report_strict_raises(spark):
     assert rep["order:a<=b"] == 1
     with pytest.raises(quality.DataQualityError):
         quality.dq_report(df, ["id"], [("a", "b")], {}, strict=True)
+
+
+def test_rows_at_ranks_with_hot_value(spark):
+    import hashlib
+
+    from tenurelens.operators.quantiles import rows_at_ranks
+    vals = [(f"id{i}", 3.0 if i % 3 == 0 else float(i)) for i in range(900)]
+    df = spark.createDataFrame(vals, "id string, v double").withColumn("h", F.md5("id"))
+    ranks = [0, 100, 250, 450, 899]
+    got = {r.r: r.id for r in rows_at_ranks(df, "v", "h", ranks, n_splits=8).collect()}
+    order = sorted(vals, key=lambda x: (x[1], hashlib.md5(x[0].encode()).hexdigest()))
+    assert got == {k: order[k][0] for k in ranks}
