@@ -22,20 +22,29 @@ N_SPLITS = 64
 def grouped_quantiles(df: DataFrame, group: list[str], value: str, probs, n_splits: int = N_SPLITS,
                       prefix: str = "p", materialize: bool = True) -> DataFrame:
     """One row per group with columns ``{prefix}{round(100*p)}``."""
-    g = list(group) if group else ["_g"]
-    base = df if group else df.withColumn("_g", F.lit(0))
-    x = base.select(*g, F.col(value).cast("double").alias("_x")).where(F.col("_x").isNotNull())
+    x = df.select(*group, F.col(value).cast("double").alias("_x")).where(F.col("_x").isNotNull())
     if materialize and x.sparkSession.sparkContext.getCheckpointDir():
-        # the input is read by several branches below; cut it to the two
+        # the input is read by several branches below; cut it to the
         # projected columns once instead of re-running its lineage per branch
         x = x.checkpoint(eager=True)
     sp = [i / n_splits for i in range(1, n_splits)]
-    stats = x.groupBy(*g).agg(F.count(F.lit(1)).alias("_n"),
-                              F.array_distinct(F.array_sort(F.percentile_approx("_x", sp, 10_000))).alias("_sp"))
-    # ungrouped: one stats row, broadcast (a proven single-row bound)
-    xb = x.join(stats if group else F.broadcast(stats), g)
-    j = F.size(F.filter("_sp", lambda s: s < F.col("_x")))
-    is_point = (j < F.size("_sp")) & (F.element_at("_sp", j + 1) == F.col("_x"))
+    split_agg = F.array_distinct(F.array_sort(F.percentile_approx("_x", sp, 10_000)))
+    if group:
+        g = list(group)
+        stats = x.groupBy(*g).agg(F.count(F.lit(1)).alias("_n"), split_agg.alias("_sp"))
+        xb = x.join(stats, g)
+        splits, n_col = F.col("_sp"), F.col("_n")
+    else:
+        # ungrouped: the fitted split points (<= B numbers) and n are literals
+        g = ["_g"]
+        row = x.agg(F.count(F.lit(1)).alias("n"), split_agg.alias("sp")).first()
+        lits = [F.lit(float(v)) for v in (row["sp"] or [])]
+        splits = F.array(*lits) if lits else F.array().cast("array<double>")
+        n_col = F.lit(int(row["n"]))
+        xb = x.withColumn("_g", F.lit(0))
+        stats = x.sparkSession.range(1).select(F.lit(0).alias("_g"), n_col.alias("_n"))
+    j = F.size(F.filter(splits, lambda s: s < F.col("_x")))
+    is_point = (j < F.size(splits)) & (F.element_at(splits, j + 1) == F.col("_x"))
     xb = xb.withColumn("_b", F.when(is_point, j * 2 + 1).otherwise(j * 2)).select(*g, "_x", "_b")
 
     bk = xb.groupBy(*g, "_b").agg(F.count(F.lit(1)).alias("_cnt"), F.min("_x").alias("_lo"),

@@ -61,12 +61,11 @@ SELECT 'all' AS scope, round(avg(prob_12m), 9) AS mean, round(quantile_cont(prob
        round(quantile_cont(prob_12m, 0.5), 9) AS p50, round(quantile_cont(prob_12m, 0.9), 9) AS p90,
        round(min(prob_12m), 9) AS min, round(max(prob_12m), 9) AS max FROM scores"""))
 def q_percentile_summary(spark, d):
-    s = scores_df(spark, d).withColumn("scope", F.lit("all"))
-    q = grouped_quantiles(s, ["scope"], "prob_12m", [0.1, 0.5, 0.9])
-    m = s.groupBy("scope").agg(F.avg("prob_12m").alias("mean"), F.min("prob_12m").alias("min"),
-                               F.max("prob_12m").alias("max"))
-    j = m.join(q, "scope")
-    return j.select("scope", *[r(c).alias(c) for c in ("mean", "p10", "p50", "p90", "min", "max")])
+    s = scores_df(spark, d)
+    q = grouped_quantiles(s, [], "prob_12m", [0.1, 0.5, 0.9])
+    m = s.agg(F.avg("prob_12m").alias("mean"), F.min("prob_12m").alias("min"), F.max("prob_12m").alias("max"))
+    j = q.select("*", *[m.select(c).scalar().alias(c) for c in ("mean", "min", "max")])
+    return j.select(F.lit("all").alias("scope"), *[r(c).alias(c) for c in ("mean", "p10", "p50", "p90", "min", "max")])
 
 
 @query("percentile_bands", with_ctes("""

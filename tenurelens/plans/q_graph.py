@@ -100,7 +100,9 @@ CTES["tree"] = f"""
 
 
 def _nodes(spark, d):
-    return graph.node_table(cohort_df(spark, d))
+    """Node table over the checkpointed cohort: the three edge families and
+    the exposure walk read it several times."""
+    return graph.node_table(materialized_cohort(spark, d))
 
 
 def _contrib(spark, d):
