@@ -14,10 +14,11 @@ from ..sources.csv_scan import lenient_csv, normalise_nulls
 from ..sources.sinks import export_partitioned_json, export_typed_csv, output_dir, run_metadata
 from ..sources.tables import scan
 from .common import cohort_df, materialized_cohort, scores_from
+from . import q_graph  # noqa: F401  (registers the graph CTEs used below)
 from .q_features import with_project
 from .q_warehouse import ratings_df
 from .registry import query, r
-from .sqlparts import with_ctes
+from .sqlparts import CTES, with_ctes
 
 # FIXED VALUES — rows kept by the positional slice of the source extract
 FIRST_ROWS = 1489
@@ -97,7 +98,9 @@ def q_graph_json_export(spark, d):
     return back.groupBy("department", "kind").agg(F.count(F.lit(1)).alias("documents"))
 
 
-@query("graph_nodes_csv", None)
+@query("graph_nodes_csv", with_ctes("""
+SELECT id AS "id:ID", department, job_role AS "jobRole", job_level AS "jobLevel", tenure_cohort AS "tenureCohort",
+       CAST(is_active AS VARCHAR) AS "isActive:boolean", NULLIF(exit_date, '') AS "exitDate" FROM nodes"""))
 def q_graph_nodes_csv(spark, d):
     """Node table exported with typed CSV headers, read back."""
     nodes = graph.node_table(cohort_df(spark, d))
@@ -110,7 +113,27 @@ def q_graph_nodes_csv(spark, d):
 # ---------------------------------------------------------------------------
 # composite distance on edges
 # ---------------------------------------------------------------------------
-@query("pair_distance", None)
+CTES["sim_base"] = """
+  SELECT wp.employee_id AS id, wp.department, wp.project, wp.gender, CAST(wp.age AS DOUBLE) AS age,
+         coalesce(s.general_risk_score, 0.0) AS risk, tr.manager_id,
+         CASE WHEN rt.performance_score IN (1, 2) THEN 'High' WHEN rt.performance_score IS NULL THEN NULL
+              ELSE 'Low' END AS tier
+  FROM with_project wp LEFT JOIN scores s ON wp.emp_key = s.emp_key
+  LEFT JOIN ratings rt ON wp.emp_key = rt.emp_key LEFT JOIN tree tr ON wp.employee_id = tr.id"""
+CTES["sim_att"] = """
+  SELECT *, CASE WHEN max(age) OVER w - min(age) OVER w = 0 THEN 0.5
+                 ELSE (age - min(age) OVER w) / (max(age) OVER w - min(age) OVER w) END AS age_norm,
+            CASE WHEN max(risk) OVER w - min(risk) OVER w = 0 THEN 0.5
+                 ELSE (risk - min(risk) OVER w) / (max(risk) OVER w - min(risk) OVER w) END AS risk_norm
+  FROM sim_base WINDOW w AS (PARTITION BY department)"""
+_DIST = """CAST(0.6 AS DOUBLE) * ((CASE WHEN x.manager_id = y.manager_id AND coalesce(x.manager_id, '') <> '' THEN CAST(0.0 AS DOUBLE) ELSE CAST(1.0 AS DOUBLE) END) / CAST(3.0 AS DOUBLE) + (CASE WHEN x.department = y.department THEN CAST(0.0 AS DOUBLE) ELSE CAST(1.0 AS DOUBLE) END) / CAST(3.0 AS DOUBLE) + (CASE WHEN x.project = y.project THEN CAST(0.0 AS DOUBLE) ELSE CAST(1.0 AS DOUBLE) END) / CAST(3.0 AS DOUBLE)) + CAST(0.2 AS DOUBLE) * (CASE WHEN x.tier IS NOT NULL AND y.tier IS NOT NULL THEN CAST(0.5 AS DOUBLE) * (CASE WHEN x.gender = y.gender THEN CAST(0.0 AS DOUBLE) ELSE CAST(1.0 AS DOUBLE) END) + CAST(0.5 AS DOUBLE) * (CASE WHEN x.tier = y.tier THEN CAST(0.0 AS DOUBLE) ELSE CAST(1.0 AS DOUBLE) END) ELSE (CASE WHEN x.gender = y.gender THEN CAST(0.0 AS DOUBLE) ELSE CAST(1.0 AS DOUBLE) END) END) + CAST(0.2 AS DOUBLE) * (CAST(0.5 AS DOUBLE) * abs(x.age_norm - y.age_norm) + CAST(0.5 AS DOUBLE) * abs(x.risk_norm - y.risk_norm))"""
+
+
+@query("pair_distance", with_ctes(f"""
+SELECT a, b, round(dist, 9) AS distance, round(1.0 - dist, 4) AS weight FROM (
+  SELECT p.a, p.b, {_DIST} AS dist
+  FROM (SELECT DISTINCT least(src, dst) AS a, greatest(src, dst) AS b FROM edges_all) p
+  JOIN sim_att x ON p.a = x.id JOIN sim_att y ON p.b = y.id)"""))
 def q_pair_distance(spark, d):
     """The composite similarity distance evaluated on the peer-graph edges
     (each unordered pair once), with weight = round(1 - d, 4)."""
@@ -119,4 +142,5 @@ def q_pair_distance(spark, d):
     nodes = graph.node_table(c)
     e = graph.all_edges(nodes).select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")) \
         .distinct()
-    return composite_distance(e, att)
+    out = composite_distance(e, att)
+    return out.select("a", "b", r("distance").alias("distance"), "weight")
