@@ -158,3 +158,39 @@ def test_rows_at_ranks_with_hot_value(spark):
     got = {r.r: r.id for r in rows_at_ranks(df, "v", "h", ranks, n_splits=8).collect()}
     order = sorted(vals, key=lambda x: (x[1], hashlib.md5(x[0].encode()).hexdigest()))
     assert got == {k: order[k][0] for k in ranks}
+
+
+def _py_perm_test(exits, n_perm, seed):
+    """Plain-Python permutation test with the same md5 shuffle."""
+    import datetime
+    import hashlib
+
+    def pooled(assign):
+        groups = {}
+        for g, dt in assign:
+            groups.setdefault(g, []).append(dt)
+        span = sum((max(v) - min(v)).days for v in groups.values())
+        return span / sum(len(v) - 1 for v in groups.values())
+    rows = [(g, datetime.date.fromisoformat(dt), i) for g, dt, i in exits]
+    observed = pooled([(g, dt) for g, dt, _ in rows])
+    sizes = sorted({g for g, _, _ in rows})
+    slots = []
+    for g in sizes:
+        slots += [g] * sum(1 for gg, _, _ in rows if gg == g)
+    stats = []
+    for p in range(n_perm):
+        order = sorted(rows, key=lambda x: (hashlib.md5(f"{seed}|{p}|{x[2]}".encode()).hexdigest(), x[2]))
+        stats.append(pooled([(slots[k], dt) for k, (_, dt, _) in enumerate(order)]))
+    expected = sum(stats) / n_perm
+    return observed, expected, sum(1 for s in stats if s <= observed) / n_perm
+
+
+def test_permutation_test_matches_python(spark):
+    from tenurelens.operators.rates import permutation_test
+    rnd = random.Random(9)
+    exits = [(rnd.choice(["A", "B", "C"]), f"2000-0{rnd.randint(1, 9)}-1{rnd.randint(0, 9)}", f"e{i}")
+             for i in range(40)]
+    df = spark.createDataFrame(exits, "g string, d string, id string")
+    r = permutation_test(df, "g", "d", "id", n_perm=25, seed=7).first()
+    obs, exp, pv = _py_perm_test(exits, 25, 7)
+    assert math.isclose(r.observed, obs) and math.isclose(r.expected, exp) and math.isclose(r.p_value, pv)
