@@ -52,9 +52,9 @@ class Scd2Sink:
 
 
 def run_snapshot_stream(spark: SparkSession, source_dir: str, schema, state_dir: str, checkpoint_dir: str,
-                        files_per_trigger: int = 1) -> DataFrame:
+                        files_per_trigger: int = 1, tracked=scd2.TRACKED) -> DataFrame:
     """Drain the snapshot folder (availableNow) and return the history."""
-    sink = Scd2Sink(spark, state_dir)
+    sink = Scd2Sink(spark, state_dir, tracked)
     stream = (spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(source_dir))
     q = (stream.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint_dir)
          .trigger(availableNow=True).start())
