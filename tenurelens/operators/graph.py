@@ -177,6 +177,8 @@ def tree_depths(tree: DataFrame, max_depth: int = 7) -> DataFrame:
     per level.  Managers always sit on a strictly higher job level, so the
     tree is at most 7 deep (root, heads, five levels); nodes deeper than
     ``max_depth`` get no row."""
+    from ..session import cut_lineage
+    tree = cut_lineage(tree.select("id", "manager_id"))  # read once per level below
     level = tree.where(F.col("manager_id") == "").select("id", F.lit(0).alias("depth"))
     out = level
     rest = tree.where(F.col("manager_id") != "").select("id", "manager_id")

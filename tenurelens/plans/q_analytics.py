@@ -43,7 +43,8 @@ SELECT round(tr.c_index, 9) AS c_train, round(te.c_index, 9) AS c_test,
 FROM ({_CONC.format(src="sc_train")}) tr, ({_CONC.format(src="sc_test")}) te"""))
 def q_concordance_gap(spark, d):
     """Train / test concordance and the generalisation gap (> 0.05 flagged)."""
-    s = score(split_df(spark, d))
+    from ..session import cut_lineage
+    s = cut_lineage(score(split_df(spark, d)).select("split", "years_at_company", "attrition", "margin"))
     tr = concordance(s.where("split = 'train'"), "years_at_company", "attrition", "margin")
     te = concordance(s.where("split = 'test'"), "years_at_company", "attrition", "margin")
     ct, cs = tr.select("c_index").scalar(), te.select("c_index").scalar()

@@ -176,8 +176,8 @@ def q_exposure_curve(spark, d):
     return c.select("node", "day", r("score").alias("score"))
 
 
-def boosted_df(spark, d):
-    c = materialized_cohort(spark, d)
+def boosted_df(spark, d, c=None):
+    c = c if c is not None else materialized_cohort(spark, d)
     s = scores_from(c)
     n = graph.node_table(c)
     x = graph.exposure_scores(graph.exposure_contributions(graph.all_edges(n), n, AS_OF_DATE)).select(

@@ -22,9 +22,11 @@ CTES["listing"] = """
   SELECT b.*, r.performance_score FROM boosted b LEFT JOIN ratings r ON b.emp_key = r.emp_key"""
 
 
-def listing_df(spark, d):
-    b = boosted_df(spark, d)
-    return b.join(ratings_df(spark, d).select("emp_key", "performance_score"), "emp_key", "left")
+def listing_df(spark, d, c=None):
+    from .common import materialized_cohort
+    c = c if c is not None else materialized_cohort(spark, d)
+    b = boosted_df(spark, d, c)
+    return b.join(ratings_df(spark, d, c).select("emp_key", "performance_score"), "emp_key", "left")
 
 
 def _pct_sql(c):
@@ -58,8 +60,10 @@ def q_employee_list(spark, d):
     """department filter, status 'high' (boosted >= 50), performance 'high'
     (score 1 or 2), presentation columns (percent text, 1/2-decimal rounds)."""
     from ..operators.survival import theme_contributions
-    lst = listing_df(spark, d)
-    contrib = theme_contributions(scores_df(spark, d)).select("emp_key", *[f"contrib_{t}" for t in _THEMES])
+    from .common import materialized_cohort, scores_from
+    c = materialized_cohort(spark, d)
+    lst = listing_df(spark, d, c)
+    contrib = theme_contributions(scores_from(c)).select("emp_key", *[f"contrib_{t}" for t in _THEMES])
     return employee_list(lst.join(contrib, "emp_key"), department=LIST_DEPARTMENT, status="high",
                          performance="high")
 
@@ -125,9 +129,16 @@ def q_high_risk_any_horizon(spark, d):
 
 @query("point_lookup", with_ctes("SELECT * FROM risk_scores WHERE employee_id = 'Customer#000000042'"))
 def q_point_lookup(spark, d):
-    """Key lookup; the predicate reaches the customer scan as a pushed filter."""
-    from .common import risk_scores_df
-    return risk_scores_df(spark, d).where(F.col("employee_id") == "Customer#000000042").drop("department")
+    """Key lookup.  The fitted numbers (bounds, baseline) come from their own
+    small jobs; the scoring plan itself reads the cohort unmaterialised, so
+    the key predicate is pushed into the customer scan."""
+    from ..operators.survival import theme_contributions
+    from .common import scores_from
+    s = theme_contributions(scores_from(cohort_df(spark, d)))
+    s = s.where(F.col("employee_id") == "Customer#000000042")
+    return s.select("emp_key", "employee_id", "prob_1m", "prob_3m", "prob_6m", "prob_12m", "general_risk_score",
+                    "contrib_identity", "contrib_environment", "contrib_compensation", "contrib_sentiment",
+                    "contrib_tenure")
 
 
 @query("dashboard_stats", with_ctes("""

@@ -109,16 +109,19 @@ def q_whatif_batch(spark, d):
     """Overrides (pay cut 35 %, overtime, promotion to senior level) for a
     slice of keys, rescored in one pass with graph exposure and the pay-cut
     penalty."""
-    c = cohort_df(spark, d)
+    from .common import materialized_cohort
+    c = materialized_cohort(spark, d)
     k = F.col("emp_key")
     ov = c.where((k % 10).isin(7, 8, 9)).select(
         "emp_key",
         F.when(k % 10 == 7, F.col("monthly_income") * F.lit(0.65)).alias("monthly_income"),
         F.when(k % 10 == 8, F.lit("Yes")).alias("over_time"),
         F.when(k % 10 == 9, F.lit("Senior Level")).alias("job_level"))
-    x = _contrib(spark, d)
-    from ..operators.graph import exposure_scores
-    ex = exposure_scores(x).join(c.select("emp_key", F.col("employee_id").alias("node")), "node").select(
+    from ..operators import graph
+    from ..operators.cohort import AS_OF_DATE
+    n = graph.node_table(c)
+    x = graph.exposure_contributions(graph.all_edges(n), n, AS_OF_DATE)
+    ex = graph.exposure_scores(x).join(c.select("emp_key", F.col("employee_id").alias("node")), "node").select(
         "emp_key", F.col("exposure_score").alias("exposure"))
     w = whatif(c, ov, ex)
     return w.select("emp_key", *[r(f"prob_{h}m").alias(f"prob_{h}m") for h in (1, 3, 6, 12)],

@@ -173,8 +173,8 @@ CTES["rating_updates"] = """
   FROM cohort WHERE emp_key % 10 IN (3, 5)"""
 
 
-def ratings_df(spark, d):
-    c = cohort_df(spark, d)
+def ratings_df(spark, d, c=None):
+    c = c if c is not None else cohort_df(spark, d)
     p = performance_scores(c).where(F.col("emp_key") % 10 != 3)
     return p.select("emp_key", "performance_score",
                     F.concat(F.lit("mgr_"), (F.col("emp_key") % 50).cast("string")).alias("rated_by"),
