@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 CELLS_PER_BUCKET = 50_000
+MAX_BROADCAST_TIMES = 1_000_000
 
 
 def _within_bucket(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -62,13 +63,18 @@ def concordance(df: DataFrame, time: str, event: str, score: str,
                 cells_per_bucket: int = CELLS_PER_BUCKET) -> DataFrame:
     """One row: concordance, comparable pairs, concordant, tied."""
     spark = df.sparkSession
+    from ..session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(spark)
     cells = (df.select(F.col(time).cast("double").alias("t"), F.col(event).cast("int").alias("e"),
                        F.col(score).cast("double").alias("s"))
              .groupBy("t", "e", "s").agg(F.count(F.lit(1)).cast("double").alias("w")))
     times = cells.select("t").distinct()
     times = times.withColumn("k", (F.row_number().over(Window.orderBy("t")) - 1).cast("int"))
-    cells = cells.join(F.broadcast(times), "t")  # distinct times: bounded by the time domain
-    cells = cells.checkpoint(eager=True) if spark.sparkContext.getCheckpointDir() else cells.cache()
+    times = times.checkpoint(eager=True)
+    nk = times.count()
+    # distinct durations are bounded by the time domain; broadcast only below a checked size
+    cells = cells.join(F.broadcast(times) if nk <= MAX_BROADCAST_TIMES else times, "t")
+    cells = cells.checkpoint(eager=True)
 
     n_cells = cells.count()
     n_buckets = max(1, min(1 << 20, math.ceil(n_cells / cells_per_bucket)))
@@ -83,7 +89,7 @@ def concordance(df: DataFrame, time: str, event: str, score: str,
         cells = bz.transform(cells).withColumn("b", F.col("bd").cast("int")).drop("bd")
     else:
         cells = cells.withColumn("b", F.lit(0))
-    nb, nk = len(splits) - 1, times.count()
+    nb = len(splits) - 1
 
     # --- pairs across buckets: dense (bucket, time) grid ---------------------
     grid = spark.range(nb).select(F.col("id").cast("int").alias("b"),
@@ -107,7 +113,7 @@ def concordance(df: DataFrame, time: str, event: str, score: str,
     inner = cells.select("b", "k", "e", "s", "w").groupBy("b").applyInPandas(
         _within_bucket, "b int, k int, s double, w double, conc_in double, ties_in double")
 
-    ev = inner.join(g, ["b", "k"]).join(F.broadcast(tt), "k")
+    ev = inner.join(g, ["b", "k"]).join(F.broadcast(tt) if nk <= MAX_BROADCAST_TIMES else tt, "k")
     agg = ev.agg(F.sum(F.col("w") * (F.col("conc_in") + F.col("q") + F.col("pc"))).alias("concordant"),
                  F.sum(F.col("w") * F.col("ties_in")).alias("tied"),
                  F.sum(F.col("w") * F.col("partners")).alias("comparable"))

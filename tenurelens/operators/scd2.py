@@ -140,3 +140,17 @@ def star_join_active(themes: dict[str, DataFrame]) -> DataFrame:
     """The ML view: inner joins of the active rows of every theme on the key."""
     parts = [df.where("is_active").drop(*VALIDITY) for df in themes.values()]
     return reduce(lambda a, b: a.join(b, KEY), parts)
+
+
+def write_history(history: DataFrame, path: str) -> str:
+    """Store the history partitioned by ``is_active``: readers of the current
+    state prune to the active partition (PartitionFilters), readers of the
+    past read the closed partition."""
+    history.write.mode("overwrite").partitionBy("is_active").parquet(path)
+    return path
+
+
+def read_active(spark, path: str, schema) -> DataFrame:
+    """Active versions only; with the stored schema the partition column
+    keeps its boolean type and the filter prunes directories."""
+    return spark.read.schema(schema).parquet(path).where(F.col("is_active"))

@@ -329,3 +329,13 @@ def q_scd2_stream(spark, d):
         schema = s.schema
     hist = run_snapshot_stream(spark, src, schema, base + "/state", base + "/checkpoint")
     return hist.select(*_HCOLS)
+
+
+@query("scd2_active_read", with_ctes("SELECT " + ", ".join(_HCOLS) + " FROM hist_built WHERE is_active"))
+def q_scd2_active_read(spark, d):
+    """History stored partitioned by is_active; the active read prunes to one
+    partition directory."""
+    path = table_dir(spark, "employee_history_" + os.path.basename(d.rstrip("/")))
+    h = built_history(spark, d)
+    scd2.write_history(h, path)
+    return scd2.read_active(spark, path, h.schema).select(*_HCOLS)
