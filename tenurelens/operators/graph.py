@@ -24,9 +24,6 @@ from ..functions.labels import (EDGE_WEIGHTS, EXPOSURE_DECAY, EXPOSURE_WINDOW_DA
                                 ROLE_CLIQUE_MAX, ROLE_DRAWS, TENURE_DRAWS)
 from .ranking import group_rank, hex_sub_bucket
 
-EDGE_COLS = ("src", "dst", "weight", "source", "type")
-
-
 def tenure_cohort(years: Column) -> Column:
     return (F.when(years < 2, "0-2").when(years < 5, "2-5").when(years < 10, "5-10").otherwise("10+"))
 

@@ -17,7 +17,6 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.labels import THEME_COLUMNS  # noqa: F401  (reference theme lists)
 from .cohort import LEVEL_NAMES, _label
 
 KEY = "emp_key"

@@ -10,8 +10,6 @@
 """
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -227,8 +225,3 @@ def theme_contributions(scaled: DataFrame) -> DataFrame:
     total = sum(parts.values(), F.lit(0.0))
     outs = {f"contrib_{t}": F.when(total > 0, parts[t] / total * 100.0).otherwise(F.lit(20.0)) for t in themes}
     return scaled.withColumns(outs)
-
-
-def harmonic_check(n: int) -> float:
-    """Plain-Python harmonic number (used by tests)."""
-    return math.fsum(1.0 / i for i in range(1, n + 1))

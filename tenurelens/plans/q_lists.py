@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.labels import PERFORMANCE_SCORE_LABELS
-from ..operators.lists import (employee_list, exited_peers, list_counts, page, pct_text, risk_distribution,
-                               round_half_even, sorted_list)
+from ..operators.lists import employee_list, exited_peers, list_counts, page, risk_distribution, sorted_list
 from .common import any_horizon_high, cohort_df, scores_df
 from .q_graph import _nodes, boosted_df
 from .q_warehouse import ratings_df
@@ -242,5 +241,3 @@ def q_feature_skew(spark, d):
                 | (F.abs(F.col("train_value") - F.col("serve_value")) > 1e-5))
     return j.select("emp_key", "feature", r("train_value").alias("train_value"), r("serve_value").alias("serve_value"))
 
-
-__all__ = ["pct_text", "round_half_even"]

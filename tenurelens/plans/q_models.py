@@ -10,7 +10,6 @@ from ..operators.cohort import BALANCE_NAMES, _label
 from ..operators.survival import SCORE_FEATURES, horizon_probabilities, nelson_aalen, scaled_features, score
 from ..operators.whatif import whatif
 from .common import cohort_df
-from .q_graph import _contrib
 from .q_warehouse import built_history
 from .registry import query, r
 from .sqlparts import CTES, _case_idx, scored_over, with_ctes

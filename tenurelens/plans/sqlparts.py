@@ -167,9 +167,6 @@ CTES["risk_scores"] = """
   FROM scores p JOIN contribs c ON p.emp_key = c.emp_key"""
 
 
-def _deps(sql: str) -> list[str]:
-    return [n for n in CTES if re.search(rf"\b{n}\b", sql)]
-
 
 def with_ctes(final: str, extra: dict | None = None) -> str:
     """Prefix ``final`` with every CTE it (transitively) references."""
