@@ -144,3 +144,40 @@ def q_pair_distance(spark, d):
         .distinct()
     out = composite_distance(e, att)
     return out.select("a", "b", r("distance").alias("distance"), "weight")
+
+
+# ---------------------------------------------------------------------------
+# similarity kNN graph
+# ---------------------------------------------------------------------------
+CTES["knn_ranked"] = f"""
+  SELECT a, b, dist, row_number() OVER (PARTITION BY a ORDER BY dist, b) AS rank FROM (
+    SELECT x.id AS a, y.id AS b, {_DIST} AS dist
+    FROM sim_att x JOIN sim_att y ON x.department = y.department AND x.id <> y.id)"""
+CTES["knn_top"] = """
+  SELECT r.a, r.b, r.dist, r.rank FROM knn_ranked r JOIN sim_att s ON r.a = s.id
+  JOIN (SELECT department, greatest(3, least(20, ceil(count(*) * 0.1))) AS k FROM sim_att GROUP BY department) kd
+    ON s.department = kd.department
+  WHERE r.rank <= kd.k"""
+
+
+def _knn(spark, d):
+    from ..operators.knn import knn
+    c = materialized_cohort(spark, d)
+    att = similarity_inputs(c, scores_from(c), ratings_df(spark, d, c), with_project)
+    return knn(att)
+
+
+@query("similarity_knn", with_ctes("SELECT a, b, round(dist, 9) AS distance, rank FROM knn_top"))
+def q_similarity_knn(spark, d):
+    """k nearest peers of every entity inside its department (exact; ties by
+    id), found by certified ring searches instead of all pairs."""
+    return _knn(spark, d).select("a", "b", r("distance").alias("distance"), "rank")
+
+
+@query("similarity_edges", with_ctes("""
+SELECT source, target, round(1.0 - any_value(dist), 4) AS weight FROM (
+  SELECT least(a, b) AS source, greatest(a, b) AS target, dist FROM knn_top) GROUP BY source, target"""))
+def q_similarity_edges(spark, d):
+    """Undirected kNN graph: each unordered pair once, weight = round(1-d, 4)."""
+    from ..operators.knn import similarity_edges
+    return similarity_edges(_knn(spark, d))

@@ -194,3 +194,38 @@ def test_permutation_test_matches_python(spark):
     r = permutation_test(df, "g", "d", "id", n_perm=25, seed=7).first()
     obs, exp, pv = _py_perm_test(exits, 25, 7)
     assert math.isclose(r.observed, obs) and math.isclose(r.expected, exp) and math.isclose(r.p_value, pv)
+
+
+def _py_dist(x, y):
+    m = 0.0 if (x[2] == y[2] and x[2] != "") else 1.0
+    dep = 0.0 if x[1] == y[1] else 1.0
+    p = 0.0 if x[3] == y[3] else 1.0
+    g = 0.0 if x[4] == y[4] else 1.0
+    if x[5] is not None and y[5] is not None:
+        cat = 0.5 * g + 0.5 * (0.0 if x[5] == y[5] else 1.0)
+    else:
+        cat = g
+    return 0.6 * (m / 3 + dep / 3 + p / 3) + 0.2 * cat + 0.2 * (0.5 * abs(x[6] - y[6]) + 0.5 * abs(x[7] - y[7]))
+
+
+def test_knn_matches_brute_force_with_ties_and_hot_groups(spark):
+    from tenurelens.operators.knn import knn
+    rnd = random.Random(21)
+    rows = []
+    for i in range(260):
+        dept = "D1" if i < 200 else "D2"
+        mgr = "M0" if i % 3 == 0 else f"M{rnd.randint(1, 12)}"        # one hot manager
+        tier = rnd.choice(["High", "Low", None])
+        an = 0.5 if i % 7 == 0 else rnd.randint(0, 20) / 20           # repeated coordinates
+        rows.append((f"e{i:03d}", dept, mgr, f"P{rnd.randint(0, 3)}", rnd.choice("FM"), tier, an, rnd.random()))
+    schema = ("id string, department string, manager_id string, project string, gender string, tier string, "
+              "age_norm double, risk_norm double")
+    got = {(r.a, r.rank): r.b for r in knn(spark.createDataFrame(rows, schema)).collect()}
+    want = {}
+    for x in rows:
+        peers = [y for y in rows if y[1] == x[1] and y[0] != x[0]]
+        k = max(3, min(20, math.ceil(0.1 * (len(peers) + 1))))
+        ranked = sorted(peers, key=lambda y: (_py_dist(x, y), y[0]))[:k]
+        for rk, y in enumerate(ranked, 1):
+            want[(x[0], rk)] = y[0]
+    assert got == want
