@@ -25,7 +25,7 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-CELLS_PER_BUCKET = 50_000
+CELLS_PER_BUCKET = 20_000  # per-task arrays: cells x distinct times doubles
 MAX_BROADCAST_TIMES = 1_000_000
 
 
