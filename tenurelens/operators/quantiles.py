@@ -19,33 +19,47 @@ from pyspark.sql import functions as F
 N_SPLITS = 64
 
 
+def _split_level(x: DataFrame, keys: list[str], n_splits: int, out: str, broadcast_stats: bool) -> DataFrame:
+    """Adds ``out``: 2j for values strictly between split j-1 and j, 2j+1 for
+    a value equal to split j (a point bucket), with split points taken at
+    approximate quantiles per ``keys`` group.  Monotone in the value."""
+    sp = [i / n_splits for i in range(1, n_splits)]
+    split_agg = F.array_distinct(F.array_sort(F.percentile_approx("_x", sp, 10_000)))
+    if keys == ["_g"]:
+        # one global group: the fitted split points (<= n_splits numbers) become a literal
+        got = x.agg(split_agg).first()[0] or []
+        xs = x.withColumn("_sp", F.array(*[F.lit(float(v)) for v in got]) if got
+                          else F.array().cast("array<double>"))
+    else:
+        stats = x.groupBy(*keys).agg(split_agg.alias("_sp"))
+        xs = x.join(F.broadcast(stats) if broadcast_stats else stats, keys)
+    j = F.size(F.filter("_sp", lambda v: v < F.col("_x")))
+    is_point = (j < F.size("_sp")) & (F.element_at("_sp", j + 1) == F.col("_x"))
+    return xs.withColumn(out, F.when(is_point, j * 2 + 1).otherwise(j * 2)).drop("_sp")
+
+
+def value_buckets(x: DataFrame, g: list[str], n_splits: int, ungrouped: bool) -> DataFrame:
+    """Two nested levels of quantile buckets → ``_b`` (monotone in ``_x``):
+    about n_splits² open buckets per group, so an open bucket of a group with
+    billions of rows still fits one task, at ~2·n_splits comparisons a row."""
+    x1 = _split_level(x, g, n_splits, "_b1", ungrouped)
+    x2 = _split_level(x1, [*g, "_b1"], n_splits, "_b2", ungrouped)  # ungrouped: <= 2·n_splits+1 stats rows
+    return x2.withColumn("_b", F.col("_b1") * (2 * n_splits + 1) + F.col("_b2")).drop("_b1", "_b2")
+
+
 def grouped_quantiles(df: DataFrame, group: list[str], value: str, probs, n_splits: int = N_SPLITS,
                       prefix: str = "p", materialize: bool = True) -> DataFrame:
     """One row per group with columns ``{prefix}{round(100*p)}``."""
+    g = list(group) if group else ["_g"]
     x = df.select(*group, F.col(value).cast("double").alias("_x")).where(F.col("_x").isNotNull())
+    if not group:
+        x = x.withColumn("_g", F.lit(0))
     if materialize and x.sparkSession.sparkContext.getCheckpointDir():
         # the input is read by several branches below; cut it to the
         # projected columns once instead of re-running its lineage per branch
         x = x.checkpoint(eager=True)
-    sp = [i / n_splits for i in range(1, n_splits)]
-    split_agg = F.array_distinct(F.array_sort(F.percentile_approx("_x", sp, 10_000)))
-    if group:
-        g = list(group)
-        stats = x.groupBy(*g).agg(F.count(F.lit(1)).alias("_n"), split_agg.alias("_sp"))
-        xb = x.join(stats, g)
-        splits, n_col = F.col("_sp"), F.col("_n")
-    else:
-        # ungrouped: the fitted split points (<= B numbers) and n are literals
-        g = ["_g"]
-        row = x.agg(F.count(F.lit(1)).alias("n"), split_agg.alias("sp")).first()
-        lits = [F.lit(float(v)) for v in (row["sp"] or [])]
-        splits = F.array(*lits) if lits else F.array().cast("array<double>")
-        n_col = F.lit(int(row["n"]))
-        xb = x.withColumn("_g", F.lit(0))
-        stats = x.sparkSession.range(1).select(F.lit(0).alias("_g"), n_col.alias("_n"))
-    j = F.size(F.filter(splits, lambda s: s < F.col("_x")))
-    is_point = (j < F.size(splits)) & (F.element_at(splits, j + 1) == F.col("_x"))
-    xb = xb.withColumn("_b", F.when(is_point, j * 2 + 1).otherwise(j * 2)).select(*g, "_x", "_b")
+    stats = x.groupBy(*g).agg(F.count(F.lit(1)).alias("_n"))
+    xb = value_buckets(x, g, n_splits, not group).select(*g, "_x", "_b")
 
     bk = xb.groupBy(*g, "_b").agg(F.count(F.lit(1)).alias("_cnt"), F.min("_x").alias("_lo"),
                                   F.max("_x").alias("_hi"))
@@ -85,13 +99,8 @@ def rows_at_ranks(df: DataFrame, value: str, tie_hex: str, ranks, n_splits: int
     ranked with a window over ~n/B rows; a point bucket (one value, possibly
     a third of all rows) is ranked by the hash-prefix group rank."""
     from .ranking import group_rank, hex_sub_bucket
-    x = df.withColumn("_x", F.col(value).cast("double")).where(F.col("_x").isNotNull())
-    sp = [i / n_splits for i in range(1, n_splits)]
-    got = x.agg(F.array_distinct(F.array_sort(F.percentile_approx("_x", sp, 10_000)))).first()[0] or []
-    splits = F.array(*[F.lit(float(v)) for v in got]) if got else F.array().cast("array<double>")  # <= B values
-    j = F.size(F.filter(splits, lambda s: s < F.col("_x")))
-    is_point = (j < F.size(splits)) & (F.element_at(splits, j + 1) == F.col("_x"))
-    xb = x.withColumn("_b", F.when(is_point, j * 2 + 1).otherwise(j * 2))
+    x = df.withColumn("_x", F.col(value).cast("double")).where(F.col("_x").isNotNull()).withColumn("_g", F.lit(0))
+    xb = value_buckets(x, ["_g"], n_splits, True).drop("_g")
     bk = xb.groupBy("_b").agg(F.count(F.lit(1)).alias("_cnt"), F.min("_x").alias("_lo"), F.max("_x").alias("_hi"))
     bk = bk.withColumn("_off", F.coalesce(F.sum("_cnt").over(
         Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))  # <= 2B+1 rows
