@@ -157,31 +157,52 @@ HASH_SPACE = 1 << 30
 SPLIT_BUCKETS = 1024
 
 
+def _bucket_offsets(x: DataFrame, stratum: str, bucket: str, start: str | None) -> DataFrame:
+    """Per (stratum, bucket): rows, rows before the bucket (plus ``start``)."""
+    keys = [stratum, bucket] if start is None else [stratum, bucket, start]
+    counts = x.groupBy(*keys).agg(F.count(F.lit(1)).alias("_nb"))
+    w = Window.partitionBy(stratum).orderBy(bucket)  # <= 1024 rows per stratum
+    before = F.coalesce(F.sum("_nb").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    if start is not None:
+        before = before + F.col(start)
+    return counts.withColumn("_before", before)
+
+
 def stratified_split(df: DataFrame, id_col: str, stratum: str, test_size: float = 0.2,
                      seed: int = 42, out: str = "split") -> DataFrame:
     """Exact per-stratum split: the first n - ceil(test_size * n) rows in
     (md5(seed|id), id) order are 'train', the rest 'test'.
 
     Exact without sorting a stratum in one task: rows fall in 1024 hash-range
-    buckets; a small (stratum, bucket) count table locates the one boundary
-    bucket per stratum, and only rows of boundary buckets are ranked.
+    buckets; a (stratum, bucket) count table locates the one boundary bucket
+    per stratum, its rows fall in 1024 finer sub-buckets, and only the rows
+    of the one boundary sub-bucket (about 1/2^20 of the stratum) are ranked.
     """
     h = md5_mod(F.concat(F.lit(f"{seed}|"), F.col(id_col).cast("string")), HASH_SPACE)
     x = df.withColumn("_h", h).withColumn("_b", (F.col("_h") / (HASH_SPACE // SPLIT_BUCKETS)).cast("int"))
-    counts = x.groupBy(stratum, "_b").agg(F.count(F.lit(1)).alias("_nb"))
-    w = Window.partitionBy(stratum).orderBy("_b")
-    counts = (counts
-              .withColumn("_before", F.coalesce(F.sum("_nb").over(w.rowsBetween(Window.unboundedPreceding, -1)),
-                                                F.lit(0)))
-              .withColumn("_n", F.sum("_nb").over(Window.partitionBy(stratum)))
-              .withColumn("_ntrain", F.col("_n") - F.ceil(F.col("_n") * F.lit(float(test_size)))))
-    x = x.join(counts.select(stratum, "_b", "_before", "_nb", "_ntrain"), [stratum, "_b"])
-    boundary = (F.col("_before") < F.col("_ntrain")) & (F.col("_before") + F.col("_nb") > F.col("_ntrain"))
-    inner = x.where(boundary)
-    rank = F.row_number().over(Window.partitionBy(stratum, "_b").orderBy("_h", id_col))
+    n = x.groupBy(stratum).agg(F.count(F.lit(1)).alias("_n"))
+    n = n.withColumn("_ntrain", F.col("_n") - F.ceil(F.col("_n") * F.lit(float(test_size)))).drop("_n")
+    c1 = _bucket_offsets(x, stratum, "_b", None).join(n, stratum)
+    x = x.join(c1, [stratum, "_b"])
+
+    def boundary():
+        return (F.col("_before") < F.col("_ntrain")) & (F.col("_before") + F.col("_nb") > F.col("_ntrain"))
+
+    def decided(d):
+        return d.withColumn("_r", F.when(F.col("_before") < F.col("_ntrain"), F.lit(0))
+                            .otherwise(F.col("_ntrain") + 1).cast("bigint"))
+
+    outer1 = decided(x.where(~boundary()))
+    fine = SPLIT_BUCKETS * SPLIT_BUCKETS
+    x2 = (x.where(boundary()).withColumnRenamed("_before", "_start").drop("_nb")
+          .withColumn("_b2", ((F.col("_h") / (HASH_SPACE // fine)).cast("bigint") % SPLIT_BUCKETS).cast("int")))
+    c2 = _bucket_offsets(x2, stratum, "_b2", "_start")
+    x2 = x2.join(c2.drop("_start"), [stratum, "_b2"])
+    outer2 = decided(x2.where(~boundary()))
+    inner = x2.where(boundary())
+    rank = F.row_number().over(Window.partitionBy(stratum, "_b2").orderBy("_h", id_col))
     inner = inner.withColumn("_r", F.col("_before") + rank)
-    outer = x.where(~boundary).withColumn("_r", F.when(F.col("_before") < F.col("_ntrain"), F.lit(0))
-                                            .otherwise(F.col("_ntrain") + 1).cast("bigint"))
-    res = inner.unionByName(outer)
-    res = res.withColumn(out, F.when(F.col("_r") <= F.col("_ntrain"), "train").otherwise("test"))
-    return res.drop("_h", "_b", "_before", "_nb", "_ntrain", "_r")
+    cols = [c for c in df.columns] + ["_r", "_ntrain"]
+    res = outer1.select(cols).unionByName(outer2.select(cols)).unionByName(inner.select(cols))
+    return res.withColumn(out, F.when(F.col("_r") <= F.col("_ntrain"), "train").otherwise("test")).drop(
+        "_r", "_ntrain")

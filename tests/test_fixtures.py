@@ -229,3 +229,19 @@ def test_knn_matches_brute_force_with_ties_and_hot_groups(spark):
         for rk, y in enumerate(ranked, 1):
             want[(x[0], rk)] = y[0]
     assert got == want
+
+
+def test_stratified_split_membership_matches_sort(spark):
+    import hashlib
+    ids = [f"c{i}" for i in range(3000)]
+    df = spark.createDataFrame([(i, int(i[1:]) % 4 == 0) for i in ids], "id string, e boolean") \
+        .withColumn("e", F.col("e").cast("int"))
+    got = {r.id: r.split for r in feat.stratified_split(df, "id", "e", 0.2, 42).collect()}
+    want = {}
+    for e in (0, 1):
+        members = [i for i in ids if (int(i[1:]) % 4 == 0) == bool(e)]
+        members.sort(key=lambda i: (int(hashlib.md5(f"42|{i}".encode()).hexdigest(), 16) % (1 << 30), i))
+        n_train = len(members) - math.ceil(len(members) * 0.2)
+        for k, i in enumerate(members):
+            want[i] = "train" if k < n_train else "test"
+    assert got == want
