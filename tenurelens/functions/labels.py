@@ -29,10 +29,6 @@ LOW_PERFORMANCE = (3, 4)
 EVENT_ALLOWED = ("Yes", "No", "1", "0", "1.0", "0.0", "True", "False")
 EVENT_TRUE = ("Yes", "1", "1.0", "True")
 
-# FIXED VALUES — column classes of the feature matrix
-ONE_HOT_COLS = ("Gender", "MaritalStatus", "OverTime", "Department", "Project")
-LOO_COLS = ("JobRole", "EducationField")
-
 # FIXED VALUES — theme of each feature (unknown features fall to "tenure")
 THEMES = ("identity", "environment", "compensation", "sentiment", "tenure")
 THEME_EXACT = {
@@ -51,19 +47,6 @@ THEME_PREFIX = {
     "environment": ("department", "overtime", "jobrole"),
 }
 
-# FIXED VALUES — theme column lists of the warehouse (vertical split)
-THEME_COLUMNS = {
-    "identity": ("Age", "Gender", "MaritalStatus", "Education", "EducationField", "BusinessTravel"),
-    "environment": ("Department", "JobRole", "DistanceFromHome", "OverTime", "JobLevel", "Project"),
-    "compensation": ("MonthlyIncome", "PercentSalaryHike", "StockOptionLevel", "DailyRate",
-                     "HourlyRate", "MonthlyRate"),
-    "sentiment": ("EnvironmentSatisfaction", "RelationshipSatisfaction", "WorkLifeBalance",
-                  "JobInvolvement", "JobSatisfaction", "PerformanceRating", "PerformanceScore"),
-    "tenure": ("YearsAtCompany", "YearsInCurrentRole", "YearsSinceLastPromotion",
-               "YearsWithCurrManager", "TotalWorkingYears", "TrainingTimesLastYear",
-               "NumCompaniesWorked", "Attrition", "DateOfLeaving"),
-}
-
 # FIXED VALUES — scoring and graph constants
 HORIZONS_MONTHS = (1, 3, 6, 12)
 HIGH_RISK_PROBABILITY = 0.30
@@ -81,3 +64,4 @@ EXPOSURE_WINDOW_DAYS = 60
 PROJECTS_PER_DEPARTMENT = 4
 KNN_MIN, KNN_MAX, KNN_SHARE = 3, 20, 0.1
 PAY_CUT_FACTOR = 3.0
+

@@ -21,11 +21,14 @@ from pyspark.sql import functions as F
 
 from ..functions.hashing import md5_mod
 from ..functions.labels import (EDGE_WEIGHTS, EXPOSURE_DECAY, EXPOSURE_WINDOW_DAYS, MANAGER_CHUNK,
-                                ROLE_CLIQUE_MAX, ROLE_DRAWS, TENURE_DRAWS)
+                                ROLE_CLIQUE_MAX, ROLE_DRAWS, TENURE_COHORTS, TENURE_DRAWS)
 from .ranking import group_rank, hex_sub_bucket
 
 def tenure_cohort(years: Column) -> Column:
-    return (F.when(years < 2, "0-2").when(years < 5, "2-5").when(years < 10, "5-10").otherwise("10+"))
+    expr = None
+    for name, upper in TENURE_COHORTS:
+        expr = F.when(years < upper, name) if expr is None else expr.when(years < upper, name)
+    return expr.otherwise("10+")
 
 
 def node_table(cohort: DataFrame) -> DataFrame:

@@ -28,6 +28,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.labels import KNN_MAX, KNN_MIN, KNN_SHARE
 from ..session import cut_lineage
 from .similarity import distance_expr
 
@@ -46,7 +47,7 @@ EPS = 1e-9
 
 
 def _k_expr(n):
-    return F.greatest(F.lit(3), F.least(F.lit(20), F.ceil(n * 0.1))).cast("int")
+    return F.greatest(F.lit(KNN_MIN), F.least(F.lit(KNN_MAX), F.ceil(n * KNN_SHARE))).cast("int")
 
 
 def _cell(v, g):

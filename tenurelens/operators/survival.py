@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.labels import HORIZONS_MONTHS
+from ..functions.labels import HORIZONS_MONTHS, THEME_EXACT, THEME_PREFIX
 from .features import minmax_apply, minmax_fit, ordinal_encode
 
 EULER_GAMMA = 0.5772156649015329
@@ -119,16 +119,21 @@ FIXED_COEFFICIENTS = {
 # FIXED VALUES — intercept of the scoring model (shifts every multiplier so
 # that 6/12-month probabilities spread over (0, 1) on the driver's data)
 FIXED_INTERCEPT = 7.0
-# FIXED VALUES — theme of each scoring feature
-FEATURE_THEME = {
-    "age": "identity",
-    "business_travel": "identity",
-    "job_level": "environment",
-    "over_time_yes": "environment",
-    "monthly_income": "compensation",
-    "work_life_balance": "sentiment",
-    "job_satisfaction": "sentiment",
-}
+def theme_of(feature: str) -> str:
+    """Theme of a feature name by the fixed rule: exact names, then name
+    prefixes (case and underscores ignored); anything else is tenure."""
+    name = feature.lower().replace("_", "")
+    for theme, names in THEME_EXACT.items():
+        if name in names:
+            return theme
+    for theme, prefixes in THEME_PREFIX.items():
+        if any(name.startswith(pfx) for pfx in prefixes):
+            return theme
+    return "tenure"
+
+
+# theme of each scoring feature, by the fixed naming rule
+FEATURE_THEME = {f: theme_of(f) for f in FIXED_COEFFICIENTS}
 SCORE_FEATURES = tuple(FIXED_COEFFICIENTS)
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.labels import HIGH_RISK_PROBABILITY
 from ..operators.cohort import cohort
 from ..operators.survival import horizon_probabilities, nelson_aalen, score, theme_contributions
 from ..session import cut_lineage
@@ -45,5 +46,5 @@ def risk_scores_df(spark: SparkSession, sf_dir: str) -> DataFrame:
                     "contrib_compensation", "contrib_sentiment", "contrib_tenure")
 
 
-def any_horizon_high(threshold: float = 0.30):
+def any_horizon_high(threshold: float = HIGH_RISK_PROBABILITY):
     return F.greatest("prob_1m", "prob_3m", "prob_6m", "prob_12m") >= F.lit(threshold)
