@@ -18,13 +18,19 @@ Plan (all exact):
 from __future__ import annotations
 
 import math
+import sys
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+# the per-bucket function travels to the Python workers by value, so
+# executors need only numpy/pandas, not this package on their path
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 CELLS_PER_BUCKET = 20_000  # per-task arrays: cells x distinct times doubles
 MAX_BROADCAST_TIMES = 1_000_000
 

@@ -3,6 +3,7 @@ column; lines with more fields than the schema are skipped (short lines
 keep NULLs), and null tokens such as 'nan' become NULL."""
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -26,5 +27,10 @@ def lenient_csv(spark: SparkSession, path: str, schema: T.StructType, sep: str =
     full = T.StructType(list(schema.fields) + [T.StructField(corrupt, T.StringType())])
     raw = (spark.read.schema(full).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", corrupt)
            .option("header", header).option("sep", sep).csv(path))
+    # Spark refuses plans that read only the corrupt-record column (e.g. a
+    # bare count after the filter); persisting the parsed rows is its
+    # prescribed way out.  MEMORY_AND_DISK blocks are rebuilt from the file
+    # if an executor is lost.
+    raw = raw.persist(StorageLevel.MEMORY_AND_DISK)
     too_long = F.size(F.split(F.col(corrupt), sep)) > len(schema.fields)
     return raw.where(F.col(corrupt).isNull() | ~too_long).drop(corrupt)
