@@ -40,6 +40,11 @@ def text_of(df: DataFrame, col: str = "text") -> Column:
     return F.coalesce(df[col].cast("string"), F.lit(""))
 
 
+def words_of(text: Column) -> Column:
+    """The words of a text (``WORD``), split at runs of white space."""
+    return F.array_remove(F.split(text, f"{SPACE}+"), "")
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Reliable checkpoint in the shared folder of the session."""
     ensure_checkpoint_dir(df.sparkSession)

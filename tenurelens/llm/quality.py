@@ -2,8 +2,8 @@
 
 Base rules count words, symbols, repeated lines and words in repeated 8-word
 windows of the whole text.  The verdict on the rest is a likelihood ratio:
-word and punctuation unigrams and bigrams are hashed into ``BUCKETS`` cells;
-the trusted target (documents labelled of good quality and not toxic) and the
+words and the character trigrams that
+end them are hashed into ``BUCKETS`` cells; the trusted target (documents labelled of good quality and not toxic) and the
 raw corpus (every document) are two multinomials over the cells, and a text's
 score is its mean log ratio per n-gram.  ``kept`` is score >= ``THRESHOLD``,
 the same for every document.
@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .base import SPACE, WORD, let, text_of
+from .base import WORD, let, text_of, words_of
 
 WINDOW = 8
 MIN_WORDS = 20
@@ -33,18 +33,27 @@ BUCKETS = 8192
 TRUSTED_ROWS = 8192
 SMOOTHING = 1.0
 THRESHOLD = -0.35  # nats per n-gram
-TOKEN = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]+"
+ENDING = 3  # characters of a word's ending
 
 
-def repeated_words(words: Column) -> Column:
+def word_hashes(words: Column) -> Column:
+    return F.transform(words, lambda w: F.xxhash64(w))
+
+
+def window_hashes(h: Column) -> Column:
+    """Hashes of all windows of ``WINDOW`` words, given the word hashes."""
+    return F.transform(F.slice(h, 1, F.greatest(F.size(h) - (WINDOW - 1), F.lit(0))),
+                       lambda x, i: F.xxhash64(x, *[F.get(h, i + k) for k in range(1, WINDOW)]))
+
+
+def repeated_words(words: Column, windows: Column) -> Column:
     """Words covered by windows of ``WINDOW`` words found twice or more.
 
-    Windows are hashed; equal neighbours in hash order are candidates, and
-    only texts that have some compare the windows themselves, so a hash
-    collision changes nothing.
+    ``windows`` are the window hashes: a text without an equal pair of them
+    has no repeated window.  Only the others compare the windows themselves,
+    so a hash collision changes nothing.
     """
-    n = F.size(words)
-    starts = F.when(n >= WINDOW, F.sequence(F.lit(1), n - WINDOW + 1)).otherwise(F.array().cast("array<int>"))
+    starts = F.sequence(F.lit(1), F.size(words) - (WINDOW - 1))
 
     def covered(at: Column) -> Column:
         """``at``: ascending starts of repeated windows."""
@@ -58,44 +67,41 @@ def repeated_words(words: Column) -> Column:
                        | F.coalesce(same(i, i + 1), F.lit(False)))
         return let(F.array_sort(F.transform(hit, lambda p: p["s"])), covered)
 
-    window = lambda s: F.slice(words, s, WINDOW)
-    exact_pairs = F.sort_array(F.transform(starts, lambda s: F.struct(
-        F.array_join(window(s), " ").alias("w"), s.alias("s"))))
-    hashes = F.transform(starts, lambda s: F.xxhash64(window(s)))
-    repeats = let(hashes, lambda h: F.size(F.array_distinct(h)) < F.size(h))
-    return F.when(n < WINDOW, F.lit(0)).when(repeats, let(exact_pairs, exact)).otherwise(F.lit(0))
+    pairs = F.sort_array(F.transform(starts, lambda s: F.struct(
+        F.array_join(F.slice(words, s, WINDOW), " ").alias("w"), s.alias("s"))))
+    return F.when(F.size(F.array_distinct(windows)) == F.size(windows), F.lit(0)).otherwise(let(pairs, exact))
 
 
 def base_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
-    base_failed and the text."""
+    """doc_id, the base counts, base_failed, and the n-gram cells."""
     texts = docs.select(docs[id_col].alias("doc_id"), text_of(docs, text_col).alias("text"))
     lines = F.filter(F.split("text", "\n", -1), lambda x: x.rlike(WORD))
     symbols = F.length("text") - F.length(F.regexp_replace("text", r"[#*$%&|<>]", ""))
-    blanks = F.length("text") - F.length(F.regexp_replace("text", f"{SPACE}+", ""))
+
+    def measures(words: Column) -> Column:
+        return let(word_hashes(words), lambda h: F.struct(
+            F.size(words).alias("n"), F.length(F.array_join(words, "")).alias("chars"),
+            let(window_hashes(h), lambda windows: repeated_words(words, windows)).alias("repeated"),
+            F.concat(h, F.transform(words, ending)).alias("ngrams")))
+
     measured = texts.select(
-        "doc_id", "text",
-        let(F.regexp_extract_all("text", F.lit(f"({WORD})")),
-            lambda w: F.struct(F.size(w).alias("n"), repeated_words(w).alias("r"))).alias("w"),
-        (F.length("text") - blanks).alias("word_chars"), symbols.alias("n_symbols"),
+        "doc_id", let(words_of(F.col("text")), measures).alias("w"), symbols.alias("n_symbols"),
         let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).alias("n_dup_lines"))
-    counts = measured.select("doc_id", "text", F.col("w.n").cast("long").alias("n_words"),
-                             *[F.col(c).cast("long").alias(c) for c in ("word_chars", "n_symbols", "n_dup_lines")],
-                             F.col("w.r").cast("long").alias("n_repeat_words"))
+    long = lambda c, name: F.col(c).cast("long").alias(name)
+    counts = measured.select("doc_id", long("w.n", "n_words"), long("w.chars", "word_chars"),
+                             long("n_symbols", "n_symbols"), long("n_dup_lines", "n_dup_lines"),
+                             long("w.repeated", "n_repeat_words"), F.col("w.ngrams").alias("ngrams"))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PCT * F.col("n_words"))
     return counts.withColumn("base_failed", failed)
 
 
-def ngram_cells(text: Column) -> Column:
-    """Hash cells of the unigrams and bigrams of a text."""
-    tokens = F.regexp_extract_all(F.lower(text), F.lit(f"({TOKEN})"))
-    cell = lambda h: F.pmod(h, F.lit(BUCKETS)).cast("int")
-    single = lambda t: F.transform(t, lambda x: F.xxhash64(x))
-    pair = lambda h: F.concat(F.transform(h, cell),
-                              F.transform(F.arrays_zip(F.slice(h, 1, F.greatest(F.size(h) - 1, F.lit(0))).alias("a"),
-                                                       F.slice(h, 2, F.size(h)).alias("b")),
-                                          lambda p: cell(F.xxhash64(p["a"], p["b"]))))
-    return let(single(tokens), pair)
+def ending(word: Column) -> Column:
+    """Hash of the character n-gram that ends a word."""
+    return F.xxhash64(F.substring(word, -ENDING, ENDING), F.lit(ENDING))
+
+
+def cell(ngram: Column) -> Column:
+    return F.pmod(ngram, F.lit(BUCKETS)).cast("int")
 
 
 def fit_ratios(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -103,9 +109,13 @@ def fit_ratios(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text
     spark = docs.sparkSession
     chosen = (trusted.select(F.col("doc_id").alias("__t")).where("__t IS NOT NULL").distinct()
               .orderBy(F.xxhash64("__t"), "__t").limit(TRUSTED_ROWS).withColumn("good", F.lit(1)))
-    cells = (docs.join(F.broadcast(chosen), docs[id_col] == F.col("__t"), "left")  # at most TRUSTED_ROWS ids
-             .select(F.coalesce("good", F.lit(0)).alias("good"), F.explode(ngram_cells(text_of(docs, text_col))).alias("cell"))
-             .groupBy("cell").agg(F.count(F.lit(1)).alias("raw"), F.sum("good").alias("target")))
+    text = text_of(docs, text_col)
+    ngrams = (docs.select(docs[id_col].alias("__id"), text.alias("text"))
+              .join(F.broadcast(chosen), F.col("__id") == F.col("__t"), "left")  # at most TRUSTED_ROWS ids
+              .select(F.coalesce("good", F.lit(0)).alias("good"), F.explode(words_of(F.col("text"))).alias("w"))
+              .select("good", F.explode(F.array(F.xxhash64("w"), ending(F.col("w")))).alias("ngram")))
+    cells = (ngrams.groupBy(cell(F.col("ngram")).alias("cell"))
+             .agg(F.count(F.lit(1)).alias("raw"), F.sum("good").alias("target")))
     table = (spark.range(BUCKETS).select(F.col("id").cast("int").alias("cell")).join(cells, "cell", "left")
              .select("cell", F.coalesce("raw", F.lit(0)).alias("raw"), F.coalesce("target", F.lit(0)).alias("target")))
     whole = Window.partitionBy(F.lit(0))  # BUCKETS rows
@@ -119,11 +129,10 @@ def judge(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col:
     ratios = (fit_ratios(docs, trusted, id_col, text_col)
               .agg(F.sort_array(F.collect_list(F.struct("cell", "ratio"))).alias("r"))
               .select(F.transform("r", lambda x: x["ratio"]).alias("r"))).scalar()
-    score = let(ngram_cells(F.col("text")), lambda cells: F.when(
-        F.size(cells) > 0, F.aggregate(cells, F.lit(0.0), lambda a, c: a + F.get("ratios", c)) / F.size(cells))
-        .otherwise(F.lit(0.0)))
+    total = F.aggregate("ngrams", F.lit(0.0), lambda a, h: a + F.get("ratios", cell(h)))
+    score = F.when(F.size("ngrams") > 0, total / F.size("ngrams")).otherwise(F.lit(0.0))
     return (base_counts(docs, id_col, text_col).withColumn("ratios", ratios)
-            .withColumn("score", score).drop("text", "ratios")
+            .withColumn("score", score).drop("ngrams", "ratios")
             .withColumn("kept", ~F.col("base_failed") & (F.col("score") >= THRESHOLD)))
 
 

@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from ..sources.tables import scan
 from . import exact_dedup, mixing, quality, sharding
-from .base import query
+from .base import ORACLE, QUERIES, query
+
+__all__ = ["QUERIES", "ORACLE"]
 
 
 def documents(spark, sf_dir) -> DataFrame:
