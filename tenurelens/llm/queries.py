@@ -1,11 +1,15 @@
 """Registered queries of the training-data operators, with their SQL."""
 from __future__ import annotations
 
+import uuid
+
+import public_tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import ensure_checkpoint_dir
 from ..sources.tables import scan
-from . import exact_dedup, mixing, quality, sharding
+from . import exact_dedup, mixing, packing, quality, sharding, warc
 from .base import ORACLE, QUERIES, query
 
 __all__ = ["QUERIES", "ORACLE"]
@@ -24,6 +28,13 @@ def op1(spark, sf_dir):
     return quality.judge(documents(spark, sf_dir), trusted_ids(spark, sf_dir))
 
 
+@query("op3_warc")
+def op3(spark, sf_dir):
+    folder = f"{ensure_checkpoint_dir(spark)}/warc-{uuid.uuid4().hex}"
+    manifest = warc.write_archives(scan(spark, sf_dir, "pages"), folder)
+    return warc.read_archives(manifest).drop("target_uri")
+
+
 SHARDS = 40
 
 
@@ -74,3 +85,8 @@ def op9(spark, sf_dir):
     mixed = mixing.mix(documents(spark, sf_dir))
     return mixed.select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), "taken",
                         F.round("position", 9).alias("position"))
+
+
+@query("op8_best_fit_packing")
+def op8(spark, sf_dir):
+    return packing.pack(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
