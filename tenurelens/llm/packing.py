@@ -27,6 +27,7 @@ import functools
 import os
 import re
 import zlib
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 
@@ -40,21 +41,30 @@ from .base import cut
 
 CAPACITY = 2048
 END_ID = 0
-MEMO_UNITS = 600_000  # words whose ids a worker remembers; beyond it starts anew
+MEMO_UNITS = 800_000  # words whose ids a worker remembers; beyond it starts anew
 PIECE = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()),
                    ("ids_crc32", pa.int64()), ("part", pa.int32()), ("place", pa.int64())])
 
-# A space before anything but white space always begins a token, so texts may
-# be cut there; texts where a space stands before white space are not cut.
-_UNSAFE = re.compile(r" (?:\s|\Z)")
+# A space or line end before anything but white space always begins a token,
+# so texts may be cut there; other texts go to the tokenizer whole.
+_UNSAFE = re.compile(r"[ \n](?:\s|\Z)|\s\n")
+_PUNCTUATION = ".,;:!?"  # a run of these after letters is a token's worth of text
+
+
+
+def _byte_letters() -> dict[int, str]:
+    """The printable letter that byte-level BPE writes for each byte."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    other = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(0x100 + i) for i, b in enumerate(other)}
 
 
 class Encoder:
     """Ids of whole texts as little-endian 32-bit bytes.
 
-    Equal words have equal ids, so each distinct word of a batch goes through
-    the tokenizer once.  Unknown words are sent as one text, and cut again at
-    the ids whose tokens begin with a space.
+    Equal words have equal ids, so each distinct word goes through the
+    tokenizer once as long as the worker remembers it.  Words of plain letters
+    go to its model at once, any other through its whole pipeline.
     """
 
     def __init__(self, path: str):
@@ -62,36 +72,52 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their names in a text are plain text
-        size = self.tokenizer.get_vocab_size(with_added_tokens=True)
-        self.spaced = np.array([(self.tokenizer.id_to_token(i) or "").startswith("Ġ") for i in range(size)])
+        self.model, self.letters = self.tokenizer.model, _byte_letters()
         self.memo: dict[str, bytes] = {}
-
-    def ids(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4")
-
-    def _learn(self, words: list[str]) -> None:
-        for at in range(0, len(words), 512):
-            some = words[at:at + 512]
-            ids = self.ids(" " + " ".join(some))
-            starts = np.flatnonzero(self.spaced[ids]).tolist()
-            if len(starts) != len(some):
-                raise ValueError("the tokenizer does not start words at spaces")
-            data, ends = ids.tobytes(), [*starts[1:], len(ids)]
-            for word, a, b in zip(some, starts, ends, strict=True):
-                self.memo[word] = data[4 * a:4 * b]
+        self.rest: dict[str, bytes] = {"": b""}
+
+    def ids(self, text: str) -> bytes:
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def _learn(self, words: set[str]) -> None:
+        """Ids of words as they stand after a space, or after the line end
+        that they begin with."""
+        memo, rest, tails, plain = self.memo, self.rest, {}, []
+        for word in words:
+            core = word.rstrip(_PUNCTUATION)
+            letters = core[1:] if core[:1] == "\n" else core
+            if letters.isalpha() and max(letters) < "\u0250":
+                tails[word] = core, word[len(core):]
+                if core not in memo:
+                    plain.append(core)
+            else:
+                memo[word] = self.ids(word if word[:1] == "\n" else " " + word)
+        cores = list(dict.fromkeys(plain))
+        spelled = " ".join(c[1:] if c[:1] == "\n" else c for c in cores).encode().decode("latin-1")
+        line, space = self.ids("\n"), chr(0x120)
+        for core, text in zip(cores, spelled.translate(self.letters).split(space) if cores else (), strict=True):
+            if core[:1] == "\n":
+                memo[core] = line + array("I", [t.id for t in self.model.tokenize(text)]).tobytes()
+            else:
+                memo[core] = array("I", [t.id for t in self.model.tokenize(space + text)]).tobytes()
+        for word, (core, tail) in tails.items():
+            if tail not in rest:
+                rest[tail] = self.ids(tail)
+            memo[word] = memo[core] + rest[tail]
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
-        for at in range(0, len(texts), 256):
-            block = [None if _UNSAFE.search(t) else t.split(" ") for t in texts[at:at + 256]]
-            if len(self.memo) > MEMO_UNITS:
-                self.memo.clear()
-            self._learn(sorted({w for words in block if words for w in words[1:]}.difference(self.memo)))
-            for text, words in zip(texts[at:at + 256], block, strict=True):
-                if words is None:
-                    yield self.ids(text).tobytes()
-                else:
-                    yield b"".join([self.ids(words[0]).tobytes() if words[0] else b"",
-                                    *map(self.memo.__getitem__, words[1:])])
+        memo = self.memo
+        for text in texts:
+            if _UNSAFE.search(text):
+                yield self.ids(text)
+                continue
+            if len(memo) > MEMO_UNITS:
+                memo.clear()
+            first, *words = text.replace("\n", " \n").split(" ")
+            unknown = set(words).difference(memo)
+            if unknown:
+                self._learn(unknown)
+            yield b"".join([self.ids(first) if first else b"", *map(memo.__getitem__, words)])
 
 
 @functools.lru_cache(maxsize=1)

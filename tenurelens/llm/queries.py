@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir
 from ..sources.tables import scan
-from . import exact_dedup, mixing, packing, quality, sharding, warc
+from . import exact_dedup, mixing, near_dedup, packing, quality, sharding, warc
 from .base import ORACLE, QUERIES, query
 
 __all__ = ["QUERIES", "ORACLE"]
@@ -87,6 +87,11 @@ def op9(spark, sf_dir):
                         F.round("position", 9).alias("position"))
 
 
+@query("op7_minhash_near_dedup")
+def op7(spark, sf_dir):
+    return near_dedup.near_duplicates(documents(spark, sf_dir))
+
+
 @query("op8_best_fit_packing")
 def op8(spark, sf_dir):
     return packing.pack(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
