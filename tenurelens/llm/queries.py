@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir
 from ..sources.tables import scan
-from . import exact_dedup, mixing, near_dedup, packing, quality, sharding, warc
+from . import exact_dedup, language_id, mixing, near_dedup, packing, quality, sharding, warc
 from .base import ORACLE, QUERIES, query
 
 __all__ = ["QUERIES", "ORACLE"]
@@ -95,3 +95,8 @@ def op7(spark, sf_dir):
 @query("op8_best_fit_packing")
 def op8(spark, sf_dir):
     return packing.pack(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@query("op10_language_id")
+def op10(spark, sf_dir):
+    return language_id.identify(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
