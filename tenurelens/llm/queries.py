@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir
 from ..sources.tables import scan
-from . import exact_dedup, language_id, mixing, near_dedup, packing, quality, sharding, warc
+from . import exact_dedup, language_id, mixing, near_dedup, packing, quality, secrets, sharding, warc
 from .base import ORACLE, QUERIES, query
 
 __all__ = ["QUERIES", "ORACLE"]
@@ -28,6 +28,11 @@ def op1(spark, sf_dir):
     return quality.judge(documents(spark, sf_dir), trusted_ids(spark, sf_dir))
 
 
+@query("op2_secret_scans")
+def op2(spark, sf_dir):
+    return secrets.scan_secrets(documents(spark, sf_dir))
+
+
 @query("op3_warc")
 def op3(spark, sf_dir):
     folder = f"{ensure_checkpoint_dir(spark)}/warc-{uuid.uuid4().hex}"
