@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir
 from ..sources.tables import scan
-from . import exact_dedup, language_id, mixing, near_dedup, packing, quality, secrets, sharding, warc
+from . import exact_dedup, language_id, mixing, near_dedup, packing, quality, repeated_bytes, secrets, sharding, warc
 from .base import ORACLE, QUERIES, query
 
 __all__ = ["QUERIES", "ORACLE"]
@@ -48,6 +48,11 @@ def op4(spark, sf_dir):
     return sharding.shard_documents(documents(spark, sf_dir), SHARDS)
 
 
+@query("op5_suffix_array_dedup")
+def op5(spark, sf_dir):
+    return repeated_bytes.remove_repeats(documents(spark, sf_dir))
+
+
 @query("op6_exact_dedup", r"""
 WITH n AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents),
 g AS (SELECT t, min(doc_id) AS keep_id, count(*) AS group_size FROM n GROUP BY t)
