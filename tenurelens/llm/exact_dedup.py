@@ -24,20 +24,26 @@ def normalised(text: Column) -> Column:
     return F.regexp_replace(text, f"{SPACE}+", " ")
 
 
-def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: doc_id, keep_id, group_size, kept, text_sha256."""
-    texts = docs.select(docs[id_col].alias("doc_id"), normalised(text_of(docs, text_col)).alias("norm"))
-    hashed = texts.select("doc_id", "norm", F.unhex(F.md5("norm")).alias("hash128"))
+def grouped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per input row: __row (the whole input row), doc_id, keep_id,
+    group_size, kept, text_sha256."""
+    texts = docs.select(docs[id_col].alias("doc_id"), normalised(text_of(docs, text_col)).alias("norm"),
+                        F.struct(*[docs[c] for c in docs.columns]).alias("__row"))
+    hashed = texts.select("doc_id", "__row", "norm", F.unhex(F.md5("norm")).alias("hash128"))
     groups = (hashed.groupBy("hash128", "norm")
               .agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
               .select("hash128", F.sha2("norm", 256).alias("text_sha256"), "keep_id", "group_size"))
-    rows = hashed.select("doc_id", "hash128", F.sha2("norm", 256).alias("text_sha256"))
+    rows = hashed.select("doc_id", "__row", "hash128", F.sha2("norm", 256).alias("text_sha256"))
     return (rows.join(groups, ["hash128", "text_sha256"])
-            .select("doc_id", "keep_id", "group_size",
+            .select("__row", "doc_id", "keep_id", "group_size",
                     F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256"))
 
 
+def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per input row: doc_id, keep_id, group_size, kept, text_sha256."""
+    return grouped(docs, id_col, text_col).drop("__row")
+
+
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns."""
-    kept = exact_groups(docs, id_col, text_col).where("kept").select(F.col("doc_id").alias("__keep")).distinct()
-    return docs.join(kept, docs[id_col].eqNullSafe(kept["__keep"]), "left_semi")
+    return grouped(docs, id_col, text_col).where("kept").select("__row.*")

@@ -90,10 +90,11 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
 def take_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """The rows of ``docs`` as often as the mix takes them, by position; a
-    document that is cut counts if at least half of it is taken."""
+    document that is cut counts if at least half of it is taken.  Rows repeated
+    under an id, or without one, are taken alike."""
     copies = F.floor((2 * F.col("taken") + F.col("size")) / (2 * F.col("size"))).cast("int")
     taken = (mix(docs, id_col, text_col, source_col).where("taken > 0")
-             .groupBy(F.col("doc_id").alias("__id"))  # rows repeated under an id are taken as one
+             .groupBy(F.col("doc_id").alias("__id"))
              .agg(F.max(copies).alias("__copies"), F.min("position").alias("__position")).where("__copies > 0"))
     rows = docs.join(taken, docs[id_col].eqNullSafe(taken["__id"]))
     return (rows.withColumn("__copy", F.explode(F.sequence(F.lit(1), "__copies")))

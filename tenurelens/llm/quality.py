@@ -73,8 +73,10 @@ def repeated_words(words: Column, windows: Column) -> Column:
 
 
 def base_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, the base counts, base_failed, and the n-gram cells."""
-    texts = docs.select(docs[id_col].alias("doc_id"), text_of(docs, text_col).alias("text"))
+    """doc_id, the base counts, base_failed, the hashed n-grams, and the whole
+    input row as the struct __row."""
+    texts = docs.select(docs[id_col].alias("doc_id"), text_of(docs, text_col).alias("text"),
+                        F.struct(*[docs[c] for c in docs.columns]).alias("__row"))
     lines = F.filter(F.split("text", "\n", -1), lambda x: x.rlike(WORD))
     symbols = F.length("text") - F.length(F.regexp_replace("text", r"[#*$%&|<>]", ""))
 
@@ -85,10 +87,10 @@ def base_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             F.concat(h, F.transform(words, ending)).alias("ngrams")))
 
     measured = texts.select(
-        "doc_id", let(words_of(F.col("text")), measures).alias("w"), symbols.alias("n_symbols"),
+        "doc_id", "__row", let(words_of(F.col("text")), measures).alias("w"), symbols.alias("n_symbols"),
         let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).alias("n_dup_lines"))
     long = lambda c, name: F.col(c).cast("long").alias(name)
-    counts = measured.select("doc_id", long("w.n", "n_words"), long("w.chars", "word_chars"),
+    counts = measured.select("doc_id", "__row", long("w.n", "n_words"), long("w.chars", "word_chars"),
                              long("n_symbols", "n_symbols"), long("n_dup_lines", "n_dup_lines"),
                              long("w.repeated", "n_repeat_words"), F.col("w.ngrams").alias("ngrams"))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PCT * F.col("n_words"))
@@ -124,8 +126,8 @@ def fit_ratios(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text
                         .otherwise(F.lit(0.0)).alias("ratio"))
 
 
-def judge(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: base counts, base_failed, score, kept."""
+def judged(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per document: __row, base counts, base_failed, score, kept."""
     ratios = (fit_ratios(docs, trusted, id_col, text_col)
               .agg(F.sort_array(F.collect_list(F.struct("cell", "ratio"))).alias("r"))
               .select(F.transform("r", lambda x: x["ratio"]).alias("r"))).scalar()
@@ -136,7 +138,11 @@ def judge(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col:
             .withColumn("kept", ~F.col("base_failed") & (F.col("score") >= THRESHOLD)))
 
 
+def judge(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per document: base counts, base_failed, score, kept."""
+    return judged(docs, trusted, id_col, text_col).drop("__row")
+
+
 def drop_rejected(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that the rules keep, with all their columns."""
-    kept = judge(docs, trusted, id_col, text_col).where("kept").select(F.col("doc_id").alias("__keep")).distinct()
-    return docs.join(kept, docs[id_col].eqNullSafe(kept["__keep"]), "left_semi")
+    return judged(docs, trusted, id_col, text_col).where("kept").select("__row.*")

@@ -84,7 +84,7 @@ def test_secret_battery_finds_random_keys(spark):
     rnd = random.Random(5)
     keys = string.ascii_letters + string.digits
     plain = ["chapter-12-of-the-long-name-with-words", "aaaaaaaaaaaaaaaaaaaaaaaaa1", "9807915762804490",
-             "the-house-of-the-rising-sun-in-new-orleans-1964-and-after", "0101010101010101010101010101010a"]
+             "the-house-of-the-rising-sun-in-new-orleans-1964-and-after", "010101010101010101010101010a"]
     rows = [(i, f"see {''.join(rnd.choice(keys) for _ in range(40))}7x and {plain[i % len(plain)]} here")
             for i in range(200)]
     texts, hits, wrong = dict(rows), 0, 0
