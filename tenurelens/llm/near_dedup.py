@@ -41,6 +41,8 @@ SYMBOLS = 100
 BITS = 16
 DISTANCE = 39  # symbols that may differ
 RADIUS = 1  # errors allowed in a chunk
+BLOCK = 4096  # members of a bucket that are compared in one task
+PAIRS = 1 << 17  # pairs of members that are compared at a time
 BLOCK_BYTES = 1 << 20  # text that is hashed at a time
 BROADCAST_IDS = 500_000  # id lists up to this many are broadcast, longer ones are joined by shuffle
 
@@ -182,6 +184,69 @@ def near_signatures(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return joined.mapInArrow(run, "a long, b long")
 
 
+def across_components(members: DataFrame, classes: DataFrame) -> DataFrame:
+    """The pairs (a, b) of ``members`` (key, id, component) that share a key,
+    lie within the distance, and belong to different components.
+
+    The members of a bucket are compared by arrays of signatures, ``BLOCK`` of
+    them at a time; larger buckets are cut into blocks and every two blocks
+    meet in a task of their own.  Only pairs within the distance come out, and
+    each of them from the smallest key that its two signatures share."""
+    blocks = members.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
+    own = F.pmod(F.xxhash64("id"), F.col("blocks"))
+    met = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
+    placed = (members.join(blocks, "key").withColumn("own", own).withColumn("other", met)
+              .select("key", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "id",
+                      "component").join(classes, "id"))
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def pairs_of(bucket: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """All i < j with equal ``bucket`` (ascending), ``PAIRS`` at a time."""
+        n = len(bucket)
+        later = np.searchsorted(bucket, bucket, side="right") - np.arange(n) - 1
+        upto = np.concatenate(([0], np.cumsum(later)))
+        at = 0
+        while at < n:
+            end = max(at + 1, int(np.searchsorted(upto, upto[at] + PAIRS, side="right")) - 1)
+            i = np.repeat(np.arange(at, end), later[at:end])
+            yield i, i + 1 + np.arange(len(i)) - np.repeat(upto[at:end] - upto[at], later[at:end])
+            at = end
+
+    def compare(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        key, x, y, own, ids, part, sizes = (table[i].to_numpy() for i in range(7))
+        sigs = np.frombuffer(b"".join(table[7].to_pylist()), dtype=np.uint16).reshape(-1, SYMBOLS)
+        new = np.concatenate(([False], (key[1:] != key[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1])))
+        for i, j in pairs_of(np.cumsum(new)):
+            use = part[i] != part[j]
+            i, j = i[use], j[use]
+            small, large = np.minimum(sizes[i], sizes[j]), np.maximum(sizes[i], sizes[j])
+            use = (100 * small >= SIMILARITY_PCT * large) & ((x[i] == y[i]) | (own[i] != own[j]))
+            i, j = i[use], j[use]
+            use = (sigs[i] != sigs[j]).sum(axis=1) <= DISTANCE
+            i, j = i[use], j[use]
+            if len(i):
+                mine, theirs = chunk_keys(sigs[i]).astype(np.int64), chunk_keys(sigs[j]).astype(np.int64)
+                first = np.where(mine == theirs, theirs, np.iinfo(np.int64).max).min(axis=1) == key[i]
+                a, b = ids[i[first]], ids[j[first]]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], schema=schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:  # whole buckets at a time
+            last = np.flatnonzero(np.diff(batch["key"].to_numpy()))
+            cut_at = int(last[-1]) + 1 if len(last) else 0
+            if cut_at:
+                yield from compare(pa.Table.from_batches([*held, batch.slice(0, cut_at)]))
+                held = []
+            held.append(batch.slice(cut_at))
+        if held:
+            yield from compare(pa.Table.from_batches(held))
+
+    order = ["key", "x", "y"]
+    return (placed.select(*order, "own", "id", "component", "n_shingles", "signature")
+            .repartition(*order).sortWithinPartitions(*order).mapInArrow(run, "a long, b long"))
+
+
 def confirm(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """The pairs (a, b) whose full sets are similar enough."""
     wanted = cut(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
@@ -238,7 +303,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     named = found.where("doc_id IS NOT NULL")
     first = named.where("set_key IS NOT NULL").groupBy("set_key").agg(F.min("doc_id").alias("id"))
     members = found.join(first, "set_key", "left")
-    classes = cut(members.where("doc_id = id").select("id", "signature").dropDuplicates(["id"]))
+    classes = cut(members.where("doc_id = id").select("id", "n_shingles", "signature").dropDuplicates(["id"]))
 
     keys = bucket_keys(classes)
     buckets = keys.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high")
@@ -254,10 +319,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     open_keys = (placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"))
                  .where("x < y").select("key"))
     rest = cut(placed.join(open_keys, "key"))
-    across = (rest.select("key", F.col("id").alias("a"), F.col("component").alias("ca"))
-              .join(rest.select("key", F.col("id").alias("b"), F.col("component").alias("cb")), "key")
-              .where("ca != cb AND a < b").select("a", "b").distinct().join(tested, ["a", "b"], "left_anti"))
-    more = cut(confirm(cut(near_signatures(across, classes)), docs))
+    more = cut(confirm(cut(across_components(rest, classes)), docs))
     if not more.isEmpty():
         labels = components(links.union(more))
 

@@ -23,7 +23,6 @@ empty table gives an empty result.
 """
 from __future__ import annotations
 
-import functools
 import os
 import re
 import zlib
@@ -41,7 +40,7 @@ from .base import cut
 
 CAPACITY = 2048
 END_ID = 0
-MEMO_UNITS = 800_000  # words whose ids a worker remembers; beyond it starts anew
+MEMO_UNITS = 800_000  # words whose ids a task remembers; beyond it starts anew
 PIECE = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()),
                    ("ids_crc32", pa.int64()), ("part", pa.int32()), ("place", pa.int64())])
 
@@ -63,7 +62,7 @@ class Encoder:
     """Ids of whole texts as little-endian 32-bit bytes.
 
     Equal words have equal ids, so each distinct word goes through the
-    tokenizer once as long as the worker remembers it.  Words of plain letters
+    tokenizer once as long as the task remembers it.  Words of plain letters
     go to its model at once, any other through its whole pipeline.
     """
 
@@ -120,11 +119,6 @@ class Encoder:
             yield b"".join([self.ids(first) if first else b"", *map(memo.__getitem__, words)])
 
 
-@functools.lru_cache(maxsize=1)
-def encoder(path: str) -> Encoder:
-    return Encoder(path)
-
-
 def cut_lengths(total: int, capacity: int = CAPACITY) -> list[int]:
     """Lengths of a document's pieces; only the first may be shorter."""
     full, rest = divmod(total, capacity)
@@ -138,7 +132,7 @@ def tokenise(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col:
     end = np.array([END_ID], dtype="<u4").tobytes()
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, seen, enc = TaskContext.get().partitionId(), Counter(), encoder(tokenizer)
+        part, seen, enc = TaskContext.get().partitionId(), Counter(), Encoder(tokenizer)
         for batch in batches:
             columns: list[list] = [[] for _ in PIECE]
             for doc_id, data in zip(batch["doc_id"].to_pylist(), enc.encode(batch["text"].to_pylist()), strict=True):
