@@ -56,7 +56,6 @@ GRAPH_RISK_BANDS = (("critical", 75.0), ("high", 50.0), ("medium", 25.0))  # str
 TENURE_COHORTS = (("0-2", 2), ("2-5", 5), ("5-10", 10))  # else "10+"
 EDGE_WEIGHTS = {"SAME_MANAGER": 1.0, "SAME_ROLE_DEPT": 0.6, "SAME_TENURE_COHORT": 0.4}
 MANAGER_CHUNK = 8
-ROLE_CLIQUE_MAX = 100
 ROLE_DRAWS = 5
 TENURE_DRAWS = 3
 EXPOSURE_DECAY = 0.1

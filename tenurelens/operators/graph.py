@@ -5,8 +5,7 @@ Edges are produced by equi-joins on small keys only:
 * same manager: members of a (department, role, level) group ranked by md5,
   cut into chunks of 8; a self-join on (group, chunk) gives the clique of
   each chunk — at most 56 ordered pairs per chunk, whatever the group size;
-* same role: groups of at most 100 members get their clique (bounded by
-  100·99 pairs per group); larger groups get 5 hash draws per member,
+* same role: 5 hash draws per member whatever the size of the group,
   resolved by an index join (member #k of the group), so cost is
   O(members · draws), never quadratic;
 * same tenure: 3 hash draws per member, same index join.
@@ -21,7 +20,7 @@ from pyspark.sql import functions as F
 
 from ..functions.hashing import md5_mod
 from ..functions.labels import (EDGE_WEIGHTS, EXPOSURE_DECAY, EXPOSURE_WINDOW_DAYS, MANAGER_CHUNK,
-                                ROLE_CLIQUE_MAX, ROLE_DRAWS, TENURE_COHORTS, TENURE_DRAWS)
+                                ROLE_DRAWS, TENURE_COHORTS, TENURE_DRAWS)
 from .ranking import group_rank, hex_sub_bucket
 
 def tenure_cohort(years: Column) -> Column:
@@ -74,12 +73,7 @@ def _draw_edges(ranked: DataFrame, group: list[str], draws: int, tag: str) -> Da
 def same_role_edges(nodes: DataFrame) -> DataFrame:
     g = ["department", "job_role"]
     r = _ranked(nodes.select("id", *g), g)
-    small = r.where(F.col("group_size") <= ROLE_CLIQUE_MAX)
-    a = small.select(*g, F.col("id").alias("src"))
-    b = small.select(*g, F.col("id").alias("dst"))
-    clique = a.join(b, g).where(F.col("src") != F.col("dst")).select("src", "dst")
-    drawn = _draw_edges(r.where(F.col("group_size") > ROLE_CLIQUE_MAX), g, ROLE_DRAWS, "role")
-    return _edges(clique.unionByName(drawn), "SAME_ROLE_DEPT")
+    return _edges(_draw_edges(r, g, ROLE_DRAWS, "role"), "SAME_ROLE_DEPT")
 
 
 def same_tenure_edges(nodes: DataFrame) -> DataFrame:
@@ -96,9 +90,9 @@ def all_edges(nodes: DataFrame) -> DataFrame:
 def undirected(edges: DataFrame) -> DataFrame:
     """Stored edges in both directions, as a pattern match without direction
     sees them (an edge stored both ways is seen twice)."""
-    fwd = edges.select(F.col("src").alias("node"), F.col("dst").alias("peer"), "weight", "type")
-    rev = edges.select(F.col("dst").alias("node"), F.col("src").alias("peer"), "weight", "type")
-    return fwd.unionByName(rev)
+    ends = F.array(F.struct(F.col("src").alias("node"), F.col("dst").alias("peer")),
+                   F.struct(F.col("dst").alias("node"), F.col("src").alias("peer")))
+    return edges.select("weight", "type", F.explode(ends).alias("e")).select("e.node", "e.peer", "weight", "type")
 
 
 def exposure_contributions(edges: DataFrame, nodes: DataFrame, as_of: str) -> DataFrame:
@@ -120,7 +114,8 @@ def exposure_scores(contrib: DataFrame) -> DataFrame:
 def exposure_curve(contrib: DataFrame) -> DataFrame:
     """61 daily points (day 0 = as-of, back to -60) per node with peers:
     sum of weight · exp(-0.1 · (days - d)) over exits already past at -d."""
-    pts = contrib.select("node", "weight", "days", F.explode(F.sequence(F.lit(0), F.lit(EXPOSURE_WINDOW_DAYS)))
+    by_day = contrib.groupBy("node", "days").agg(F.sum("weight").alias("weight"))  # at most 61 rows a node
+    pts = by_day.select("node", "weight", "days", F.explode(F.sequence(F.lit(0), F.lit(EXPOSURE_WINDOW_DAYS)))
                          .alias("d"))
     val = F.when(F.col("days") - F.col("d") >= 0,
                  F.col("weight") * F.exp(F.lit(-EXPOSURE_DECAY) * (F.col("days") - F.col("d")))).otherwise(0.0)
@@ -172,19 +167,21 @@ def org_hierarchy(cohort: DataFrame) -> DataFrame:
     return root.unionByName(heads).unionByName(e)
 
 
-def tree_depths(tree: DataFrame, max_depth: int = 7) -> DataFrame:
-    """Depth of every node by frontier expansion from the root: one equi-join
-    per level.  Managers always sit on a strictly higher job level, so the
-    tree is at most 7 deep (root, heads, five levels); nodes deeper than
-    ``max_depth`` get no row."""
+def tree_depths(tree: DataFrame) -> DataFrame:
+    """Depth of every node by frontier expansion from the root, one equi-join
+    per level until no node is left.  Each level is materialised and taken
+    from the rest, so no level repeats the joins of earlier ones.  Nodes that
+    no path from the root reaches (a cycle, an unknown manager) are an error."""
     from ..session import cut_lineage
-    tree = cut_lineage(tree.select("id", "manager_id"))  # read once per level below
+    tree = cut_lineage(tree.select("id", "manager_id"))
     level = tree.where(F.col("manager_id") == "").select("id", F.lit(0).alias("depth"))
-    out = level
-    rest = tree.where(F.col("manager_id") != "").select("id", "manager_id")
-    for dpt in range(1, max_depth + 1):
-        nxt = rest.join(level.select(F.col("id").alias("manager_id")), "manager_id").select(
-            "id", F.lit(dpt).alias("depth"))
-        out = out.unionByName(nxt)
-        level = nxt
+    out, rest, depth = level, tree.where(F.col("manager_id") != ""), 0
+    while not rest.isEmpty():
+        depth += 1
+        bosses = level.select(F.col("id").alias("manager_id"))
+        level = cut_lineage(rest.join(bosses, "manager_id").select("id", F.lit(depth).alias("depth")))
+        if level.isEmpty():
+            raise ValueError("the reporting lines hold a cycle or an unknown manager")
+        out = out.unionByName(level)
+        rest = cut_lineage(rest.join(bosses, "manager_id", "left_anti"))
     return out

@@ -42,7 +42,6 @@ REGIONS = (
     ("q_g", ("gender",), 4),
     ("q_d", (), 5),
 )
-MAX_ROUNDS = 12
 EPS = 1e-9
 
 
@@ -54,7 +53,7 @@ def _cell(v, g):
     return F.least(F.floor(v * g).cast("int"), (g - 1).cast("int"))
 
 
-def knn(att: DataFrame, max_rounds: int = MAX_ROUNDS, stats: list | None = None) -> DataFrame:
+def knn(att: DataFrame, stats: list | None = None) -> DataFrame:
     """``att``: id, department, manager_id, project, gender, tier, age_norm,
     risk_norm.  Returns (a, b, distance, rank) for the k nearest b of every a
     in its department (ties by b's id), k = max(3, min(20, ceil(0.1 n)))."""
@@ -79,7 +78,7 @@ def knn(att: DataFrame, max_rounds: int = MAX_ROUNDS, stats: list | None = None)
     done = None
     members = base.select("id", "department", "manager_id", "project", "gender", "tier", "age_norm", "risk_norm",
                           *[c for n, _, _ in REGIONS for c in (f"{n}_ci", f"{n}_cj")])
-    for _ in range(max_rounds):
+    while True:  # radii of uncertified nodes grow every round, up to the whole grid
         q = state.join(base.drop("_k"), ["id", "department"])
         cands = None
         for name, keys, _ in REGIONS:
@@ -141,8 +140,6 @@ def knn(att: DataFrame, max_rounds: int = MAX_ROUNDS, stats: list | None = None)
                 .otherwise(R)
             upd[f"{name}_R"] = grow.cast("int")
         state = cut_lineage(rest.withColumns(upd).select("id", "department", "_k", *[f"{n}_R" for n, _, _ in REGIONS]))
-    else:
-        raise RuntimeError("kNN search did not converge")
     return done.select("a", "b", "distance", "rank")
 
 

@@ -106,9 +106,10 @@ def page(sorted_df: DataFrame, page_no: int, limit: int) -> DataFrame:
     return sorted_df.offset((page_no - 1) * limit).limit(limit)
 
 
-def exited_peers(nodes: DataFrame, n: int = 10) -> DataFrame:
+def exited_peers(nodes: DataFrame, n: int | None = None) -> DataFrame:
     """Exited rows whose exit date parses, newest first (unparseable dates
-    are skipped, not errors)."""
+    are skipped, not errors); ``n`` keeps the first page only."""
     ok = F.try_to_timestamp(F.col("exit_date"), F.lit("yyyy-MM-dd")).isNotNull()
     x = nodes.where(~F.col("is_active") & (F.col("exit_date") != "") & ok)
-    return x.orderBy(F.col("exit_date").desc(), "id").limit(n).select("id", "job_role", "exit_date")
+    x = x.orderBy(F.col("exit_date").desc(), "id").select("id", "job_role", "exit_date")
+    return x if n is None else x.limit(n)

@@ -44,6 +44,7 @@ def whatif(cohort: DataFrame, overrides: DataFrame, exposure: DataFrame | None =
     scored = score(mod, fit=cohort)
     probs = horizon_probabilities(scored, nelson_aalen(cohort), extra_multiplier=1.0 + F.col("exposure"))
     pen = pay_cut_multiplier(F.col("old_income"), F.col("monthly_income"))
-    outs = {f"prob_{h}m": F.least(F.col(f"prob_{h}m") * pen, F.lit(0.999)) for h in HORIZONS_MONTHS}
-    outs["general_risk_score"] = F.least(F.col("general_risk_score") * pen, F.lit(100.0))
+    cut = lambda c, most: F.when(pen > 1, F.least(F.col(c) * pen, F.lit(most))).otherwise(F.col(c))
+    outs = {f"prob_{h}m": cut(f"prob_{h}m", 0.999) for h in HORIZONS_MONTHS}
+    outs["general_risk_score"] = cut("general_risk_score", 100.0)
     return probs.withColumns(outs)

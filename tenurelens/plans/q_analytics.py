@@ -39,19 +39,24 @@ CTES["sc_test"] = "SELECT * FROM sc_split WHERE split = 'test'"
 
 @query("concordance_gap", with_ctes(f"""
 SELECT round(tr.c_index, 9) AS c_train, round(te.c_index, 9) AS c_test,
-       round(tr.c_index - te.c_index, 9) AS gap, tr.c_index - te.c_index > 0.05 AS overfit_flag
+       round(abs(tr.c_index - te.c_index), 9) AS gap, abs(tr.c_index - te.c_index) > 0.05 AS overfit_flag
 FROM ({_CONC.format(src="sc_train")}) tr, ({_CONC.format(src="sc_test")}) te"""))
 def q_concordance_gap(spark, d):
-    """Train / test concordance and the generalisation gap (> 0.05 flagged)."""
+    """Train / test concordance and their gap, of either sign (> 0.05 flagged)."""
     from ..session import cut_lineage
     s = cut_lineage(score(split_df(spark, d)).select("split", "years_at_company", "attrition", "margin"))
     tr = concordance(s.where("split = 'train'"), "years_at_company", "attrition", "margin")
     te = concordance(s.where("split = 'test'"), "years_at_company", "attrition", "margin")
     ct, cs = tr.select("c_index").scalar(), te.select("c_index").scalar()
     out = spark.range(1).select(ct.alias("c_train"), cs.alias("c_test"))
-    return out.select(r("c_train").alias("c_train"), r("c_test").alias("c_test"),
-                      r(F.col("c_train") - F.col("c_test")).alias("gap"),
-                      (F.col("c_train") - F.col("c_test") > 0.05).alias("overfit_flag"))
+    return concordance_gap(out).select(r("c_train").alias("c_train"), r("c_test").alias("c_test"), r("gap").alias("gap"),
+                                       "overfit_flag")
+
+
+def concordance_gap(df):
+    """``df``: c_train, c_test.  Adds the absolute gap and its flag."""
+    gap = F.abs(F.col("c_train") - F.col("c_test"))
+    return df.withColumns({"gap": gap, "overfit_flag": gap > 0.05})
 
 
 # ---------------------------------------------------------------------------

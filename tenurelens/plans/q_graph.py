@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.hashing import md5_prefix_int
 from ..functions.labels import GRAPH_RISK_BANDS, RISK_BANDS
 from ..operators import graph
 from ..operators.attributes import exposure_fallback, slug
@@ -38,12 +37,7 @@ _ROLE_IDX = md5_mod_sql("(d.id || '|role|' || CAST(d.k AS VARCHAR))", 1 << 30)
 _TEN_IDX = md5_mod_sql("(d.id || '|tenure|' || CAST(d.k AS VARCHAR))", 1 << 30)
 CTES["edges_role"] = f"""
   SELECT src, dst, CAST(0.6 AS DOUBLE) AS weight, 'inferred' AS source, 'SAME_ROLE_DEPT' AS type FROM (
-    SELECT a.id AS src, b.id AS dst FROM ranked_role a JOIN ranked_role b
-      ON a.department = b.department AND a.job_role = b.job_role
-    WHERE a.group_size <= 100 AND a.id <> b.id
-    UNION ALL
-    SELECT DISTINCT d.id, m.id FROM (SELECT * FROM ranked_role, (SELECT unnest(range(0, 5)) AS k) ks
-                                     WHERE group_size > 100) d
+    SELECT DISTINCT d.id AS src, m.id AS dst FROM (SELECT * FROM ranked_role, (SELECT unnest(range(0, 5)) AS k) ks) d
     JOIN ranked_role m ON m.department = d.department AND m.job_role = d.job_role
      AND m.rank = {_ROLE_IDX} % d.group_size + 1
     WHERE d.id <> m.id)"""
@@ -146,11 +140,10 @@ def q_edges_same_tenure(spark, d):
     return graph.same_tenure_edges(_nodes(spark, d))
 
 
-@query("edges_all", with_ctes("SELECT type, count(*) AS n_edges, count(DISTINCT src) AS n_src FROM edges_all "
-                              "GROUP BY type"))
+@query("edges_all", with_ctes(f"SELECT {_ECOLS} FROM edges_all"))
 def q_edges_all(spark, d):
-    e = graph.all_edges(_nodes(spark, d))
-    return e.groupBy("type").agg(F.count(F.lit(1)).alias("n_edges"), F.count_distinct("src").alias("n_src"))
+    """The union of the three edge types, row by row."""
+    return graph.all_edges(_nodes(spark, d))
 
 
 @query("exposure_score", with_ctes(
@@ -160,11 +153,15 @@ def q_exposure_score(spark, d):
     return x.select("node", r("exposure_score").alias("exposure_score"), "connected_exits")
 
 
-@query("exposure_peers", with_ctes("SELECT node, peer, peer_role, weight, type, days FROM contrib"))
+@query("exposure_peers", with_ctes(
+    "SELECT node, peer, peer_role, round(weight, 2) AS weight, type, days, round(contribution, 9) AS exposure "
+    "FROM contrib ORDER BY node, weight DESC, peer, type"))
 def q_exposure_peers(spark, d):
-    """Exited peers of every node with edge weight and days since exit (the
-    per-node list is read ordered by weight)."""
-    return _contrib(spark, d).select("node", "peer", "peer_role", "weight", "type", "days")
+    """Exited peers of every node, heaviest edge first, with each peer's
+    decayed exposure; a filter on ``node`` reads the list of one node."""
+    c = _contrib(spark, d).orderBy("node", F.desc("weight"), "peer", "type")
+    return c.select("node", "peer", "peer_role", F.round("weight", 2).alias("weight"), "type", "days",
+                    r("contribution").alias("exposure"))
 
 
 @query("exposure_curve", with_ctes("""
@@ -261,8 +258,8 @@ def q_tree_with_risk(spark, d):
                                           .alias("risk_score"))
 
 
-CTES["ripple_base"] = f"""
-  SELECT id, manager_id, department, CAST({md5_prefix_sql('id')} % 50 = 7 AS INTEGER) AS is_exit
+CTES["ripple_base"] = """
+  SELECT id, manager_id, department, 1 - is_active AS is_exit
   FROM tree WHERE manager_id NOT IN ('', 'CEO')"""
 
 
@@ -277,12 +274,10 @@ LEFT JOIN (SELECT id FROM ripple_base WHERE is_exit = 1) mx ON b.manager_id = mx
 LEFT JOIN (SELECT department, count(*) AS n FROM ripple_base WHERE is_exit = 1 GROUP BY department) dx
   ON b.department = dx.department"""))
 def q_exit_ripple(spark, d):
-    """Simulated exits (md5(id) prefix mod 50 = 7) bump the risk of siblings
-    and reports by 30 (tree view) and of department peers by 10 (similarity
+    """Observed exits bump the risk of siblings and reports by 30 (tree view) and of department peers by 10 (similarity
     view).  Counted per manager / department: no pairs are formed."""
     t = graph.org_hierarchy(cohort_df(spark, d)).where(~F.col("manager_id").isin("", "CEO"))
-    b = t.select("id", "manager_id", "department", (md5_prefix_int(F.col("id")) % 50 == 7).cast("int")
-                 .alias("is_exit"))
+    b = t.select("id", "manager_id", "department", (1 - F.col("is_active")).alias("is_exit"))
     ex = b.where("is_exit = 1")
     sib = ex.groupBy("manager_id").agg(F.count(F.lit(1)).alias("_sib"))
     mx = ex.select(F.col("id").alias("manager_id"), F.lit(1).alias("_mx"))

@@ -3,11 +3,11 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators import graph
+from ..operators.ranking import group_rank
 from ..operators.similarity import composite_distance, similarity_inputs
 from ..operators.survival import SCORE_FEATURES
 from ..sources.csv_scan import lenient_csv, normalise_nulls
@@ -20,8 +20,7 @@ from .q_warehouse import ratings_df
 from .registry import query, r
 from .sqlparts import CTES, with_ctes
 
-# FIXED VALUES — rows kept by the positional slice of the source extract
-FIRST_ROWS = 1489
+KEYS_PER_BUCKET = 1 << 16  # keys are numbered inside ranges of so many
 
 
 def _tag(d: str) -> str:
@@ -64,16 +63,24 @@ def q_null_tokens(spark, d):
     return normalise_nulls(c, ["date_of_leaving"])
 
 
-@query("surrogate_key", with_ctes(f"""
+def surrogate_keys(rows, key: str, first: int | None = None):
+    """Every row gets the code EMP_%04d of its place in key order; ``first``
+    keeps only so many.  Places are ranks inside key ranges plus the rows of
+    the earlier ranges, so no task sorts the whole table."""
+    ranked = group_rank(rows.withColumn("_all", F.lit(0)), ["_all"], key, key,
+                        F.floor(F.col(key) / KEYS_PER_BUCKET).cast("long"), "_place", "_rows").drop("_all", "_rows")
+    if first is not None:
+        ranked = ranked.where(F.col("_place") <= first)
+    return ranked.withColumn("employee_code", F.format_string("EMP_%04d", "_place")).drop("_place")
+
+
+@query("surrogate_key", with_ctes("""
 SELECT printf('EMP_%04d', rn) AS employee_code, c_custkey, c_name FROM (
-  SELECT c_custkey, c_name, row_number() OVER (ORDER BY c_custkey) AS rn FROM customer) WHERE rn <= {FIRST_ROWS}"""))
+  SELECT c_custkey, c_name, row_number() OVER (ORDER BY c_custkey) AS rn FROM customer)"""))
 def q_surrogate_key(spark, d):
-    """First N rows in key order get EMP_%04d codes.  The slice is a
-    distributed top-N (TakeOrdered); numbering runs over those N rows only."""
-    c = scan(spark, d, "customer", "c_custkey", "c_name").orderBy("c_custkey").limit(FIRST_ROWS)
-    w = Window.orderBy("c_custkey")  # over the N sliced rows
-    return c.select(F.format_string("EMP_%04d", F.row_number().over(w)).alias("employee_code"), "c_custkey",
-                    "c_name")
+    """Every customer in key order gets its EMP_%04d code."""
+    c = surrogate_keys(scan(spark, d, "customer", "c_custkey", "c_name"), "c_custkey")
+    return c.select("employee_code", "c_custkey", "c_name")
 
 
 @query("run_metadata", with_ctes(

@@ -185,10 +185,10 @@ def q_performance_label(spark, d):
 @query("exited_peers", with_ctes("""
 SELECT id, job_role, exit_date FROM nodes
 WHERE NOT is_active AND exit_date <> '' AND TRY_CAST(exit_date AS DATE) IS NOT NULL
-ORDER BY exit_date DESC, id LIMIT 10"""))
+ORDER BY exit_date DESC, id"""))
 def q_exited_peers(spark, d):
-    """Exited rows with a parseable exit date, newest first, 10 shown."""
-    return exited_peers(_nodes(spark, d), 10)
+    """Every exited row with a parseable exit date, newest first."""
+    return exited_peers(_nodes(spark, d))
 
 
 @query("score_reconcile", with_ctes("""

@@ -16,7 +16,7 @@ from .sqlparts import CTES, _case_idx, scored_over, with_ctes
 
 _FEATS = [f"f_{c}" for c in SCORE_FEATURES]
 # FIXED VALUES — words that mark a compensation driver
-PAY_WORDS = ("income", "salary", "rate", "stock", "hike", "pay")
+PAY_WORDS = ("income", "salary", "rate", "daily", "monthly", "hourly")
 
 
 def _fit_frame(spark, d):
@@ -97,13 +97,14 @@ CTES["whatif_p"] = """
 
 
 def _wi(h):
-    return f"least((1 - pow((SELECT s0 FROM near WHERE hz = {h}), m)) * pen, 0.999)"
+    p = f"(1 - pow((SELECT s0 FROM near WHERE hz = {h}), m))"
+    return f"CASE WHEN pen > 1 THEN least({p} * pen, 0.999) ELSE {p} END"
 
 
 @query("whatif_batch", with_ctes(
     "SELECT emp_key, " + ", ".join(f"round({_wi(h)}, 9) AS prob_{h}m" for h in (1, 3, 6, 12))
-    + ", round(least((1 - pow((SELECT s0 FROM near WHERE hz = 12), m)) * 100.0 * pen, 100.0), 9)"
-      " AS general_risk_score FROM whatif_p"))
+    + ", round(CASE WHEN pen > 1 THEN least((1 - pow((SELECT s0 FROM near WHERE hz = 12), m)) * 100.0 * pen, 100.0)"
+      " ELSE (1 - pow((SELECT s0 FROM near WHERE hz = 12), m)) * 100.0 END, 9) AS general_risk_score FROM whatif_p"))
 def q_whatif_batch(spark, d):
     """Overrides (pay cut 35 %, overtime, promotion to senior level) for a
     slice of keys, rescored in one pass with graph exposure and the pay-cut

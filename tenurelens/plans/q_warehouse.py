@@ -4,13 +4,14 @@ score write-back and HR actions."""
 from __future__ import annotations
 
 import os
+from functools import reduce
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import scd2
 from ..operators.cohort import LEVEL_NAMES
-from ..session import ensure_checkpoint_dir
+from ..session import cut_lineage, ensure_checkpoint_dir
 from ..sources.tables import scan
 from .common import cohort_df, risk_scores_df
 from .q_features import performance_scores
@@ -146,11 +147,20 @@ def q_latest_version(spark, d):
     return scd2.latest(built_history(spark, d)).select(*_HCOLS)
 
 
-@query("theme_split", with_ctes(
-    "SELECT emp_key, department, job_role, valid_from, valid_to, is_active FROM hist_built"))
+@query("theme_split", with_ctes(" UNION ALL ".join(
+    f"SELECT '{t}' AS theme, emp_key, '{c}' AS attribute, CAST({c} AS VARCHAR) AS value, valid_from, valid_to, "
+    f"is_active FROM hist_built" for t, cols in scd2.THEMES.items() for c in cols)))
 def q_theme_split(spark, d):
-    """The environment theme table (one of the five vertical projections)."""
-    return scd2.theme_split(built_history(spark, d))["environment"]
+    """All five theme tables (vertical projections with key and validity), as
+    (theme, attribute, value) rows."""
+    out = None
+    for theme, table in scd2.theme_split(cut_lineage(built_history(spark, d))).items():
+        cols = [c for c in table.columns if c not in ("emp_key", *scd2.VALIDITY)]
+        rows = table.select("emp_key", *scd2.VALIDITY, *[F.col(c).cast("string").alias(c) for c in cols]).unpivot(
+            ["emp_key", *scd2.VALIDITY], cols, "attribute", "value")
+        rows = rows.select(F.lit(theme).alias("theme"), "emp_key", "attribute", "value", *scd2.VALIDITY)
+        out = rows if out is None else out.unionByName(rows)
+    return out
 
 
 @query("ml_features_view", with_ctes("SELECT emp_key, " + _TR_SQL + " FROM hist_built WHERE is_active"))
@@ -255,59 +265,79 @@ def q_score_writeback(spark, d):
     return back.select(*[c if c in ("emp_key", "employee_id") else r(c, 6).alias(c) for c in _SCORE_COLS])
 
 
-CTES["actions"] = """
-  SELECT emp_key, action, action_ts FROM (
-    SELECT emp_key, 'promote' AS action, TIMESTAMP '2000-02-01' AS action_ts FROM cohort WHERE emp_key % 10 = 1
-    UNION ALL SELECT emp_key, 'overtime', TIMESTAMP '2000-03-01' FROM cohort WHERE emp_key % 10 = 2 OR emp_key % 20 = 1
-    UNION ALL SELECT emp_key, 'manager_change', TIMESTAMP '2000-04-01' FROM cohort WHERE emp_key % 10 = 4
-    UNION ALL SELECT emp_key, 'salary_hike', TIMESTAMP '2000-05-01' FROM cohort WHERE emp_key % 10 = 6)"""
+_LEVEL_UP = "least(job_level_rank + 1, 5)"
+CTES["promotions"] = f"""
+  SELECT emp_key, 'Lead ' || job_role AS job_role, CAST({_LEVEL_UP} AS INTEGER) AS job_level_rank,
+         round(monthly_income * CAST(1.1 AS DOUBLE), 2) AS monthly_income FROM cohort WHERE emp_key % 10 = 1"""
+CTES["hikes"] = """
+  SELECT emp_key, CAST(5 + emp_key % 11 AS DOUBLE) AS pct FROM cohort WHERE emp_key % 10 = 6 OR emp_key % 20 = 11"""
 
 
 def actions_df(spark, d):
-    c = cohort_df(spark, d).select("emp_key")
+    """Requested actions with their parameters: promotions (new role, level and
+    income), overtime changes, manager changes and percent raises; some
+    employees have two of them."""
+    c = cohort_df(spark, d)
     k = F.col("emp_key")
-    parts = [(k % 10 == 1, "promote", "2000-02-01"), ((k % 10 == 2) | (k % 20 == 1), "overtime", "2000-03-01"),
-             (k % 10 == 4, "manager_change", "2000-04-01"), (k % 10 == 6, "salary_hike", "2000-05-01")]
-    out = None
-    for cond, a, ts in parts:
-        p = c.where(cond).select("emp_key", F.lit(a).alias("action"),
-                                 F.lit(ts).cast("timestamp_ntz").alias("action_ts"))
-        out = p if out is None else out.unionByName(p)
-    return out
+    none = {"job_role": "string", "job_level_rank": "int", "monthly_income": "double", "over_time": "string",
+            "years_with_curr_manager": "bigint", "percent_salary_hike": "double"}
+
+    def part(cond, action, ts, **values):
+        cols = [values.get(n, F.lit(None)).cast(t).alias(n) for n, t in none.items()]
+        return c.where(cond).select("emp_key", F.lit(action).alias("action"),
+                                    F.lit(ts).cast("timestamp_ntz").alias("action_ts"), *cols)
+
+    parts = [part(k % 10 == 1, "promote", "2000-02-01", job_role=F.concat(F.lit("Lead "), "job_role"),
+                  job_level_rank=F.least(F.col("job_level_rank") + 1, F.lit(5)),
+                  monthly_income=F.round(F.col("monthly_income") * 1.1, 2)),
+             part((k % 10 == 2) | (k % 20 == 1), "overtime", "2000-03-01",
+                  over_time=F.when(k % 4 == 0, F.lit("No")).otherwise(F.lit("Yes"))),
+             part(k % 10 == 4, "manager_change", "2000-04-01", years_with_curr_manager=k % 3),
+             part((k % 10 == 6) | (k % 20 == 11), "salary_hike", "2000-05-01",
+                  percent_salary_hike=5 + k % 11)]
+    return reduce(lambda a, b: a.unionByName(b), parts)
 
 
 def apply_actions(employees, actions):
-    """Latest action per employee applied to the source row."""
-    w = Window.partitionBy("emp_key").orderBy(F.col("action_ts").desc())
-    last = actions.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
-    j = employees.join(last, "emp_key", "left")
-    a = F.col("action")
-    return j.select(
-        "emp_key",
-        F.when(a == "promote", F.least(F.col("job_level_rank") + 1, F.lit(5))).otherwise(F.col("job_level_rank"))
-         .alias("job_level_rank"),
-        F.when(a == "promote", F.col("monthly_income") * 1.1)
-         .when(a == "salary_hike", F.col("monthly_income") * F.lit(1.15))
-         .otherwise(F.col("monthly_income")).alias("monthly_income"),
-        F.when(a == "overtime", F.lit("Yes")).otherwise(F.col("over_time")).alias("over_time"),
-        F.when(a == "manager_change", F.lit(0).cast("bigint"))
-         .otherwise(F.col("years_at_company") % 12).alias("years_with_curr_manager"),
-        F.coalesce(a, F.lit("none")).alias("applied_action"))
+    """Each action updates its own columns, in time order per employee: a
+    promotion sets role, level and income, an overtime or manager change its
+    one value, a raise multiplies the income of its time and is kept as the
+    percentage.  ``employees`` needs years_with_curr_manager."""
+    values = ("job_role", "job_level_rank", "monthly_income", "over_time", "years_with_curr_manager",
+              "percent_salary_hike")
+    queue = actions.groupBy("emp_key").agg(F.sort_array(F.collect_list(
+        F.struct("action_ts", "action", *values))).alias("_queue"))  # one employee's actions
+    j = employees.withColumn("percent_salary_hike", F.lit(None).cast("double")).join(queue, "emp_key", "left")
+    start = F.struct(*[F.col(c) for c in values], F.lit(0).alias("n"))
+
+    def step(acc, x):
+        new = {c: F.coalesce(x[c], acc[c]) for c in values}
+        new["monthly_income"] = F.when(x["action"] == "salary_hike", F.round(
+            acc["monthly_income"] * (1 + x["percent_salary_hike"] / 100), 2)).otherwise(new["monthly_income"])
+        return F.struct(*[v.alias(c) for c, v in new.items()], (acc["n"] + 1).alias("n"))
+
+    empty = F.filter(F.array(F.struct(F.lit(None).cast("timestamp_ntz").alias("action_ts"),
+                                      F.lit("").alias("action"), *[F.col(c) for c in values])), lambda x: F.lit(False))
+    done = F.aggregate(F.coalesce("_queue", empty), start, step)
+    return j.select("emp_key", done.alias("_v")).select("emp_key", *[f"_v.{c}" for c in values],
+                                                        F.col("_v.n").alias("n_actions"))
 
 
 @query("apply_actions", with_ctes("""
-SELECT c.emp_key,
-       CASE WHEN a.action = 'promote' THEN least(c.job_level_rank + 1, 5) ELSE c.job_level_rank END AS job_level_rank,
-       CASE WHEN a.action = 'promote' THEN c.monthly_income * CAST(1.1 AS DOUBLE)
-            WHEN a.action = 'salary_hike' THEN c.monthly_income * CAST(1.15 AS DOUBLE)
-            ELSE c.monthly_income END AS monthly_income,
-       CASE WHEN a.action = 'overtime' THEN 'Yes' ELSE c.over_time END AS over_time,
-       CASE WHEN a.action = 'manager_change' THEN 0 ELSE c.years_at_company % 12 END AS years_with_curr_manager,
-       coalesce(a.action, 'none') AS applied_action
-FROM cohort c LEFT JOIN (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY emp_key ORDER BY action_ts DESC)
-                                        AS rn FROM actions) WHERE rn = 1) a ON c.emp_key = a.emp_key"""))
+SELECT c.emp_key, coalesce(p.job_role, c.job_role) AS job_role,
+       coalesce(p.job_level_rank, c.job_level_rank) AS job_level_rank,
+       CASE WHEN h.pct IS NULL THEN coalesce(p.monthly_income, c.monthly_income)
+            ELSE round(coalesce(p.monthly_income, c.monthly_income) * (1 + h.pct / 100), 2) END AS monthly_income,
+       CASE WHEN c.emp_key % 10 = 2 OR c.emp_key % 20 = 1 THEN CASE WHEN c.emp_key % 4 = 0 THEN 'No' ELSE 'Yes' END
+            ELSE c.over_time END AS over_time,
+       CASE WHEN c.emp_key % 10 = 4 THEN c.emp_key % 3 ELSE c.years_at_company % 12 END AS years_with_curr_manager,
+       h.pct AS percent_salary_hike,
+       CAST((c.emp_key % 10 = 1)::INT + (c.emp_key % 10 = 2 OR c.emp_key % 20 = 1)::INT + (c.emp_key % 10 = 4)::INT
+            + (h.pct IS NOT NULL)::INT AS INTEGER) AS n_actions
+FROM cohort c LEFT JOIN promotions p ON c.emp_key = p.emp_key LEFT JOIN hikes h ON c.emp_key = h.emp_key"""))
 def q_apply_actions(spark, d):
-    return apply_actions(cohort_df(spark, d), actions_df(spark, d))
+    c = cohort_df(spark, d).withColumn("years_with_curr_manager", F.col("years_at_company") % 12)
+    return apply_actions(c, actions_df(spark, d))
 
 
 # ---------------------------------------------------------------------------
@@ -315,19 +345,18 @@ def q_apply_actions(spark, d):
 # ---------------------------------------------------------------------------
 @query("scd2_stream", with_ctes("SELECT " + ", ".join(_HCOLS) + " FROM hist_built"))
 def q_scd2_stream(spark, d):
-    """The three snapshots fed as a file stream (one file per trigger) into
-    the foreachBatch SCD2 sink; the final history equals the batch build."""
+    """The three snapshots announced to the manifest stream (one a trigger)
+    and applied by the foreachBatch SCD2 sink; the final history equals the
+    batch build."""
     import uuid
 
-    from ..streaming.scd2_stream import run_snapshot_stream
+    from ..streaming.scd2_stream import announce_snapshot, run_snapshot_stream
     base = table_dir(spark, f"scd2_stream_{uuid.uuid4().hex}")
-    src = base + "/source"
-    schema = None
     for t in SNAPSHOTS:
-        s = _snap(spark, d, t).withColumn("snapshot_ts", F.lit(t).cast("timestamp_ntz"))
-        s.coalesce(1).write.mode("append").parquet(src)
-        schema = s.schema
-    hist = run_snapshot_stream(spark, src, schema, base + "/state", base + "/checkpoint")
+        path = f"{base}/source/{t[:10]}"
+        _snap(spark, d, t).write.parquet(path)
+        announce_snapshot(spark, f"{base}/manifest", t, path)
+    hist = run_snapshot_stream(spark, base + "/manifest", base + "/state", base + "/checkpoint")
     return hist.select(*_HCOLS)
 
 

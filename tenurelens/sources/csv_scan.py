@@ -1,16 +1,17 @@
-"""Lenient CSV scan: explicit schema, PERMISSIVE mode with a corrupt-record
-column; lines with more fields than the schema are skipped (short lines
-keep NULLs), and null tokens such as 'nan' become NULL."""
+"""Lenient CSV scan: explicit schema; lines with more fields than the schema
+are skipped (short lines keep NULLs, values of a wrong type become NULL), and
+null tokens such as 'nan' become NULL."""
 from __future__ import annotations
 
-from pyspark import StorageLevel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 # FIXED VALUES — text spellings of a missing value
 NULL_TOKENS = ("nan", "NaN", "")
 
+QUOTED = r'"(?:[^"\\]|\\.)*"'
+
 
 def normalise_nulls(df: DataFrame, cols, tokens=NULL_TOKENS) -> DataFrame:
     """Null-token normalisation: each listed text token → NULL."""
@@ -21,16 +22,21 @@ def normalise_nulls(df: DataFrame, cols, tokens=NULL_TOKENS) -> DataFrame:
     return df.withColumns(outs)
 
 
+def field_count(line: Column, sep: str) -> Column:
+    """Fields of a CSV line: separators outside quotes, plus one."""
+    bare = F.regexp_replace(line, QUOTED, "")
+    return (F.length(bare) - F.length(F.replace(bare, F.lit(sep), F.lit("")))) / len(sep) + 1
+
+
 def lenient_csv(spark: SparkSession, path: str, schema: T.StructType, sep: str = ",",
                 header: bool = False) -> DataFrame:
-    corrupt = "_corrupt_record"
-    full = T.StructType(list(schema.fields) + [T.StructField(corrupt, T.StringType())])
-    raw = (spark.read.schema(full).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", corrupt)
-           .option("header", header).option("sep", sep).csv(path))
-    # Spark refuses plans that read only the corrupt-record column (e.g. a
-    # bare count after the filter); persisting the parsed rows is its
-    # prescribed way out.  MEMORY_AND_DISK blocks are rebuilt from the file
-    # if an executor is lost.
-    raw = raw.persist(StorageLevel.MEMORY_AND_DISK)
-    too_long = F.size(F.split(F.col(corrupt), sep)) > len(schema.fields)
-    return raw.where(F.col(corrupt).isNull() | ~too_long).drop(corrupt)
+    """Each line of the files in ``path`` as one record (quoted fields may
+    hold separators, not line ends).  ``header`` skips the lines that spell
+    the schema's names."""
+    lines = spark.read.text(path).where(F.trim("value") != "")
+    if header:
+        lines = lines.where(F.col("value") != sep.join(schema.names))
+    fits = lines.where(field_count(F.col("value"), sep) <= len(schema.fields))
+    parsed = F.from_csv("value", schema.simpleString()[len("struct<"):-1].replace(":", " "),
+                        {"sep": sep, "mode": "PERMISSIVE"})
+    return fits.select(parsed.alias("_row")).select(*[F.col("_row").getField(c).alias(c) for c in schema.names])

@@ -1,8 +1,10 @@
 """Micro-batch SCD2 loads with Structured Streaming.
 
-Snapshot files arrive in a folder; each micro-batch carries one or more
-snapshots (``snapshot_ts`` column).  ``foreachBatch`` applies them to the
-warehouse history in time order with the batch operator
+A snapshot is a folder of any number of files.  When it is complete its writer
+announces it with one manifest row (snapshot_ts, path, row count); the stream
+reads manifests, so a half-written or many-file snapshot is never taken for a
+whole one.  ``foreachBatch`` applies the announced snapshots to the warehouse
+history in time order with the batch operator
 (``operators.scd2.apply_snapshot``) and writes the new history as a new
 version folder, then a commit marker.  A replayed batch id finds its marker
 and does nothing, so the sink is idempotent; the stream's checkpoint folder
@@ -10,10 +12,21 @@ records progress, so a restart resumes after the last committed batch.
 """
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import scd2
+from ..session import cut_lineage
+
+MANIFEST = "snapshot_ts timestamp_ntz, path string, n_rows long"
+
+
+def announce_snapshot(spark: SparkSession, manifest_dir: str, ts: str, path: str) -> None:
+    """Append the manifest row of the complete snapshot in ``path``."""
+    row = spark.read.parquet(path).agg(F.lit(ts).cast("timestamp_ntz").alias("snapshot_ts"), F.lit(path).alias("path"),
+                                       F.count(F.lit(1)).alias("n_rows"))
+    row.coalesce(1).write.mode("append").parquet(manifest_dir)  # one row
 
 
 class Scd2Sink:
@@ -25,9 +38,11 @@ class Scd2Sink:
     def _committed(self):
         try:
             m = self.spark.read.json(f"{self.state}/_commits")
-            return [r.batch_id for r in m.select("batch_id").collect()]  # one row per batch
-        except Exception:  # noqa: BLE001  (no commit yet)
-            return []
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return []  # no commit yet
+        return [r.batch_id for r in m.select("batch_id").collect()]  # one row per batch
 
     def current(self) -> DataFrame | None:
         done = self._committed()
@@ -35,27 +50,31 @@ class Scd2Sink:
             return None
         return self.spark.read.parquet(f"{self.state}/history/v={max(done)}")
 
-    def __call__(self, batch: DataFrame, batch_id: int) -> None:
+    def __call__(self, manifests: DataFrame, batch_id: int) -> None:
         if batch_id in self._committed():
             return  # replay of a committed batch
-        times = [r.snapshot_ts for r in batch.select("snapshot_ts").distinct().orderBy("snapshot_ts").collect()]
+        announced = manifests.orderBy("snapshot_ts").collect()  # a few rows, one per snapshot
         hist = self.current()
-        for ts in times:  # a handful of snapshot dates per batch
-            snap = batch.where(F.col("snapshot_ts") == ts).drop("snapshot_ts")
-            t = str(ts)[:19]
+        for ts, path, n_rows in announced:
+            snap = self.spark.read.parquet(path)
+            if snap.count() != n_rows:
+                raise ValueError(f"snapshot {path} does not hold the {n_rows} rows of its manifest")
+            t = str(ts)
             hist = scd2.initial_history(snap, t) if hist is None else scd2.apply_snapshot(hist, snap, t, self.tracked)
-        if hist is None:
+            if len(announced) > 1:
+                hist = cut_lineage(hist)
+        if not announced:
             return
         hist.write.mode("overwrite").parquet(f"{self.state}/history/v={batch_id}")
         self.spark.range(1).select(F.lit(batch_id).alias("batch_id")).write.mode("overwrite").json(
             f"{self.state}/_commits/b={batch_id}")
 
 
-def run_snapshot_stream(spark: SparkSession, source_dir: str, schema, state_dir: str, checkpoint_dir: str,
-                        files_per_trigger: int = 1, tracked=scd2.TRACKED) -> DataFrame:
-    """Drain the snapshot folder (availableNow) and return the history."""
+def run_snapshot_stream(spark: SparkSession, manifest_dir: str, state_dir: str, checkpoint_dir: str,
+                        snapshots_per_trigger: int = 1, tracked=scd2.TRACKED) -> DataFrame:
+    """Drain the manifest folder (availableNow) and return the history."""
     sink = Scd2Sink(spark, state_dir, tracked)
-    stream = (spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(source_dir))
+    stream = spark.readStream.schema(MANIFEST).option("maxFilesPerTrigger", snapshots_per_trigger).parquet(manifest_dir)
     q = (stream.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint_dir)
          .trigger(availableNow=True).start())
     q.awaitTermination()

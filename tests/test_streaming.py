@@ -1,42 +1,71 @@
-"""Micro-batch SCD2 sink: ordered snapshots, idempotent replay."""
+"""Micro-batch SCD2 sink: whole snapshots, ordered, idempotent replay."""
 import uuid
 
-from pyspark.sql import functions as F
+import pytest
 
 from tenurelens.operators import scd2
 from tenurelens.session import ensure_checkpoint_dir
-from tenurelens.streaming.scd2_stream import Scd2Sink, run_snapshot_stream
+from tenurelens.streaming.scd2_stream import MANIFEST, Scd2Sink, announce_snapshot, run_snapshot_stream
 
+COLS = ("emp_key", "v", "valid_from", "valid_to", "is_active")
 
-def _snap(spark, rows, ts):
-    return spark.createDataFrame(rows, "emp_key long, v string").withColumn("snapshot_ts", F.lit(ts).cast(
-        "timestamp_ntz"))
+
+def _base(spark):
+    return ensure_checkpoint_dir(spark).rstrip("/") + f"/test_stream_{uuid.uuid4().hex}"
+
+
+def _snap(spark, rows):
+    return spark.createDataFrame(rows, "emp_key long, v string")
+
+
+def _rows(df):
+    return sorted(tuple(r) for r in df.select(*COLS).collect())
+
+
+def _stored(spark, base, name, rows, files):
+    path = f"{base}/source/{name}"
+    _snap(spark, rows).repartition(files).write.parquet(path)
+    return path
+
+
+def _manifest(spark, ts, path, n):
+    return spark.createDataFrame([(ts, path, n)], "ts string, path string, n_rows long").selectExpr(
+        "CAST(ts AS timestamp_ntz) AS snapshot_ts", "path", "n_rows")
 
 
 def test_replayed_batch_is_ignored(spark):
-    base = ensure_checkpoint_dir(spark).rstrip("/") + f"/test_stream_{uuid.uuid4().hex}"
-    sink = Scd2Sink(spark, base, tracked=("v",))
-    b0 = _snap(spark, [(1, "a"), (2, "b")], "2000-01-01")
-    b1 = _snap(spark, [(1, "a"), (2, "B"), (3, "c")], "2000-02-01")
-    sink(b0, 0)
-    sink(b1, 1)
-    first = sorted(tuple(r) for r in sink.current().collect())
-    sink(b1, 1)  # replay after a failure between write and progress commit
-    assert sorted(tuple(r) for r in sink.current().collect()) == first
-    want = scd2.build_history([("2000-01-01", b0.drop("snapshot_ts")), ("2000-02-01", b1.drop("snapshot_ts"))],
-                              ("v",))
-    got = sink.current().select("emp_key", "v", "valid_from", "valid_to", "is_active")
-    assert sorted(tuple(r) for r in got.collect()) == sorted(
-        tuple(r) for r in want.select("emp_key", "v", "valid_from", "valid_to", "is_active").collect())
-
-
-def test_file_stream_end_to_end(spark):
-    base = ensure_checkpoint_dir(spark).rstrip("/") + f"/test_stream_{uuid.uuid4().hex}"
-    schema = None
-    for i, (rows, ts) in enumerate([([(1, "a"), (2, "b")], "2000-01-01"), ([(2, "c")], "2000-02-01")]):
-        s = _snap(spark, rows, ts)
-        s.coalesce(1).write.mode("append").parquet(base + "/src")
-        schema = s.schema
-    hist = run_snapshot_stream(spark, base + "/src", schema, base + "/state", base + "/ckpt", tracked=("v",))
-    active = {r.emp_key: r.v for r in hist.where("is_active").collect()}
-    assert active == {2: "c"}
+    base = _base(spark)
+    one, two = [(1, "a"), (2, "b")], [(1, "a"), (2, "B"), (3, "c")]
+    sink = Scd2Sink(spark, base + "/state", tracked=("v",))
+    first = _manifest(spark, "2000-01-01", _stored(spark, base, "a", one, 2), 2)
+    second = _manifest(spark, "2000-02-01", _stored(spark, base, "b", two, 3), 3)
+    sink(first, 0)
+    sink(second, 1)
+    once = _rows(sink.current())
+    sink(second, 1)  # replay after a failure between write and progress commit
+    assert _rows(sink.current()) == once
+    want = scd2.build_history([("2000-01-01", _snap(spark, one)), ("2000-02-01", _snap(spark, two))], ("v",))
+    assert once == _rows(want)
+
+
+def test_snapshots_of_many_files_end_to_end(spark):
+    base = _base(spark)
+    snaps = [("2000-01-01 00:00:00.25", [(i, "a") for i in range(6)]), ("2000-01-01 00:00:00.75", [(i, "a") for i in range(1, 6)]),
+             ("2000-02-01", [(i, "b" if i == 4 else "a") for i in range(1, 7)])]
+    for i, (ts, rows) in enumerate(snaps):
+        announce_snapshot(spark, base + "/manifest", ts, _stored(spark, base, str(i), rows, 3))
+    hist = run_snapshot_stream(spark, base + "/manifest", base + "/state", base + "/ckpt", tracked=("v",))
+    want = scd2.build_history([(ts, _snap(spark, rows)) for ts, rows in snaps], ("v",))
+    assert _rows(hist) == _rows(want)
+    assert {r.emp_key for r in hist.where("NOT is_active").collect()} == {0, 4}
+
+
+def test_incomplete_snapshots_and_read_errors_raise(spark):
+    base = _base(spark)
+    path = _stored(spark, base, "a", [(1, "a"), (2, "b")], 2)
+    with pytest.raises(ValueError):
+        Scd2Sink(spark, base + "/state", tracked=("v",))(_manifest(spark, "2000-01-01", path, 3), 0)
+    spark.range(1).write.parquet(base + "/broken/_commits/b=0")
+    with pytest.raises(Exception):  # noqa: B017  a commit folder that cannot be read is not "no commit"
+        Scd2Sink(spark, base + "/broken").current()
+    assert spark.createDataFrame([], MANIFEST).columns == ["snapshot_ts", "path", "n_rows"]
