@@ -266,7 +266,7 @@ def test_combinations_place_every_piece_in_bounded_steps():
     assert used == Counter(numbers) and len(found) <= 3 * len(numbers)
     total = sum(x * n for x, n in numbers.items())
     halves = sum(n for x, n in numbers.items() if 2 * x > packing.CAPACITY)  # no two of these fit together
-    assert sum(t for t, _ in found) <= 1.002 * max(total / packing.CAPACITY, halves)
+    assert sum(t for t, _ in found) <= 1.01 * max(total / packing.CAPACITY, halves)
 
 
 def test_language_forward_sums_all_segmentations():
