@@ -14,8 +14,6 @@ from pyspark.sql import functions as F
 from ..functions.hashing import md5_mod
 from ..functions.labels import EVENT_TRUE, ORDINAL_MAPPINGS
 
-MAX_ONE_HOT_LEVELS = 1000
-
 
 def ordinal_encode(col: Column, attribute: str) -> Column:
     """Label → rank through a literal map (unknown labels → NULL)."""
@@ -42,27 +40,34 @@ def signed_duration(duration: Column, event: Column) -> Column:
 # ---------------------------------------------------------------------------
 # one-hot, first level dropped
 # ---------------------------------------------------------------------------
-def one_hot_levels(df: DataFrame, col: str) -> list:
-    """Sorted distinct levels of a low-cardinality column (a bounded collect:
-    the level list, never the data).  High-cardinality input is refused."""
-    levels = [r[0] for r in df.select(col).where(F.col(col).isNotNull()).distinct()
-              .orderBy(col).limit(MAX_ONE_HOT_LEVELS + 1).collect()]
-    if len(levels) > MAX_ONE_HOT_LEVELS:
-        raise ValueError(f"{col}: too many levels for one-hot; use leave-one-out encoding")
+def one_hot_levels(df: DataFrame, cols: list[str], max_levels: int = 1000) -> dict[str, list[str]]:
+    """Sorted distinct levels of low-cardinality columns, found in one pass (a
+    bounded collect: the level lists, never the data).  A column of more than
+    ``max_levels`` levels is refused."""
+    pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).cast("string").alias("v")) for c in cols]))
+    found = (df.select(pairs.alias("p")).select("p.c", "p.v").where(F.col("v").isNotNull()).distinct()
+             .limit(len(cols) * max_levels + 1).collect())
+    levels = {c: sorted(r["v"] for r in found if r["c"] == c) for c in cols}
+    for c, some in levels.items():
+        if len(some) > max_levels:
+            raise ValueError(f"{c}: too many levels for one-hot; use leave-one-out encoding")
     return levels
 
 
 def one_hot(df: DataFrame, cols: dict, levels: dict | None = None) -> DataFrame:
     """``cols`` maps a source column to the dummy prefix (``Col_value``).
 
-    ``levels`` (prefix → list) fixes the dummy set fitted on a training frame;
-    levels missing from ``df`` become all-zero columns (schema alignment).
+    ``levels`` (prefix → list) fixes the dummy set fitted on a training frame,
+    an empty list too; levels missing from ``df`` become all-zero columns and
+    levels that only ``df`` has get none (schema alignment).
     """
-    out = []
-    for src, prefix in cols.items():
-        lv = (levels or {}).get(prefix) or one_hot_levels(df, src)
-        for v in lv[1:]:
-            out.append((F.col(src) == F.lit(v)).cast("int").alias(f"{prefix}_{v}"))
+    fitted = dict(levels or {})
+    missing = [src for src, prefix in cols.items() if prefix not in fitted]
+    if missing:
+        own = one_hot_levels(df, missing)
+        fitted.update({cols[src]: own[src] for src in missing})
+    out = [(F.col(src).cast("string") == F.lit(str(v))).cast("int").alias(f"{prefix}_{v}")
+           for src, prefix in cols.items() for v in fitted[prefix][1:]]
     return df.select("*", *out)
 
 

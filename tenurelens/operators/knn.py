@@ -45,22 +45,24 @@ REGIONS = (
 EPS = 1e-9
 
 
-def _k_expr(n):
-    return F.greatest(F.lit(KNN_MIN), F.least(F.lit(KNN_MAX), F.ceil(n * KNN_SHARE))).cast("int")
+def _k_expr(n, floor, cap, share):
+    return F.greatest(F.lit(floor), F.least(F.lit(cap), F.ceil(n * share))).cast("int")
 
 
 def _cell(v, g):
     return F.least(F.floor(v * g).cast("int"), (g - 1).cast("int"))
 
 
-def knn(att: DataFrame, stats: list | None = None) -> DataFrame:
+def knn(att: DataFrame, stats: list | None = None, k_floor: int = KNN_MIN, k_cap: int = KNN_MAX,
+        k_share: float = KNN_SHARE) -> DataFrame:
     """``att``: id, department, manager_id, project, gender, tier, age_norm,
     risk_norm.  Returns (a, b, distance, rank) for the k nearest b of every a
-    in its department (ties by b's id), k = max(3, min(20, ceil(0.1 n)))."""
+    in its department (ties by b's id), k = ``k_share`` of the department's
+    members, at least ``k_floor`` and at most ``k_cap``."""
     att = cut_lineage(att.select("id", "department", "manager_id", "project", "gender", "tier", "age_norm",
                                  "risk_norm"))  # read by every region below
     base = att.join(att.groupBy("department").agg(F.count(F.lit(1)).alias("_n")), "department")
-    base = base.withColumn("_k", _k_expr(F.col("_n")))
+    base = base.withColumn("_k", _k_expr(F.col("_n"), k_floor, k_cap, k_share))
     # per-region grid sizes and cells
     for name, keys, _ in REGIONS:
         gk = ["department", *keys]

@@ -63,8 +63,7 @@ def permutation_test(exits: DataFrame, group: str, date_col: str, id_col: str, n
     Permutation p deals the exits, ordered by md5(seed|p|id), into the
     groups' consecutive slots (groups in name order).  The ordering is the
     distributed group rank (one group per permutation, split into hash
-    sub-buckets); the slot → group lookup is an array search over the
-    cumulative group sizes (one entry per group), not a join.
+    sub-buckets); the slot → group lookup joins the table of slots.
     """
     ex = exits.select(F.col(group).alias("_grp"), F.to_date(F.col(date_col)).alias("_d"),
                       F.col(id_col).cast("string").alias("_id"))

@@ -4,8 +4,8 @@
   so every cumulative step runs on *distinct times* (bounded by the time
   domain — months — not by the number of entities);
 * horizon lookups reduce the curve to one value per horizon with
-  ``min_by``/``max_by`` aggregates, and reach the entities as scalar
-  subqueries (no join at all on the entity side);
+  ``min_by``/``max_by`` aggregates; these few numbers enter the entity side as
+  literals (no join);
 * scoring is a column expression (whole-stage codegen).
 """
 from __future__ import annotations
@@ -16,27 +16,27 @@ from pyspark.sql import functions as F
 from ..functions.labels import HORIZONS_MONTHS, THEME_EXACT, THEME_PREFIX
 from .features import minmax_apply, minmax_fit, ordinal_encode
 
-EULER_GAMMA = 0.5772156649015329
-EXACT_TIES = 4096
+SERIES_FROM = 32  # from here on the series below is exact in double precision
 
 
-def _harmonic(k: Column) -> Column:
-    """H_k = 1 + 1/2 + ... + 1/k (asymptotic series for large k)."""
-    kd = k.cast("double")
-    asym = (F.log(kd) + F.lit(EULER_GAMMA) + 1 / (2 * kd) - 1 / (12 * kd * kd)
-            + 1 / (120 * F.pow(kd, 4)) - 1 / (252 * F.pow(kd, 6)))
-    exact = F.aggregate(F.sequence(F.lit(1).cast("bigint"), k.cast("bigint")), F.lit(0.0),
-                        lambda acc, i: acc + 1.0 / i)
-    return F.when(k <= 0, F.lit(0.0)).when(k <= 1000, exact).otherwise(asym)
+def tie_smoothed_increment(n: Column, d: Column) -> Column:
+    """sum_{i=0}^{d-1} 1 / (n - i): the hazard step with tied events smoothed.
+
+    That is H(n) - H(n - d) of the harmonic numbers, by one rule at every
+    size: the terms up to ``SERIES_FROM`` are added, the rest is the logarithm
+    of the ratio plus the differences of the Euler-Maclaurin terms.
+    """
+    m = n - d
+    top = F.greatest(m, F.least(n, F.lit(SERIES_FROM)))
+    terms = F.aggregate(F.array(*[F.lit(i) for i in range(1, SERIES_FROM + 1)]), F.lit(0.0),
+                        lambda acc, i: acc + F.when((i > m) & (i <= top), 1.0 / i).otherwise(0.0))
 
+    def tail(k: Column) -> Column:
+        x = 1.0 / k.cast("double")
+        return x / 2 - x * x / 12 + F.pow(x, 4) / 120 - F.pow(x, 6) / 252
 
-def tie_smoothed_increment(n: Column, d: Column) -> Column:
-    """sum_{i=0}^{d-1} 1 / (n - i): the hazard step with tied events smoothed."""
-    exact = F.aggregate(F.sequence(F.lit(0).cast("bigint"), (d - 1).cast("bigint")), F.lit(0.0),
-                        lambda acc, i: acc + 1.0 / (n - i))
-    return (F.when(d <= 0, F.lit(0.0))
-            .when(d <= EXACT_TIES, exact)
-            .otherwise(_harmonic(n) - _harmonic(n - d)))
+    rest = F.log1p((n - top) / top) + tail(n) - tail(top)
+    return F.when(d <= 0, F.lit(0.0)).otherwise(terms + rest)
 
 
 def risk_set(df: DataFrame, time: str = "years_at_company", event: str = "attrition") -> DataFrame:

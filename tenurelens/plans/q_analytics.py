@@ -175,11 +175,27 @@ def q_exit_gap(spark, d):
     return x.select("department", "n_exits", r("mean_gap_days").alias("mean_gap_days"))
 
 
-@query("permutation_test", None)
+_PERMUTED = {
+    "pt_ex": """SELECT department AS g, CAST(date_of_leaving AS DATE) AS d, employee_id AS id
+                FROM cohort WHERE attrition = 1""",
+    "pt_sizes": "SELECT g, n, sum(n) OVER (ORDER BY g) AS hi FROM (SELECT g, count(*) AS n FROM pt_ex GROUP BY g)",
+    "pt_dealt": """SELECT p, d, row_number() OVER (PARTITION BY p ORDER BY md5('7|' || p || '|' || id), id) - 1 AS slot
+                   FROM pt_ex, (SELECT unnest(range(0, 1000)) AS p)""",
+    "pt_stat": """SELECT p, sum(span) / sum(k - 1) AS gap FROM (
+                    SELECT p, g, count(*) AS k, date_diff('day', min(d), max(d)) AS span
+                    FROM pt_dealt JOIN pt_sizes ON slot >= hi - n AND slot < hi GROUP BY p, g) GROUP BY p""",
+    "pt_obs": """SELECT sum(span) / sum(k - 1) AS gap FROM (
+                   SELECT g, count(*) AS k, date_diff('day', min(d), max(d)) AS span FROM pt_ex GROUP BY g)""",
+}
+
+
+@query("permutation_test", with_ctes("""
+SELECT round(o.gap, 9) AS observed, round(avg(s.gap), 9) AS expected, round(o.gap / avg(s.gap), 9) AS lift,
+       count(*) FILTER (WHERE s.gap <= o.gap) / CAST(1000 AS DOUBLE) AS p_value, CAST(1000 AS INTEGER) AS permutations
+FROM pt_stat s, pt_obs o GROUP BY o.gap""", _PERMUTED))
 def q_permutation_test(spark, d):
     """Exit-clustering permutation test, 1,000 md5 permutations of
-    department labels among exits.  The oracle check lives in the tests
-    (brute force on a fixture): DuckDB would need the same 1,000 shuffles."""
+    department labels among exits."""
     ex = cohort_df(spark, d).where("attrition = 1")
     res = permutation_test(ex, "department", "date_of_leaving", "employee_id", n_perm=1000)
     return res.select(r("observed").alias("observed"), r("expected").alias("expected"), r("lift").alias("lift"),

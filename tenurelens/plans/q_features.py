@@ -108,7 +108,7 @@ def q_hash_score(spark, d):
 # ---------------------------------------------------------------------------
 # one-hot
 # ---------------------------------------------------------------------------
-# FIXED VALUES — level domains of the one-hot columns on the driver's schema
+# level domains of the one-hot columns on the driver's schema
 _OH_LEVELS = {
     "gender": ("Female", "Male"),
     "marital_status": ("Divorced", "Married", "Single"),
@@ -139,7 +139,7 @@ def q_one_hot_aligned(spark, d):
     s = split_df(spark, d)
     train, test = s.where("split = 'train'"), s.where("split = 'test'")
     from ..operators.features import one_hot_levels
-    levels = {_OH_PREFIX[k]: one_hot_levels(train, k) for k in _OH_PREFIX}
+    levels = {_OH_PREFIX[k]: lv for k, lv in one_hot_levels(train, list(_OH_PREFIX)).items()}
     enc = one_hot(test, _OH_PREFIX, levels)
     return enc.select("emp_key", *[f"{p}_{v}" for p, lv in levels.items() for v in lv[1:]])
 

@@ -92,3 +92,19 @@ def test_depths_reach_every_node_and_refuse_cycles(spark):
 
 def test_pay_words():
     assert PAY_WORDS == ("income", "salary", "rate", "daily", "monthly", "hourly")
+
+
+def test_one_hot_levels_on_one_side_only(spark):
+    import pytest
+
+    from tenurelens.operators.features import one_hot, one_hot_levels
+    train = spark.createDataFrame([("a", "x"), ("b", "x"), ("c", None)], "p string, q string")
+    test = spark.createDataFrame([("b", "x"), ("z", "y")], "p string, q string")
+    levels = one_hot_levels(train, ["p", "q"])
+    assert levels == {"p": ["a", "b", "c"], "q": ["x"]}
+    enc = one_hot(test, {"p": "P", "q": "Q"}, {"P": levels["p"], "Q": levels["q"]})
+    assert enc.columns == ["p", "q", "P_b", "P_c"]
+    assert [tuple(r)[2:] for r in enc.orderBy("p").collect()] == [(1, 0), (0, 0)]
+    assert one_hot(test, {"q": "Q"}, {"Q": []}).columns == ["p", "q"]  # an empty fitted list is kept
+    with pytest.raises(ValueError):
+        one_hot_levels(train, ["p"], max_levels=2)
