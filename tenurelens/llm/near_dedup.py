@@ -30,7 +30,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .base import cut
@@ -40,8 +40,8 @@ SIMILARITY_PCT = 80
 SYMBOLS = 100
 BITS = 16
 DISTANCE = 39  # symbols that may differ
-WIDE_SYMBOLS = 256  # further symbols, of 8 bits, where many members of a bucket must be told apart
-WIDE_DISTANCE = 109  # of all symbols; as safe as DISTANCE is for the first
+WIDE_SYMBOLS = 512  # further symbols, of 8 bits, where many members of a bucket must be told apart
+WIDE_DISTANCE = 170  # of all symbols; as safe as DISTANCE is for the first
 RADIUS = 1  # errors allowed in a chunk
 BLOCK = 4096  # members of a bucket that are compared in one task
 PAIRS = 1 << 17  # pairs of members that are compared at a time
@@ -156,8 +156,9 @@ def features(docs: DataFrame) -> DataFrame:
 
 
 def bucket_keys(classes: DataFrame) -> DataFrame:
-    """(key, id) for every chunk key of ``classes`` (id, signature)."""
-    schema = pa.schema([("key", pa.int64()), ("id", pa.int64())])
+    """(key, id, n) for every chunk key of ``classes`` (id, n_shingles,
+    signature); n is the size of the set."""
+    schema = pa.schema([("key", pa.int64()), ("id", pa.int64()), ("n", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -165,10 +166,16 @@ def bucket_keys(classes: DataFrame) -> DataFrame:
                 part = batch.slice(at, 2048)
                 sigs = np.frombuffer(b"".join(part["signature"].to_pylist()), dtype=np.uint16).reshape(-1, SYMBOLS)
                 keys = chunk_keys(sigs).astype(np.int64)
-                ids = np.repeat(part["id"].to_numpy(), keys.shape[1])
-                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(ids)], schema=schema)
+                ids, sizes = (np.repeat(part[c].to_numpy(), keys.shape[1]) for c in ("id", "n_shingles"))
+                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(ids), pa.array(sizes.astype(np.int32))],
+                                                 schema=schema)
+
+    return classes.mapInArrow(run, "key long, id long, n int")
+
 
-    return classes.mapInArrow(run, "key long, id long")
+def sizes_fit(m: Column, n: Column) -> Column:
+    """Whether sets of these sizes can be similar enough."""
+    return 100 * F.least(m, n) >= SIMILARITY_PCT * F.greatest(m, n)
 
 
 def near_signatures(pairs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -352,12 +359,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = cut(members.where("doc_id = id").select("id", "n_shingles", "signature").dropDuplicates(["id"]))
 
     keys = bucket_keys(classes)
-    buckets = keys.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high")
-    shared = cut(keys.join(buckets, "key"))
-    ends = shared.select(F.explode(F.array(F.struct(F.col("low").alias("a"), F.col("id").alias("b")),
-                                           F.struct(F.col("id").alias("a"), F.col("high").alias("b")))).alias("p"))
-    tested = cut(ends.where("p.a < p.b").select("p.a", "p.b").distinct())
-    links = cut(confirm(cut(near_signatures(tested, classes)), docs))
+    buckets = keys.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high"),
+                                      F.min_by("n", "id").alias("low_n"), F.max_by("n", "id").alias("high_n"))
+    shared = cut(keys.join(buckets.where("low < high"), "key"))
+    end = lambda a, b, m: F.struct(F.col(a).alias("a"), F.col(b).alias("b"), F.col(m).alias("m"))
+    ends = shared.select("n", F.explode(F.array(end("low", "id", "low_n"), end("id", "high", "high_n"))).alias("p"))
+    tested = ends.where((F.col("p.a") < F.col("p.b")) & sizes_fit(F.col("p.m"), F.col("n"))).select("p.a", "p.b").distinct()
+    links = cut(confirm(cut(near_signatures(cut(tested), classes)), docs))
     labels = components(links)
 
     label = F.coalesce("component", "id")
