@@ -87,10 +87,10 @@ def base_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             F.concat(h, F.transform(words, ending)).alias("ngrams")))
 
     measured = texts.select(
-        "doc_id", "__row", let(words_of(F.col("text")), measures).alias("w"), symbols.alias("n_symbols"),
+        "doc_id", "__row", F.monotonically_increasing_id().alias("__no"), let(words_of(F.col("text")), measures).alias("w"), symbols.alias("n_symbols"),
         let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).alias("n_dup_lines"))
     long = lambda c, name: F.col(c).cast("long").alias(name)
-    counts = measured.select("doc_id", "__row", long("w.n", "n_words"), long("w.chars", "word_chars"),
+    counts = measured.select("doc_id", "__row", "__no", long("w.n", "n_words"), long("w.chars", "word_chars"),
                              long("n_symbols", "n_symbols"), long("n_dup_lines", "n_dup_lines"),
                              long("w.repeated", "n_repeat_words"), F.col("w.ngrams").alias("ngrams"))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PCT * F.col("n_words"))
@@ -127,7 +127,8 @@ def fit_ratios(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text
 
 
 def judged(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: __row, base counts, base_failed, score, kept."""
+    """One row per document: __row, __no (a row number, in no order that
+    matters), base counts, base_failed, score, kept."""
     ratios = (fit_ratios(docs, trusted, id_col, text_col)
               .agg(F.sort_array(F.collect_list(F.struct("cell", "ratio"))).alias("r"))
               .select(F.transform("r", lambda x: x["ratio"]).alias("r"))).scalar()
@@ -140,9 +141,11 @@ def judged(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col
 
 def judge(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: base counts, base_failed, score, kept."""
-    return judged(docs, trusted, id_col, text_col).drop("__row")
+    return judged(docs, trusted, id_col, text_col).drop("__row", "__no")
 
 
 def drop_rejected(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that the rules keep, with all their columns."""
-    return judged(docs, trusted, id_col, text_col).where("kept").select("__row.*")
+    # the row number keeps the filter above the counts: pushed below them it
+    # would evaluate every count once for each time the verdict uses it
+    return judged(docs, trusted, id_col, text_col).where("kept AND __no >= 0").select("__row.*")
