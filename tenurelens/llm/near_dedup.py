@@ -324,7 +324,8 @@ def confirm(pairs: DataFrame, docs: DataFrame) -> DataFrame:
             keep = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch["a"].filter(keep), batch["b"].filter(keep)], names=["a", "b"])
 
-    full = cut(full_sets(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), docs))
+    ends = [pairs.select(F.col(x).alias("doc_id")).distinct() for x in ("a", "b")]
+    full = cut(full_sets(ends[0].union(ends[1]).distinct(), docs))
     side = lambda x: full.select(F.col("id").alias(x), F.col("shingles").alias(f"set_{x}"))
     joined = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "set_a", "set_b")
     return joined.mapInArrow(similar, "a long, b long")
