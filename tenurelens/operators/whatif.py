@@ -10,7 +10,7 @@ from ..functions.labels import HORIZONS_MONTHS, PAY_CUT_FACTOR
 from .features import ordinal_encode
 from .survival import horizon_probabilities, nelson_aalen, score
 
-OVERRIDABLE = ("monthly_income", "over_time", "years_at_company", "job_role", "job_level")
+OVERRIDABLE = ("monthly_income", "over_time", "years_with_curr_manager", "years_at_company", "job_role", "job_level")
 
 
 def pay_cut_multiplier(old_income: Column, new_income: Column) -> Column:
@@ -20,9 +20,10 @@ def pay_cut_multiplier(old_income: Column, new_income: Column) -> Column:
 
 
 def apply_overrides(cohort: DataFrame, overrides: DataFrame) -> DataFrame:
-    """Entities of the request table with every non-NULL override applied."""
+    """Every entity with its non-NULL overrides applied; one without a request
+    keeps its values."""
     o = overrides.select("emp_key", *[F.col(c).alias(f"o_{c}") for c in OVERRIDABLE if c in overrides.columns])
-    j = cohort.join(o, "emp_key")
+    j = cohort.join(o, "emp_key", "left")
     for c in OVERRIDABLE:
         if f"o_{c}" in j.columns:
             j = j.withColumn(c if c != "monthly_income" else "new_income", F.coalesce(f"o_{c}", c))

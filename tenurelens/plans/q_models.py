@@ -112,20 +112,78 @@ def q_whatif_batch(spark, d):
     from .common import materialized_cohort
     c = materialized_cohort(spark, d)
     k = F.col("emp_key")
-    ov = c.where((k % 10).isin(7, 8, 9)).select(
+    asked = (k % 10).isin(7, 8, 9)
+    ov = c.where(asked).select(
         "emp_key",
         F.when(k % 10 == 7, F.col("monthly_income") * F.lit(0.65)).alias("monthly_income"),
         F.when(k % 10 == 8, F.lit("Yes")).alias("over_time"),
         F.when(k % 10 == 9, F.lit("Senior Level")).alias("job_level"))
+    w = whatif(c, ov, _exposure(c)).where(asked)
+    return w.select("emp_key", *[r(f"prob_{h}m").alias(f"prob_{h}m") for h in (1, 3, 6, 12)],
+                    r("general_risk_score").alias("general_risk_score"))
+
+
+def _exposure(c):
     from ..operators import graph
     from ..operators.cohort import AS_OF_DATE
     n = graph.node_table(c)
     x = graph.exposure_contributions(graph.all_edges(n), n, AS_OF_DATE)
-    ex = graph.exposure_scores(x).join(c.select("emp_key", F.col("employee_id").alias("node")), "node").select(
+    return graph.exposure_scores(x).join(c.select("emp_key", F.col("employee_id").alias("node")), "node").select(
         "emp_key", F.col("exposure_score").alias("exposure"))
-    w = whatif(c, ov, ex)
-    return w.select("emp_key", *[r(f"prob_{h}m").alias(f"prob_{h}m") for h in (1, 3, 6, 12)],
-                    r("general_risk_score").alias("general_risk_score"))
+
+
+# whole cohort: a request for every row but those with emp_key % 6 = 5, each
+# with one of the reference's five fields
+CTES["overrides_all"] = """
+  SELECT emp_key,
+         CASE WHEN emp_key % 6 = 0 THEN monthly_income * CAST(0.65 AS DOUBLE) END AS monthly_income,
+         CASE WHEN emp_key % 6 = 1 THEN 'Yes' END AS over_time,
+         CASE WHEN emp_key % 6 = 2 THEN 0 END AS years_with_curr_manager,
+         CASE WHEN emp_key % 6 = 3 THEN 'EUROPE' END AS job_role,
+         CASE WHEN emp_key % 6 = 4 THEN 'Senior Level' END AS job_level
+  FROM cohort WHERE emp_key % 6 < 5"""
+CTES["cohort_wa"] = """
+  SELECT c.* REPLACE (coalesce(o.monthly_income, c.monthly_income) AS monthly_income,
+                      coalesce(o.over_time, c.over_time) AS over_time,
+                      coalesce(o.job_role, c.job_role) AS job_role,
+                      coalesce(o.job_level, c.job_level) AS job_level,
+                      CAST(CASE coalesce(o.job_level, c.job_level) WHEN 'Entry Level' THEN 1 WHEN 'Junior Level' THEN 2
+                           WHEN 'Mid Level' THEN 3 WHEN 'Senior Level' THEN 4 WHEN 'Executive Level' THEN 5 END
+                           AS INTEGER) AS job_level_rank),
+         coalesce(o.years_with_curr_manager, c.years_at_company % 12) AS years_with_curr_manager,
+         c.monthly_income AS old_income
+  FROM cohort c LEFT JOIN overrides_all o ON c.emp_key = o.emp_key"""
+scored_over("cohort_wa", "wa")
+CTES["whatif_pa"] = """
+  SELECT s.*, exp(least(greatest(s.margin, -15), 15)) * (1.0 + coalesce(x.exposure_score, 0.0)) AS m,
+         CASE WHEN s.monthly_income < s.old_income
+              THEN 1.0 + (s.old_income - s.monthly_income) / s.old_income * 3.0 ELSE 1.0 END AS pen
+  FROM scored_wa s LEFT JOIN exposure x ON s.employee_id = x.node"""
+
+
+@query("whatif_cohort", with_ctes(
+    "SELECT emp_key, over_time, years_with_curr_manager, job_role, job_level, "
+    + ", ".join(f"round({_wi(h)}, 9) AS prob_{h}m" for h in (1, 3, 6, 12))
+    + ", round(CASE WHEN pen > 1 THEN least((1 - pow((SELECT s0 FROM near WHERE hz = 12), m)) * 100.0 * pen, 100.0)"
+      " ELSE (1 - pow((SELECT s0 FROM near WHERE hz = 12), m)) * 100.0 END, 9) AS general_risk_score FROM whatif_pa"))
+def q_whatif_cohort(spark, d):
+    """Overrides of all five fields over the whole cohort, the field chosen by
+    the key; rows without a request keep their values.  Role and years with
+    the manager feed no feature of the fixed model, so they are returned."""
+    from .common import materialized_cohort
+    c = materialized_cohort(spark, d).withColumn("years_with_curr_manager", F.col("years_at_company") % 12)
+    k = F.col("emp_key")
+    ov = c.where(k % 6 < 5).select(
+        "emp_key",
+        F.when(k % 6 == 0, F.col("monthly_income") * F.lit(0.65)).alias("monthly_income"),
+        F.when(k % 6 == 1, F.lit("Yes")).alias("over_time"),
+        F.when(k % 6 == 2, F.lit(0).cast("bigint")).alias("years_with_curr_manager"),
+        F.when(k % 6 == 3, F.lit("EUROPE")).alias("job_role"),
+        F.when(k % 6 == 4, F.lit("Senior Level")).alias("job_level"))
+    return whatif(c, ov, _exposure(c)).select(
+        "emp_key", "over_time", "years_with_curr_manager", "job_role", "job_level",
+        *[r(f"prob_{h}m").alias(f"prob_{h}m") for h in (1, 3, 6, 12)],
+        r("general_risk_score").alias("general_risk_score"))
 
 
 CTES["hist_w"] = f"""

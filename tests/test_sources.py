@@ -74,6 +74,20 @@ def test_caps_apply_to_pay_cuts_only(spark, monkeypatch):
     assert got == {1: (0.9999, 99.99), 2: (0.999, 100.0)}
 
 
+def test_overrides_reach_all_fields_and_keep_other_rows(spark):
+    people = spark.createDataFrame([(i, 100.0, "No", 4, "r", "Entry Level") for i in range(6)],
+                                   "emp_key long, monthly_income double, over_time string, "
+                                   "years_with_curr_manager long, job_role string, job_level string")
+    asked = spark.createDataFrame([(0, 65.0, None, None, None, None), (1, None, "Yes", None, None, None),
+                                   (2, None, None, 0, None, None), (3, None, None, None, "x", None),
+                                   (4, None, None, None, None, "Senior Level")], people.schema)
+    got = {r.emp_key: (r.old_income, r.monthly_income, r.over_time, r.years_with_curr_manager, r.job_role, r.job_level_rank)
+           for r in whatif.apply_overrides(people, asked).collect()}
+    assert got == {0: (100.0, 65.0, "No", 4, "r", 1), 1: (100.0, 100.0, "Yes", 4, "r", 1),
+                   2: (100.0, 100.0, "No", 0, "r", 1), 3: (100.0, 100.0, "No", 4, "x", 1),
+                   4: (100.0, 100.0, "No", 4, "r", 4), 5: (100.0, 100.0, "No", 4, "r", 1)}
+
+
 def test_every_row_is_numbered(spark):
     rows = spark.range(10).select((F.col("id") * 40_000).alias("k"))
     got = [(r.k, r.employee_code) for r in surrogate_keys(rows, "k").orderBy("k").collect()]
