@@ -2,9 +2,9 @@
 
 Base rules count words, symbols, repeated lines and words in repeated 8-word
 windows of the whole text.  The verdict on the rest is a likelihood ratio:
-words and the character trigrams that
-end them are hashed into ``BUCKETS`` cells; the trusted target (documents labelled of good quality and not toxic) and the
-raw corpus (every document) are two multinomials over the cells, and a text's
+words, the character trigrams that end them and pairs of neighbouring words
+are hashed into ``BUCKETS`` cells; the trusted target (documents labelled of
+good quality and not toxic) and the raw corpus (every document) are two multinomials over the cells, and a text's
 score is its mean log ratio per n-gram.  ``kept`` is score >= ``THRESHOLD``,
 the same for every document.
 
@@ -84,7 +84,7 @@ def base_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         return let(word_hashes(words), lambda h: F.struct(
             F.size(words).alias("n"), F.length(F.array_join(words, "")).alias("chars"),
             let(window_hashes(h), lambda windows: repeated_words(words, windows)).alias("repeated"),
-            F.concat(h, F.transform(words, ending)).alias("ngrams")))
+            ngrams_of(words, h).alias("ngrams")))
 
     measured = texts.select(
         "doc_id", "__row", F.monotonically_increasing_id().alias("__no"), let(words_of(F.col("text")), measures).alias("w"), symbols.alias("n_symbols"),
@@ -102,6 +102,13 @@ def ending(word: Column) -> Column:
     return F.xxhash64(F.substring(word, -ENDING, ENDING), F.lit(ENDING))
 
 
+def ngrams_of(words: Column, h: Column) -> Column:
+    """Hashes of the words, their endings and the pairs of neighbours, given
+    the word hashes."""
+    pairs = F.transform(F.slice(h, 1, F.greatest(F.size(h) - 1, F.lit(0))), lambda x, i: F.xxhash64(x, F.get(h, i + 1)))
+    return F.concat(h, F.transform(words, ending), pairs)
+
+
 def cell(ngram: Column) -> Column:
     return F.pmod(ngram, F.lit(BUCKETS)).cast("int")
 
@@ -114,8 +121,9 @@ def fit_ratios(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text
     text = text_of(docs, text_col)
     ngrams = (docs.select(docs[id_col].alias("__id"), text.alias("text"))
               .join(F.broadcast(chosen), F.col("__id") == F.col("__t"), "left")  # at most TRUSTED_ROWS ids
-              .select(F.coalesce("good", F.lit(0)).alias("good"), F.explode(words_of(F.col("text"))).alias("w"))
-              .select("good", F.explode(F.array(F.xxhash64("w"), ending(F.col("w")))).alias("ngram")))
+              .select(F.coalesce("good", F.lit(0)).alias("good"),
+                      F.explode(let(words_of(F.col("text")), lambda words: let(
+                          word_hashes(words), lambda h: ngrams_of(words, h)))).alias("ngram")))
     cells = (ngrams.groupBy(cell(F.col("ngram")).alias("cell"))
              .agg(F.count(F.lit(1)).alias("raw"), F.sum("good").alias("target")))
     table = (spark.range(BUCKETS).select(F.col("id").cast("int").alias("cell")).join(cells, "cell", "left")

@@ -50,6 +50,28 @@ def test_quality_separates_labels(spark):
     assert seen[1, False] == 0 and seen[0, False] > 10 * seen[0, True]
 
 
+def test_quality_tells_shuffled_text_from_its_original(spark):
+    rnd = random.Random(4)
+    words = [f"w{i}{string.ascii_lowercase[i % 26] * 3}" for i in range(30)]
+    after = {w: rnd.sample(words, 3) for w in words}
+
+    def prose():
+        text = [rnd.choice(words)]
+        while len(text) < 100:
+            text.append(rnd.choice(after[text[-1]]))
+        return text
+
+    shuffled = lambda text: " ".join(rnd.sample(text, len(text)))
+    rows = [(i, " ".join(prose())) for i in range(50)] + [(i, shuffled(prose())) for i in range(50, 250)]
+    for i in range(300, 320):
+        text = prose()
+        rows += [(i, " ".join(text)), (i + 100, shuffled(text))]
+    found = {r.doc_id: r for r in quality.judge(spark.createDataFrame(rows, "doc_id long, text string"),
+                                                labels(spark, range(50))).collect()}
+    for i in range(300, 320):
+        assert found[i].kept and not found[i + 100].base_failed and not found[i + 100].kept
+
+
 def test_quality_odd_rows(spark, odd, empty):
     rows = quality.judge(odd, labels(spark, [4, 7])).collect()
     texts = odd.select("doc_id", "text").collect()
