@@ -9,8 +9,9 @@
   round: per-time sums of exp(F) (one aggregation, time-domain sized) →
   per-row gradient and hessian through a broadcast join on time → a Spark ML
   regression tree fitted to the Newton target with hessian weights →
-  F += rate · tree.  The state is checkpointed to the shared checkpoint
-  folder every round, so a lost executor replays at most one round.
+  F += rate · tree.  The margins (row, F) are checkpointed to the shared
+  checkpoint folder every round, so a lost executor replays at most one round.
+  The loss on held-out rows ends the rounds early.
 """
 from __future__ import annotations
 
@@ -136,50 +137,64 @@ def coefficient_classes(coefs: DataFrame, alpha: float = 0.05) -> DataFrame:
         F.when(sig & (F.col("coef") > 0), "killer").when(sig, "shield").otherwise("noise").alias("class"))
 
 
-def _time_table(state: DataFrame, spark):
-    """Per distinct time: deaths and the risk-set sum of exp(F); Breslow
-    cumulative terms A(t) = sum d/S0, B(t) = sum d/S0^2 over event times <= t."""
-    rows = (state.groupBy("t").agg(F.sum(F.exp("F")).alias("w"), F.sum("e").alias("d"))
-            .orderBy("t").collect())
-    t = np.array([r["t"] for r in rows]); w = np.array([r["w"] for r in rows]); d = np.array([r["d"] for r in rows],
-                                                                                              dtype=float)
+def _time_table(rows):
+    """Times, Breslow cumulative terms A(t) = sum d/S0, B(t) = sum d/S0^2 over
+    event times <= t, and the negative log partial likelihood, from the sums
+    of a time (deaths, exp(F), F of the deaths) in order of time."""
+    t = [r["t"] for r in rows]
+    w, d, ef = (np.array([r[c] for r in rows], dtype=float) for c in ("w", "d", "ef"))
     s0 = np.cumsum(w[::-1])[::-1]
-    a = np.cumsum(d / s0); b = np.cumsum(d / s0 ** 2)
-    loss_const = float((d * np.log(s0)).sum())
-    tab = spark.createDataFrame([(float(x), float(y), float(zv)) for x, y, zv in zip(t, a, b)],
-                                "t double, A double, B double")
-    return tab, loss_const, len(rows)
+    return t, np.cumsum(d / s0), np.cumsum(d / s0 ** 2), float((d * np.log(s0)).sum() - ef.sum())
 
 
-def boosted_cox(df: DataFrame, features: list[str], time: str, event: str, id_col: str, rounds: int = 10,
-                learning_rate: float = 0.05, max_depth: int = 4, min_instances: int = 10):
-    """Returns (final state DataFrame with margin F, per-round loss rows,
-    summed feature importances)."""
+def boosted_cox(df: DataFrame, features: list[str], time: str, event: str, id_col: str, rounds: int = 120,
+                learning_rate: float = 0.05, max_depth: int = 4, min_instances: int = 10,
+                validation: float = 0.15, patience: int = 30):
+    """Returns (state DataFrame with margin F, per-round loss rows, summed
+    feature importances).
+
+    The share ``validation`` of the ids (by hash) is not trained on; boosting
+    ends ``patience`` rounds after its lowest loss, and margin and importances
+    are those of that round.  Without an event among them all rounds run.
+    """
     spark = df.sparkSession
     va = VectorAssembler(inputCols=features, outputCol="features", handleInvalid="keep")
-    state = va.transform(df.select(F.col(id_col), F.col(time).cast("double").alias("t"),
-                                   F.col(event).cast("int").alias("e"), *[F.col(c).cast("double") for c in features]))
-    state = cut_lineage(state.select(id_col, "t", "e", "features").withColumn("F", F.lit(0.0)))
-    n = state.count()
-    losses, importance = [], np.zeros(len(features))
+    base = va.transform(df.select(F.col(id_col), F.col(time).cast("double").alias("t"),
+                                  F.col(event).cast("int").alias("e"), *[F.col(c).cast("double") for c in features]))
+    held = F.pmod(F.xxhash64(id_col), F.lit(1 << 20)) < F.lit(round(validation * (1 << 20)))
+    base = cut_lineage(base.select(id_col, "t", "e", "features", held.alias("held"),
+                                   F.monotonically_increasing_id().alias("row")))
+    margin = base.select("row", F.lit(0.0).alias("F"))
+    losses, trees, best, best_margin = [], [], (math.inf, 0), margin
     for rnd in range(rounds + 1):
-        tab, const, k = _time_table(state, spark)
-        ef = state.agg(F.sum(F.col("e") * F.col("F"))).first()[0] or 0.0
-        losses.append((rnd, float((const - ef) / n)))
-        if rnd == rounds:
+        state = base.join(margin, "row")
+        sums = (state.groupBy("held", "t").agg(F.sum(F.exp("F")).alias("w"), F.sum("e").alias("d"),
+                                               F.count(F.lit(1)).alias("n"), F.sum(F.col("e") * F.col("F")).alias("ef"))
+                .orderBy("t").collect())
+        parts = {h: [r for r in sums if r["held"] == h] for h in (False, True)}
+        mean = lambda h, total: total / sum(r["n"] for r in parts[h]) if parts[h] else None
+        t, a, b, loss = _time_table(parts[False])
+        valid = mean(True, _time_table(parts[True])[3]) if sum(r["d"] for r in parts[True]) else None
+        losses.append((rnd, mean(False, loss), valid))
+        if valid is None or valid < best[0]:
+            best, best_margin = (math.inf if valid is None else valid, rnd), margin
+        if rnd == rounds or rnd - best[1] >= patience:
             break
-        tab = F.broadcast(tab) if k <= MAX_BROADCAST_TIMES else tab
-        g = state.join(tab, "t")
+        tab = spark.createDataFrame([(float(x), float(y), float(zv)) for x, y, zv in zip(t, a, b)],
+                                    "t double, A double, B double")
+        g = state.where("NOT held").join(F.broadcast(tab) if len(t) <= MAX_BROADCAST_TIMES else tab, "t")
         w = F.exp("F")
         grad = F.col("e") - w * F.col("A")
         hess = F.greatest(w * F.col("A") - w * w * F.col("B"), F.lit(1e-12))
-        train = g.select(id_col, "t", "e", "features", "F", (grad / hess).alias("target"), hess.alias("hw"))
+        train = g.select("features", (grad / hess).alias("target"), hess.alias("hw"))
         tree = DecisionTreeRegressor(featuresCol="features", labelCol="target", weightCol="hw", maxDepth=max_depth,
                                      minInstancesPerNode=min_instances, seed=42).fit(train)
-        importance += tree.featureImportances.toArray()
-        state = cut_lineage(tree.transform(train).select(
-            id_col, "t", "e", "features", (F.col("F") + learning_rate * F.col("prediction")).alias("F")))
-    loss_df = spark.createDataFrame(losses, "round int, loss double")
+        trees.append(tree.featureImportances.toArray())
+        margin = cut_lineage(tree.transform(state).select(
+            "row", (F.col("F") + learning_rate * F.col("prediction")).alias("F")))
+    importance = sum(trees[:best[1]], np.zeros(len(features)))
+    state = base.join(best_margin, "row").select(id_col, "t", "e", "features", "F")
+    loss_df = spark.createDataFrame(losses, "round int, loss double, valid_loss double")
     imp = spark.createDataFrame([(c, float(v)) for c, v in zip(features, importance)],
                                 T.StructType([T.StructField("feature", T.StringType()),
                                               T.StructField("importance", T.DoubleType())]))

@@ -36,15 +36,16 @@ def q_coef_classes(spark, d):
     return models.coefficient_classes(coefs)
 
 
-def _boost(spark, d, rounds=8):
+def _boost(spark, d, rounds=120):
     return models.boosted_cox(_fit_frame(spark, d), _FEATS, "years_at_company", "attrition", "emp_key",
                               rounds=rounds, learning_rate=0.05, max_depth=4)
 
 
 @query("boosted_cox_fit", None)
 def q_boosted_cox_fit(spark, d):
-    """Per-round training loss (negative Breslow partial log-likelihood / n)
-    of the boosted Cox model; round 0 is the null model."""
+    """Per-round loss (negative Breslow partial log-likelihood / n) of the
+    boosted Cox model on the training and the held-out rows; round 0 is the
+    null model."""
     _, losses, _ = _boost(spark, d)
     return losses
 

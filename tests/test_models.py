@@ -60,3 +60,22 @@ def test_boosting_lowers_loss(spark):
     ls = [r.loss for r in losses.orderBy("round").collect()]
     assert ls[-1] < ls[0]
     assert len(imp.collect()) == 2
+
+
+def test_boosting_stops_on_the_validation_loss(spark):
+    rnd = random.Random(3)
+    rows = [(i, float(rnd.randint(1, 20)), int(rnd.random() < 0.5), rnd.random()) for i in range(200)]
+    df = spark.createDataFrame(rows, "id long, t double, e int, a double")  # noise
+    state, losses, _ = models.boosted_cox(df, ["a"], "t", "e", "id", rounds=15, learning_rate=0.5, patience=2,
+                                          min_instances=5)
+    valid = [r.valid_loss for r in losses.orderBy("round").collect()]
+    best = valid.index(min(valid))
+    assert len(valid) == best + 3 < 16  # two rounds after the lowest loss
+    assert state.count() == 200 and (best > 0 or state.where("F != 0").count() == 0)
+
+
+def test_boosting_runs_the_rounds_of_the_reference():
+    import inspect
+
+    from tenurelens.plans.q_models import _boost
+    assert inspect.signature(_boost).parameters["rounds"].default == 120
