@@ -15,12 +15,13 @@ scored whole, each distinct word of a block of texts once.
 
 Cases: null texts and texts without a letter are ``und`` with score 0, as is
 everything where no language was learned; equal likelihoods go to the first
-language in order; words of more than ``RUN`` characters are scored in runs;
-characters outside the vocabulary have the probability ``UNKNOWN``; repeated
+language in order; words of any length are summed whole, with prefixes scaled by powers
+of two so that none underflows; characters outside the vocabulary have the probability ``UNKNOWN``; repeated
 rows get equal results; an empty table stays empty.
 """
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 
@@ -33,12 +34,12 @@ from .base import cut
 
 TRAIN_DOCS = 2000  # documents a language, about
 ROUNDS = 2
-LONGEST = 8  # characters of a piece
-RUN = 32
 UNKNOWN = 1e-7
 SMOOTHING = 0.1
+SAFE = 256  # bits a prefix may grow or shrink before it is scaled
 BLOCK = 1024  # texts scored at a time
-WORDS = 16384  # distinct words scored at a time
+WORDS, CHARS = 16384, 1 << 19  # distinct words and their characters scored at a time, or one longer word
+PLAIN = 32  # characters of a word whose prefixes cannot underflow
 UNDETERMINED = "und"
 _LETTER = re.compile(r"[^\W\d_]")
 _U = np.uint64
@@ -47,13 +48,13 @@ _FILTER_BITS = 22
 
 
 def vocabulary(path: str) -> list[str]:
-    """Lower-case pieces of at most ``LONGEST`` characters of a public
-    sentence-piece model; U+2581 marks the start of a word."""
+    """Lower-case pieces of a public sentence-piece model; U+2581 marks the
+    start of a word."""
     import sentencepiece
     model = sentencepiece.SentencePieceProcessor(model_file=path)
     pieces = (model.id_to_piece(i).lower() for i in range(model.get_piece_size())
               if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i)))
-    return sorted({p for p in pieces if 0 < len(p) <= LONGEST})
+    return sorted({p for p in pieces if p})
 
 
 class Lattice:
@@ -66,6 +67,7 @@ class Lattice:
         self.filter = np.zeros(1 << _FILTER_BITS, dtype=bool)
         self.filter[self.keys >> _U(64 - _FILTER_BITS)] = True
         self.size = len(pieces)
+        self.longest = max(map(len, pieces), default=1)  # characters of a piece
 
     @staticmethod
     def _key(piece: str) -> int:
@@ -83,9 +85,9 @@ class Lattice:
         starts = np.concatenate(([0], np.cumsum(lengths + 1)))[:-1]
         chars = np.frombuffer("\n".join([*words, ""]).encode("utf-32-le"), dtype=np.uint32).astype(_U) + _U(1)
         inside = chars != _U(11)  # not the line end between words
-        ids = np.full((LONGEST, len(chars)), -1, dtype=np.int32)
+        ids = np.full((self.longest, len(chars)), -1, dtype=np.int32)
         h, fits = np.zeros(len(chars), dtype=_U), np.ones(len(chars), dtype=bool)
-        for n in range(1, LONGEST + 1):
+        for n in range(1, self.longest + 1):
             m = len(chars) - n + 1
             if m <= 0:
                 break
@@ -100,53 +102,85 @@ class Lattice:
         steps = []
         for j in range(int(lengths[0]) if len(words) else 0):
             live = starts[:np.searchsorted(-lengths, -j, side="left")] + j
-            for n in range(1, LONGEST + 1):
+            for n in range(1, self.longest + 1):
                 found = ids[n - 1, live]
                 ok = found >= 0
                 if ok.any():
                     steps.append((live[ok], found[ok], n))
         return starts, lengths, steps
 
-    def forward(self, words: list[str], p: np.ndarray) -> tuple[np.ndarray, tuple]:
-        """Probability of every prefix under ``p`` (pieces + 1, languages)."""
+    def forward(self, words: list[str], p: np.ndarray) -> tuple[np.ndarray, np.ndarray, tuple]:
+        """Probability of every prefix under ``p`` (pieces + 1, languages), as
+        a number and the power of two it is multiplied with (None: all 0)."""
         starts, lengths, steps = lattice = self.steps(words)
         alpha = np.zeros((int((lengths + 1).sum()) + 1, p.shape[1]))
+        power = np.zeros(alpha.shape, dtype=np.int32) if lengths[0] > PLAIN else None
         alpha[starts] = 1.0
         for at, ids, n in steps:
-            alpha[at + n] += alpha[at] * p[ids]
-        return alpha, lattice
+            _add(alpha, power, at + n, alpha[at] * p[ids], at)
+        return alpha, power, lattice
 
     def word_scores(self, words: list[str], p: np.ndarray) -> np.ndarray:
         """Log probability of each word (longest first) in each language."""
-        alpha, (starts, lengths, _) = self.forward(words, p)
-        return np.log(alpha[starts + lengths])
+        alpha, power, (starts, lengths, _) = self.forward(words, p)
+        ends = starts + lengths
+        return np.log(alpha[ends]) + (0 if power is None else power[ends] * math.log(2))
 
     def expected(self, words: list[str], weights: np.ndarray, p: np.ndarray) -> np.ndarray:
         """Expected uses of each piece; ``weights``: words x languages."""
-        alpha, (starts, lengths, steps) = self.forward(words, p)
-        beta = np.zeros_like(alpha)
-        beta[starts + lengths] = weights / alpha[starts + lengths]
+        alpha, power, (starts, lengths, steps) = self.forward(words, p)
+        ends = starts + lengths
+        beta, less = np.zeros_like(alpha), None if power is None else np.zeros_like(power)
+        beta[ends] = weights / alpha[ends]
+        if power is not None:
+            less[ends] = -power[ends]
         counts = np.zeros_like(p)
         for at, ids, n in reversed(steps):
             use = p[ids] * beta[at + n]
-            np.add.at(counts, ids, alpha[at] * use)
-            beta[at] += use
+            uses = alpha[at] * use
+            np.add.at(counts, ids, uses if power is None else np.ldexp(uses, power[at] + less[at + n]))
+            _add(beta, less, at, use, at + n)
         return counts
 
 
-def word_runs(text: str) -> list[str]:
-    """Lower-case words with their start mark, long ones in runs."""
-    words = ["▁" + w for w in text.lower().split()]
-    if max(map(len, words), default=0) <= RUN:
-        return words
-    return [w[i:i + RUN] for w in words for i in range(0, len(w), RUN)]
+def _add(value: np.ndarray, power: np.ndarray | None, at: np.ndarray, more: np.ndarray, source: np.ndarray) -> None:
+    """value[at] 2^power[at] += more 2^power[source], for distinct places
+    ``at``; numbers under 2^-SAFE or over 2^SAFE get a new power."""
+    if power is None:
+        value[at] += more
+        return
+    more_power = power[source]
+    old, old_power = value[at], power[at]
+    if (old_power != more_power).any():
+        new = np.where(old == 0, more_power, np.where(more == 0, old_power, np.maximum(old_power, more_power)))
+        old, more = np.ldexp(old, old_power - new), np.ldexp(more, more_power - new)
+    else:
+        new = old_power
+    total = old + more
+    far = (total != 0) & ((total < 2.0 ** -SAFE) | (total > 2.0 ** SAFE))
+    if far.any():
+        total, bits = np.where(far, np.frexp(total)[0], total), np.where(far, np.frexp(total)[1], 0)
+        new = new + bits
+    value[at], power[at] = total, new
+
+
+def marked_words(text: str) -> list[str]:
+    """Lower-case words with their start mark."""
+    return ["▁" + w for w in text.lower().split()]
 
 
 def _blocks(words: list[str]) -> Iterator[np.ndarray]:
-    """Indices of ``words``, longest first, ``WORDS`` at a time."""
-    order = np.argsort(-np.array([len(w) for w in words]), kind="stable")
-    for at in range(0, len(order), WORDS):
-        yield order[at:at + WORDS]
+    """Indices of ``words``, longest first, at most ``WORDS`` and about
+    ``CHARS`` characters at a time, those over ``PLAIN`` apart."""
+    lengths = np.array([len(w) for w in words], dtype=np.int64)
+    order = np.argsort(-lengths, kind="stable")
+    sums = np.concatenate(([0], np.cumsum(lengths[order] + 1)))
+    long, at = int((lengths > PLAIN).sum()), 0
+    while at < len(order):
+        end = int(np.searchsorted(sums, sums[at] + CHARS, side="right")) - 1
+        end = max(at + 1, min(end, at + WORDS, long if at < long else len(order)))
+        yield order[at:end]
+        at = end
 
 
 def fit(docs: DataFrame, pieces: list[str]) -> tuple[list[str], np.ndarray]:
@@ -169,7 +203,7 @@ def fit(docs: DataFrame, pieces: list[str]) -> tuple[list[str], np.ndarray]:
         for batch in batches:
             found: dict[tuple[int, str], int] = {}
             for n, text in zip(batch["n"].to_pylist(), batch["text"].to_pylist(), strict=True):
-                for w in word_runs(text):
+                for w in marked_words(text):
                     found[n, w] = found.get((n, w), 0) + 1
             yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in found], pa.int32()),
                                               pa.array([k[1] for k in found], pa.string()),
@@ -207,7 +241,7 @@ def predict(docs: DataFrame, pieces: list[str], languages: list[str], p: np.ndar
 
     def judge(lattice: Lattice, texts: list[str]) -> tuple[list[str], np.ndarray]:
         ids: dict[str, int] = {}
-        rows = [np.array([ids.setdefault(w, len(ids)) for w in word_runs(t)], dtype=np.int64) for t in texts]
+        rows = [np.array([ids.setdefault(w, len(ids)) for w in marked_words(t)], dtype=np.int64) for t in texts]
         words = list(ids)
         logs = np.empty((len(words), len(languages)))
         for at in _blocks(words):

@@ -291,6 +291,30 @@ def test_language_forward_sums_all_segmentations():
         assert np.allclose(lattice.expected(words, weights, p)[i], (change * weights).sum(axis=0), rtol=1e-3, atol=1e-4)
 
 
+def test_language_words_are_whole_and_pieces_of_any_length():
+    pieces = ["a", "b", "ab", "▁", "abababababab"]
+    p = np.vstack([np.random.default_rng(2).random((len(pieces), 2)) * 1e-3, [[1e-7, 1e-7]]])
+    lattice = language_id.Lattice(pieces)
+
+    def log_total(word):  # backward over suffixes, in log space
+        log = [np.zeros(2)]
+        for k in range(len(word) - 1, -1, -1):
+            terms = [np.log(p[i]) + log[len(word) - k - len(x)] for i, x in enumerate(pieces) if word.startswith(x, k)]
+            log.append(np.logaddexp.reduce(terms or [np.log(p[-1]) + log[-1]], axis=0))
+        return log[-1]
+
+    words = ["▁" + "ab" * 1500 + "c", "▁" + "c" * 900, "▁" + "b" * 60, "▁" + "abababababab" * 3, "▁abababababab", "▁ab"]
+    assert [language_id.marked_words(w[1:].upper()) for w in words] == [[w] for w in words]
+    assert np.allclose(lattice.word_scores(words, p), [log_total(w) for w in words], rtol=1e-12)
+    weights = np.array([[1.0, 2.0]] * len(words))
+    uses = lattice.expected(words, weights, p)
+    size = np.array([*map(len, pieces), 1])
+    assert np.allclose(size @ uses, sum(map(len, words)) * weights[0])  # every character is used once
+    assert "▁messages" in language_id.vocabulary(public_tokenizers.path("piece_bpe_32k.model"))
+    blocks = [[len(words[i]) for i in b] for b in language_id._blocks(words)]
+    assert sum(blocks, []) == sorted(map(len, words), reverse=True) and all(min(b) > 32 or max(b) <= 32 for b in blocks)
+
+
 def test_language_accuracy_on_held_out(spark):
     sf = "/root/testdata/sf0.01"
     rows = op10(spark, sf).join(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang"), "doc_id").collect()
