@@ -1,10 +1,11 @@
 """Packing documents into sequences by minimum bin slack.
 
-Documents become token ids (a public byte-level BPE) plus an end id; only
-documents longer than a sequence are cut.  Sequences are filled one after the
-other: the longest piece left opens a sequence and a subset-sum table over the
-lengths left (a bitset of reachable fills, each length up to as often as it is
-left) finds the fullest combination for the rest, which is then removed.
+Documents become token ids (a public byte-level BPE, strings of its added
+tokens as those tokens) plus an end id; only documents longer than a sequence
+are cut.  Sequences are filled one after the other: the longest piece left
+opens a sequence and a subset-sum table over the lengths left (a bitset of
+reachable fills, each length up to as often as it is left) finds the fullest
+combination for the rest, which is then removed.
 
 Pieces of one length are alike, so the search needs only the number of pieces
 of every length: at most ``CAPACITY`` numbers, whatever the size of the
@@ -23,10 +24,7 @@ empty table gives an empty result.
 """
 from __future__ import annotations
 
-import os
-import re
 import zlib
-from array import array
 from collections import Counter
 from collections.abc import Iterator
 
@@ -37,87 +35,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .base import cut
+from .byte_bpe import ByteBpe
 
 CAPACITY = 2048
 END_ID = 0
-MEMO_UNITS = 800_000  # words whose ids a task remembers; beyond it starts anew
 PIECE = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()),
                    ("ids_crc32", pa.int64()), ("part", pa.int32()), ("place", pa.int64())])
 
-# A space or line end before anything but white space always begins a token,
-# so texts may be cut there; other texts go to the tokenizer whole.
-_UNSAFE = re.compile(r"[ \n](?:\s|\Z)|\s\n")
-_PUNCTUATION = ".,;:!?"  # a run of these after letters is a token's worth of text
-
-
-
-def _byte_letters() -> dict[int, str]:
-    """The printable letter that byte-level BPE writes for each byte."""
-    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    other = [b for b in range(256) if b not in plain]
-    return {b: chr(b) for b in plain} | {b: chr(0x100 + i) for i, b in enumerate(other)}
-
-
-class Encoder:
-    """Ids of whole texts as little-endian 32-bit bytes.
-
-    Equal words have equal ids, so each distinct word goes through the
-    tokenizer once as long as the task remembers it.  Words of plain letters
-    go to its model at once, any other through its whole pipeline.
-    """
-
-    def __init__(self, path: str):
-        from tokenizers import Tokenizer
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their names in a text are plain text
-        self.model, self.letters = self.tokenizer.model, _byte_letters()
-        self.memo: dict[str, bytes] = {}
-        self.rest: dict[str, bytes] = {"": b""}
-
-    def ids(self, text: str) -> bytes:
-        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
-
-    def _learn(self, words: set[str]) -> None:
-        """Ids of words as they stand after a space, or after the line end
-        that they begin with."""
-        memo, rest, tails, plain = self.memo, self.rest, {}, []
-        for word in words:
-            core = word.rstrip(_PUNCTUATION)
-            letters = core[1:] if core[:1] == "\n" else core
-            if letters.isalpha() and max(letters) < "\u0250":
-                tails[word] = core, word[len(core):]
-                if core not in memo:
-                    plain.append(core)
-            else:
-                memo[word] = self.ids(word if word[:1] == "\n" else " " + word)
-        cores = list(dict.fromkeys(plain))
-        spelled = " ".join(c[1:] if c[:1] == "\n" else c for c in cores).encode().decode("latin-1")
-        line, space = self.ids("\n"), chr(0x120)
-        for core, text in zip(cores, spelled.translate(self.letters).split(space) if cores else (), strict=True):
-            if core[:1] == "\n":
-                memo[core] = line + array("I", [t.id for t in self.model.tokenize(text)]).tobytes()
-            else:
-                memo[core] = array("I", [t.id for t in self.model.tokenize(space + text)]).tobytes()
-        for word, (core, tail) in tails.items():
-            if tail not in rest:
-                rest[tail] = self.ids(tail)
-            memo[word] = memo[core] + rest[tail]
-
-    def encode(self, texts: list[str]) -> Iterator[bytes]:
-        memo = self.memo
-        for text in texts:
-            if _UNSAFE.search(text):
-                yield self.ids(text)
-                continue
-            if len(memo) > MEMO_UNITS:
-                memo.clear()
-            first, *words = text.replace("\n", " \n").split(" ")
-            unknown = set(words).difference(memo)
-            if unknown:
-                self._learn(unknown)
-            yield b"".join([self.ids(first) if first else b"", *map(memo.__getitem__, words)])
-
 
 def cut_lengths(total: int, capacity: int = CAPACITY) -> list[int]:
     """Lengths of a document's pieces; only the first may be shorter."""
@@ -132,11 +56,11 @@ def tokenise(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col:
     end = np.array([END_ID], dtype="<u4").tobytes()
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, seen, enc = TaskContext.get().partitionId(), Counter(), Encoder(tokenizer)
+        part, seen, bpe = TaskContext.get().partitionId(), Counter(), ByteBpe(tokenizer, special=True)
         for batch in batches:
             columns: list[list] = [[] for _ in PIECE]
-            for doc_id, data in zip(batch["doc_id"].to_pylist(), enc.encode(batch["text"].to_pylist()), strict=True):
-                data, start = data + end, 0
+            for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), strict=True):
+                data, start = np.array(bpe.encode(text), dtype="<u4").tobytes() + end, 0
                 for i, n in enumerate(cut_lengths(len(data) // 4, capacity)):
                     crc = zlib.crc32(data[4 * start:4 * (start + n)])
                     for column, value in zip(columns, (doc_id, i, start, n, crc, part, seen[n]), strict=True):

@@ -14,6 +14,7 @@ from conftest import SF
 from pyspark.sql import functions as F
 
 from tenurelens.llm import language_id, near_dedup, packing, repeated_bytes, sharding, warc
+from tenurelens.llm.byte_bpe import ByteBpe
 from tenurelens.llm.queries import QUERIES, SHARDS, op10
 from tenurelens.session import ensure_checkpoint_dir
 
@@ -215,10 +216,9 @@ def check_packing(rows, docs, tokenizer):
 
 
 def whole_tokenizer():
+    """The file as it is: added tokens in a text are those tokens."""
     from tokenizers import Tokenizer
-    t = Tokenizer.from_file(BPE)
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(BPE)
 
 
 def test_packing(spark, table):
@@ -234,11 +234,15 @@ def test_packing_odd_rows(spark, odd, empty):
     assert packing.pack(empty, BPE).count() == 0
 
 
-def test_encoder_equals_the_tokenizer():
-    rnd, enc = random.Random(9), packing.Encoder(BPE)
-    texts = ["".join(rnd.choice("ab \n\t.,'s1é\U0001D4B3 \x1c\x85|<!?") for _ in range(rnd.randrange(25))) for _ in range(3000)]
-    texts += ["don't  we'll\n\n x", "<|endoftext|>", " a", "a ", "\na", "a\n", "été, über: Straße!"]
-    assert [bytes(x) for x in enc.encode(texts)] == [enc.ids(t) for t in texts]
+@pytest.mark.parametrize("special", [True, False])
+def test_byte_bpe_equals_the_tokenizer(special):
+    rnd, bpe, whole = random.Random(9), ByteBpe(BPE, special), whole_tokenizer()
+    whole.encode_special_tokens = not special
+    texts = ["".join(rnd.choice("ab \n\t.,'s1é\U0001D4B3 \x1c\x85|<!?’") for _ in range(rnd.randrange(25))) for _ in range(3000)]
+    texts += ["".join(chr(rnd.randrange(0x20, 0x250)) for _ in range(rnd.randrange(40))) for _ in range(3000)]
+    texts += ["don't  we'll\n\n x", "<|endoftext|>", "a <|endoftext|> b", " a", "a ", "\na", "a\n", "été, über: Straße!", ""]
+    assert [bpe.encode(t) for t in texts] == [whole.encode(t, add_special_tokens=False).ids for t in texts]
+    assert bpe.encode("a <|endoftext|> b") == ([64, 220, 50256, 275] if special else whole.encode("a <|endoftext|> b").ids)
 
 
 def test_fullest_equals_subset_sums():
