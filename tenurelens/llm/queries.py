@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir
 from ..sources.tables import scan
-from . import exact_dedup, language_id, mixing, near_dedup, packing, quality, repeated_bytes, secrets, sharding, warc
+from . import (alignment, conversations, exact_dedup, jaccard_join, language_id, mixing, near_dedup, packing, quality,
+               repeated_bytes, secrets, sharding, warc)
 from .base import ORACLE, QUERIES, query
 
 __all__ = ["QUERIES", "ORACLE"]
@@ -110,3 +111,20 @@ def op8(spark, sf_dir):
 @query("op10_language_id")
 def op10(spark, sf_dir):
     return language_id.identify(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@query("op11_conversation_repair")
+def op11(spark, sf_dir):
+    damaged = conversations.damage(scan(spark, sf_dir, "conversations"))
+    return conversations.repair(damaged)
+
+
+@query("op12_cross_tokenizer_alignment")
+def op12(spark, sf_dir):
+    return alignment.align_documents(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"),
+                                     public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@query("op13_ngram_jaccard_join")
+def op13(spark, sf_dir):
+    return jaccard_join.link_documents(documents(spark, sf_dir))
