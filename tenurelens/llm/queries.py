@@ -115,8 +115,8 @@ def op10(spark, sf_dir):
 
 @query("op11_conversation_repair")
 def op11(spark, sf_dir):
-    damaged = conversations.damage(scan(spark, sf_dir, "conversations"))
-    return conversations.repair(damaged)
+    rows = scan(spark, sf_dir, "conversations")
+    return conversations.repair(conversations.damage(rows), rows)
 
 
 @query("op12_cross_tokenizer_alignment")
