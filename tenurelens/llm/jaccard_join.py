@@ -1,0 +1,422 @@
+"""Jaccard join of word n-gram sets by a size-aware heavy-light join.
+
+Documents with equal sets are one class.  Classes whose sets differ link when
+100 * intersection >= 85 * union, and a document's component is the smallest id
+it reaches over links.
+
+Light: for two small sets of m and n shingles the least intersection c(m, n) is
+so near to their sizes that all subsets of c shingles can be listed; the two
+link exactly if they list one in common.  All small sets that list the same
+subset for the same (m, n) link across its two sizes, so each is linked to the
+first set of the other side: as many links as listed subsets, none lost.
+
+Heavy: a larger set scans inverted lists.  With the shingles of every set in
+one order, the prefixes of two linked sets share one (for the smaller set the
+short prefix, as its partner is no smaller); the order puts shingles of rarely
+used cells of a fixed table of counts first, so common passages come last.
+Members of a list are first linked to a base member of about their size.  What
+that leaves in different components is compared pair by pair inside the list by
+parity bitmaps: a shingle in one set only flips a bit, so the number of bits
+that differ bounds the symmetric difference from below and no link is lost.
+Pairs that remain are confirmed on the full sets.
+
+The boundary between light and heavy is the size at which the listed subsets
+and the scanned postings of all small sets together cost least.
+
+Cases: null, empty and blank texts have an empty set and link to nothing; a
+text of fewer words than a shingle is one shingle of all its words; repeated
+rows share a class; rows without an id link like others and get the smallest id
+of their component (null if it has none); an empty table gives an empty result.
+Long texts stay whole.  Shingles are compared by 64-bit hashes.  Memory: a task
+holds the sets of one batch of documents, the table of counts (2^20 bytes) and
+blocks of ``BLOCK`` list members.
+"""
+from __future__ import annotations
+
+import hashlib
+from collections.abc import Iterator
+from itertools import combinations
+from math import comb
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .base import cut
+from .near_dedup import components, mix, shingle_sets
+
+PERCENT = 85
+CELL_BITS = 20  # cells of the table of counts; any table gives the same links
+LIGHT_MOST = 24  # sizes that may be light
+BLOCK = 1024  # members of a list compared at once
+PAIRS = 1 << 18
+_U = np.uint64
+_SLICE = 4096
+
+
+def least_common(m, n, percent: int = PERCENT):
+    """Least intersection of linked sets of m and n shingles."""
+    return -(-percent * (m + n) // (100 + percent))
+
+
+def prefix_lengths(n: int, percent: int = PERCENT) -> tuple[int, int]:
+    """Prefix of a set against sets no smaller, and against any."""
+    return int(n - least_common(n, n, percent) + 1), int(n - -(-percent * n // 100) + 1)
+
+
+def largest_partner(n, percent: int = PERCENT):
+    return 100 * n // percent
+
+
+# ---------------------------------------------------------------------------
+# sets of every document
+# ---------------------------------------------------------------------------
+def cell_counts(docs: DataFrame) -> np.ndarray:
+    """A byte per cell of the hash space: eight times the binary logarithm of
+    its shingles over all documents.  Its size is fixed."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1 << CELL_BITS, dtype=np.int64)
+        for batch in batches:
+            for at in range(0, len(batch), 256):
+                sets = list(shingle_sets(batch.slice(at, 256)["text"].to_pylist()))
+                cells = (np.concatenate(sets) >> _U(64 - CELL_BITS)).astype(np.int64)
+                total += np.bincount(cells, minlength=len(total))
+        parts = [(i // _SLICE, total[i:i + _SLICE]) for i in range(0, len(total), _SLICE)]
+        yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in parts], pa.int32()),
+                                          pa.array([p[1].tobytes() for p in parts], pa.binary())], names=["slice", "counts"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, total = None, None
+
+        def done() -> pa.RecordBatch:
+            byte = np.minimum(255, np.rint(8 * np.log2(1 + total))).astype(np.uint8)
+            return pa.RecordBatch.from_arrays([pa.array([number], pa.int32()), pa.array([byte.tobytes()], pa.binary())],
+                                              names=["slice", "counts"])
+
+        for batch in batches:
+            for i, counts in zip(batch["slice"].to_pylist(), batch["counts"].to_pylist(), strict=True):
+                if i != number:
+                    if number is not None:
+                        yield done()
+                    number, total = i, np.zeros(_SLICE, dtype=np.int64)
+                total += np.frombuffer(counts, dtype=np.int64)
+        if number is not None:
+            yield done()
+
+    schema = "slice int, counts binary"
+    slices = (docs.select("text").mapInArrow(count, schema).repartition("slice").sortWithinPartitions("slice")
+              .mapInArrow(add, schema).collect())  # a fixed number of fixed slices
+    out = np.zeros(1 << CELL_BITS, dtype=np.uint8)
+    for r in slices:
+        out[r["slice"] * _SLICE:(r["slice"] + 1) * _SLICE] = np.frombuffer(r["counts"], dtype=np.uint8)
+    return out
+
+
+def set_key(shingles: np.ndarray) -> bytes:
+    return hashlib.blake2b(shingles.tobytes(), digest_size=16).digest()
+
+
+def parity(shingles: np.ndarray) -> np.ndarray:
+    """Bitmap whose bits count shingles modulo 2; 2 to 4 bits a shingle.
+    Halves of it xored are the bitmap of half the size."""
+    bits = 1 << max(6, int(2 * len(shingles) - 1).bit_length())
+    return np.packbits((np.bincount((shingles & _U(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8)).view(_U)
+
+
+def fold(bitmap: np.ndarray, words: int) -> np.ndarray:
+    while bitmap.shape[-1] > words:
+        half = bitmap.shape[-1] // 2
+        bitmap = bitmap[..., :half] ^ bitmap[..., half:]
+    return bitmap
+
+
+def features(docs: DataFrame, counts: np.ndarray, percent: int = PERCENT) -> DataFrame:
+    """doc_id, n (size of the set), set_key (null: empty), head (the shingles
+    of the prefix, rare cells first; of small sets all), bitmap, scan (about
+    how many postings the prefix meets)."""
+    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("set_key", pa.binary()), ("head", pa.binary()),
+                        ("bitmap", pa.binary()), ("scan", pa.float64())])
+    size = np.exp2(counts / 8.0) - 1
+    met = 1 + np.maximum(0, size - 1.2 * np.median(size) - 4)  # above what any cell holds
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, len(batch), 256):
+                part, rows = batch.slice(at, 256), []
+                for s in shingle_sets(part["text"].to_pylist()):
+                    if not len(s):
+                        rows.append((0, None, None, None, 0.0))
+                        continue
+                    cells = (s >> _U(64 - CELL_BITS)).astype(np.int64)
+                    order = np.argsort(counts[cells], kind="stable")
+                    n = len(s)
+                    long = prefix_lengths(n, percent)[1]
+                    rows.append((n, set_key(s), s[order[:n if n <= LIGHT_MOST else long]].tobytes(), parity(s).tobytes(),
+                                 float(met[cells[order[:long]]].sum())))
+                columns = [part["doc_id"], *(pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), list(schema)[1:], strict=True))]
+                yield pa.RecordBatch.from_arrays(columns, schema=schema)
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, set_key binary, head binary, bitmap binary, scan double")
+
+
+# ---------------------------------------------------------------------------
+# light sets
+# ---------------------------------------------------------------------------
+def partner_sizes(n: int, most: int, percent: int = PERCENT) -> list[int]:
+    return [m for m in range(-(-percent * n // 100), min(most, int(largest_partner(n, percent))) + 1)
+            if least_common(m, n, percent) < max(m, n)]  # else only equal sets link
+
+
+def light_cost(n: int, most: int, percent: int = PERCENT) -> int:
+    """Subsets that a set of n shingles lists if sizes up to ``most`` are light."""
+    return sum(comb(n, int(least_common(m, n, percent))) for m in partner_sizes(n, most, percent))
+
+
+def boundary(sizes: dict[int, tuple[int, float]], percent: int = PERCENT) -> int:
+    """The largest light size, from {n: (sets, postings they would scan)}."""
+    def cost(most: int) -> float:
+        return sum(k * light_cost(n, most, percent) if n <= most else scan for n, (k, scan) in sizes.items())
+    return min(range(1, LIGHT_MOST + 1), key=lambda most: (cost(most), most))
+
+
+def light_links(sets: DataFrame, most: int, percent: int = PERCENT) -> DataFrame:
+    """Links (a, b) among sets of at most ``most`` shingles; ``sets``: id, n, head."""
+    schema = pa.schema([("key", pa.int64()), ("larger", pa.bool_()), ("id", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows: list[tuple] = []
+            for i, head in zip(batch["id"].to_pylist(), batch["head"].to_pylist(), strict=True):
+                s = np.sort(np.frombuffer(head, dtype=_U))
+                for m in partner_sizes(len(s), most, percent):
+                    salt = mix(np.array([min(m, len(s)) << 32 | max(m, len(s))], dtype=_U))
+                    chosen = np.array(list(combinations(range(len(s)), int(least_common(m, len(s), percent)))))
+                    keys = mix(mix(s)[chosen].sum(axis=1, dtype=_U) + salt).astype(np.int64)
+                    rows += [(k, len(s) > m, i) for k in keys.tolist()]
+            columns = zip(*rows, strict=True) if rows else ([], [], [])
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
+    # sizes that are equal have one side: every set there is the other side, too
+    listed = sets.where(F.col("n") <= most).select("id", "head").mapInArrow(run, "key long, larger boolean, id long")
+    firsts = listed.groupBy("key").agg(F.min(F.when(~F.col("larger"), F.col("id"))).alias("low"),
+                                       F.min(F.when(F.col("larger"), F.col("id"))).alias("high"),
+                                       F.bool_or("larger").alias("two"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    other = F.when(F.col("larger") | ~F.col("two"), F.col("low")).otherwise(F.col("high"))
+    return (listed.join(firsts, "key").withColumn("other", other).where("other IS NOT NULL AND other != id")
+            .select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct())
+
+
+# ---------------------------------------------------------------------------
+# heavy sets
+# ---------------------------------------------------------------------------
+_POSTING = pa.schema([("token", pa.int64()), ("n", pa.int64()), ("id", pa.int64()), ("short", pa.bool_())])
+
+
+def postings(sets: DataFrame, most: int, percent: int = PERCENT) -> DataFrame:
+    """(token, n, id, short): the prefixes of sets above ``most``, and of the
+    lighter sets that may link to one.  ``short``: in the short prefix, too."""
+    lightest = -(-percent * (most + 1) // 100)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            tokens, sizes, ids, short = [], [], [], []
+            for n, i, head in zip(batch["n"].to_pylist(), batch["id"].to_pylist(), batch["head"].to_pylist(), strict=True):
+                near, far = prefix_lengths(n, percent)
+                s = np.frombuffer(head, dtype=np.int64)[:far if n > most else near]
+                tokens.append(s)
+                sizes.append(np.full(len(s), n))
+                ids.append(np.full(len(s), i))
+                short.append(np.arange(len(s)) < near)
+            if tokens:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), f.type)
+                                                  for x, f in zip((tokens, sizes, ids, short), _POSTING, strict=True)], schema=_POSTING)
+
+    return sets.where(F.col("n") >= lightest).select("n", "id", "head").mapInArrow(
+        run, "token long, n long, id long, short boolean")
+
+
+def shared_lists(listed: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """The postings of lists with several members, each with ``base``: a member
+    before it that is not too small for it (itself, if none is).  A list is
+    read as a stream; only its last base is held."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        token, base, base_n, held = None, None, 0, None
+        for batch in batches:
+            tokens, sizes, ids = (batch[c].to_numpy() for c in ("token", "n", "id"))
+            bases, keep = ids.copy(), np.zeros(len(ids), dtype=bool)
+            starts = np.flatnonzero(np.concatenate(([True], tokens[1:] != tokens[:-1])))
+            ends = np.concatenate((starts[1:], [len(tokens)]))
+            extra = []
+            for s, e in zip(starts.tolist(), ends.tolist(), strict=True):
+                if tokens[s] != token:
+                    token, base, base_n, held = tokens[s], ids[s], sizes[s], None
+                    if e - s == 1:
+                        held = batch.slice(s, 1)  # alone so far: it may go on in the next batch
+                        continue
+                elif held is not None:
+                    extra.append((held, base))
+                    held = None
+                keep[s:e] = True
+                for k in range(s, e):
+                    if 100 * base_n < percent * sizes[k]:
+                        base, base_n = ids[k], sizes[k]
+                    bases[k] = base
+            for row, of in extra:
+                yield pa.RecordBatch.from_arrays([*row.columns, pa.array([of], pa.int64())], names=[*_POSTING.names, "base"])
+            mask = pa.array(keep)
+            yield pa.RecordBatch.from_arrays([*(c.filter(mask) for c in batch.columns), pa.array(bases[keep])],
+                                             names=[*_POSTING.names, "base"])
+
+    order = ("token", "n", "id")
+    return (listed.repartition("token").sortWithinPartitions(*order)
+            .mapInArrow(run, "token long, n long, id long, short boolean, base long"))
+
+
+def apart(x: np.ndarray, y: np.ndarray) -> int:
+    words = min(len(x), len(y))
+    return int(np.bitwise_count(fold(x, words) ^ fold(y, words)).sum())
+
+
+def near_bitmaps(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """The pairs (a, b) that may link by their bitmaps."""
+    side = lambda x: sets.select(F.col("id").alias(x), F.col("n").alias(f"n_{x}"), F.col("bitmap").alias(f"bits_{x}"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = pa.array([apart(np.frombuffer(x, dtype=_U), np.frombuffer(y, dtype=_U)) <= m + n - 2 * least_common(m, n, percent)
+                             for m, n, x, y in zip(*(batch[c].to_pylist() for c in ("n_a", "n_b", "bits_a", "bits_b")), strict=True)],
+                            pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch["a"].filter(keep), batch["b"].filter(keep)], names=["a", "b"])
+
+    return (pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "n_b", "bits_a", "bits_b")
+            .mapInArrow(run, "a long, b long"))
+
+
+def across_components(open_lists: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """Pairs (a, b) of ``open_lists`` (token, n, id, short, component) of one
+    list and different components that may link by their bitmaps.
+
+    A list longer than ``BLOCK`` is cut into blocks by a hash of the id, and
+    every two of its blocks meet in a task of their own."""
+    blocks = open_lists.groupBy("token").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
+    met = (open_lists.join(blocks, "token").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
+           .withColumn("met", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+           .select("token", F.least("block", "met").alias("x"), F.greatest("block", "met").alias("y"), "block", "n", "id", "short",
+                   "component").join(sets.select("id", "bitmap"), "id"))
+
+    def compare(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        token, x, y, block, n, ids, short, part = (table[i].to_numpy() for i in range(8))
+        new = np.concatenate(([True], (token[1:] != token[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1])))
+        bitmaps = [np.frombuffer(b, dtype=_U) for b in table[8].to_pylist()]
+        words = np.array([len(b) for b in bitmaps])
+        stacked = {w: np.stack([fold(bitmaps[k], w) for k in np.flatnonzero((words == w) | (words == 2 * w))]) for w in set(words.tolist())}
+        place = {w: np.cumsum((words == w) | (words == 2 * w)) - 1 for w in stacked}
+        starts = np.flatnonzero(new)
+        stops = np.concatenate((starts[1:], [len(ids)]))
+        stop = np.repeat(stops, stops - starts)
+        last = np.empty(len(ids), dtype=np.int64)  # members are in order of n: partners end where sizes grow too large
+        for s, e in zip(starts, stops, strict=True):
+            last[s:e] = s + np.searchsorted(n[s:e], largest_partner(n[s:e], percent), side="right")
+        count = np.where(short, np.minimum(last, stop) - np.arange(len(ids)) - 1, 0)
+        upto = np.concatenate(([0], np.cumsum(count)))
+        at = 0
+        while at < len(ids):
+            end = max(at + 1, int(np.searchsorted(upto, upto[at] + PAIRS, side="right")) - 1)
+            i = np.repeat(np.arange(at, end), count[at:end])
+            j = i + 1 + np.arange(len(i)) - np.repeat(upto[at:end] - upto[at], count[at:end])
+            at = end
+            use = (part[i] != part[j]) & ((x[i] == y[i]) | (block[i] != block[j]))
+            i, j = i[use], j[use]
+            room = n[i] + n[j] - 2 * least_common(n[i], n[j], percent)
+            keep = np.zeros(len(i), dtype=bool)
+            for w, rows in stacked.items():
+                mine = np.flatnonzero(words[i] == w)
+                keep[mine] = np.bitwise_count(rows[place[w][i[mine]]] ^ rows[place[w][j[mine]]]).sum(axis=1) <= room[mine]
+            a, b = ids[i[keep]], ids[j[keep]]
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:  # whole lists at a time
+            tokens = batch["token"].to_numpy()
+            cuts = np.flatnonzero(tokens[1:] != tokens[:-1])
+            cut_at = int(cuts[-1]) + 1 if len(cuts) else 0
+            if cut_at:
+                yield from compare(pa.Table.from_batches([*held, batch.slice(0, cut_at)]))
+                held = []
+            held.append(batch.slice(cut_at))
+        if held:
+            yield from compare(pa.Table.from_batches(held))
+
+    order = ("token", "x", "y", "n", "id")
+    return (met.select("token", "x", "y", "block", "n", "id", "short", "component", "bitmap").repartition("token", "x", "y")
+            .sortWithinPartitions(*order).mapInArrow(run, "a long, b long"))
+
+
+def confirm(pairs: DataFrame, sets: DataFrame, docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """The pairs (a, b) whose full sets link, with the sets made anew from the
+    texts.  ``sets``: id, set_key, doc_id (of one document with that set)."""
+    ends = cut(pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "id").join(sets, "id")
+               .select("id", "set_key", "doc_id"))
+
+    def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, len(batch), 256):
+                found = list(shingle_sets(batch.slice(at, 256)["text"].to_pylist()))
+                yield pa.RecordBatch.from_arrays([pa.array([set_key(s) if len(s) else None for s in found], pa.binary()),
+                                                  pa.array([s.tobytes() for s in found], pa.binary())], names=["set_key", "shingles"])
+
+    wanted = ends.select(F.col("doc_id").alias("wanted")).distinct()
+    made = (docs.join(wanted, docs["doc_id"].eqNullSafe(wanted["wanted"]), "left_semi").select("text")
+            .mapInArrow(shingled, "set_key binary, shingles binary"))
+    full = cut(ends.select("id", "set_key").join(made, "set_key").select("id", "shingles").dropDuplicates(["id"]))
+
+    def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for s, t in zip(batch["set_a"].to_pylist(), batch["set_b"].to_pylist(), strict=True):
+                s, t = np.frombuffer(s, dtype=_U), np.frombuffer(t, dtype=_U)
+                common = len(np.intersect1d(s, t, assume_unique=True))
+                keep.append(100 * common >= percent * (len(s) + len(t) - common))
+            keep = pa.array(keep, pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch["a"].filter(keep), batch["b"].filter(keep)], names=["a", "b"])
+
+    side = lambda x: full.select(F.col("id").alias(x), F.col("shingles").alias(f"set_{x}"))
+    return (pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "set_a", "set_b")
+            .mapInArrow(linked, "a long, b long"))
+
+
+# ---------------------------------------------------------------------------
+# the join
+# ---------------------------------------------------------------------------
+def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id."""
+    docs = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
+    found = cut(features(docs, cell_counts(docs), percent).withColumn("row", F.monotonically_increasing_id()))
+    classes = cut(found.where("set_key IS NOT NULL").groupBy("set_key").agg(F.min("row").alias("id"), F.min("doc_id").alias("doc_id")))
+    sets = cut(found.select(F.col("row").alias("id"), "n", "head", "bitmap", "scan").join(classes.select("id"), "id", "left_semi"))
+
+    small = sets.where(F.col("n") <= LIGHT_MOST).groupBy("n").agg(F.count(F.lit(1)).alias("k"), F.sum("scan").alias("s")).collect()
+    most = boundary({r.n: (r.k, r.s) for r in small}, percent)
+    shared = cut(shared_lists(postings(sets, most, percent), percent))
+    to_base = (shared.where("base != id").select(F.least("base", "id").alias("a"), F.greatest("base", "id").alias("b")).distinct())
+    links = cut(confirm(cut(light_links(sets, most, percent).union(near_bitmaps(to_base, sets, percent)).distinct()),
+                        classes, docs, percent))
+    labels = components(links)
+
+    placed = (shared.join(labels, "id", "left").select("token", "n", "id", "short", F.coalesce("component", "id").alias("component")))
+    open_tokens = (placed.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y")
+                   .select("token"))
+    rest = cut(placed.join(open_tokens, "token"))
+    more = cut(confirm(cut(across_components(rest, sets, percent).distinct()), classes, docs, percent))
+    if not more.isEmpty():
+        labels = components(links.union(more))
+
+    placed = classes.join(labels, "id", "left").select("set_key", "doc_id", F.coalesce("component", "id").alias("component"))
+    first = placed.groupBy("component").agg(F.min("doc_id").alias("first"))
+    named = placed.join(first, "component").select("set_key", "first")
+    component = F.when(F.col("set_key").isNull(), F.col("doc_id")).otherwise(F.col("first"))
+    return found.join(named, "set_key", "left").select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
