@@ -71,6 +71,17 @@ def one_hot(df: DataFrame, cols: dict, levels: dict | None = None) -> DataFrame:
     return df.select("*", *out)
 
 
+BROADCAST_ROWS = 10_000
+
+
+def small_join(df: DataFrame, stats: DataFrame, key: str) -> DataFrame:
+    """``df`` left joined to one row of ``stats`` per key.  Stats of at most
+    ``BROADCAST_ROWS`` rows are broadcast, so that rows do not meet by a few
+    keys; the number is checked first."""
+    few = stats.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    return df.join(F.broadcast(stats) if few else stats, key, "left")
+
+
 # ---------------------------------------------------------------------------
 # leave-one-out target encoding
 # ---------------------------------------------------------------------------
@@ -89,7 +100,7 @@ def loo_encode_train(df: DataFrame, col: str, target: str, out: str) -> DataFram
     """(sum - y) / (count - 1); singletons take the global mean."""
     st = target_stats(df, col, target)
     mu = _global_mean(df, target)
-    j = df.join(st, col, "left")
+    j = small_join(df, st, col)
     val = F.when(F.col("t_count") > 1,
                  (F.col("t_sum") - F.col(target)) / (F.col("t_count") - 1)).otherwise(mu)
     return j.withColumn(out, val).drop("t_sum", "t_count")
@@ -99,7 +110,7 @@ def loo_encode_infer(df: DataFrame, fit_df: DataFrame, col: str, target: str, ou
     """sum / count from the fitted frame; unseen or singleton → global mean."""
     st = target_stats(fit_df, col, target)
     mu = _global_mean(fit_df, target)
-    j = df.join(st, col, "left")
+    j = small_join(df, st, col)
     val = F.when(F.col("t_count") > 1, F.col("t_sum") / F.col("t_count")).otherwise(mu)
     return j.withColumn(out, val).drop("t_sum", "t_count")
 
@@ -143,13 +154,13 @@ def minmax_apply(df: DataFrame, stats, cols, suffix: str = "") -> DataFrame:
 def group_normalise(df: DataFrame, col: str, group: str, out: str) -> DataFrame:
     """In-group min-max; a constant group → 0.5.
 
-    Group bounds are a per-group aggregate joined back on the group key
-    (a shuffle of one row per group), not a window over the raw rows, so a
-    group holding a third of the rows is still combined map-side.
+    Group bounds are a per-group aggregate joined back on the group key, not
+    a window over the raw rows, so a group holding a third of the rows is
+    still combined map-side.
     """
     b = df.groupBy(group).agg(F.min(F.col(col).cast("double")).alias("_lo"),
                               F.max(F.col(col).cast("double")).alias("_hi"))
-    j = df.join(b, group, "left")
+    j = small_join(df, b, group)
     val = F.when(F.col("_hi") - F.col("_lo") == 0, F.lit(0.5)).otherwise(
         (F.col(col).cast("double") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")))
     return j.withColumn(out, val).drop("_lo", "_hi")

@@ -1,128 +1,11 @@
-"""Model fits as driver loops over distributed passes.
-
-* ``cox_fit``: ridge-penalised Cox proportional hazards, Newton–Raphson with
-  Efron ties on standardised features.  Each iteration is one Spark
-  aggregation grouped by distinct time (sums of w, w·x, w·x·xᵀ over all rows
-  and over events); the driver receives one row per distinct time — bounded
-  by the time domain and p — reverses the cumulative sums and solves p×p.
-* ``boosted_cox``: gradient boosting of the Cox partial likelihood.  Each
-  round: per-time sums of exp(F) (one aggregation, time-domain sized) →
-  per-row gradient and hessian through a broadcast join on time → a Spark ML
-  regression tree fitted to the Newton target with hessian weights →
-  F += rate · tree.  The margins (row, F) are checkpointed to the shared
-  checkpoint folder every round, so a lost executor replays at most one round.
-  The loss on held-out rows ends the rounds early.
-"""
+"""Reading fitted models: coefficient classes and the driver ranking."""
 from __future__ import annotations
 
-import math
-
-import numpy as np
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import DecisionTreeRegressor
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
-from ..session import cut_lineage
-
-MAX_BROADCAST_TIMES = 1_000_000
-
-
-def _standardise(df: DataFrame, features: list[str]):
-    aggs = []
-    for c in features:
-        aggs += [F.avg(F.col(c).cast("double")).alias(f"m_{c}"), F.stddev_samp(F.col(c).cast("double")).alias(f"s_{c}")]
-    row = df.agg(*aggs).first()
-    mean = np.array([row[f"m_{c}"] for c in features], dtype=float)
-    std = np.array([row[f"s_{c}"] or 1.0 for c in features], dtype=float)
-    std[std == 0] = 1.0
-    return mean, std
-
 
-def _per_time_sums(df: DataFrame, z_cols: list[str], beta: np.ndarray, time: str, event: str):
-    p = len(z_cols)
-    eta = sum((F.col(c) * float(b) for c, b in zip(z_cols, beta)), F.lit(0.0))
-    x = df.select(F.col(time).cast("double").alias("t"), F.col(event).cast("int").alias("e"),
-                  *[F.col(c) for c in z_cols], F.exp(eta).alias("w"))
-    aggs = [F.sum("w").alias("w0"), F.sum(F.col("e") * F.col("w")).alias("d0"), F.sum("e").alias("nd")]
-    for j in range(p):
-        aggs += [F.sum(F.col("w") * F.col(z_cols[j])).alias(f"w1_{j}"),
-                 F.sum(F.col("e") * F.col("w") * F.col(z_cols[j])).alias(f"d1_{j}"),
-                 F.sum(F.col("e") * F.col(z_cols[j])).alias(f"x_{j}")]
-        for k in range(j, p):
-            prod = F.col("w") * F.col(z_cols[j]) * F.col(z_cols[k])
-            aggs += [F.sum(prod).alias(f"w2_{j}_{k}"), F.sum(F.col("e") * prod).alias(f"d2_{j}_{k}")]
-    rows = x.groupBy("t").agg(*aggs).orderBy("t").collect()  # one row per distinct time
-    K = len(rows)
-    t = np.array([r["t"] for r in rows])
-    w0 = np.array([r["w0"] for r in rows]); d0 = np.array([r["d0"] for r in rows])
-    nd = np.array([r["nd"] for r in rows], dtype=float)
-    w1 = np.array([[r[f"w1_{j}"] for j in range(p)] for r in rows]).reshape(K, p)
-    d1 = np.array([[r[f"d1_{j}"] for j in range(p)] for r in rows]).reshape(K, p)
-    xs = np.array([[r[f"x_{j}"] for j in range(p)] for r in rows]).reshape(K, p)
-    w2 = np.zeros((K, p, p)); d2 = np.zeros((K, p, p))
-    for i, r in enumerate(rows):
-        for j in range(p):
-            for k in range(j, p):
-                w2[i, j, k] = w2[i, k, j] = r[f"w2_{j}_{k}"]
-                d2[i, j, k] = d2[i, k, j] = r[f"d2_{j}_{k}"]
-    # risk sets: reverse cumulative over time (T >= t)
-    s0 = np.cumsum(w0[::-1])[::-1]; s1 = np.cumsum(w1[::-1], axis=0)[::-1]; s2 = np.cumsum(w2[::-1], axis=0)[::-1]
-    return t, nd, xs, s0, s1, s2, d0, d1, d2, eta
-
-
-def _efron(beta, lam, t, nd, xs, s0, s1, s2, d0, d1, d2):
-    p = len(beta)
-    ll, grad, hess = 0.0, np.zeros(p), np.zeros((p, p))
-    for i in np.nonzero(nd > 0)[0]:
-        d = int(nd[i])
-        frac = np.arange(d) / d
-        phi = s0[i] - frac * d0[i]
-        num1 = s1[i][None, :] - frac[:, None] * d1[i][None, :]
-        num2 = s2[i][None, :, :] - frac[:, None, None] * d2[i][None, :, :]
-        ll += xs[i] @ beta - np.log(phi).sum()
-        grad += xs[i] - (num1 / phi[:, None]).sum(axis=0)
-        hess -= (num2 / phi[:, None, None]).sum(axis=0) - np.einsum("lj,lk->jk", num1 / phi[:, None], num1 / phi[:, None])
-    ll -= 0.5 * lam * beta @ beta
-    grad -= lam * beta
-    hess -= lam * np.eye(p)
-    return ll, grad, hess
-
-
-def cox_fit(df: DataFrame, features: list[str], time: str, event: str, penalizer: float = 0.1,
-            max_iter: int = 25, tol: float = 1e-9):
-    """Returns (coefficient DataFrame, iterations, log-likelihood)."""
-    spark = df.sparkSession
-    mean, std = _standardise(df, features)
-    z_cols = [f"_z{j}" for j in range(len(features))]
-    z = df.select(F.col(time), F.col(event), *[((F.col(c).cast("double") - float(m)) / float(s)).alias(zc)
-                                               for c, m, s, zc in zip(features, mean, std, z_cols)])
-    z = cut_lineage(z)
-    beta = np.zeros(len(features))
-    ll_old, it = None, 0
-    for it in range(1, max_iter + 1):
-        parts = _per_time_sums(z, z_cols, beta, time, event)
-        ll, grad, hess = _efron(beta, penalizer, *parts[:-1])
-        step = np.linalg.solve(-hess, grad)
-        new = beta + step
-        if ll_old is not None and ll < ll_old - 1e-12:  # overshoot: halve
-            new = beta + 0.5 * step
-        beta, ll_old = new, ll
-        if np.max(np.abs(step)) < tol:
-            break
-    parts = _per_time_sums(z, z_cols, beta, time, event)
-    ll, grad, hess = _efron(beta, penalizer, *parts[:-1])
-    cov = np.linalg.inv(-hess)
-    se_z = np.sqrt(np.diag(cov))
-    rows = []
-    for j, c in enumerate(features):
-        coef, se = beta[j] / std[j], se_z[j] / std[j]
-        zval = beta[j] / se_z[j] if se_z[j] > 0 else float("nan")
-        pval = math.erfc(abs(zval) / math.sqrt(2.0))
-        rows.append((c, float(coef), float(math.exp(coef)), float(se), float(zval), float(pval)))
-    schema = "feature string, coef double, exp_coef double, se double, z double, p_value double"
-    return spark.createDataFrame(rows, schema), it, float(ll)
+# FIXED VALUES — words that mark a compensation driver
+PAY_WORDS = ("income", "salary", "rate", "daily", "monthly", "hourly")
 
 
 def coefficient_classes(coefs: DataFrame, alpha: float = 0.05) -> DataFrame:
@@ -137,65 +20,15 @@ def coefficient_classes(coefs: DataFrame, alpha: float = 0.05) -> DataFrame:
         F.when(sig & (F.col("coef") > 0), "killer").when(sig, "shield").otherwise("noise").alias("class"))
 
 
-def _time_table(rows):
-    """Times, Breslow cumulative terms A(t) = sum d/S0, B(t) = sum d/S0^2 over
-    event times <= t, and the negative log partial likelihood, from the sums
-    of a time (deaths, exp(F), F of the deaths) in order of time."""
-    t = [r["t"] for r in rows]
-    w, d, ef = (np.array([r[c] for r in rows], dtype=float) for c in ("w", "d", "ef"))
-    s0 = np.cumsum(w[::-1])[::-1]
-    return t, np.cumsum(d / s0), np.cumsum(d / s0 ** 2), float((d * np.log(s0)).sum() - ef.sum())
-
-
-def boosted_cox(df: DataFrame, features: list[str], time: str, event: str, id_col: str, rounds: int = 120,
-                learning_rate: float = 0.05, max_depth: int = 4, min_instances: int = 10,
-                validation: float = 0.15, patience: int = 30):
-    """Returns (state DataFrame with margin F, per-round loss rows, summed
-    feature importances).
-
-    The share ``validation`` of the ids (by hash) is not trained on; boosting
-    ends ``patience`` rounds after its lowest loss, and margin and importances
-    are those of that round.  Without an event among them all rounds run.
-    """
-    spark = df.sparkSession
-    va = VectorAssembler(inputCols=features, outputCol="features", handleInvalid="keep")
-    base = va.transform(df.select(F.col(id_col), F.col(time).cast("double").alias("t"),
-                                  F.col(event).cast("int").alias("e"), *[F.col(c).cast("double") for c in features]))
-    held = F.pmod(F.xxhash64(id_col), F.lit(1 << 20)) < F.lit(round(validation * (1 << 20)))
-    base = cut_lineage(base.select(id_col, "t", "e", "features", held.alias("held"),
-                                   F.monotonically_increasing_id().alias("row")))
-    margin = base.select("row", F.lit(0.0).alias("F"))
-    losses, trees, best, best_margin = [], [], (math.inf, 0), margin
-    for rnd in range(rounds + 1):
-        state = base.join(margin, "row")
-        sums = (state.groupBy("held", "t").agg(F.sum(F.exp("F")).alias("w"), F.sum("e").alias("d"),
-                                               F.count(F.lit(1)).alias("n"), F.sum(F.col("e") * F.col("F")).alias("ef"))
-                .orderBy("t").collect())
-        parts = {h: [r for r in sums if r["held"] == h] for h in (False, True)}
-        mean = lambda h, total: total / sum(r["n"] for r in parts[h]) if parts[h] else None
-        t, a, b, loss = _time_table(parts[False])
-        valid = mean(True, _time_table(parts[True])[3]) if sum(r["d"] for r in parts[True]) else None
-        losses.append((rnd, mean(False, loss), valid))
-        if valid is None or valid < best[0]:
-            best, best_margin = (math.inf if valid is None else valid, rnd), margin
-        if rnd == rounds or rnd - best[1] >= patience:
-            break
-        tab = spark.createDataFrame([(float(x), float(y), float(zv)) for x, y, zv in zip(t, a, b)],
-                                    "t double, A double, B double")
-        g = state.where("NOT held").join(F.broadcast(tab) if len(t) <= MAX_BROADCAST_TIMES else tab, "t")
-        w = F.exp("F")
-        grad = F.col("e") - w * F.col("A")
-        hess = F.greatest(w * F.col("A") - w * w * F.col("B"), F.lit(1e-12))
-        train = g.select("features", (grad / hess).alias("target"), hess.alias("hw"))
-        tree = DecisionTreeRegressor(featuresCol="features", labelCol="target", weightCol="hw", maxDepth=max_depth,
-                                     minInstancesPerNode=min_instances, seed=42).fit(train)
-        trees.append(tree.featureImportances.toArray())
-        margin = cut_lineage(tree.transform(state).select(
-            "row", (F.col("F") + learning_rate * F.col("prediction")).alias("F")))
-    importance = sum(trees[:best[1]], np.zeros(len(features)))
-    state = base.join(best_margin, "row").select(id_col, "t", "e", "features", "F")
-    loss_df = spark.createDataFrame(losses, "round int, loss double, valid_loss double")
-    imp = spark.createDataFrame([(c, float(v)) for c, v in zip(features, importance)],
-                                T.StructType([T.StructField("feature", T.StringType()),
-                                              T.StructField("importance", T.DoubleType())]))
-    return state, loss_df, imp
+def driver_ranking(importance: DataFrame) -> DataFrame:
+    """(feature, importance) with rank, the compensation-driver decision (any
+    pay word among the top 3, and the rank of the first), top 10 and bottom 5."""
+    ranked = importance.withColumn("rank", F.rank().over(Window.orderBy(F.col("importance").desc(), "feature")))  # p rows
+    pay = F.lit(False)
+    for word in PAY_WORDS:
+        pay = pay | F.lower("feature").contains(word)
+    ranked = ranked.withColumn("is_compensation", pay)
+    all_ = ranked.agg(F.bool_or(F.col("is_compensation") & (F.col("rank") <= 3)).alias("pay_in_top3"),
+                      F.min(F.when(F.col("is_compensation"), F.col("rank"))).alias("first_pay_rank"), F.count(F.lit(1)).alias("n"))
+    return (ranked.join(F.broadcast(all_)).select(*ranked.columns, "pay_in_top3", "first_pay_rank",
+                                                  (F.col("rank") <= 10).alias("top10"), (F.col("rank") > F.col("n") - 5).alias("bottom5")))

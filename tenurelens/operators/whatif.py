@@ -43,7 +43,12 @@ def whatif(cohort: DataFrame, overrides: DataFrame, exposure: DataFrame | None =
     else:
         mod = mod.withColumn("exposure", F.lit(0.0))
     scored = score(mod, fit=cohort)
-    probs = horizon_probabilities(scored, nelson_aalen(cohort), extra_multiplier=1.0 + F.col("exposure"))
+    return with_pay_cut(horizon_probabilities(scored, nelson_aalen(cohort), extra_multiplier=1.0 + F.col("exposure")))
+
+
+def with_pay_cut(probs: DataFrame) -> DataFrame:
+    """Probabilities and score of rows whose income falls, raised by the
+    penalty up to 0.999 and 100."""
     pen = pay_cut_multiplier(F.col("old_income"), F.col("monthly_income"))
     cut = lambda c, most: F.when(pen > 1, F.least(F.col(c) * pen, F.lit(most))).otherwise(F.col(c))
     outs = {f"prob_{h}m": cut(f"prob_{h}m", 0.999) for h in HORIZONS_MONTHS}

@@ -10,6 +10,7 @@ from ..operators.features import (event_flag, loo_encode_infer, loo_encode_train
                                   target_stats, group_normalise)
 from ..operators.quality import dq_report, horizon_monotonic
 from ..operators.survival import SCORE_FEATURES, feature_matrix
+from ..session import cut_lineage
 from .common import cohort_df, scores_df
 from .registry import query, r
 from .sqlparts import CTES, _case_map, md5_mod_sql, md5_prefix_sql, project_sql, with_ctes
@@ -242,6 +243,21 @@ def q_stratified_split(spark, d):
     return split_df(spark, d).select("emp_key", "attrition", "split")
 
 
+CTES["validation"] = f"""
+  SELECT *, CASE WHEN row_number() OVER (ORDER BY sh, employee_id) <= sn - ceil(sn * 0.15) THEN 'fit' ELSE 'validation' END AS part
+  FROM (SELECT * EXCLUDE (sh, sn), {md5_mod_sql("('43|' || employee_id)", 1 << 30)} AS sh, count(*) OVER () AS sn
+        FROM split WHERE split = 'train')"""
+
+
+@query("validation_split", with_ctes("SELECT emp_key, attrition, part FROM validation"))
+def q_validation_split(spark, d):
+    """The train rows of the stratified split, split again 85/15 for early
+    stopping, without strata."""
+    train = cut_lineage(split_df(spark, d).where("split = 'train'").select("emp_key", "employee_id", "attrition", F.lit(0).alias("_all")))
+    parts = stratified_split(train, "employee_id", "_all", 0.15, 43, out="part")
+    return parts.select("emp_key", "attrition", F.when(F.col("part") == "train", "fit").otherwise("validation").alias("part"))
+
+
 @query("stratified_counts", with_ctes("""
 SELECT split, attrition AS event, count(*) AS n,
        round(count(*) / sum(count(*)) OVER (PARTITION BY split), 9) AS share
@@ -263,6 +279,7 @@ def q_knn_k(spark, d):
 # ---------------------------------------------------------------------------
 # data quality
 # ---------------------------------------------------------------------------
+_ABSENT = ("stock_option_level",)  # required, but the cohort has no such column
 _REQ = ("employee_id", "department", "job_role", "years_at_company", "attrition", "monthly_income")
 _DOMAINS = {"job_satisfaction": ("1", "2", "3", "4", "Low", "Medium", "High", "Very High"),
             "attrition": EVENT_ALLOWED}
@@ -274,6 +291,8 @@ def _in(vals):
 
 @query("dq_report", with_ctes(
     "SELECT * FROM (SELECT 'row_count' AS rule, count(*) AS violations FROM cohort"
+    " UNION ALL SELECT 'empty_table', CAST(count(*) = 0 AS BIGINT) FROM cohort"
+    + "".join(f" UNION ALL SELECT 'missing:{c}', CAST({int(c in _ABSENT)} AS BIGINT)" for c in (*_REQ, *_ABSENT))
     + "".join(f" UNION ALL SELECT 'null:{c}', count(*) FILTER (WHERE {c} IS NULL) FROM cohort" for c in _REQ)
     + " UNION ALL SELECT 'order:years_at_company<=total_working_years', "
       "count(*) FILTER (WHERE years_at_company > total_working_years) FROM cohort"
@@ -281,7 +300,8 @@ def _in(vals):
               f"CAST({c} AS VARCHAR) NOT IN {_in(v)}) FROM cohort" for c, v in _DOMAINS.items())
     + ")"))
 def q_dq_report(spark, d):
-    return dq_report(cohort_df(spark, d), list(_REQ), [("years_at_company", "total_working_years")], _DOMAINS)
+    """All rules over the cohort, which lacks one required column."""
+    return dq_report(cohort_df(spark, d), [*_REQ, *_ABSENT], [("years_at_company", "total_working_years")], _DOMAINS)
 
 
 @query("horizon_monotonic", with_ctes("""
