@@ -1,56 +1,231 @@
 """Exact k-nearest neighbours under the composite similarity distance,
 without forming all pairs inside a department.
 
-Inside a department the distance is d = 0.1 · (D + C) with
-D = 2·[manager differs] + 2·[project differs] + c2 (c2 = gender + tier
-mismatch, or 2·gender when a tier is missing) and C = |Δage| + |Δrisk| on
-in-department normalised values.  Hence D >= 2m + 2p + g.
-
-Search regions are equi-join groups that fix some of (manager, project,
-gender) inside the department; a region Q with the attributes it leaves
-free has a smallest possible D, ``min_d``.  Each region has its own grid
-(cell side 1/G, G ~ sqrt(size / k)).  Probing Q with ring radius R returns
-its members in the (2R+1)² cells around the node's cell; every member of
-Q not probed is then at d >= 0.1 · (min_d + R / G - eps) (eps covers the
-rounding of the cell assignment).  A node is certified when its k-th best distance
-among all probed candidates is strictly below the bound of every region
-(regions fully covered impose none).  Uncertified nodes raise each
-offending region's radius to the radius that bound requires and probe
-again; radii only grow and are capped by the grid, so the loop ends.
-
-Every candidate is a real department member whose exact distance is
-computed, so the answer is exact; the work is the number of members inside
-the probed rings — small where data is dense, larger only for isolated
-nodes, never the department squared by construction.
+Members of a department are sorted by project, gender, tier and their place on
+a Z-order curve over normalised age and risk, and cut into blocks of ``BLOCK``
+rows.  A block knows the box of its ages and risks and the attributes that all
+its members share, and, from the distances inside it, an upper bound ``tau`` on
+every member's k-th distance.  Another block can only matter if the least
+distance between the two boxes and attributes is no more than the largest tau.
+
+Pairs of blocks are found from the top: ranges of the sort, then runs of 32
+blocks, then blocks, each level joining the children of the pairs that the
+level above left.  Pairs of blocks that remain are compared as arrays and give
+only neighbours within tau, so a member yields a few times k candidates
+whatever the size of its department.
+
+Members under one manager are 0.2 nearer and lie anywhere in that sort, so a
+second family of blocks, sorted by manager and curve, serves them; the first
+then only looks for members of other managers, whose bound is 0.2 higher.  A
+department, project or manager with a third of all rows is many blocks, and no
+task holds more than two of them.
 """
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.labels import KNN_MAX, KNN_MIN, KNN_SHARE
 from ..session import cut_lineage
-from .similarity import distance_expr
-
-# (name, fixed attributes besides the department, smallest D of a member)
-REGIONS = (
-    ("q_mp", ("manager_id", "project"), 0),
-    ("q_pg", ("project", "gender"), 2),
-    ("q_mg", ("manager_id", "gender"), 2),
-    ("q_m", ("manager_id",), 3),
-    ("q_p", ("project",), 3),
-    ("q_g", ("gender",), 4),
-    ("q_d", (), 5),
-)
+from .similarity import W_CAT, W_CONT, W_HIER
+
+BLOCK = 128
+RUN = 32  # blocks that the level above treats as one
 EPS = 1e-9
+_ATTRIBUTES = ("manager_id", "project", "gender", "tier")
+_NUMBERS = ("age_norm", "risk_norm")
+_BOX = ("age_lo", "age_hi", "risk_lo", "risk_hi")
+_PACKED = ("department string, manager string, part int, number int, k int, project string, gender string, tier string, "
+           + ", ".join(f"{c} double" for c in _BOX) + ", reach double, reach_id string, ids array<string>, tau_ids array<string>, "
+           + ", ".join(f"{c}s array<string>" for c in _ATTRIBUTES) + ", " + ", ".join(f"{c}s array<double>" for c in (*_NUMBERS, "tau")))
+_ARROW = {"string": pa.string(), "int": pa.int32(), "double": pa.float64(), "array<string>": pa.list_(pa.string()),
+          "array<double>": pa.list_(pa.float64())}
+_FIELDS = [tuple(c.split()) for c in _PACKED.split(", ")]
+
+
+def z_order(a: Column, b: Column) -> Column:
+    """Bits of two values in [0, 1] by turns, 16 of each."""
+    def spread(v: Column) -> Column:
+        x = F.least(F.greatest(F.floor(v * 65535), F.lit(0)), F.lit(65535)).cast("long")
+        for shift, mask in ((8, 0x00FF00FF), (4, 0x0F0F0F0F), (2, 0x33333333), (1, 0x55555555)):
+            x = x.bitwiseOR(F.shiftleft(x, shift)).bitwiseAND(F.lit(mask))
+        return x
+    return spread(a).bitwiseOR(F.shiftleft(spread(b), 1))
+
+
+class _Members:
+    """Arrays of a block."""
+
+    def __init__(self, row: dict):
+        self.ids = np.array(row["ids"], dtype=object)
+        self.attributes = {c: row[f"{c}s"] for c in _ATTRIBUTES}
+        self.numbers = {c: np.array(row[f"{c}s"], dtype=float) for c in _NUMBERS}
+
+
+def _equal(a: list, b: list) -> np.ndarray:
+    """Which values of ``a`` equal which of ``b``; a missing one equals none."""
+    codes: dict = {}
+    x = np.array([-1 if v is None else codes.setdefault(v, len(codes)) for v in a])
+    y = np.array([-2 if v is None else codes.setdefault(v, len(codes)) for v in b])
+    return x[:, None] == y[None, :]
+
+
+def distances(a: _Members, b: _Members) -> tuple[np.ndarray, np.ndarray]:
+    """(distance, same manager) of every member of ``a`` to every of ``b``, of
+    one department."""
+    own = lambda m: [v or None for v in m.attributes["manager_id"]]
+    manager = _equal(own(a), own(b))
+    unlike = {c: np.where(_equal(a.attributes[c], b.attributes[c]), 0.0, 1.0) for c in ("project", "gender", "tier")}
+    has = lambda m: np.array([v is not None for v in m.attributes["tier"]])
+    tiers = has(a)[:, None] & has(b)[None, :]
+    hierarchy = np.where(manager, 0.0, 1.0) / 3.0 + 0.0 / 3.0 + unlike["project"] / 3.0
+    category = np.where(tiers, 0.5 * unlike["gender"] + 0.5 * unlike["tier"], unlike["gender"])
+    gap = {c: np.abs(a.numbers[c][:, None] - b.numbers[c][None, :]) for c in _NUMBERS}
+    number = 0.5 * gap["age_norm"] + 0.5 * gap["risk_norm"]
+    return W_HIER * hierarchy + W_CAT * category + W_CONT * number, manager
+
+
+def kth(a: _Members, b: _Members, k: int) -> list[tuple[float, str]]:
+    """The k-th least (distance, id) from each member of ``a`` to others of ``b``."""
+    d, _ = distances(a, b)
+    d[a.ids[:, None] == b.ids[None, :]] = np.inf
+    out = []
+    for row in d:
+        if np.count_nonzero(np.isfinite(row)) < k:
+            out.append((np.inf, ""))
+            continue
+        tau = np.partition(row, k - 1)[k - 1]
+        out.append((float(tau), sorted(b.ids[row == tau])[k - 1 - np.count_nonzero(row < tau)]))
+    return out
 
 
-def _k_expr(n, floor, cap, share):
-    return F.greatest(F.lit(floor), F.least(F.lit(cap), F.ceil(n * share))).cast("int")
+def blocks(rows: DataFrame, by_manager: bool) -> DataFrame:
+    """The packed blocks (``_PACKED``) of ``rows``.  Without ``by_manager`` the
+    members get their ``tau``, from the distances inside the block."""
+    first = ["department", "manager_id"] if by_manager else ["department"]
+    order = [*first, *([] if by_manager else ["project", "gender", "tier"]), "_z", "id"]
+    sorted_rows = (rows.withColumn("_z", z_order(F.col("age_norm"), F.col("risk_norm"))).repartitionByRange(*order)
+                   .sortWithinPartitions(*order).select("department", "id", *_ATTRIBUTES, *_NUMBERS, "_k", "tau", "tau_id"))
 
+    alike: list = [None, None]  # what the members of a block share, if everything; the first block of such
 
-def _cell(v, g):
-    return F.least(F.floor(v * g).cast("int"), (g - 1).cast("int"))
+    def packed(held: list[dict], part: int, number: int) -> dict:
+        column = {f"{c}s": [r[c] for r in held] for c in (*_ATTRIBUTES, *_NUMBERS, "tau", "tau_id")}
+        row = {"department": held[0]["department"], "manager": held[0]["manager_id"] if by_manager else None, "part": part,
+               "number": number, "k": held[0]["_k"], "ids": [r["id"] for r in held], **column}
+        for c in ("project", "gender", "tier"):
+            row[c] = column[f"{c}s"][0] if len(set(column[f"{c}s"])) == 1 else None
+        for c, name in zip(_NUMBERS, ("age", "risk"), strict=True):
+            row[f"{name}_lo"], row[f"{name}_hi"] = min(column[f"{c}s"]), max(column[f"{c}s"])
+        if not by_manager:
+            m = _Members(row)
+            best = kth(m, m, row["k"])
+            shared = {tuple(r[c] for c in ("department", "project", "gender", "tier", *_NUMBERS)) for r in held}
+            if len(shared) > 1:
+                alike[:] = None, None
+            elif alike[0] == shared:
+                best = list(map(min, best, kth(m, alike[1], row["k"])))
+            else:
+                alike[:] = shared, m
+            row["taus"], row["tau_ids"] = [t for t, _ in best], [i for _, i in best]
+        row["reach"], row["reach_id"] = max(row["taus"]), max(row["tau_ids"])
+        return row
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, number, held, ready, out = TaskContext.get().partitionId(), 0, [], [], []
+        key = None
+
+        def close(last: bool) -> None:
+            """Packs what can be packed; a short rest joins the block before."""
+            nonlocal number, held, ready
+            if last and ready and len(held) <= KNN_MAX:
+                ready, held = ready + held, []
+            for some in (ready, held) if last else (ready,):
+                if some:
+                    out.append(packed(some, part, number))
+                    number += 1
+            ready, held = ([], []) if last else (held, [])
+
+        def flush() -> pa.RecordBatch:
+            batch = pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], _ARROW[t]) for c, t in _FIELDS], names=[c for c, _ in _FIELDS])
+            out.clear()
+            return batch
+
+        for batch in batches:
+            for row in batch.to_pylist():
+                mine = tuple(row[c] for c in first)
+                if mine != key:
+                    close(True)
+                    key = mine
+                elif len(held) >= BLOCK or (len(held) > 2 * KNN_MAX and any(row[c] != held[-1][c] for c in ("project", "gender", "tier"))):
+                    close(False)
+                held.append(row)
+            yield flush()
+        close(True)
+        yield flush()
+
+    return cut_lineage(sorted_rows.mapInArrow(run, _PACKED))
+
+
+def near_pairs(packed: DataFrame, by_manager: bool) -> DataFrame:
+    """(part_a, number_a, part_b, number_b): the blocks b that may hold
+    neighbours of members of a."""
+    keys = ["department", "manager"] if by_manager else ["department"]
+    kept = packed.select(*keys, "part", "number", "project", "gender", "tier", *_BOX, "reach", "reach_id", F.array_min("ids").alias("low_id"))
+    one = lambda c: F.when((F.count(c) == F.count(F.lit(1))) & (F.min(c) == F.max(c)), F.min(c)).alias(c)
+    merged = [one("project"), one("gender"), one("tier"), *[(F.min if c.endswith("lo") else F.max)(c).alias(c) for c in _BOX],
+              F.max("reach").alias("reach"), F.max("reach_id").alias("reach_id"), F.min("low_id").alias("low_id")]
+    run = F.floor(F.col("number") / RUN).cast("int").alias("run")
+    levels = [kept.groupBy(*keys, "part").agg(*merged), kept.withColumn("run", run).groupBy(*keys, "part", "run").agg(*merged),
+              kept.withColumn("run", run)]
+    ids = [["part"], ["part", "run"], ["part", "run", "number"]]
+
+    def side(level: DataFrame, x: str) -> DataFrame:
+        return level.select(*[F.col(c).alias(c if c in keys else f"{c}_{x}") for c in level.columns])
+
+    unlike = lambda c: F.coalesce((F.col(f"{c}_a") != F.col(f"{c}_b")).cast("int"), F.lit(0))
+    gap = lambda c: F.greatest(F.col(f"{c}_lo_a") - F.col(f"{c}_hi_b"), F.col(f"{c}_lo_b") - F.col(f"{c}_hi_a"), F.lit(0.0))
+    least = 0.1 * (2 * unlike("project") + unlike("gender") + unlike("tier") + (0 if by_manager else 2) + gap("age") + gap("risk"))
+    pairs = None
+    for level, own in zip(levels, ids, strict=True):
+        a, b = side(level, "a"), side(level, "b")
+        if pairs is None:
+            found = a.join(b, keys)
+        else:
+            above = own[:-1]
+            found = (pairs.join(a, [*keys, *(f"{c}_a" for c in above)]).join(b, [*keys, *(f"{c}_b" for c in above)]))
+        enough = (least < F.col("reach_a") - EPS) | (F.col("low_id_b") <= F.col("reach_id_a"))
+        pairs = found.where((least - EPS <= F.col("reach_a")) & (enough | (F.col("reach_a") == float("inf")))).select(*keys, *(f"{c}_{x}" for c in own for x in "ab"))
+    return pairs.select("part_a", "number_a", "part_b", "number_b")
+
+
+def neighbours(packed: DataFrame, pairs: DataFrame, by_manager: bool) -> DataFrame:
+    """(a, b, distance, k): members of paired blocks within the tau of a, of
+    one manager or of different ones."""
+    fields = ["ids", *(f"{c}s" for c in (*_ATTRIBUTES, *_NUMBERS)), "taus", "tau_ids", "k"]
+    side = lambda x: packed.select(F.col("part").alias(f"part_{x}"), F.col("number").alias(f"number_{x}"),
+                                   F.struct(*fields).alias(x))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(len(batch)):
+                x, y = batch["a"][i].as_py(), batch["b"][i].as_py()
+                a, b = _Members(x), _Members(y)
+                d, manager = distances(a, b)
+                tau, last = np.array(x["taus"])[:, None], np.array(x["tau_ids"], dtype=object)[:, None]
+                use = (d < tau) | ((d == tau) & (b.ids[None, :] <= last))
+                use &= (manager == by_manager) & (a.ids[:, None] != b.ids[None, :])
+                p, q = np.nonzero(use)
+                yield pa.RecordBatch.from_arrays([pa.array(a.ids[p], pa.string()), pa.array(b.ids[q], pa.string()), pa.array(d[p, q]),
+                                                  pa.array(np.full(len(p), x["k"]), pa.int32())], names=["a", "b", "distance", "k"])
+
+    both = pairs.join(side("a"), ["part_a", "number_a"]).join(side("b"), ["part_b", "number_b"]).select("a", "b")
+    return both.mapInArrow(run, "a string, b string, distance double, k int")
 
 
 def knn(att: DataFrame, stats: list | None = None, k_floor: int = KNN_MIN, k_cap: int = KNN_MAX,
@@ -58,91 +233,25 @@ def knn(att: DataFrame, stats: list | None = None, k_floor: int = KNN_MIN, k_cap
     """``att``: id, department, manager_id, project, gender, tier, age_norm,
     risk_norm.  Returns (a, b, distance, rank) for the k nearest b of every a
     in its department (ties by b's id), k = ``k_share`` of the department's
-    members, at least ``k_floor`` and at most ``k_cap``."""
-    att = cut_lineage(att.select("id", "department", "manager_id", "project", "gender", "tier", "age_norm",
-                                 "risk_norm"))  # read by every region below
-    base = att.join(att.groupBy("department").agg(F.count(F.lit(1)).alias("_n")), "department")
-    base = base.withColumn("_k", _k_expr(F.col("_n"), k_floor, k_cap, k_share))
-    # per-region grid sizes and cells
-    for name, keys, _ in REGIONS:
-        gk = ["department", *keys]
-        sizes = base.groupBy(*gk).agg(F.count(F.lit(1)).alias(f"{name}_size"))
-        base = base.join(sizes, gk)
-        g = F.least(F.lit(1024), F.greatest(F.lit(1), F.ceil(F.sqrt(F.col(f"{name}_size") / F.col("_k"))))).cast("int")
-        base = (base.withColumn(f"{name}_G", g)
-                .withColumn(f"{name}_ci", _cell(F.col("age_norm"), F.col(f"{name}_G")))
-                .withColumn(f"{name}_cj", _cell(F.col("risk_norm"), F.col(f"{name}_G"))))
-    base = cut_lineage(base)
-
-    # radius per region: -1 = not probed; start with the tightest and the widest region
-    state = base.select("id", "department", "_k", *[F.lit(1 if n in ("q_mp", "q_pg", "q_mg") else -1)
-                                                    .alias(f"{n}_R") for n, _, _ in REGIONS])
-    done = None
-    members = base.select("id", "department", "manager_id", "project", "gender", "tier", "age_norm", "risk_norm",
-                          *[c for n, _, _ in REGIONS for c in (f"{n}_ci", f"{n}_cj")])
-    while True:  # radii of uncertified nodes grow every round, up to the whole grid
-        q = state.join(base.drop("_k"), ["id", "department"])
-        cands = None
-        for name, keys, _ in REGIONS:
-            R = F.col(f"{name}_R")
-            offs = F.sequence(-R, R)
-            p = (q.where(R >= 0)
-                 .select("id", "department", *keys, F.col(f"{name}_ci").alias("_ci"), F.col(f"{name}_cj").alias("_cj"),
-                         F.explode(offs).alias("_di"), offs.alias("_dj_all"))
-                 .select("id", "department", *keys, (F.col("_ci") + F.col("_di")).alias("_c1"),
-                         F.explode(F.transform("_dj_all", lambda x: F.col("_cj") + x)).alias("_c2")))
-            m = members.select(F.col("id").alias("b"), "department", *keys, F.col(f"{name}_ci").alias("_c1"),
-                               F.col(f"{name}_cj").alias("_c2"))
-            c = p.join(m, ["department", *keys, "_c1", "_c2"]).where(F.col("id") != F.col("b")).select("id", "b")
-            cands = c if cands is None else cands.unionByName(c)
-        cands = cands.select(F.col("id").alias("_a"), F.col("b").alias("_b")).distinct()
-        if stats is not None:  # diagnostics only: candidate pairs probed this round
-            stats.append(cands.count())
-        x = members.alias("x")
-        y = members.alias("y")
-        dd = (cands.join(x, F.col("_a") == F.col("x.id")).join(y, F.col("_b") == F.col("y.id"))
-              .select(F.col("_a").alias("a"), F.col("_b").alias("b"), distance_expr("x", "y").alias("distance")))
-        w = Window.partitionBy("a").orderBy("distance", "b")
-        top = dd.withColumn("rank", F.row_number().over(w))
-        kk = state.select(F.col("id").alias("a"), "_k")
-        top = top.join(kk, "a").where(F.col("rank") <= F.col("_k"))
-        top = cut_lineage(top)
-        tau = top.groupBy("a").agg(F.count(F.lit(1)).alias("_got"), F.max("distance").alias("_tau"))
-        st = state.join(base.select("id", *[c for n, _, _ in REGIONS for c in (f"{n}_G",)]), "id") \
-            .join(tau.withColumnRenamed("a", "id"), "id", "left")
-        # bound of every region for the node; None when fully covered
-        bounds = []
-        for name, _, min_d in REGIONS:
-            R, G = F.col(f"{name}_R"), F.col(f"{name}_G")
-            covered = R >= G
-            b = F.when(covered, F.lit(None)).otherwise(
-                0.1 * (F.lit(float(min_d)) + F.greatest(R, F.lit(0)).cast("double") / G - F.lit(EPS)))
-            bounds.append(b)
-        lb = F.least(*bounds)
-        full = F.coalesce(F.col("_got"), F.lit(0)) >= F.col("_k")
-        certified = full & (lb.isNull() | (F.col("_tau") < lb))
-        st = st.withColumn("_ok", F.coalesce(certified, F.lit(False)))
-        st = cut_lineage(st)
-        ok = st.where("_ok").select(F.col("id").alias("a"))
-        res = top.join(ok, "a")
-        done = res if done is None else done.unionByName(res)
-        rest = st.where(~F.col("_ok"))
-        if rest.isEmpty():
-            break
-        # new radii: enough to lift each offending region's bound above tau
-        upd = {}
-        for name, _, min_d in REGIONS:
-            R, G = F.col(f"{name}_R"), F.col(f"{name}_G")
-            need = (F.floor((F.col("_tau") * 10.0 - F.lit(float(min_d)) + F.lit(EPS)) * G) + 1).cast("int")
-            grow = F.when(~full, F.when(F.lit(name) == "q_d", F.greatest(R * 2 + 1, F.lit(1))).otherwise(R)) \
-                .when(R >= G, R) \
-                .when(0.1 * (F.lit(float(min_d)) + F.greatest(R, F.lit(0)).cast("double") / G - F.lit(EPS))
-                      <= F.col("_tau"),
-                      F.least(G, F.greatest(R + 1, need))) \
-                .otherwise(R)
-            upd[f"{name}_R"] = grow.cast("int")
-        state = cut_lineage(rest.withColumns(upd).select("id", "department", "_k", *[f"{n}_R" for n, _, _ in REGIONS]))
-    return done.select("a", "b", "distance", "rank")
+    members, at least ``k_floor`` and at most ``k_cap``.  ``stats`` gets the
+    number of candidate pairs compared."""
+    att = cut_lineage(att.select("id", "department", *_ATTRIBUTES, *_NUMBERS))
+    n = att.groupBy("department").agg(F.count(F.lit(1)).alias("_n"))
+    k = F.greatest(F.lit(k_floor), F.least(F.lit(k_cap), F.ceil(F.col("_n") * k_share))).cast("int")
+    rows = att.join(n, "department").withColumn("_k", k).drop("_n").withColumns({"tau": F.lit(None).cast("double"), "tau_id": F.lit(None).cast("string")})
+    others = blocks(rows, False)
+    members = others.select("department", F.col("k").alias("_k"), F.explode(F.arrays_zip(
+        F.col("ids").alias("id"), *[F.col(f"{c}s").alias(c) for c in (*_ATTRIBUTES, *_NUMBERS, "tau", "tau_id")])).alias("m")).select("department", "_k", "m.*")
+    own = blocks(members.where("manager_id IS NOT NULL AND manager_id != ''"), True)
+    found = []
+    for packed, by_manager in ((others, False), (own, True)):
+        pairs = cut_lineage(near_pairs(packed, by_manager))
+        found.append(neighbours(packed, pairs, by_manager))
+        if stats is not None:  # diagnostics only
+            size = lambda x: packed.select(F.col("part").alias(f"part_{x}"), F.col("number").alias(f"number_{x}"), F.size("ids").alias(f"n_{x}"))  # noqa: B023, E731
+            stats.append(pairs.join(size("a"), ["part_a", "number_a"]).join(size("b"), ["part_b", "number_b"]).agg(F.sum(F.col("n_a") * F.col("n_b"))).first()[0])
+    ranked = found[0].union(found[1]).withColumn("rank", F.row_number().over(Window.partitionBy("a").orderBy("distance", "b")))
+    return ranked.where(F.col("rank") <= F.col("k")).select("a", "b", "distance", "rank")
 
 
 def similarity_edges(knn_pairs: DataFrame) -> DataFrame:
@@ -151,4 +260,3 @@ def similarity_edges(knn_pairs: DataFrame) -> DataFrame:
     e = knn_pairs.select(F.least("a", "b").alias("source"), F.greatest("a", "b").alias("target"), "distance")
     return e.groupBy("source", "target").agg(F.first("distance").alias("distance")).select(
         "source", "target", F.round(1.0 - F.col("distance"), 4).alias("weight"))
-

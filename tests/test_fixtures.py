@@ -231,6 +231,27 @@ def test_knn_matches_brute_force_with_ties_and_hot_groups(spark):
     assert got == want
 
 
+def test_knn_of_many_alike_and_of_many_blocks(spark, monkeypatch):
+    """Small blocks: a group alike in everything stays linear, sparse members
+    are found at any distance."""
+    from tenurelens.operators import knn as K
+    monkeypatch.setattr(K, "BLOCK", 32)
+    rnd = random.Random(5)
+    rows = [(f"a{i:04d}", "D", f"M{rnd.randint(0, 40)}", "P0", "F", "High", 0.5, 0.5) for i in range(700)]
+    rows += [(f"b{i:04d}", "D", rnd.choice(["M0", "M1", ""]), f"P{rnd.randint(0, 2)}", rnd.choice(["F", "M"]),
+              rnd.choice(["High", "Low", None]), rnd.random(), rnd.random()) for i in range(300)]
+    schema = ("id string, department string, manager_id string, project string, gender string, tier string, "
+              "age_norm double, risk_norm double")
+    stats = []
+    got = {(r.a, r.rank): r.b for r in K.knn(spark.createDataFrame(rows, schema).repartition(3), stats).collect()}
+    want = {}
+    for x in rows:
+        near = sorted((y for y in rows if y[0] != x[0]), key=lambda y: (_py_dist(x, y), y[0]))[:20]
+        want.update({(x[0], rk): y[0] for rk, y in enumerate(near, 1)})
+    assert got == want
+    assert sum(stats) < 0.5 * len(rows) ** 2
+
+
 def test_stratified_split_membership_matches_sort(spark):
     import hashlib
     ids = [f"c{i}" for i in range(3000)]
