@@ -11,14 +11,17 @@ subset for the same (m, n) link across its two sizes, so each is linked to the
 first set of the other side: as many links as listed subsets, none lost.
 
 Heavy: a larger set scans inverted lists.  With the shingles of every set in
-one order, the prefixes of two linked sets share one (for the smaller set the
-short prefix, as its partner is no smaller); the order puts shingles of rarely
-used cells of a fixed table of counts first, so common passages come last.
-Members of a list are first linked to a base member of about their size.  What
-that leaves in different components is compared pair by pair inside the list by
-parity bitmaps: a shingle in one set only flips a bit, so the number of bits
-that differ bounds the symmetric difference from below and no link is lost.
-Pairs that remain are confirmed on the full sets.
+one order, the prefixes of two linked sets share two shingles (for the smaller
+set the short prefix, as its partner is no smaller); the order puts shingles of
+rarely used cells of a fixed table of counts first, so common passages come
+last.  Lists of up to ``SHORT_LIST`` members give their pairs, of which those
+met twice go on.  In longer lists members are compared by parity bitmaps: a
+shingle in one set only flips a bit, so the number of bits that differ bounds
+the symmetric difference from below and no link is lost.  They are first
+compared inside small blocks, which joins most of a group of copies, and then
+wherever members of a list still lie in different components.  Two sets that
+share two shingles of their prefixes meet twice in short lists or once in a
+longer one.  Pairs that remain are confirmed on the full sets.
 
 The boundary between light and heavy is the size at which the listed subsets
 and the scanned postings of all small sets together cost least.
@@ -49,6 +52,8 @@ from .near_dedup import components, mix, shingle_sets
 PERCENT = 85
 CELL_BITS = 20  # cells of the table of counts; any table gives the same links
 LIGHT_MOST = 24  # sizes that may be light
+SHORT_LIST = 16
+LOCAL = 16  # members of a long list compared at first
 BLOCK = 1024  # members of a list compared at once
 PAIRS = 1 << 18
 _U = np.uint64
@@ -61,8 +66,9 @@ def least_common(m, n, percent: int = PERCENT):
 
 
 def prefix_lengths(n: int, percent: int = PERCENT) -> tuple[int, int]:
-    """Prefix of a set against sets no smaller, and against any."""
-    return int(n - least_common(n, n, percent) + 1), int(n - -(-percent * n // 100) + 1)
+    """Prefix of a set against sets no smaller, and against any: linked sets
+    of two shingles and more share two shingles of theirs."""
+    return int(n - least_common(n, n, percent) + 2), int(n - -(-percent * n // 100) + 2)
 
 
 def largest_partner(n, percent: int = PERCENT):
@@ -237,42 +243,56 @@ def postings(sets: DataFrame, most: int, percent: int = PERCENT) -> DataFrame:
         run, "token long, n long, id long, short boolean")
 
 
-def shared_lists(listed: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """The postings of lists with several members, each with ``base``: a member
-    before it that is not too small for it (itself, if none is).  A list is
-    read as a stream; only its last base is held."""
+def met_members(listed: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """What meets in the lists: for lists of up to ``SHORT_LIST`` members the
+    pairs whose sizes fit (id, other; token null), for longer ones the postings
+    (other null).  Lists are read as a stream; no more than a batch is held."""
+    names = [*_POSTING.names, "other"]
+
+    def pairs_of(rows: pa.RecordBatch | pa.Table, use: np.ndarray) -> Iterator[pa.RecordBatch]:
+        token, n, i, short = (rows[c].to_numpy() for c in _POSTING.names)
+        for d in range(1, SHORT_LIST):
+            at = np.flatnonzero((token[d:] == token[:-d]) & use[:-d] & short[:-d] & (n[d:] <= largest_partner(n[:-d], percent)))
+            if len(at):
+                none = pa.nulls(len(at), pa.int64())
+                a, b = np.minimum(i[at], i[at + d]), np.maximum(i[at], i[at + d])
+                yield pa.RecordBatch.from_arrays([none, none, pa.array(a), pa.nulls(len(at), pa.bool_()), pa.array(b)], names=names)
+
+    def split(rows: pa.Table, long_token: int | None) -> Iterator[pa.RecordBatch]:
+        """Whole lists, the first perhaps the rest of a long one."""
+        token = rows["token"].to_numpy()
+        start = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1])))
+        size = np.diff(np.concatenate((start, [len(token)])))
+        long = size > SHORT_LIST
+        long[0] |= token[0] == long_token
+        long = np.repeat(long, size)
+        yield from pairs_of(rows, ~long & (np.repeat(size, size) > 1))
+        if long.any():
+            kept = rows.filter(pa.array(long)).combine_chunks()
+            for batch in kept.append_column("other", pa.nulls(len(kept), pa.int64())).to_batches():
+                yield batch
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        token, base, base_n, held = None, None, 0, None
+        held, long_token = None, None  # the last list so far; the token of a long list of which rows went out
         for batch in batches:
-            tokens, sizes, ids = (batch[c].to_numpy() for c in ("token", "n", "id"))
-            bases, keep = ids.copy(), np.zeros(len(ids), dtype=bool)
-            starts = np.flatnonzero(np.concatenate(([True], tokens[1:] != tokens[:-1])))
-            ends = np.concatenate((starts[1:], [len(tokens)]))
-            extra = []
-            for s, e in zip(starts.tolist(), ends.tolist(), strict=True):
-                if tokens[s] != token:
-                    token, base, base_n, held = tokens[s], ids[s], sizes[s], None
-                    if e - s == 1:
-                        held = batch.slice(s, 1)  # alone so far: it may go on in the next batch
-                        continue
-                elif held is not None:
-                    extra.append((held, base))
-                    held = None
-                keep[s:e] = True
-                for k in range(s, e):
-                    if 100 * base_n < percent * sizes[k]:
-                        base, base_n = ids[k], sizes[k]
-                    bases[k] = base
-            for row, of in extra:
-                yield pa.RecordBatch.from_arrays([*row.columns, pa.array([of], pa.int64())], names=[*_POSTING.names, "base"])
-            mask = pa.array(keep)
-            yield pa.RecordBatch.from_arrays([*(c.filter(mask) for c in batch.columns), pa.array(bases[keep])],
-                                             names=[*_POSTING.names, "base"])
+            rows = pa.Table.from_batches([batch] if held is None else [*held.to_batches(), batch])
+            if not len(rows):
+                continue
+            token = rows["token"].to_numpy()
+            cut_at = int(np.searchsorted(token, token[-1]))
+            if cut_at:
+                yield from split(rows.slice(0, cut_at), long_token)
+            held = rows.slice(cut_at).combine_chunks()
+            if len(held) > SHORT_LIST or token[-1] == long_token:
+                long_token = int(token[-1])
+                yield from split(held, long_token)
+                held = None
+        if held is not None:
+            yield from split(held, long_token)
 
     order = ("token", "n", "id")
     return (listed.repartition("token").sortWithinPartitions(*order)
-            .mapInArrow(run, "token long, n long, id long, short boolean, base long"))
+            .mapInArrow(run, "token long, n long, id long, short boolean, other long"))
 
 
 def apart(x: np.ndarray, y: np.ndarray) -> int:
@@ -295,17 +315,27 @@ def near_bitmaps(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> D
             .mapInArrow(run, "a long, b long"))
 
 
-def across_components(open_lists: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Pairs (a, b) of ``open_lists`` (token, n, id, short, component) of one
+def long_members(postings: DataFrame, sets: DataFrame) -> DataFrame:
+    """The postings of long lists with the bitmap of each member and the
+    tokens of all its long lists (no more than its prefix)."""
+    of = postings.groupBy("id").agg(F.array_sort(F.collect_list("token")).alias("tokens"))
+    return postings.join(of.join(sets.select("id", "bitmap"), "id"), "id")
+
+
+def near_members(members: DataFrame, across: bool, percent: int = PERCENT) -> DataFrame:
+    """Pairs (a, b) of ``members`` (of ``long_members``, with component) of one
     list and different components that may link by their bitmaps.
 
-    A list longer than ``BLOCK`` is cut into blocks by a hash of the id, and
-    every two of its blocks meet in a task of their own."""
-    blocks = open_lists.groupBy("token").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
-    met = (open_lists.join(blocks, "token").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
-           .withColumn("met", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    A list is cut into blocks by a hash of the id.  With ``across`` every two
+    blocks of ``BLOCK`` meet in a task of their own, and a pair comes from the
+    first list that both share; else only members of a block of ``LOCAL``."""
+    size, key = (BLOCK, F.xxhash64("id")) if across else (LOCAL, F.xxhash64("id", "token"))
+    blocks = members.groupBy("token").agg(F.ceil(F.count(F.lit(1)) / size).alias("blocks"))
+    met = members.join(blocks, "token").withColumn("block", F.pmod(key, F.col("blocks")))
+    others = F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1) if across else F.array("block")
+    met = (met.withColumn("met", F.explode(others))
            .select("token", F.least("block", "met").alias("x"), F.greatest("block", "met").alias("y"), "block", "n", "id", "short",
-                   "component").join(sets.select("id", "bitmap"), "id"))
+                   "component", "bitmap", "tokens"))
 
     def compare(table: pa.Table) -> Iterator[pa.RecordBatch]:
         token, x, y, block, n, ids, short, part = (table[i].to_numpy() for i in range(8))
@@ -316,11 +346,10 @@ def across_components(open_lists: DataFrame, sets: DataFrame, percent: int = PER
         place = {w: np.cumsum((words == w) | (words == 2 * w)) - 1 for w in stacked}
         starts = np.flatnonzero(new)
         stops = np.concatenate((starts[1:], [len(ids)]))
-        stop = np.repeat(stops, stops - starts)
         last = np.empty(len(ids), dtype=np.int64)  # members are in order of n: partners end where sizes grow too large
         for s, e in zip(starts, stops, strict=True):
             last[s:e] = s + np.searchsorted(n[s:e], largest_partner(n[s:e], percent), side="right")
-        count = np.where(short, np.minimum(last, stop) - np.arange(len(ids)) - 1, 0)
+        count = np.where(short, last - np.arange(len(ids)) - 1, 0)
         upto = np.concatenate(([0], np.cumsum(count)))
         at = 0
         while at < len(ids):
@@ -335,7 +364,12 @@ def across_components(open_lists: DataFrame, sets: DataFrame, percent: int = PER
             for w, rows in stacked.items():
                 mine = np.flatnonzero(words[i] == w)
                 keep[mine] = np.bitwise_count(rows[place[w][i[mine]]] ^ rows[place[w][j[mine]]]).sum(axis=1) <= room[mine]
-            a, b = ids[i[keep]], ids[j[keep]]
+            i, j = i[keep], j[keep]
+            if across and len(i):
+                lists = {k: set(table[9][k].as_py()) for k in np.unique(np.concatenate((i, j))).tolist()}
+                first = np.array([min(lists[p] & lists[q]) == token[p] for p, q in zip(i.tolist(), j.tolist(), strict=True)])
+                i, j = i[first], j[first]
+            a, b = ids[i], ids[j]
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -352,8 +386,7 @@ def across_components(open_lists: DataFrame, sets: DataFrame, percent: int = PER
             yield from compare(pa.Table.from_batches(held))
 
     order = ("token", "x", "y", "n", "id")
-    return (met.select("token", "x", "y", "block", "n", "id", "short", "component", "bitmap").repartition("token", "x", "y")
-            .sortWithinPartitions(*order).mapInArrow(run, "a long, b long"))
+    return met.repartition("token", "x", "y").sortWithinPartitions(*order).mapInArrow(run, "a long, b long")
 
 
 def confirm(pairs: DataFrame, sets: DataFrame, docs: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -389,6 +422,18 @@ def confirm(pairs: DataFrame, sets: DataFrame, docs: DataFrame, percent: int = P
             .mapInArrow(linked, "a long, b long"))
 
 
+def joined_labels(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """(id, component) after further ``links`` (a, b): components of the
+    components, so that links inside one are not walked again."""
+    of = lambda x: labels.select(F.col("id").alias(x), F.col("component").alias(f"of_{x}"))
+    ends = links.join(of("a"), "a", "left").join(of("b"), "b", "left").select(
+        F.coalesce("of_a", "a").alias("a"), F.coalesce("of_b", "b").alias("b")).where("a != b").distinct()
+    merged = cut(components(cut(ends)).withColumnRenamed("id", "was").withColumnRenamed("component", "now"))
+    known = labels.join(merged, labels["component"] == merged["was"], "left").select("id", F.coalesce("now", "component").alias("component"))
+    new = merged.select(F.col("was").alias("id"), F.col("now").alias("component")).join(labels, "id", "left_anti")
+    return known.union(new)
+
+
 # ---------------------------------------------------------------------------
 # the join
 # ---------------------------------------------------------------------------
@@ -401,19 +446,22 @@ def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     small = sets.where(F.col("n") <= LIGHT_MOST).groupBy("n").agg(F.count(F.lit(1)).alias("k"), F.sum("scan").alias("s")).collect()
     most = boundary({r.n: (r.k, r.s) for r in small}, percent)
-    shared = cut(shared_lists(postings(sets, most, percent), percent))
-    to_base = (shared.where("base != id").select(F.least("base", "id").alias("a"), F.greatest("base", "id").alias("b")).distinct())
-    links = cut(confirm(cut(light_links(sets, most, percent).union(near_bitmaps(to_base, sets, percent)).distinct()),
-                        classes, docs, percent))
+    met = cut(met_members(postings(sets, most, percent), percent))
+    twice = (met.where("other IS NOT NULL").groupBy(F.col("id").alias("a"), F.col("other").alias("b"))
+             .agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("a", "b"))
+    members = cut(long_members(met.where("other IS NULL").drop("other"), sets))
+    nearby = near_members(members.withColumn("component", F.col("id")), False, percent).distinct()
+    pairs = light_links(sets, most, percent).union(near_bitmaps(twice, sets, percent)).union(nearby).distinct()
+    links = cut(confirm(cut(pairs), classes, docs, percent))
     labels = components(links)
 
-    placed = (shared.join(labels, "id", "left").select("token", "n", "id", "short", F.coalesce("component", "id").alias("component")))
+    placed = members.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
     open_tokens = (placed.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y")
                    .select("token"))
-    rest = cut(placed.join(open_tokens, "token"))
-    more = cut(confirm(cut(across_components(rest, sets, percent).distinct()), classes, docs, percent))
+    pairs = cut(near_members(cut(placed.join(open_tokens, "token")), True, percent).distinct())
+    more = cut(confirm(pairs, classes, docs, percent))
     if not more.isEmpty():
-        labels = components(links.union(more))
+        labels = joined_labels(labels, more)
 
     placed = classes.join(labels, "id", "left").select("set_key", "doc_id", F.coalesce("component", "id").alias("component"))
     first = placed.groupBy("component").agg(F.min("doc_id").alias("first"))

@@ -64,6 +64,8 @@ def edited(rnd, words, edits):
 def test_join_of_near_copies_of_every_size(spark, monkeypatch, seed, percent, block, light):
     """Groups around the threshold, small and large sets, sizes across the boundary, a passage that many share."""
     monkeypatch.setattr(jaccard_join, "BLOCK", block)
+    monkeypatch.setattr(jaccard_join, "SHORT_LIST", min(block, 16) // 2)
+    monkeypatch.setattr(jaccard_join, "LOCAL", min(block, 64))
     if light:
         monkeypatch.setattr(jaccard_join, "boundary", lambda *_: light)
     rnd, docs = random.Random(seed), []
