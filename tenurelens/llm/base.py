@@ -3,6 +3,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,3 +50,35 @@ def cut(df: DataFrame) -> DataFrame:
     """Reliable checkpoint in the shared folder of the session."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+# ---------------------------------------------------------------------------
+# parity bitmaps of sets of 64-bit hashes
+# ---------------------------------------------------------------------------
+def parity(hashes: np.ndarray) -> np.ndarray:
+    """Bitmap whose bits count hashes modulo 2; 2 to 4 bits a hash.  Halves of
+    it xored are the bitmap of half the size.  A hash in one of two sets only
+    flips a bit, so the bits that differ bound the symmetric difference of the
+    sets from below."""
+    bits = 1 << max(6, int(2 * len(hashes) - 1).bit_length())
+    odd = np.bincount((hashes & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.uint64)
+
+
+def fold(bitmap: np.ndarray, words: int) -> np.ndarray:
+    while bitmap.shape[-1] > words:
+        half = bitmap.shape[-1] // 2
+        bitmap = bitmap[..., :half] ^ bitmap[..., half:]
+    return bitmap
+
+
+def bits_apart(bitmaps: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Differing bits of ``bitmaps[i]`` and ``bitmaps[j]``, pair by pair."""
+    words = np.array([len(b) for b in bitmaps])
+    least, out = np.minimum(words[i], words[j]), np.zeros(len(i), dtype=np.int64)
+    for w in np.unique(least):
+        mine = np.flatnonzero(least == w)
+        used, at = np.unique(np.concatenate((i[mine], j[mine])), return_inverse=True)
+        rows = np.stack([fold(bitmaps[k], w) for k in used])
+        out[mine] = np.bitwise_count(rows[at[:len(mine)]] ^ rows[at[len(mine):]]).sum(axis=1)
+    return out

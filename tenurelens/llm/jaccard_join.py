@@ -46,7 +46,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import cut
+from .base import cut, fold, parity
 from .near_dedup import components, mix, shingle_sets
 
 PERCENT = 85
@@ -124,20 +124,6 @@ def set_key(shingles: np.ndarray) -> bytes:
     return hashlib.blake2b(shingles.tobytes(), digest_size=16).digest()
 
 
-def parity(shingles: np.ndarray) -> np.ndarray:
-    """Bitmap whose bits count shingles modulo 2; 2 to 4 bits a shingle.
-    Halves of it xored are the bitmap of half the size."""
-    bits = 1 << max(6, int(2 * len(shingles) - 1).bit_length())
-    return np.packbits((np.bincount((shingles & _U(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8)).view(_U)
-
-
-def fold(bitmap: np.ndarray, words: int) -> np.ndarray:
-    while bitmap.shape[-1] > words:
-        half = bitmap.shape[-1] // 2
-        bitmap = bitmap[..., :half] ^ bitmap[..., half:]
-    return bitmap
-
-
 def features(docs: DataFrame, counts: np.ndarray, percent: int = PERCENT) -> DataFrame:
     """doc_id, n (size of the set), set_key (null: empty), head (the shingles
     of the prefix, rare cells first; of small sets all), bitmap, scan (about

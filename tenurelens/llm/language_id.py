@@ -41,12 +41,17 @@ BLOCK = 1024  # texts scored at a time
 WORDS, CHARS = 16384, 1 << 19  # distinct words and their characters scored at a time, or one longer word
 PLAIN = 32  # characters of a word whose prefixes cannot underflow
 UNDETERMINED = "und"
-_LETTER = re.compile(r"[^\W\d_]")
+_WORDLIKE = re.compile(r"[^\W\d_]")
 _U = np.uint64
 _BASE, _SPREAD = _U(0x100000001B3), _U(0x9E3779B97F4A7C15)
 _FILTER_BITS = 22
 
 
+def has_letter(text: str) -> bool:
+    """Whether a text has a letter; numbers like superscripts are none."""
+    return any(m[0].isalpha() for m in _WORDLIKE.finditer(text))
+
+
 def vocabulary(path: str) -> list[str]:
     """Lower-case pieces of a public sentence-piece model; U+2581 marks the
     start of a word."""
@@ -257,7 +262,7 @@ def predict(docs: DataFrame, pieces: list[str], languages: list[str], p: np.ndar
             for at in range(0, len(batch), BLOCK):
                 part = batch.slice(at, BLOCK)
                 texts = part["text"].to_pylist()
-                known = [i for i, t in enumerate(texts) if languages and t and _LETTER.search(t)]
+                known = [i for i, t in enumerate(texts) if languages and t and has_letter(t)]
                 names, scores = [UNDETERMINED] * len(texts), [0.0] * len(texts)
                 if known:
                     for i, name, score in zip(known, *judge(lattice, [texts[i] for i in known]), strict=True):

@@ -33,15 +33,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .base import cut
+from .base import bits_apart, cut, parity
 
 SHINGLE = 4  # words
 SIMILARITY_PCT = 80
 SYMBOLS = 100
 BITS = 16
 DISTANCE = 39  # symbols that may differ
-WIDE_SYMBOLS = 512  # further symbols, of 8 bits, where many members of a bucket must be told apart
-WIDE_DISTANCE = 170  # of all symbols; as safe as DISTANCE is for the first
 RADIUS = 1  # errors allowed in a chunk
 BLOCK = 4096  # members of a bucket that are compared in one task
 PAIRS = 1 << 17  # pairs of members that are compared at a time
@@ -68,7 +66,7 @@ def _stream(n: int, seed: int) -> np.ndarray:
 
 _BYTE = _stream(256, 1)
 _ORDER = _stream(SHINGLE, 2) | _U(1)
-_XOR, _MUL = _stream(SYMBOLS + WIDE_SYMBOLS, 3), _stream(SYMBOLS + WIDE_SYMBOLS, 4) | _U(1)
+_XOR, _MUL = _stream(SYMBOLS, 3), _stream(SYMBOLS, 4) | _U(1)
 
 
 def word_hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -110,14 +108,14 @@ def shingle_sets(texts: list[str | None]) -> Iterator[np.ndarray]:
         at = end
 
 
-def signatures(sets: list[np.ndarray], first: int = 0, symbols: int = SYMBOLS, bits: int = BITS) -> np.ndarray:
+def signatures(sets: list[np.ndarray]) -> np.ndarray:
     """One row of MinHash symbols for each (non-empty) set."""
     joined = np.concatenate(sets)
     offsets = np.concatenate(([0], np.cumsum([len(s) for s in sets])[:-1]))
-    out = np.empty((len(sets), symbols), dtype=np.uint16 if bits > 8 else np.uint8)
-    for k in range(symbols):
-        least = np.minimum.reduceat((joined ^ _XOR[first + k]) * _MUL[first + k], offsets)
-        out[:, k] = mix(least) & _U((1 << bits) - 1)
+    out = np.empty((len(sets), SYMBOLS), dtype=np.uint16)
+    for k in range(SYMBOLS):
+        least = np.minimum.reduceat((joined ^ _XOR[k]) * _MUL[k], offsets)
+        out[:, k] = mix(least) & _U((1 << BITS) - 1)
     return out
 
 
@@ -197,14 +195,13 @@ def near_signatures(pairs: DataFrame, classes: DataFrame) -> DataFrame:
 def across_components(members: DataFrame, classes: DataFrame) -> DataFrame:
     """The pairs (a, b) of ``members`` (key, id, component) that share a key,
     lie within the distance, and belong to different components.  ``classes``:
-    id, n_shingles, own, signature, wide.
+    id, n_shingles, signature, bitmap.
 
     The members of a bucket are compared by arrays of signatures, ``BLOCK`` of
     them at a time; larger buckets are cut into blocks and every two blocks
-    meet in a task of their own.  Shingles of its own (``own``: no other
-    member has them) bound what a set can share, and pairs that cannot be
-    similar enough by that bound are left out.  Of the others those within the
-    distance come out, each from the smallest key that both signatures have."""
+    meet in a task of their own.  Of the pairs within the distance those go on
+    whose sets can be similar enough by their parity bitmaps, a bound that no
+    link exceeds, each from the smallest key that both signatures have."""
     blocks = members.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
     placed = (members.join(blocks, "key").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
               .withColumn("met", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
@@ -225,21 +222,20 @@ def across_components(members: DataFrame, classes: DataFrame) -> DataFrame:
             at = end
 
     def compare(table: pa.Table) -> Iterator[pa.RecordBatch]:
-        key, x, y, block, ids, part, sizes, own = (table[i].to_numpy() for i in range(8))
-        sigs = np.frombuffer(b"".join(table[8].to_pylist()), dtype=np.uint16).reshape(-1, SYMBOLS)
-        wide = np.frombuffer(b"".join(table[9].to_pylist()), dtype=np.uint8).reshape(-1, WIDE_SYMBOLS)
+        key, x, y, block, ids, part, sizes = (table[i].to_numpy() for i in range(7))
+        sigs = np.frombuffer(b"".join(table[7].to_pylist()), dtype=np.uint16).reshape(-1, SYMBOLS)
+        bitmaps = [np.frombuffer(b, dtype=_U) for b in table[8].to_pylist()]
         new = np.concatenate(([False], (key[1:] != key[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1])))
         for i, j in pairs_of(np.cumsum(new)):
             use = part[i] != part[j]
             i, j = i[use], j[use]
-            common = np.minimum(sizes[i] - own[i], sizes[j] - own[j])  # at most
-            use = 100 * common >= SIMILARITY_PCT * (sizes[i] + sizes[j] - common)
+            use = 100 * np.minimum(sizes[i], sizes[j]) >= SIMILARITY_PCT * np.maximum(sizes[i], sizes[j])
             use &= (x[i] == y[i]) | (block[i] != block[j])
             i, j = i[use], j[use]
-            apart = (sigs[i] != sigs[j]).sum(axis=1)
-            use = apart <= DISTANCE
-            i, j, apart = i[use], j[use], apart[use]
-            use = apart + (wide[i] != wide[j]).sum(axis=1) <= WIDE_DISTANCE
+            use = (sigs[i] != sigs[j]).sum(axis=1) <= DISTANCE
+            i, j = i[use], j[use]
+            both = sizes[i] + sizes[j]
+            use = bits_apart(bitmaps, i, j) <= both - 2 * -(-SIMILARITY_PCT * both // (100 + SIMILARITY_PCT))
             i, j = i[use], j[use]
             if len(i):
                 mine, theirs = chunk_keys(sigs[i]).astype(np.int64), chunk_keys(sigs[j]).astype(np.int64)
@@ -260,7 +256,7 @@ def across_components(members: DataFrame, classes: DataFrame) -> DataFrame:
             yield from compare(pa.Table.from_batches(held))
 
     order = ["key", "x", "y"]
-    return (placed.select(*order, "block", "id", "component", "n_shingles", "own", "signature", "wide")
+    return (placed.select(*order, "block", "id", "component", "n_shingles", "signature", "bitmap")
             .repartition(*order).sortWithinPartitions(*order).mapInArrow(run, "a long, b long"))
 
 
@@ -280,35 +276,19 @@ def full_sets(wanted: DataFrame, docs: DataFrame) -> DataFrame:
     return docs.join(ids, "doc_id", "left_semi").mapInArrow(sets, "id long, shingles binary").dropDuplicates(["id"])
 
 
-def own_shingles(sets: DataFrame) -> DataFrame:
-    """(id, own): how many shingles of a set no other of ``sets`` has."""
-    schema = pa.schema([("shingle", pa.int64()), ("id", pa.int64())])
-
-    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(len(batch)):
-                found = np.frombuffer(batch["shingles"][i].as_py(), dtype=np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(np.full(len(found), batch["id"][i].as_py()))],
-                                                 schema=schema)
-
-    return (sets.mapInArrow(split, "shingle long, id long").groupBy("shingle")
-            .agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("id")).where("n = 1")
-            .groupBy("id").agg(F.count(F.lit(1)).alias("own")))
-
-
-def wide_signatures(sets: DataFrame) -> DataFrame:
-    """(id, wide): the further symbols of ``sets``."""
+def bitmaps(wanted: DataFrame, docs: DataFrame) -> DataFrame:
+    """(id, bitmap): parity bitmaps of the documents in ``wanted`` (doc_id)."""
+    wanted = cut(wanted)
+    ids = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, len(batch), 256):
                 part = batch.slice(at, 256)
-                found = signatures([np.frombuffer(s, dtype=_U) for s in part["shingles"].to_pylist()],
-                                   SYMBOLS, WIDE_SYMBOLS, 8)
-                yield pa.RecordBatch.from_arrays([part["id"], pa.array([r.tobytes() for r in found], pa.binary())],
-                                                 names=["id", "wide"])
+                made = [parity(s).tobytes() for s in shingle_sets(part["text"].to_pylist())]
+                yield pa.RecordBatch.from_arrays([part["doc_id"], pa.array(made, pa.binary())], names=["id", "bitmap"])
 
-    return sets.mapInArrow(run, "id long, wide binary")
+    return docs.join(ids, "doc_id", "left_semi").mapInArrow(run, "id long, bitmap binary").dropDuplicates(["id"])
 
 
 def confirm(pairs: DataFrame, docs: DataFrame) -> DataFrame:
@@ -374,9 +354,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     open_keys = (placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"))
                  .where("x < y").select("key"))
     rest = cut(placed.join(open_keys, "key"))
-    sets = cut(full_sets(rest.select(F.col("id").alias("doc_id")).distinct(), docs))
-    open_classes = (classes.join(wide_signatures(sets), "id").join(own_shingles(sets), "id", "left")
-                    .select("id", "n_shingles", F.coalesce("own", F.lit(0)).cast("long").alias("own"), "signature", "wide"))
+    made = bitmaps(rest.select(F.col("id").alias("doc_id")).distinct(), docs)
+    open_classes = classes.join(made, "id").select("id", "n_shingles", "signature", "bitmap")
     more = cut(confirm(cut(across_components(rest, cut(open_classes))), docs))
     if not more.isEmpty():
         labels = components(links.union(more))

@@ -8,6 +8,7 @@ import pytest
 from conftest import SF
 
 from tenurelens.llm import jaccard_join
+from tenurelens.llm.base import bits_apart, parity
 from tenurelens.llm.queries import QUERIES
 
 
@@ -99,7 +100,8 @@ def test_bounds_lose_no_link():
         if not len(t):
             continue
         common = len(np.intersect1d(s, t))
-        assert jaccard_join.apart(jaccard_join.parity(s), jaccard_join.parity(t)) <= len(s) + len(t) - 2 * common
+        assert bits_apart([parity(s), parity(t)], np.array([0]), np.array([1]))[0] == jaccard_join.apart(parity(s), parity(t))
+        assert jaccard_join.apart(parity(s), parity(t)) <= len(s) + len(t) - 2 * common
         if 100 * common >= 85 * (len(s) + len(t) - common):
             small, large = sorted((len(s), len(t)))
             assert common >= jaccard_join.least_common(small, large) and large <= jaccard_join.largest_partner(small)
