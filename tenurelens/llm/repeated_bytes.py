@@ -21,9 +21,8 @@ counted by their 128-bit hashes in a pre-aggregated group-by instead, which
 decides the same question for any number of contexts.
 
 Cases: null text has no bytes; texts shorter than ``LENGTH`` are kept whole;
-overlapping and adjacent spans count as one; rows repeated under an id are
-copies of each other (an id stands for one text; rows without an id are told
-apart by their text); an empty table stays empty; other columns are ignored.
+overlapping and adjacent spans count as one; rows of one id or
+of none are documents of their own, told apart by their texts; an empty table stays empty; other columns are ignored.
 """
 from __future__ import annotations
 
@@ -199,6 +198,7 @@ def context_bytes(contexts: DataFrame, docs: DataFrame) -> DataFrame:
     return docs.join(wanted, "id").select("text", "wanted").mapInArrow(run, "key long, c1 long, c2 long, bytes binary")
 
 
+BROADCAST_IDS = 500_000  # repeated ids up to this many are broadcast
 SPANS = pa.schema([("key", pa.int64()), ("c1", pa.int64()), ("c2", pa.int64()), ("first", pa.int32()), ("end", pa.int32())])
 SPANS_SQL = "key long, c1 long, c2 long, first int, end int"
 
@@ -258,8 +258,8 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     """(id, a, b): byte spans [a, b) of ``docs`` (id, text) that repeat; they
     may overlap."""
     runs = context_runs(docs)
-    keys = (runs.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("c1").alias("lo"), F.max("c1").alias("hi"))
-            .where("n > 1").select("key", (F.col("lo") != F.col("hi")).alias("mixed")))
+    keys = (runs.groupBy("key").agg(F.count(F.lit(1)).alias("n"), *[f(c).alias(f"{f.__name__}_{c}") for c in ("c1", "c2") for f in (F.min, F.max)])
+            .where("n > 1").select("key", ((F.col("min_c1") != F.col("max_c1")) | (F.col("min_c2") != F.col("max_c2"))).alias("mixed")))
     shared = cut(runs.join(keys, "key"))
     mixed = shared.where("mixed")
     contexts = cut(mixed.groupBy("key", "c1", "c2")
@@ -282,11 +282,23 @@ def _span(first: Column, end: Column) -> tuple[Column, Column]:
     return (F.col("start") + first).alias("a"), (F.col("start") + end + LENGTH - 1).alias("b")
 
 
+def named_rows(rows: DataFrame) -> DataFrame:
+    """``rows`` (doc_id, text) with ``id``: the doc_id where it is one row's
+    own, else a hash of it and the text."""
+    again = cut(rows.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id"))
+    own = F.xxhash64(F.lit("row"), F.col("doc_id"), F.col("text"))
+    few = again.count()
+    if not few:
+        return rows.withColumn("id", F.coalesce("doc_id", own))
+    again = again.withColumn("again", F.lit(True))
+    marked = rows.join(F.broadcast(again) if few <= BROADCAST_IDS else again, "doc_id", "left")
+    return marked.select("doc_id", "text", F.when(F.col("doc_id").isNull() | F.col("again"), own).otherwise(F.col("doc_id")).alias("id"))
+
+
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
     text = F.coalesce(docs[text_col].cast("string"), F.lit(""))
-    rows = docs.select(docs[id_col].cast("long").alias("doc_id"), text.alias("text")).select(
-        "doc_id", "text", F.coalesce("doc_id", F.xxhash64("text")).alias("id"))
+    rows = named_rows(docs.select(docs[id_col].cast("long").alias("doc_id"), text.alias("text")))
     spans = (repeated_spans(rows.where(F.octet_length("text") >= LENGTH).select("id", "text")).groupBy("id")
              .agg(F.sort_array(F.collect_list(F.struct("a", "b"))).alias("spans")))
     schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()),

@@ -144,6 +144,20 @@ def test_repeated_bytes_odd_rows(spark, odd, empty):
     assert repeated_bytes.remove_repeats(empty).count() == 0
 
 
+def test_repeated_bytes_of_repeated_ids(spark):
+    """Texts under one id keep their own spans; a row without an id meets them."""
+    rnd = random.Random(8)
+    a, b, c, p, q, x = ("".join(rnd.choice("abcdefgh ") for _ in range(n)) for n in (300, 250, 200, 300, 450, 120))
+    docs = [(1, a + p), (1, b + q + c), (2, x + p + x), (4, c[:50] + q), (None, a[:220]), (None, x), (1, a + p)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    got = sorted(((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in repeated_bytes.remove_repeats(df).collect()), key=str)
+    assert got == sorted(((i, *row) for (i, _), row in zip(docs, brute.removed_bytes(docs), strict=True)), key=str)
+
+
+def test_letters_decide_whether_a_language_is_sought():
+    assert not any(map(language_id.has_letter, ("", "²½ 12 ٣", "__ ¼!"))) and all(map(language_id.has_letter, ("a", "²é", "日")))
+
+
 def test_chunk_keys_keep_the_pigeonhole_promise():
     rng = np.random.default_rng(3)
     for radius in (0, 1, 2):
