@@ -168,20 +168,53 @@ def org_hierarchy(cohort: DataFrame) -> DataFrame:
 
 
 def tree_depths(tree: DataFrame) -> DataFrame:
-    """Depth of every node by frontier expansion from the root, one equi-join
-    per level until no node is left.  Each level is materialised and taken
-    from the rest, so no level repeats the joins of earlier ones.  Nodes that
-    no path from the root reaches (a cycle, an unknown manager) are an error."""
+    """Depth of every node, see ``tree_paths``."""
+    return tree_paths(tree).select("id", "depth")
+
+
+PATH_STEP, PATH_END = "\x01", "\x02"  # ids hold neither
+
+
+def tree_paths(tree: DataFrame) -> DataFrame:
+    """(id, depth, path) of every node by frontier expansion from the root, one
+    equi-join per level until no node is left.  The path holds the ids from the
+    root down, so that those below a node are the range of paths from its own
+    and ``PATH_STEP`` up to its own and ``PATH_END``.  Each level is materialised and taken from
+    the rest, so no level repeats the joins of earlier ones.  Nodes that no
+    path from the root reaches (a cycle, an unknown manager) are an error."""
     from ..session import cut_lineage
     tree = cut_lineage(tree.select("id", "manager_id"))
-    level = tree.where(F.col("manager_id") == "").select("id", F.lit(0).alias("depth"))
+    level = tree.where(F.col("manager_id") == "").select("id", F.lit(0).alias("depth"), F.col("id").alias("path"))
     out, rest, depth = level, tree.where(F.col("manager_id") != ""), 0
     while not rest.isEmpty():
         depth += 1
-        bosses = level.select(F.col("id").alias("manager_id"))
-        level = cut_lineage(rest.join(bosses, "manager_id").select("id", F.lit(depth).alias("depth")))
+        bosses = level.select(F.col("id").alias("manager_id"), F.col("path").alias("above"))
+        level = cut_lineage(rest.join(bosses, "manager_id").select(
+            "id", F.lit(depth).alias("depth"), F.concat("above", F.lit(PATH_STEP), "id").alias("path")))
         if level.isEmpty():
             raise ValueError("the reporting lines hold a cycle or an unknown manager")
         out = out.unionByName(level)
-        rest = cut_lineage(rest.join(bosses, "manager_id", "left_anti"))
+        rest = cut_lineage(rest.join(bosses.select("manager_id"), "manager_id", "left_anti"))
     return out
+
+
+def subtrees(labelled: DataFrame, heads: DataFrame) -> DataFrame:
+    """(head, id, depth below the head) of every node under each of ``heads``
+    (id), itself included.  ``labelled``: id, depth, path.  The heads, few and
+    checked so, filter the labels by one range each."""
+    found = heads.join(labelled, "id").select(F.col("id").alias("head"), F.col("depth").alias("top"), F.col("path").alias("low"))
+    few = found.limit(1001).collect()
+    if len(few) > 1000:
+        raise ValueError("ask for at most 1000 subtrees at once")
+    ranges = F.array(*[F.struct(F.lit(h["head"]).alias("head"), F.lit(h["top"]).alias("top"),
+                                F.lit(h["low"]).alias("low"), F.lit(h["low"] + PATH_STEP).alias("first"), F.lit(h["low"] + PATH_END).alias("last"))
+                       for h in few]) if few else F.array().cast("array<struct<head:string,top:int,low:string,first:string,last:string>>")
+    under = F.filter(ranges, lambda x: (F.col("path") == x["low"]) | ((F.col("path") >= x["first"]) & (F.col("path") < x["last"])))
+    return (labelled.select("id", "depth", F.explode(under).alias("r"))
+            .select("r.head", "id", (F.col("depth") - F.col("r.top")).alias("depth")))
+
+
+def department_view(tree: DataFrame, department: str) -> DataFrame:
+    """The nodes of one department's page: its members, its head and the root."""
+    head = "HEAD_" + department.replace(" ", "_")
+    return tree.where((F.col("id") == "CEO") | (F.col("id") == head) | (F.col("department") == department))

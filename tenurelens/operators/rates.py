@@ -2,10 +2,12 @@
 and the exit-clustering permutation test."""
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
-from pyspark.sql import functions as F
+import hashlib
 
-from .ranking import group_rank
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 def monthly_rates(cohort: DataFrame, as_of: str, months: int = 12) -> DataFrame:
@@ -52,38 +54,64 @@ def exit_gaps(exits: DataFrame, group: str, date_col: str) -> DataFrame:
                                             F.col("span_days") / (F.col("n_exits") - 1)))
 
 
-def permutation_test(exits: DataFrame, group: str, date_col: str, id_col: str, n_perm: int = 1000,
-                     seed: int = 7) -> DataFrame:
+def dealt_ends(sizes: list[int], total: int, key: str) -> list[tuple[int, int]]:
+    """First and last place of each group when its ``sizes`` members are dealt
+    to ``total`` places at random.
+
+    Places get their group from both ends by turns, each draw without
+    replacement from what is left (``key`` and the draw's number decide), until
+    every group has been met from both sides or is used up.
+    """
+    left = list(sizes)
+    front: list[int | None] = [None] * len(sizes)
+    back, front_end, back_end = front[:], front[:], front[:]
+    low, high, draw = 0, total - 1, 0
+    while any(n and (f is None or b is None) for n, f, b in zip(left, front, back, strict=True)):
+        pick = int(hashlib.md5(f"{key}|{draw}".encode()).hexdigest()[:8], 16) * (high - low + 1) >> 32
+        g = 0
+        while pick >= left[g]:
+            pick -= left[g]
+            g += 1
+        left[g] -= 1
+        if draw % 2:
+            place, high = high, high - 1
+            back[g], back_end[g] = place if back[g] is None else back[g], place
+        else:
+            place, low = low, low + 1
+            front[g], front_end[g] = place if front[g] is None else front[g], place
+        draw += 1
+    return [(b if f is None else f, x if y is None else y) for f, b, x, y in zip(front, back_end, front_end, back, strict=True)]
+
+
+def permutation_test(exits: DataFrame, group: str, date_col: str, n_perm: int = 1000, seed: int = 7) -> DataFrame:
     """Observed pooled inter-exit gap vs the same statistic after shuffling
-    group labels among exits (group sizes kept); md5 shuffles make every
-    permutation repeatable.  Returns observed, expected (mean over
-    permutations), lift = observed / expected and the one-sided p-value
-    P(permuted <= observed).
-
-    Permutation p deals the exits, ordered by md5(seed|p|id), into the
-    groups' consecutive slots (groups in name order).  The ordering is the
-    distributed group rank (one group per permutation, split into hash
-    sub-buckets); the slot → group lookup joins the table of slots.
+    group labels among exits (group sizes kept).  Returns observed, expected
+    (mean over permutations), lift = observed / expected and the one-sided
+    p-value P(permuted <= observed).
+
+    A mean gap needs the first and the last exit of each group only, and a
+    random dealing of labels shows those after a few draws from both ends of
+    the dates (``dealt_ends``).  So the exits are counted by day and by group
+    once, and the permutations are rows of their own: their number, not the
+    exits, is what is distributed.
     """
-    ex = exits.select(F.col(group).alias("_grp"), F.to_date(F.col(date_col)).alias("_d"),
-                      F.col(id_col).cast("string").alias("_id"))
-    per_group = exit_gaps(ex, "_grp", "_d")
-    observed = per_group.agg((F.sum("span_days") / F.sum(F.col("n_exits") - 1)).alias("o")).scalar()
-    sizes = ex.groupBy("_grp").agg(F.count(F.lit(1)).alias("_sz"))
-    # slot table: slot number -> group (groups in name order, consecutive slots);
-    # the window runs over one row per group
-    w = Window.orderBy("_grp").rowsBetween(Window.unboundedPreceding, 0)
-    slots = (sizes.withColumn("_hi", F.sum("_sz").over(w))
-             .select(F.col("_grp").alias("_pg"),
-                     F.explode(F.sequence(F.col("_hi") - F.col("_sz"), F.col("_hi") - 1)).alias("_slot")))
-    px = ex.select("*", F.explode(F.sequence(F.lit(0), F.lit(n_perm - 1))).alias("_p"))
-    px = px.withColumn("_h", F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("_p").cast("string"), F.col("_id"))))
-    ranked = group_rank(px, ["_p"], "_h", "_id", F.conv(F.substring("_h", 1, 3), 16, 10).cast("int"))
-    slot = ranked.withColumn("_slot", F.col("rank") - 1).join(slots, "_slot")
-    per = slot.groupBy("_p", "_pg").agg(F.count(F.lit(1)).alias("n_exits"),
-                                        F.datediff(F.max("_d"), F.min("_d")).alias("span_days"))
-    stat = per.groupBy("_p").agg((F.sum("span_days") / F.sum(F.col("n_exits") - 1)).alias("g"))
-    res = stat.agg(F.avg("g").alias("expected"), F.count_if(F.col("g") <= observed).alias("_le"))
-    return res.select(observed.alias("observed"), "expected", (observed / F.col("expected")).alias("lift"),
-                      (F.col("_le") / F.lit(float(n_perm))).alias("p_value"), F.lit(n_perm).alias("permutations"))
+    ex = exits.select(F.col(group).alias("_grp"), F.to_date(F.col(date_col)).alias("_d"))
+    groups = [r.n_exits for r in exit_gaps(ex, "_grp", "_d").orderBy("_grp").collect()]  # one row per group
+    days = ex.groupBy("_d").agg(F.count(F.lit(1)).alias("n")).orderBy("_d").collect()  # one row per day
+    upto, dates = np.cumsum([r.n for r in days]), np.array([r["_d"].toordinal() for r in days])
+    total, pairs = sum(groups), sum(groups) - len(groups)
 
+    def run(batches):
+        for batch in batches:
+            gaps = []
+            for p in batch["id"].to_pylist():
+                ends = np.array(dealt_ends(groups, total, f"{seed}|{p}"))
+                gaps.append(float(np.diff(dates[np.searchsorted(upto, ends, side="right")], axis=1).sum()) / pairs)
+            yield pa.RecordBatch.from_arrays([pa.array(gaps, pa.float64())], names=["g"])
+
+    per_group = exit_gaps(ex, "_grp", "_d")
+    observed = per_group.agg((F.sum("span_days") / F.sum(F.col("n_exits") - 1)).alias("o")).first()["o"] if pairs else None
+    stat = ex.sparkSession.range(n_perm if pairs else 0).mapInArrow(run, "g double")
+    known = F.lit(observed).cast("double")
+    return stat.agg(known.alias("observed"), F.avg("g").alias("expected"), (known / F.avg("g")).alias("lift"),
+                    (F.count_if(F.col("g") <= known) / F.lit(float(n_perm))).alias("p_value"), F.lit(n_perm).alias("permutations"))

@@ -10,6 +10,8 @@
 """
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -213,6 +215,34 @@ def individual_curves(scored: DataFrame, curve: DataFrame, clip: float = 20.0) -
                     F.pow(F.col("p.s0"), F.col("_m")).alias("survival")))
 
 
+def mean_curves(scored: DataFrame, curve: DataFrame, group: str, clip: float = 20.0) -> DataFrame:
+    """(group, t, mean_survival): individual curves summed as whole vectors.
+
+    A task turns its rows into sums of curves, one vector per group, so that
+    tasks x groups x times numbers are shuffled and no row per entity and time.
+    """
+    points = sorted((p["t"], p["s0"]) for p in curve.select("t", "s0").collect())  # bounded by the time domain
+    t, s0 = np.array([p[0] for p in points]), np.array([p[1] for p in points])
+
+    def run(batches):
+        sums: dict = {}
+        for batch in batches:
+            names = np.array(batch[group].to_pylist(), dtype=object)
+            m = batch["_m"].to_numpy()
+            for name in set(names.tolist()):
+                mine = m[names == name]
+                total = sum(np.power(s0[None, :], part[:, None]).sum(axis=0) for part in np.array_split(mine, len(mine) // 4096 + 1))
+                old = sums.get(name, (0.0, 0))
+                sums[name] = old[0] + total, old[1] + len(mine)
+        for name, (total, n) in sums.items():
+            yield pa.RecordBatch.from_arrays([pa.array([name] * len(t), pa.string()), pa.array(t), pa.array(total), pa.array([n] * len(t), pa.int64())],
+                                             names=[group, "t", "total", "n"])
+
+    rows = scored.select(F.col(group).cast("string").alias(group), multiplier(F.col("margin"), clip).alias("_m"))
+    return (rows.mapInArrow(run, f"{group} string, t double, total double, n long").groupBy(group, "t")
+            .agg((F.sum("total") / F.sum("n")).alias("mean_survival")))
+
+
 # ---------------------------------------------------------------------------
 # theme contributions
 # ---------------------------------------------------------------------------

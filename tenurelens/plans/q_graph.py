@@ -8,6 +8,7 @@ from ..functions.labels import GRAPH_RISK_BANDS, RISK_BANDS
 from ..operators import graph
 from ..operators.attributes import exposure_fallback, slug
 from ..operators.cohort import AS_OF_DATE
+from ..session import cut_lineage
 from .common import cohort_df, materialized_cohort, scores_df, scores_from
 from .registry import query, r
 from .sqlparts import CTES, md5_mod_sql, md5_prefix_sql, with_ctes
@@ -247,6 +248,29 @@ def q_org_levels(spark, d):
     return graph.tree_depths(graph.org_hierarchy(cohort_df(spark, d)))
 
 
+@query("org_subtree", with_ctes("""
+SELECT head, id, depth FROM under""", {"under": """
+  SELECT id AS head, id, 0 AS depth FROM tree WHERE manager_id = 'CEO'
+  UNION ALL
+  SELECT u.head, t.id, u.depth + 1 FROM tree t JOIN under u ON t.manager_id = u.id"""}).replace("WITH ", "WITH RECURSIVE ", 1))
+def q_org_subtree(spark, d):
+    """Everyone below each department head, from path labels: a subtree is one
+    range of labels."""
+    tree = cut_lineage(graph.org_hierarchy(cohort_df(spark, d)))
+    return graph.subtrees(graph.tree_paths(tree), tree.where("manager_id = 'CEO'").select("id"))
+
+
+@query("org_department_view", with_ctes("""
+SELECT t.id, t.manager_id, t.department, round(coalesce(s.general_risk_score, 0.0), 9) AS risk_score
+FROM tree t LEFT JOIN scores s ON t.id = s.employee_id
+WHERE t.id IN ('CEO', 'HEAD_BUILDING') OR t.department = 'BUILDING'"""))
+def q_org_department_view(spark, d):
+    """One department's members with its head and the root, each with a score."""
+    s = scores_df(spark, d).select(F.col("employee_id").alias("id"), "general_risk_score")
+    t = graph.department_view(graph.org_hierarchy(cohort_df(spark, d)), "BUILDING").join(s, "id", "left")
+    return t.select("id", "manager_id", "department", r(F.coalesce("general_risk_score", F.lit(0.0))).alias("risk_score"))
+
+
 @query("tree_with_risk", with_ctes("""
 SELECT t.id, t.manager_id, round(coalesce(s.general_risk_score, 0.0), 9) AS risk_score
 FROM tree t LEFT JOIN scores s ON t.id = s.employee_id"""))

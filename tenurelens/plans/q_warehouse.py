@@ -4,6 +4,7 @@ score write-back and HR actions."""
 from __future__ import annotations
 
 import os
+import uuid
 from functools import reduce
 
 from pyspark.sql import Window
@@ -249,8 +250,9 @@ def table_dir(spark, name: str) -> str:
 
 
 def write_scores(spark, d, path: str | None = None) -> str:
-    """Full refresh of the score table: overwrite (idempotent under retry)."""
-    path = path or table_dir(spark, "flight_risk_scores_" + os.path.basename(d.rstrip("/")))
+    """Full refresh of the score table, each into a folder of its own, so that
+    no reader of an earlier one is disturbed."""
+    path = path or table_dir(spark, f"flight_risk_scores_{uuid.uuid4().hex}")
     s = risk_scores_df(spark, d).withColumn("date_calculated", F.current_timestamp())
     s.write.mode("overwrite").parquet(path)
     return path

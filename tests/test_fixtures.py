@@ -160,40 +160,43 @@ def test_rows_at_ranks_with_hot_value(spark):
     assert got == {k: order[k][0] for k in ranks}
 
 
-def _py_perm_test(exits, n_perm, seed):
-    """Plain-Python permutation test with the same md5 shuffle."""
-    import datetime
+def _dealt_to_the_end(sizes, key):
+    """Groups of all places, drawn from both ends until none is left."""
     import hashlib
-
-    def pooled(assign):
-        groups = {}
-        for g, dt in assign:
-            groups.setdefault(g, []).append(dt)
-        span = sum((max(v) - min(v)).days for v in groups.values())
-        return span / sum(len(v) - 1 for v in groups.values())
-    rows = [(g, datetime.date.fromisoformat(dt), i) for g, dt, i in exits]
-    observed = pooled([(g, dt) for g, dt, _ in rows])
-    sizes = sorted({g for g, _, _ in rows})
-    slots = []
-    for g in sizes:
-        slots += [g] * sum(1 for gg, _, _ in rows if gg == g)
-    stats = []
-    for p in range(n_perm):
-        order = sorted(rows, key=lambda x: (hashlib.md5(f"{seed}|{p}|{x[2]}".encode()).hexdigest(), x[2]))
-        stats.append(pooled([(slots[k], dt) for k, (_, dt, _) in enumerate(order)]))
-    expected = sum(stats) / n_perm
-    return observed, expected, sum(1 for s in stats if s <= observed) / n_perm
+    left, places, low, high = list(sizes), [None] * sum(sizes), 0, sum(sizes) - 1
+    for draw in range(sum(sizes)):
+        bag = [g for g, n in enumerate(left) for _ in range(n)]
+        g = bag[int(hashlib.md5(f"{key}|{draw}".encode()).hexdigest()[:8], 16) * len(bag) >> 32]
+        left[g] -= 1
+        places[high if draw % 2 else low] = g
+        low, high = (low, high - 1) if draw % 2 else (low + 1, high)
+    return places
 
 
 def test_permutation_test_matches_python(spark):
-    from tenurelens.operators.rates import permutation_test
+    """Ends found early equal those of the whole dealing; places are uniform."""
+    import datetime
+
+    from tenurelens.operators.rates import dealt_ends, permutation_test
     rnd = random.Random(9)
-    exits = [(rnd.choice(["A", "B", "C"]), f"2000-0{rnd.randint(1, 9)}-1{rnd.randint(0, 9)}", f"e{i}")
-             for i in range(40)]
-    df = spark.createDataFrame(exits, "g string, d string, id string")
-    r = permutation_test(df, "g", "d", "id", n_perm=25, seed=7).first()
-    obs, exp, pv = _py_perm_test(exits, 25, 7)
-    assert math.isclose(r.observed, obs) and math.isclose(r.expected, exp) and math.isclose(r.p_value, pv)
+    exits = [(rnd.choice("AABC"), f"2000-0{rnd.randint(1, 9)}-1{rnd.randint(0, 9)}") for _ in range(40)] + [("D", "2000-05-05")]
+    r = permutation_test(spark.createDataFrame(exits, "g string, d string"), "g", "d", n_perm=25, seed=7).first()
+    dates = sorted(datetime.date.fromisoformat(d) for _, d in exits)
+    names = sorted({g for g, _ in exits})
+    sizes = [sum(g == x for g, _ in exits) for x in names]
+
+    def pooled(groups):
+        return sum((max(v) - min(v)).days for v in groups) / (len(exits) - len(names))
+    observed = pooled([[datetime.date.fromisoformat(d) for g, d in exits if g == x] for x in names])
+    stats = []
+    for p in range(25):
+        places = _dealt_to_the_end(sizes, f"7|{p}")
+        stats.append(pooled([[dates[i] for i, g in enumerate(places) if g == x] for x in range(len(names))]))
+    assert math.isclose(r.observed, observed) and math.isclose(r.expected, sum(stats) / 25)
+    assert math.isclose(r.p_value, sum(x <= observed for x in stats) / 25)
+    first = [dealt_ends([3, 2], 5, f"k{i}")[1] for i in range(4000)]  # 10 pairs of places, all as likely
+    seen = {pair: first.count(pair) for pair in set(first)}
+    assert len(seen) == 10 and all(330 < n < 470 for n in seen.values())
 
 
 def _py_dist(x, y):
