@@ -69,3 +69,35 @@ def test_incomplete_snapshots_and_read_errors_raise(spark):
     with pytest.raises(Exception):  # noqa: B017  a commit folder that cannot be read is not "no commit"
         Scd2Sink(spark, base + "/broken").current()
     assert spark.createDataFrame([], MANIFEST).columns == ["snapshot_ts", "path", "n_rows"]
+
+
+def _bytes(folder):
+    import os
+    return sum(os.path.getsize(os.path.join(d, f)) for d, _, names in os.walk(folder) for f in names if f.endswith(".parquet"))
+
+
+def test_a_batch_writes_what_changed_and_compactions_leave_nothing_behind(spark):
+    import os
+    base = _base(spark)
+    n = 4000
+    values = {i: f"value {i} " * 5 for i in range(n)}
+    sink, snaps, sizes = Scd2Sink(spark, base + "/state", tracked=("v",), compact=4), [], []
+    root = base.removeprefix("file:")
+    for b in range(10):
+        if b:
+            for k in range(5):
+                values[(b * 37 + k) % n] = f"changed {b}"
+            values.pop(100 + b)
+            values[n + b] = "new"
+        ts = f"2000-01-{b + 1:02d}"
+        snaps.append((ts, list(values.items())))
+        sink(_manifest(spark, ts, _stored(spark, base, str(b), snaps[-1][1], 2), len(values)), b)
+        sizes.append(_bytes(f"{root}/state/opened/b={b}-0") + _bytes(f"{root}/state/closed/b={b}-0"))
+    assert max(sizes[1:]) < sizes[0] / 10  # deltas; batches 3 and 7 compact besides
+    want = scd2.build_history([(ts, _snap(spark, rows)) for ts, rows in snaps], ("v",))
+    assert _rows(sink.current()) == _rows(want)
+    assert _rows(sink.active()) == _rows(want.where("is_active"))
+    live = sink._last_commit()
+    assert len(live["past"]) == 2 and len(live["active"]) == 1 and len(live["opened"]) == 2
+    kept = {f"{kind}/{name}" for kind in ("past", "active", "opened", "closed") for name in os.listdir(f"{root}/state/{kind}")}
+    assert kept == {*live["past"], *live["active"], *live["opened"], *live["closed"]}
