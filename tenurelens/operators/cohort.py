@@ -44,10 +44,10 @@ def _label(idx: F.Column, names) -> F.Column:
     return expr
 
 
-def order_profile(orders: DataFrame) -> DataFrame:
-    """Per-customer order aggregates (one shuffle on o_custkey)."""
+def order_profile(orders: DataFrame, *more: str) -> DataFrame:
+    """Per-customer order aggregates (one shuffle on o_custkey, and on ``more``)."""
     latest = F.struct(F.col("o_orderdate"), F.col("o_orderkey"))
-    return (orders.groupBy("o_custkey").agg(
+    return (orders.groupBy("o_custkey", *more).agg(
         F.count(F.lit(1)).alias("n_orders"),
         F.avg("o_totalprice").alias("avg_price"),
         F.min(F.to_date("o_orderdate")).alias("first_date"),
@@ -60,8 +60,21 @@ def order_profile(orders: DataFrame) -> DataFrame:
 
 def build_cohort(customer: DataFrame, orders: DataFrame, nation: DataFrame,
                  region: DataFrame) -> DataFrame:
-    prof = order_profile(orders.select("o_custkey", "o_orderkey", "o_totalprice", "o_orderdate",
-                                       "o_orderpriority", "o_orderstatus"))
+    return cohort_of(customer, order_profile(orders.select(*ORDER_COLUMNS)), nation, region)
+
+
+ORDER_COLUMNS = ("o_custkey", "o_orderkey", "o_totalprice", "o_orderdate", "o_orderpriority", "o_orderstatus")
+
+
+def versions_cohort(customer: DataFrame, orders: DataFrame, nation: DataFrame, region: DataFrame, versions: DataFrame) -> DataFrame:
+    """The cohort as each version of ``versions`` (emp_key, valid_from) found
+    it: attributes from the orders before the version's start."""
+    before = (orders.select(*ORDER_COLUMNS).join(versions, F.col("o_custkey") == F.col("emp_key"))
+              .where(F.col("o_orderdate") < F.col("valid_from")))
+    return cohort_of(customer, order_profile(before, "valid_from"), nation, region, "valid_from")
+
+
+def cohort_of(customer: DataFrame, prof: DataFrame, nation: DataFrame, region: DataFrame, *more: str) -> DataFrame:
     geo = F.broadcast(nation.select("n_nationkey", "n_name", "n_regionkey")
                       .join(F.broadcast(region.select("r_regionkey", "r_name")),
                             F.col("n_regionkey") == F.col("r_regionkey")))
@@ -99,6 +112,7 @@ def build_cohort(customer: DataFrame, orders: DataFrame, nation: DataFrame,
         F.when(event == 1, F.date_format("last_date", "yyyy-MM-dd")).alias("date_of_leaving"),
         F.col("first_date").alias("hire_date"),
         F.col("last_date").alias("last_active_date"),
+        *more,
     )
 
 

@@ -11,16 +11,17 @@ from pyspark.sql import functions as F
 
 from ..functions.labels import ORDINAL_MAPPINGS
 from ..operators import boosting, cox, encoding, model_store, models
-from ..operators.cohort import BALANCE_NAMES, _label
+from ..operators.cohort import versions_cohort
 from ..operators.survival import FIXED_COEFFICIENTS, SCORE_FEATURES, horizon_probabilities, nelson_aalen, scaled_features, score
 from ..operators.time_ranges import by_time
 from ..operators.whatif import apply_overrides, whatif, with_pay_cut
 from ..sources.sinks import output_dir
+from ..sources.tables import scan
 from . import q_features  # noqa: F401  (its SQL parts)
 from .common import cohort_df, materialized_cohort
 from .q_warehouse import built_history
 from .registry import query, r
-from .sqlparts import CTES, _case_idx, _case_map, scored_over, with_ctes
+from .sqlparts import CTES, _case_map, scored_over, with_ctes
 
 # ---------------------------------------------------------------------------
 # sums of the fits, at given coefficients and margins
@@ -306,28 +307,29 @@ def q_whatif_cohort(spark, d):
         r("general_risk_score").alias("general_risk_score"))
 
 
-CTES["hist_w"] = f"""
-  SELECT c.* REPLACE ({_case_idx("CAST(substr(h.order_priority, 1, 1) AS INTEGER)", BALANCE_NAMES)}
-                      AS work_life_balance), h.valid_from
-  FROM cohort c JOIN hist_built h ON c.emp_key = h.emp_key"""
-scored_over("hist_w", "hist")
+CTES["hist_prof"] = CTES["prof"].replace("SELECT o_custkey,", "SELECT o_custkey, valid_from,").replace(
+    "FROM orders GROUP BY o_custkey", "FROM orders JOIN hist_built ON o_custkey = emp_key AND o_orderdate < valid_from GROUP BY o_custkey, valid_from")
+CTES["cohort_h"] = CTES["cohort"].replace("FROM customer JOIN prof", "FROM customer JOIN hist_prof").replace(
+    "SELECT c_custkey AS emp_key,", "SELECT valid_from, c_custkey AS emp_key,")
+scored_over("cohort_h", "hist")
 
 
 @query("risk_history", with_ctes("""
-SELECT emp_key, valid_from, round(p12, 9) AS prob_12m,
-       round(p12 - lag(p12) OVER (PARTITION BY emp_key ORDER BY valid_from), 9) AS delta_prob_12m
-FROM (SELECT emp_key, valid_from,
-             1 - pow((SELECT s0 FROM near WHERE hz = 12), exp(least(greatest(margin, -15), 15))) AS p12
-      FROM scored_hist)"""))
+SELECT emp_key, valid_from, age, round(monthly_income, 6) AS monthly_income, over_time, business_travel, work_life_balance,
+       round(p12, 9) AS prob_12m, round(p12 - lag(p12) OVER (PARTITION BY emp_key ORDER BY valid_from), 9) AS delta_prob_12m
+FROM (SELECT h.*, 1 - pow((SELECT s0 FROM near WHERE hz = 12),
+                          exp(least(greatest(margin, -15), 15)) * (1.0 + coalesce(x.exposure_score, 0.0))) AS p12
+      FROM scored_hist h LEFT JOIN exposure x ON h.employee_id = x.node)"""))
 def q_risk_history(spark, d):
-    """Every stored version rescored at once (the version's priority feeds the
-    work-life-balance feature), with the change from the previous version."""
-    c = cohort_df(spark, d)
-    h = built_history(spark, d).select("emp_key", "order_priority", "valid_from")
-    prio = F.substring("order_priority", 1, 1).cast("int")
-    v = c.drop("work_life_balance").join(h, "emp_key").withColumn("work_life_balance", _label(prio, BALANCE_NAMES))
-    p = horizon_probabilities(score(v, fit=c), nelson_aalen(c), horizons=(12,))
+    """Every stored version rescored at once from its own attributes (those of
+    the orders before it), with the exposure of its entity and the change from
+    the previous version."""
+    c = materialized_cohort(spark, d)
+    v = versions_cohort(*[scan(spark, d, t) for t in ("customer", "orders", "nation", "region")],
+                        built_history(spark, d).select("emp_key", "valid_from"))
+    v = v.join(_exposure(c), "emp_key", "left").withColumn("exposure", F.coalesce("exposure", F.lit(0.0)))
+    p = horizon_probabilities(score(v, fit=c), nelson_aalen(c), horizons=(12,), extra_multiplier=1.0 + F.col("exposure"))
     w = Window.partitionBy("emp_key").orderBy("valid_from")  # a key has at most one row per snapshot
     p = p.withColumn("delta_prob_12m", F.col("prob_12m") - F.lag("prob_12m").over(w))
-    return p.select("emp_key", "valid_from", r("prob_12m").alias("prob_12m"),
-                    r("delta_prob_12m").alias("delta_prob_12m"))
+    return p.select("emp_key", "valid_from", "age", r("monthly_income", 6).alias("monthly_income"), "over_time", "business_travel",
+                    "work_life_balance", r("prob_12m").alias("prob_12m"), r("delta_prob_12m").alias("delta_prob_12m"))
