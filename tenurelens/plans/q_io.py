@@ -1,7 +1,7 @@
 """Source / sink keys and the composite pair distance on graph edges."""
 from __future__ import annotations
 
-import os
+import uuid
 
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -11,7 +11,8 @@ from ..operators.ranking import group_rank
 from ..operators.similarity import composite_distance, similarity_inputs
 from ..operators.survival import SCORE_FEATURES
 from ..sources.csv_scan import lenient_csv, normalise_nulls
-from ..sources.sinks import export_partitioned_json, export_typed_csv, output_dir, run_metadata
+from ..session import cut_lineage
+from ..sources.sinks import export_partitioned_json, export_typed_csv, output_dir, read_partitioned_json, run_metadata
 from ..sources.tables import scan
 from .common import cohort_df, materialized_cohort, scores_from
 from . import q_graph  # noqa: F401  (registers the graph CTEs used below)
@@ -23,10 +24,6 @@ from .sqlparts import CTES, with_ctes
 KEYS_PER_BUCKET = 1 << 16  # keys are numbered inside ranges of so many
 
 
-def _tag(d: str) -> str:
-    return os.path.basename(d.rstrip("/"))
-
-
 _CSV_SCHEMA = T.StructType([T.StructField("emp_key", T.LongType()), T.StructField("employee_id", T.StringType()),
                             T.StructField("department", T.StringType()),
                             T.StructField("date_of_leaving", T.StringType())])
@@ -43,7 +40,7 @@ def write_dirty_extract(spark, d) -> str:
     line = (F.when(k % 97 == 0, F.concat(base, F.lit(",EXTRA")))
             .when(k % 89 == 0, F.concat_ws(",", k.cast("string"), F.col("employee_id")))
             .otherwise(base))
-    path = output_dir(spark, f"extract_{_tag(d)}")
+    path = output_dir(spark, f"extract_{uuid.uuid4().hex}")
     c.select(line.alias("value")).write.mode("overwrite").text(path)
     return path
 
@@ -88,23 +85,11 @@ def q_surrogate_key(spark, d):
     "'fixed-coefficient survival scoring' AS model_type FROM cohort"))
 def q_run_metadata(spark, d):
     m = run_metadata(spark, cohort_df(spark, d), list(SCORE_FEATURES), "fixed-coefficient survival scoring")
-    path = output_dir(spark, f"run_metadata_{_tag(d)}")
+    path = output_dir(spark, f"run_metadata_{uuid.uuid4().hex}")
     m.coalesce(1).write.mode("overwrite").json(path)  # one record
     return spark.read.schema(m.schema).json(path).select("dataset_rows", "features_count", "model_type")
 
 
-@query("graph_json_export", None)
-def q_graph_json_export(spark, d):
-    """Nodes and edges written as JSON documents, one folder per department;
-    returns the document counts read back."""
-    c = cohort_df(spark, d)
-    nodes = graph.node_table(c)
-    edges = graph.same_manager_edges(nodes).join(nodes.select(F.col("id").alias("src"), "department"), "src")
-    path = export_partitioned_json(nodes, edges, "department", output_dir(spark, f"graph_json_{_tag(d)}"))
-    back = spark.read.json(path)
-    return back.groupBy("department", "kind").agg(F.count(F.lit(1)).alias("documents"))
-
-
 @query("graph_nodes_csv", with_ctes("""
 SELECT id AS "id:ID", department, job_role AS "jobRole", job_level AS "jobLevel", tenure_cohort AS "tenureCohort",
        CAST(is_active AS VARCHAR) AS "isActive:boolean", NULLIF(exit_date, '') AS "exitDate" FROM nodes"""))
@@ -113,7 +98,7 @@ def q_graph_nodes_csv(spark, d):
     nodes = graph.node_table(cohort_df(spark, d))
     names = {"id": "id:ID", "is_active": "isActive:boolean", "job_role": "jobRole", "job_level": "jobLevel",
              "tenure_cohort": "tenureCohort", "exit_date": "exitDate"}
-    path = export_typed_csv(nodes, names, output_dir(spark, f"graph_nodes_{_tag(d)}"))
+    path = export_typed_csv(nodes, names, output_dir(spark, f"graph_nodes_{uuid.uuid4().hex}"))
     return spark.read.option("header", True).csv(path)
 
 
@@ -188,3 +173,52 @@ def q_similarity_edges(spark, d):
     """Undirected kNN graph: each unordered pair once, weight = round(1-d, 4)."""
     from ..operators.knn import similarity_edges
     return similarity_edges(_knn(spark, d))
+
+
+# ---------------------------------------------------------------------------
+# exports of the graphs, read back
+# ---------------------------------------------------------------------------
+# FIXED VALUES — typed headers of the edge files
+EDGE_HEADERS = {"src": ":START_ID", "dst": ":END_ID", "weight": "weight:float", "source": "source", "type": ":TYPE"}
+
+
+@query("graph_edges_csv", with_ctes("""
+SELECT src AS ":START_ID", dst AS ":END_ID", weight AS "weight:float", source, type AS ":TYPE" FROM edges_all"""))
+def q_graph_edges_csv(spark, d):
+    """The three edge lists exported to a CSV folder each, with typed headers,
+    and read back."""
+    nodes = graph.node_table(materialized_cohort(spark, d))
+    base = output_dir(spark, f"graph_edges_{uuid.uuid4().hex}")
+    lists = {"manager": graph.same_manager_edges(nodes), "role": graph.same_role_edges(nodes), "tenure": graph.same_tenure_edges(nodes)}
+    paths = [export_typed_csv(e.select(*EDGE_HEADERS), EDGE_HEADERS, f"{base}/{name}") for name, e in lists.items()]
+    schema = ", ".join(f"`{h}` {'double' if h == 'weight:float' else 'string'}" for h in EDGE_HEADERS.values())
+    return spark.read.schema(schema).option("header", True).csv(paths)
+
+
+_NODE = ("id", "job_role", "job_level", "gender", "age", "project", "manager_id", "performance_tier", "risk_score")
+
+
+@query("graph_json_export", with_ctes("""
+SELECT b.department, 'node' AS kind, b.id, w.job_role, w.job_level, b.gender, w.age, b.project, coalesce(b.manager_id, '') AS manager_id,
+       b.tier AS performance_tier, round(b.risk, 9) AS risk_score, NULL::VARCHAR AS source, NULL::VARCHAR AS target, NULL::DOUBLE AS weight
+FROM sim_base b JOIN with_project w ON b.id = w.employee_id
+UNION ALL
+SELECT b.department, 'edge', NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, e.source, e.target, e.weight
+FROM (SELECT source, target, round(1.0 - any_value(dist), 4) AS weight
+      FROM (SELECT least(a, b) AS source, greatest(a, b) AS target, dist FROM knn_top) GROUP BY source, target) e
+JOIN sim_base b ON e.source = b.id"""))
+def q_graph_json_export(spark, d):
+    """The similarity graph of every department as nested JSON, nodes with all
+    their attributes and kNN edges with weights, written and read back."""
+    from ..operators.knn import knn, similarity_edges
+    c = materialized_cohort(spark, d)
+    scores = scores_from(c)
+    att = cut_lineage(similarity_inputs(c, scores, ratings_df(spark, d, c), with_project))
+    own = c.select(F.col("employee_id").alias("id"), "emp_key", "job_role", "job_level", "age").join(
+        scores.select("emp_key", F.coalesce("general_risk_score", F.lit(0.0)).alias("risk_score")), "emp_key", "left")
+    nodes = att.withColumn("manager_id", F.coalesce("manager_id", F.lit(""))).withColumnRenamed("tier", "performance_tier").join(own, "id").select("department", *_NODE)
+    edges = similarity_edges(knn(att)).join(att.select(F.col("id").alias("source"), "department"), "source").select("department", "source", "target", "weight")
+    path = export_partitioned_json(nodes, edges, "department", output_dir(spark, f"graph_json_{uuid.uuid4().hex}"))
+    back = read_partitioned_json(spark, path, nodes, edges, "department")
+    return back.select("department", "kind", *[r(f"node.{c}").alias(c) if c == "risk_score" else F.col(f"node.{c}") for c in _NODE],
+                       "edge.source", "edge.target", "edge.weight")

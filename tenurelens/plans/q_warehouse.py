@@ -3,7 +3,6 @@ as-of reads, theme split / star join, ratings upsert, schema evolution,
 score write-back and HR actions."""
 from __future__ import annotations
 
-import os
 import uuid
 from functools import reduce
 
@@ -350,8 +349,6 @@ def q_scd2_stream(spark, d):
     """The three snapshots announced to the manifest stream (one a trigger)
     and applied by the foreachBatch SCD2 sink; the final history equals the
     batch build."""
-    import uuid
-
     from ..streaming.scd2_stream import announce_snapshot, run_snapshot_stream
     base = table_dir(spark, f"scd2_stream_{uuid.uuid4().hex}")
     for t in SNAPSHOTS:
@@ -366,7 +363,7 @@ def q_scd2_stream(spark, d):
 def q_scd2_active_read(spark, d):
     """History stored partitioned by is_active; the active read prunes to one
     partition directory."""
-    path = table_dir(spark, "employee_history_" + os.path.basename(d.rstrip("/")))
+    path = table_dir(spark, f"employee_history_{uuid.uuid4().hex}")
     h = built_history(spark, d)
     scd2.write_history(h, path)
     return scd2.read_active(spark, path, h.schema).select(*_HCOLS)

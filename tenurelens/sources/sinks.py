@@ -23,15 +23,22 @@ def overwrite_parquet(df: DataFrame, path: str, partition_by=None) -> str:
 
 
 def export_partitioned_json(nodes: DataFrame, edges: DataFrame, key: str, path: str) -> str:
-    """One folder per ``key`` value holding its node and edge documents as
-    JSON lines (``kind`` = node / edge).  Nothing is gathered into one row:
-    a department of any size is written by many tasks."""
-    n = nodes.select(F.col(key), F.lit("node").alias("kind"), F.to_json(F.struct(*nodes.columns)).alias("doc"))
-    e = edges.select(F.col(key), F.lit("edge").alias("kind"), F.to_json(F.struct(*edges.columns)).alias("doc"))
-    n.unionByName(e).write.mode("overwrite").partitionBy(key).json(path)
+    """One folder per ``key`` value with its graph as JSON lines: objects with
+    ``kind`` and a nested ``node`` or ``edge``.  Nothing is gathered into one
+    row: a department of any size is written by many tasks."""
+    def lines(rows: DataFrame, kind: str) -> DataFrame:
+        inner = F.struct(*[c for c in rows.columns if c != key])
+        return rows.select(F.col(key), F.lit(kind).alias("kind"), inner.alias(kind))
+    lines(nodes, "node").unionByName(lines(edges, "edge"), allowMissingColumns=True).write.mode("overwrite").partitionBy(key).json(path)
     return path
 
 
+def read_partitioned_json(spark: SparkSession, path: str, nodes: DataFrame, edges: DataFrame, key: str) -> DataFrame:
+    """The exported objects read back with the schemas of ``nodes`` and ``edges``."""
+    inner = lambda rows: ", ".join(f"{f.name}: {f.dataType.simpleString()}" for f in rows.schema if f.name != key)
+    return spark.read.schema(f"{key} string, kind string, node struct<{inner(nodes)}>, edge struct<{inner(edges)}>").json(path)
+
+
 def export_typed_csv(df: DataFrame, header_names: dict, path: str) -> str:
     """CSV with typed header names (``id:ID``, ``isActive:boolean``...)."""
     out = df.select(*[F.col(c).alias(header_names.get(c, c)) for c in df.columns])
