@@ -4,126 +4,173 @@ A pair (i, j) is comparable when i has the event and either t_i < t_j or
 t_i = t_j with j censored; it is concordant when score_i > score_j (higher
 risk leaves first) and counts 1/2 when the scores tie.
 
-Plan (all exact):
-
-1. rows → cells (t, event, score, weight): ties of any size collapse here;
-2. cells are cut into score-range buckets (Bucketizer on approximate score
-   quantiles — the split points only shape the work, never the answer);
-3. pairs in *different* buckets: counted from a dense (bucket × time) grid of
-   weights with two window passes (bounded by buckets × distinct times);
-4. pairs in the *same* bucket: one ``applyInPandas`` task per bucket runs a
-   vectorised prefix count over the bucket's cells sorted by score;
-5. comparable pairs per event cell come from the per-time table.
+Rows collapse to cells (t, event, score) with a number of rows.  Two orders of
+the cells decide everything: by score (equal scores: later ones first, censored
+before events) and by time (events before censored at one time).  A comparable
+pair whose j comes first by score is concordant or tied, and the tied ones are
+the cells of the same score before an event.  So both counts come from the
+number of pairs that the two orders put the other way round:
+
+1. the cells are dealt into ranges of the first order; inside a range the pairs
+   are counted by merging (``inverted``), and a running number of rows, carried
+   from range to range, gives the ties;
+2. the same cells are dealt into ranges of the second order; pairs of different
+   score ranges are counted inside a time range by merging the numbers of the
+   score ranges, and across time ranges from the table of rows per (time range,
+   score range), summed over both.
+
+Scores and times may be continuous, and any of them may hold most of the rows:
+ranges are cut by rows, equal values may lie in several.  A task holds the
+arrays of one range; tables have one row per range or pair of ranges.
 """
 from __future__ import annotations
 
 import math
-import sys
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
-from pyspark import cloudpickle
-from pyspark.ml.feature import Bucketizer
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-# the per-bucket function travels to the Python workers by value, so
-# executors need only numpy/pandas, not this package on their path
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
-
-CELLS_PER_BUCKET = 20_000  # per-task arrays: cells x distinct times doubles
-MAX_BROADCAST_TIMES = 1_000_000
-
-
-def _within_bucket(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Per event cell of one bucket: weight of same-bucket partners with a
-    smaller score (``conc``) and with an equal score (``ties``)."""
-    pdf = pdf.sort_values("s", kind="mergesort").reset_index(drop=True)
-    s = pdf["s"].to_numpy()
-    k = pdf["k"].to_numpy().astype(np.int64)
-    e = pdf["e"].to_numpy()
-    w = pdf["w"].to_numpy().astype(np.float64)
-    kmax = int(k.max()) + 1 if len(k) else 1
-    m = len(pdf)
-    # partner weight per (position, time): all rows, and censored rows
-    allw = np.zeros((m + 1, kmax))
-    cens = np.zeros((m + 1, kmax))
-    allw[np.arange(1, m + 1), k] = w
-    cens[np.arange(1, m + 1), k] = np.where(e == 0, w, 0.0)
-    allw = np.cumsum(allw, axis=0)
-    cens = np.cumsum(cens, axis=0)
-    # later-time suffix: sum over k' > k
-    later = np.cumsum(allw[:, ::-1], axis=1)[:, ::-1]
-    later = np.concatenate([later[:, 1:], np.zeros((m + 1, 1))], axis=1)
-    ev = np.nonzero(e == 1)[0]
-    lo = np.searchsorted(s, s[ev], side="left")
-    hi = np.searchsorted(s, s[ev], side="right")
-    ke = k[ev]
-    conc = later[lo, ke] + cens[lo, ke]
-    ties = (later[hi, ke] - later[lo, ke]) + (cens[hi, ke] - cens[lo, ke])
-    return pd.DataFrame({"b": pdf["b"].to_numpy()[ev], "k": ke.astype(np.int32), "s": s[ev],
-                         "w": w[ev], "conc_in": conc, "ties_in": ties})
-
-
-def concordance(df: DataFrame, time: str, event: str, score: str,
-                cells_per_bucket: int = CELLS_PER_BUCKET) -> DataFrame:
+from ..session import cut_lineage
+
+CELLS_PER_RANGE = 1 << 18
+_SMALL = 64
+
+
+def inverted(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """For each element the weight of those with a smaller x and a larger y."""
+    order = np.lexsort((y, x))  # of equal x the smaller y first: such pairs never count
+    y, w, out = y[order], w[order].astype(float), np.zeros(len(x))
+    width = _SMALL
+    for at in range(0, len(y), width):
+        part = slice(at, at + width)
+        before = np.tri(len(y[part]), k=-1, dtype=bool) & (y[part][None, :] > y[part][:, None])
+        out[part] += before @ w[part]
+    while width < len(y):  # left halves, sorted by y, against right halves
+        for at in range(0, len(y) - width, 2 * width):
+            left, right = slice(at, at + width), slice(at + width, at + 2 * width)
+            by = np.argsort(y[left], kind="stable")
+            upto = np.concatenate(([0.0], np.cumsum(w[left][by])))
+            out[right] += upto[-1] - upto[np.searchsorted(y[left][by], y[right], side="right")]
+        width *= 2
+    found = np.empty(len(x))
+    found[order] = out
+    return found
+
+
+def _whole(batches: Iterator[pa.RecordBatch]) -> dict[str, np.ndarray] | None:
+    held = [b for b in batches if len(b)]
+    if not held:
+        return None
+    table = pa.Table.from_batches(held)
+    return {c: table[c].to_numpy() for c in table.column_names}
+
+
+def _time_key(t: np.ndarray, e: np.ndarray) -> np.ndarray:
+    """Numbers in the order of time, events before censored at one time."""
+    pairs = np.stack([t, 1.0 - e], axis=1)
+    return np.unique(pairs, axis=0, return_inverse=True)[1].reshape(-1)
+
+
+def score_ranges(cells: DataFrame, ranges: int) -> DataFrame:
+    """The cells (t, e, s, w) with the number ``b`` of their score range, the
+    pairs ``d`` inside it that the orders invert (events), and the place in
+    their score's run: ``run`` rows of the range with that score before them."""
+    order = [F.col("s"), F.col("t").desc(), F.col("e")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c = _whole(batches)
+        if c is None:
+            return
+        n = len(c["s"])
+        d = inverted(np.arange(n), _time_key(c["t"], c["e"]), c["w"])
+        before = np.cumsum(c["w"]) - c["w"]
+        start = np.flatnonzero(np.concatenate(([True], c["s"][1:] != c["s"][:-1])))
+        own = before - np.repeat(before[start], np.diff(np.concatenate((start, [n]))))
+        part = np.full(n, TaskContext.get().partitionId())
+        yield pa.RecordBatch.from_arrays([pa.array(c["t"]), pa.array(c["e"]), pa.array(c["s"]), pa.array(c["w"]), pa.array(part, pa.int32()),
+                                          pa.array(d), pa.array(own)], names=["t", "e", "s", "w", "b", "d", "run"])
+
+    return (cells.repartitionByRange(ranges, *order).sortWithinPartitions(*order)
+            .mapInArrow(run, "t double, e int, s double, w double, b int, d double, run double"))
+
+
+def tie_pairs(placed: DataFrame) -> float:
+    """Comparable pairs of equal scores: events times the rows of their score
+    before them, those of earlier ranges too."""
+    ends = placed.groupBy("b").agg(F.min("s").alias("first"), F.max("s").alias("last"))
+    sides = placed.join(F.broadcast(ends), "b").groupBy("b", "first", "last").agg(
+        F.sum(F.when(F.col("e") == 1, F.col("w") * F.col("run")).otherwise(0.0)).alias("own"),
+        F.sum(F.when((F.col("e") == 1) & (F.col("s") == F.col("first")), F.col("w")).otherwise(0.0)).alias("events"),
+        F.sum(F.when(F.col("s") == F.col("last"), F.col("w")).otherwise(0.0)).alias("rows")).orderBy("b")
+    total, score, carried = 0.0, None, 0.0
+    for r in sides.collect():  # one row per range
+        carried = carried if r["first"] == score else 0.0
+        total += r["own"] + r["events"] * carried
+        carried = r["rows"] + (carried if r["first"] == r["last"] else 0.0)
+        score = r["last"]
+    return total
+
+
+def cross_pairs(placed: DataFrame, ranges: int) -> DataFrame:
+    """One row: ``inverted``, pairs of different score ranges that the orders
+    invert, and ``comparable``, all comparable pairs."""
+    order = [F.col("t"), F.col("e").desc()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c = _whole(batches)
+        if c is None:
+            return
+        key = _time_key(c["t"], c["e"])
+        d = inverted(c["b"], key, c["w"])
+        order = np.argsort(key, kind="stable")
+        upto = np.cumsum(c["w"][order])
+        after = np.empty(len(key))
+        after[order] = upto[-1] - upto[np.searchsorted(key[order], key[order], side="right") - 1]
+        part = np.full(len(key), TaskContext.get().partitionId())
+        yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(c["b"]), pa.array(c["t"]), pa.array(c["e"]), pa.array(c["w"]),
+                                          pa.array(d), pa.array(after), pa.array(key == 0), pa.array(key == key.max())],
+                                         names=["r", "b", "t", "e", "w", "d", "after", "low", "high"])
+
+    ranged = cut_lineage(placed.select("b", "t", "e", "w").withColumn("_salt", F.xxhash64("b", F.monotonically_increasing_id()))
+                         .repartitionByRange(ranges, *order, F.col("_salt")).drop("_salt")
+                         .mapInArrow(run, "r int, b int, t double, e int, w double, d double, after double, low boolean, high boolean"))
+    key = lambda which: F.max(F.when(F.col(which), F.struct("t", "e")))
+    ends = ranged.groupBy("r").agg(key("low").alias("first"), key("high").alias("last"))
+    grid = ranged.groupBy("r", "b").agg(F.sum("w").alias("n"), F.sum(F.when(F.col("low"), F.col("w")).otherwise(0.0)).alias("n_low"))
+    last = grid.agg(F.max("b")).first()[0]
+    numbers = ends.select("r", F.explode(F.sequence(F.lit(0), F.lit(last or 0))).alias("b"))  # pairs of ranges
+    dense = numbers.join(grid, ["r", "b"], "left").na.fill(0.0, ["n", "n_low"]).join(F.broadcast(ends), "r")
+    later = Window.partitionBy("b").orderBy(F.col("r").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    sums = dense.select("r", "b", F.coalesce(F.sum("n").over(later), F.lit(0.0)).alias("more"))
+    same = (dense.select("r", "b", "last").join(dense.select(F.col("r").alias("r2"), F.col("b"), F.col("first").alias("last"), "n_low"), ["b", "last"])
+            .where("r2 > r").groupBy("r", "b").agg(F.sum("n_low").alias("alike")))
+    below = Window.partitionBy("r").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
+    every = Window.partitionBy("r")
+    carry = sums.join(same, ["r", "b"], "left").na.fill(0.0, ["alike"]).select(
+        "r", "b", *[F.coalesce(F.sum(c).over(below), F.lit(0.0)).alias(f"{c}_below") for c in ("more", "alike")],
+        *[F.sum(c).over(every).alias(f"{c}_all") for c in ("more", "alike")])
+    at = lambda what: F.col(f"more_{what}") - F.when(F.col("high"), F.col(f"alike_{what}")).otherwise(0.0)
+    events = ranged.where("e = 1").groupBy("r", "b", "high").agg(F.sum("w").alias("w"), F.sum(F.col("w") * F.col("d")).alias("d"),
+                                                               F.sum(F.col("w") * F.col("after")).alias("after"))
+    return events.join(carry, ["r", "b"]).agg(
+        F.coalesce(F.sum(F.col("d") + F.col("w") * at("below")), F.lit(0.0)).alias("inverted"),
+        F.coalesce(F.sum(F.col("after") + F.col("w") * at("all")), F.lit(0.0)).alias("comparable"))
+
+
+def concordance(df: DataFrame, time: str, event: str, score: str, cells_per_range: int | None = None) -> DataFrame:
     """One row: concordance, comparable pairs, concordant, tied."""
-    spark = df.sparkSession
-    from ..session import ensure_checkpoint_dir
-    ensure_checkpoint_dir(spark)
-    cells = (df.select(F.col(time).cast("double").alias("t"), F.col(event).cast("int").alias("e"),
-                       F.col(score).cast("double").alias("s"))
-             .groupBy("t", "e", "s").agg(F.count(F.lit(1)).cast("double").alias("w")))
-    times = cells.select("t").distinct()
-    times = times.withColumn("k", (F.row_number().over(Window.orderBy("t")) - 1).cast("int"))
-    times = times.checkpoint(eager=True)
-    nk = times.count()
-    # distinct durations are bounded by the time domain; broadcast only below a checked size
-    cells = cells.join(F.broadcast(times) if nk <= MAX_BROADCAST_TIMES else times, "t")
-    cells = cells.checkpoint(eager=True)
-
-    n_cells = cells.count()
-    n_buckets = max(1, min(1 << 20, math.ceil(n_cells / cells_per_bucket)))
-    if n_buckets > 1:
-        probs = [i / n_buckets for i in range(1, n_buckets)]
-        q = cells.select(F.percentile_approx("s", probs, 10_000).alias("q")).first()["q"]
-        splits = [-math.inf] + sorted(set(float(x) for x in q)) + [math.inf]
-    else:
-        splits = [-math.inf, math.inf]
-    if len(splits) > 2:
-        bz = Bucketizer(splits=splits, inputCol="s", outputCol="bd", handleInvalid="keep")
-        cells = bz.transform(cells).withColumn("b", F.col("bd").cast("int")).drop("bd")
-    else:
-        cells = cells.withColumn("b", F.lit(0))
-    nb = len(splits) - 1
-
-    # --- pairs across buckets: dense (bucket, time) grid ---------------------
-    grid = spark.range(nb).select(F.col("id").cast("int").alias("b"),
-                                  F.explode(F.sequence(F.lit(0), F.lit(nk - 1))).alias("k"))
-    g = cells.groupBy("b", "k").agg(F.sum("w").alias("n"), F.sum(F.when(F.col("e") == 0, F.col("w"))
-                                                                 .otherwise(0.0)).alias("nc"))
-    g = grid.join(g, ["b", "k"], "left").na.fill(0.0, ["n", "nc"])
-    below = Window.partitionBy("k").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
-    g = g.withColumn("p", F.coalesce(F.sum("n").over(below), F.lit(0.0))) \
-         .withColumn("pc", F.coalesce(F.sum("nc").over(below), F.lit(0.0)))
-    later = Window.partitionBy("b").orderBy(F.col("k").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    g = g.withColumn("q", F.coalesce(F.sum("p").over(later), F.lit(0.0))).select("b", "k", "q", "pc")
-
-    # --- comparable partners per time ----------------------------------------
-    tt = cells.groupBy("k").agg(F.sum("w").alias("n"), F.sum(F.when(F.col("e") == 0, F.col("w"))
-                                                            .otherwise(0.0)).alias("nc"))
-    after = Window.orderBy(F.col("k").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    tt = tt.select("k", (F.coalesce(F.sum("n").over(after), F.lit(0.0)) + F.col("nc")).alias("partners"))
-
-    # --- pairs inside a bucket -------------------------------------------------
-    inner = cells.select("b", "k", "e", "s", "w").groupBy("b").applyInPandas(
-        _within_bucket, "b int, k int, s double, w double, conc_in double, ties_in double")
-
-    ev = inner.join(g, ["b", "k"]).join(F.broadcast(tt) if nk <= MAX_BROADCAST_TIMES else tt, "k")
-    agg = ev.agg(F.sum(F.col("w") * (F.col("conc_in") + F.col("q") + F.col("pc"))).alias("concordant"),
-                 F.sum(F.col("w") * F.col("ties_in")).alias("tied"),
-                 F.sum(F.col("w") * F.col("partners")).alias("comparable"))
-    return agg.select(((F.col("concordant") + F.lit(0.5) * F.col("tied")) / F.col("comparable")).alias("c_index"),
-                      F.col("comparable").cast("bigint").alias("comparable_pairs"),
-                      F.col("concordant").cast("bigint").alias("concordant_pairs"),
-                      F.col("tied").cast("bigint").alias("tied_pairs"))
+    cells = cut_lineage(df.select(F.col(time).cast("double").alias("t"), F.col(event).cast("int").alias("e"),
+                                  F.col(score).cast("double").alias("s"))
+                        .groupBy("t", "e", "s").agg(F.count(F.lit(1)).cast("double").alias("w")))
+    ranges = max(1, math.ceil(cells.count() / (cells_per_range or CELLS_PER_RANGE)))
+    placed = cut_lineage(score_ranges(cells, ranges))
+    inside = F.lit(placed.where("e = 1").agg(F.sum(F.col("w") * F.col("d"))).first()[0] or 0.0)
+    tied = F.lit(tie_pairs(placed))
+    found = cross_pairs(placed, ranges).select("comparable", (F.col("inverted") + inside - tied).alias("concordant"), tied.alias("tied"))
+    return found.select(((F.col("concordant") + F.lit(0.5) * F.col("tied")) / F.nullif("comparable", F.lit(0.0))).alias("c_index"),
+                        F.round("comparable").cast("bigint").alias("comparable_pairs"),
+                        F.round("concordant").cast("bigint").alias("concordant_pairs"), F.round("tied").cast("bigint").alias("tied_pairs"))

@@ -51,17 +51,30 @@ def test_concordance_fixture(spark):
     assert math.isclose(r.c_index, 4.5 / 5)
 
 
-@pytest.mark.parametrize("cells_per_bucket", [3, 17, 10_000])
-def test_concordance_buckets_match_brute_force(spark, cells_per_bucket):
+@pytest.mark.parametrize("cells,kind", [(9, "months"), (40, "months"), (10_000, "months"), (25, "continuous"), (20, "hot score"), (20, "hot time")])
+def test_concordance_ranges_match_brute_force(spark, cells, kind):
     rnd = random.Random(5)
-    rows = [(rnd.randint(1, 12), rnd.randint(0, 1), float(rnd.randint(0, 30))) for _ in range(300)]
-    df = spark.createDataFrame(rows, "t int, e int, s double")
+    rows = []
+    for _ in range(300):
+        t, s = (rnd.random(), rnd.random()) if kind != "months" else (float(rnd.randint(1, 12)), float(rnd.randint(0, 30)))
+        if kind.startswith("hot") and rnd.random() < 0.6:
+            t, s = (t, 0.5) if kind == "hot score" else (0.5, s)
+        rows.append((t, rnd.randint(0, 1), s))
+    df = spark.createDataFrame(rows, "t double, e int, s double").repartition(4)
     want, den = _brute_concordance(rows)
-    r = conc.concordance(df, "t", "e", "s", cells_per_bucket=cells_per_bucket).first()
+    r = conc.concordance(df, "t", "e", "s", cells_per_range=cells).first()
     assert r.comparable_pairs == den
     assert math.isclose(r.c_index, want, rel_tol=1e-12)
 
 
+def test_concordance_without_pairs(spark):
+    none = spark.createDataFrame([], "t double, e int, s double")
+    censored = spark.createDataFrame([(1.0, 0, 2.0), (2.0, 0, 1.0)], "t double, e int, s double")
+    for df in (none, censored):
+        r = conc.concordance(df, "t", "e", "s").first()
+        assert r.c_index is None and r.comparable_pairs == 0
+
+
 def test_leave_one_out(spark):
     df = spark.createDataFrame([("a", 1), ("a", 0), ("a", 1), ("b", 1)], "c string, y int")
     tr = feat.loo_encode_train(df, "c", "y", "enc").orderBy("c", "y").collect()
