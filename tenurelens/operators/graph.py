@@ -21,8 +21,12 @@ from pyspark.sql import functions as F
 from ..functions.hashing import md5_mod
 from ..functions.labels import (EDGE_WEIGHTS, EXPOSURE_DECAY, EXPOSURE_WINDOW_DAYS, MANAGER_CHUNK,
                                 ROLE_DRAWS, TENURE_COHORTS, TENURE_DRAWS)
+from ..session import cut_lineage
 from .ranking import group_rank, hex_sub_bucket
 
+BROADCAST_IDS = 500_000
+
+
 def tenure_cohort(years: Column) -> Column:
     expr = None
     for name, upper in TENURE_COHORTS:
@@ -59,15 +63,25 @@ def same_manager_edges(nodes: DataFrame) -> DataFrame:
     return _edges(a.join(b, [*g, "chunk"]).where(F.col("src") != F.col("dst")), "SAME_MANAGER")
 
 
+def _draws(ranked: DataFrame, group: list[str], draws: int, tag: str) -> DataFrame:
+    """(group, id, _idx): the places that each member draws."""
+    d = ranked.select(*group, "id", "group_size", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("k"))
+    return d.select(*group, "id", (md5_mod(F.concat_ws("|", F.col("id"), F.lit(tag), F.col("k").cast("string")), 1 << 30)
+                                   % F.col("group_size") + 1).alias("_idx"))
+
+
+def _members(ranked: DataFrame, group: list[str]) -> DataFrame:
+    return ranked.select(*group, F.col("rank").alias("_idx"), F.col("id").alias("dst"))
+
+
+def _pairs(drawn: DataFrame) -> DataFrame:
+    return drawn.select(F.col("id").alias("src"), "dst").where(F.col("src") != F.col("dst"))
+
+
 def _draw_edges(ranked: DataFrame, group: list[str], draws: int, tag: str) -> DataFrame:
     """``draws`` md5 draws per member: member #(md5(id|tag|k) mod n) of the
     group; self-draws dropped; duplicates removed."""
-    d = ranked.select(*group, "id", "group_size", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("k"))
-    d = d.withColumn("_idx", md5_mod(F.concat_ws("|", F.col("id"), F.lit(tag), F.col("k").cast("string")),
-                                     1 << 30) % F.col("group_size") + 1)
-    members = ranked.select(*group, F.col("rank").alias("_idx"), F.col("id").alias("dst"))
-    pairs = d.join(members, [*group, "_idx"]).select(F.col("id").alias("src"), "dst")
-    return pairs.where(F.col("src") != F.col("dst")).distinct()
+    return _pairs(_draws(ranked, group, draws, tag).join(_members(ranked, group), [*group, "_idx"])).distinct()
 
 
 def same_role_edges(nodes: DataFrame) -> DataFrame:
@@ -87,6 +101,29 @@ def all_edges(nodes: DataFrame) -> DataFrame:
             .unionByName(same_tenure_edges(nodes)))
 
 
+def edges_touching(nodes: DataFrame, ids: DataFrame) -> DataFrame:
+    """The edges with an end in ``ids`` (id), and those of their chunks,
+    without building the others: draws are matched against the places of those members, or made by
+    those members, and only their chunks are paired.  ``ids`` up to a checked
+    number are broadcast, so that draws that miss them are never shuffled."""
+    few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    small = F.broadcast if few else (lambda df: df)
+    g = ["department", "job_role", "job_level"]
+    r = _ranked(nodes.select("id", *g), g).withColumn("chunk", F.floor((F.col("rank") - 1) / MANAGER_CHUNK))
+    chunks = r.join(small(ids), "id").select(*g, "chunk").distinct()
+    r = r.join(small(chunks), [*g, "chunk"]).select(*g, "chunk", "id")
+    pairs = (r.withColumnRenamed("id", "src").join(r.withColumnRenamed("id", "dst"), [*g, "chunk"]).where(F.col("src") != F.col("dst")))
+    out = _edges(pairs, "SAME_MANAGER")
+    for group, draws, tag, kind in ((["department", "job_role"], ROLE_DRAWS, "role", "SAME_ROLE_DEPT"),
+                                    (["tenure_cohort"], TENURE_DRAWS, "tenure", "SAME_TENURE_COHORT")):
+        ranked = _ranked(nodes.select("id", *group), group)
+        drawn, members = _draws(ranked, group, draws, tag), _members(ranked, group)
+        to = drawn.join(small(members.join(small(ids.withColumnRenamed("id", "dst")), "dst")), [*group, "_idx"])
+        by = drawn.join(small(ids), "id").join(members, [*group, "_idx"])
+        out = out.unionByName(_edges(_pairs(to).union(_pairs(by)).distinct(), kind))
+    return out
+
+
 def undirected(edges: DataFrame) -> DataFrame:
     """Stored edges in both directions, as a pattern match without direction
     sees them (an edge stored both ways is seen twice)."""
@@ -95,13 +132,16 @@ def undirected(edges: DataFrame) -> DataFrame:
     return edges.select("weight", "type", F.explode(ends).alias("e")).select("e.node", "e.peer", "weight", "type")
 
 
-def exposure_contributions(edges: DataFrame, nodes: DataFrame, as_of: str) -> DataFrame:
+def exposure_contributions(edges: DataFrame | None, nodes: DataFrame, as_of: str) -> DataFrame:
     """(node, peer, weight, days, contribution) for exited peers with
-    0 <= days since exit <= 60."""
-    exited = (nodes.where(~F.col("is_active") & (F.col("exit_date") != ""))
-              .select(F.col("id").alias("peer"), F.col("job_role").alias("peer_role"),
-                      F.datediff(F.lit(as_of).cast("date"), F.to_date("exit_date")).alias("days"))
-              .where((F.col("days") >= 0) & (F.col("days") <= EXPOSURE_WINDOW_DAYS)))
+    0 <= days since exit <= 60, over ``edges`` or, without them, over the peer
+    graph of ``nodes``, of which only edges that touch such a peer are made."""
+    exited = cut_lineage(nodes.where(~F.col("is_active") & (F.col("exit_date") != ""))
+                         .select(F.col("id").alias("peer"), F.col("job_role").alias("peer_role"),
+                                 F.datediff(F.lit(as_of).cast("date"), F.to_date("exit_date")).alias("days"))
+                         .where((F.col("days") >= 0) & (F.col("days") <= EXPOSURE_WINDOW_DAYS)))
+    if edges is None:
+        edges = edges_touching(nodes, exited.select(F.col("peer").alias("id")))
     u = undirected(edges).join(exited, "peer")
     return u.withColumn("contribution", F.col("weight") * F.exp(F.lit(-EXPOSURE_DECAY) * F.col("days")))
 
@@ -182,7 +222,6 @@ def tree_paths(tree: DataFrame) -> DataFrame:
     and ``PATH_STEP`` up to its own and ``PATH_END``.  Each level is materialised and taken from
     the rest, so no level repeats the joins of earlier ones.  Nodes that no
     path from the root reaches (a cycle, an unknown manager) are an error."""
-    from ..session import cut_lineage
     tree = cut_lineage(tree.select("id", "manager_id"))
     level = tree.where(F.col("manager_id") == "").select("id", F.lit(0).alias("depth"), F.col("id").alias("path"))
     out, rest, depth = level, tree.where(F.col("manager_id") != ""), 0

@@ -102,7 +102,7 @@ def _nodes(spark, d):
 
 def _contrib(spark, d):
     n = _nodes(spark, d)
-    return graph.exposure_contributions(graph.all_edges(n), n, AS_OF_DATE)
+    return graph.exposure_contributions(None, n, AS_OF_DATE)
 
 
 _ECOLS = "src, dst, weight, source, type"
@@ -178,7 +178,7 @@ def boosted_df(spark, d, c=None):
     c = c if c is not None else materialized_cohort(spark, d)
     s = scores_from(c)
     n = graph.node_table(c)
-    x = graph.exposure_scores(graph.exposure_contributions(graph.all_edges(n), n, AS_OF_DATE)).select(
+    x = graph.exposure_scores(graph.exposure_contributions(None, n, AS_OF_DATE)).select(
         F.col("node").alias("employee_id"), "exposure_score")
     b = s.join(x, "employee_id", "left").withColumn("exposure", F.coalesce("exposure_score", F.lit(0.0)))
     return b.withColumn("boosted_risk_score", graph.boosted_risk(F.col("general_risk_score"), F.col("exposure")))

@@ -243,8 +243,7 @@ def _exposure(c):
     from ..operators import graph
     from ..operators.cohort import AS_OF_DATE
     n = graph.node_table(c)
-    x = graph.exposure_contributions(graph.all_edges(n), n, AS_OF_DATE)
-    return graph.exposure_scores(x).join(c.select("emp_key", F.col("employee_id").alias("node")), "node").select(
+    return graph.exposure_scores(graph.exposure_contributions(None, n, AS_OF_DATE)).join(c.select("emp_key", F.col("employee_id").alias("node")), "node").select(
         "emp_key", F.col("exposure_score").alias("exposure"))
 
 
