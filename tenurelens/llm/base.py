@@ -4,6 +4,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,6 +53,19 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def arrays_of(column: pa.Array, dtype) -> list[np.ndarray]:
+    """The cells of a binary column as arrays over its own memory, no copies.
+    Cells without nulls; ``dtype`` must divide their lengths."""
+    if not len(column):
+        return []
+    _, offsets, data = column.buffers()
+    wide = pa.types.is_large_binary(column.type)
+    at = np.frombuffer(offsets, dtype=np.int64 if wide else np.int32)[column.offset:column.offset + len(column) + 1].tolist()
+    size = np.dtype(dtype).itemsize
+    return [np.frombuffer(data, dtype=dtype, count=(b - a) // size, offset=a) if b > a else np.zeros(0, dtype=dtype)
+            for a, b in zip(at, at[1:], strict=False)]
+
+
 # ---------------------------------------------------------------------------
 # parity bitmaps of sets of 64-bit hashes
 # ---------------------------------------------------------------------------

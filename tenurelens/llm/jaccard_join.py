@@ -46,7 +46,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import cut, fold, parity
+from .base import arrays_of, cut, fold, parity
 from .near_dedup import components, mix, shingle_sets
 
 PERCENT = 85
@@ -292,9 +292,9 @@ def near_bitmaps(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> D
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = pa.array([apart(np.frombuffer(x, dtype=_U), np.frombuffer(y, dtype=_U)) <= m + n - 2 * least_common(m, n, percent)
-                             for m, n, x, y in zip(*(batch[c].to_pylist() for c in ("n_a", "n_b", "bits_a", "bits_b")), strict=True)],
-                            pa.bool_())
+            keep = pa.array([apart(x, y) <= m + n - 2 * least_common(m, n, percent)
+                             for m, n, x, y in zip(batch["n_a"].to_pylist(), batch["n_b"].to_pylist(), arrays_of(batch["bits_a"], _U),
+                                                   arrays_of(batch["bits_b"], _U), strict=True)], pa.bool_())
             yield pa.RecordBatch.from_arrays([batch["a"].filter(keep), batch["b"].filter(keep)], names=["a", "b"])
 
     return (pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "n_b", "bits_a", "bits_b")
@@ -396,8 +396,7 @@ def confirm(pairs: DataFrame, sets: DataFrame, docs: DataFrame, percent: int = P
     def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
-            for s, t in zip(batch["set_a"].to_pylist(), batch["set_b"].to_pylist(), strict=True):
-                s, t = np.frombuffer(s, dtype=_U), np.frombuffer(t, dtype=_U)
+            for s, t in zip(arrays_of(batch["set_a"], _U), arrays_of(batch["set_b"], _U), strict=True):
                 common = len(np.intersect1d(s, t, assume_unique=True))
                 keep.append(100 * common >= percent * (len(s) + len(t) - common))
             keep = pa.array(keep, pa.bool_())

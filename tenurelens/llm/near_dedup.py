@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .base import bits_apart, cut, parity
+from .base import arrays_of, bits_apart, cut, parity
 
 SHINGLE = 4  # words
 SIMILARITY_PCT = 80
@@ -297,8 +297,7 @@ def confirm(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     def similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
-            for x, y in zip(batch["set_a"].to_pylist(), batch["set_b"].to_pylist(), strict=True):
-                x, y = np.frombuffer(x, dtype=_U), np.frombuffer(y, dtype=_U)
+            for x, y in zip(arrays_of(batch["set_a"], _U), arrays_of(batch["set_b"], _U), strict=True):
                 common = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(100 * common >= SIMILARITY_PCT * (len(x) + len(y) - common))
             keep = pa.array(keep, pa.bool_())

@@ -7,7 +7,8 @@ Candidates.  Every window of ``LENGTH`` bytes has a leftmost smallest hash of
 ``GRAM`` bytes, its anchor; equal windows have equal anchors.  Neighbouring
 windows with one anchor form a run, and the bytes of a run its context.  Runs
 are counted by anchor hash: where one occurs once, nothing repeats.  Where all
-contexts of an anchor are equal (128-bit hashes), all of them repeat.
+contexts of an anchor are equal (64-bit hashes beside that of the anchor), all
+of them repeat.
 
 Refinement.  Different contexts of one anchor are refined as suffixes: initial
 buckets hold positions with equal ``QGRAM`` bytes, and each round sorts a
@@ -258,8 +259,8 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     """(id, a, b): byte spans [a, b) of ``docs`` (id, text) that repeat; they
     may overlap."""
     runs = context_runs(docs)
-    keys = (runs.groupBy("key").agg(F.count(F.lit(1)).alias("n"), *[f(c).alias(f"{f.__name__}_{c}") for c in ("c1", "c2") for f in (F.min, F.max)])
-            .where("n > 1").select("key", ((F.col("min_c1") != F.col("max_c1")) | (F.col("min_c2") != F.col("max_c2"))).alias("mixed")))
+    keys = (runs.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("c1").alias("lo"), F.max("c1").alias("hi"))
+            .where("n > 1").select("key", (F.col("lo") != F.col("hi")).alias("mixed")))
     shared = cut(runs.join(keys, "key"))
     mixed = shared.where("mixed")
     contexts = cut(mixed.groupBy("key", "c1", "c2")
