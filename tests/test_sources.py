@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 from tenurelens.operators import graph, whatif
 from tenurelens.plans.q_analytics import concordance_gap
 from tenurelens.plans.q_io import surrogate_keys
-from tenurelens.plans.q_models import PAY_WORDS
+from tenurelens.operators.models import PAY_WORDS
 from tenurelens.plans.q_warehouse import apply_actions
 from tenurelens.session import ensure_checkpoint_dir
 from tenurelens.sources.csv_scan import lenient_csv
