@@ -96,8 +96,9 @@ def randomness(run: Column) -> Column:
                                    F.slice(x, 2, F.size(x)).alias("b"))
     two_sided = lambda z: F.least(2 * upper_tail(z), F.lit(1.0))
 
-    def uniform(v: Column, a: Column) -> Column:
-        equal = total(F.transform(v, lambda x: F.size(F.filter(v, lambda y: y == x)).cast("double")))
+    def uniform(alphabet: Column, a: Column) -> Column:
+        of = lambda c: (F.length(run) - F.length(F.replace(run, c, F.lit("")))).cast("double")
+        equal = total(F.transform(F.split(alphabet, ""), lambda c: let(of(c), lambda k: k * k)))
         return (equal - n - n * (n - 1) / a) / F.sqrt(2 * n * (n - 1) * (a - 1) / (a * a))
 
     def runs(high: Column) -> Column:
@@ -116,7 +117,7 @@ def randomness(run: Column) -> Column:
         high = F.transform(v, lambda x: (2 * x >= a).cast("double"))
         centred = let(total(v) / n, lambda m: F.transform(v, lambda x: x - m))
         # half of Fisher's statistic, which has 6 degrees of freedom
-        half = -(F.log(upper_tail(uniform(v, a))) + F.log(two_sided(let(high, runs)))
+        half = -(F.log(upper_tail(uniform(alphabet, a))) + F.log(two_sided(let(high, runs)))
                  + F.log(two_sided(let(centred, serial))))
         log_p = let(half, lambda x: -x + F.log(1 + x + x * x / 2))
         return F.struct(F.floor(F.log2(n)).cast("int").alias("class"),

@@ -118,6 +118,16 @@ def test_secret_battery_finds_random_keys(spark):
     assert hits >= 190 and wrong == 0
 
 
+def test_secret_battery_on_a_very_long_run(spark):
+    """One run of a million symbols costs time in proportion to its length."""
+    rnd = random.Random(6)
+    keys = string.ascii_letters + string.digits + "+/"
+    long = "".join(rnd.choices(keys, k=1_000_000))
+    rows = [(1, "data: " + long), (2, "aB1" * 300_000)]
+    found = {r.doc_id: r.spans for r in secrets.scan_secrets(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found == {1: f"random:6:{6 + len(long)}", 2: ""}
+
+
 def test_exact_dedup_groups(spark, table):
     norm = {i: re.sub(r"[\x20\x09-\x0D]+", " ", t or "") for i, t in table}
     groups = defaultdict(list)
