@@ -13,6 +13,8 @@ The whole computation is one lazy plan of equi-joins and windows over
 """
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -92,6 +94,45 @@ def grouped_quantiles(df: DataFrame, group: list[str], value: str, probs, n_spli
     return out if group else out.drop("_g")
 
 
+BRACKET_ROWS = 100_000  # aimed at, inside the bracket of a quantile
+
+
+def global_quantiles(df: DataFrame, value: str, probs) -> tuple[list[float | None], dict]:
+    """(exact quantiles of all rows, {n, mean, min, max}).
+
+    One pass finds values that bracket each wanted rank (approximate quantiles
+    a little below and above it), a second counts the rows below each bracket,
+    a third ranks the values inside, equal ones as one row with a number.  Only
+    rows inside brackets are shuffled.  A bracket that misses its rank is widened.
+    """
+    x = df.select(F.col(value).cast("double").alias("x")).where("x IS NOT NULL")
+    sums = x.agg(F.count(F.lit(1)).alias("n"), F.avg("x").alias("mean"), F.min("x").alias("min"), F.max("x").alias("max")).first().asDict()
+    n = sums["n"]
+    found: dict[int, float | None] = {i: None for i in range(len(probs))}
+    open_, slack = list(found) if n else [], min(0.5, BRACKET_ROWS / max(n, 1) / 2)
+    while open_:
+        ends = [min(1.0, max(0.0, probs[i] + d)) for i in open_ for d in (-slack, slack)]
+        at = x.agg(F.percentile_approx("x", ends, max(1_000, min(1_000_000, int(4 / slack)))).alias("q")).first()["q"]
+        # a bracket that reaches an end of the ranks takes in the extreme value
+        pairs = [(sums["min"] if ends[2 * k] <= 0 else at[2 * k], sums["max"] if ends[2 * k + 1] >= 1 else at[2 * k + 1]) for k in range(len(open_))]
+        below = x.agg(*[F.count_if(F.col("x") < lo).alias(f"b{k}") for k, (lo, _) in enumerate(pairs)]).first()
+        inside = F.array(*[F.when((F.col("x") >= lo) & (F.col("x") <= hi), F.lit(k)) for k, (lo, hi) in enumerate(pairs)])
+        counts = (x.select("x", F.explode(F.array_compact(inside)).alias("k")).groupBy("k", "x").agg(F.count(F.lit(1)).alias("c"))
+                  .withColumn("upto", F.sum("c").over(Window.partitionBy("k").orderBy("x"))))
+        wanted = {(k, r): below[f"b{k}"] for k, i in enumerate(open_) for r in {math.floor((n - 1) * probs[i]), math.ceil((n - 1) * probs[i])}}
+        hits = F.array(*[F.when((F.col("k") == k) & (F.lit(r - b) >= F.col("upto") - F.col("c")) & (F.lit(r - b) < F.col("upto")), F.lit(r))
+                         for (k, r), b in wanted.items()])
+        got = {(row.k, row.r): row.x for row in counts.select("k", "x", F.explode(F.array_compact(hits)).alias("r")).collect()}
+        for k, i in enumerate(list(open_)):
+            pos = (n - 1) * probs[i]
+            if (k, math.floor(pos)) in got and (k, math.ceil(pos)) in got:
+                lo, hi = got[k, math.floor(pos)], got[k, math.ceil(pos)]
+                found[i] = lo + (hi - lo) * (pos - math.floor(pos))
+                open_.remove(i)
+        slack = min(0.5, slack * 8)
+    return [found[i] for i in range(len(probs))], sums
+
+
 def rows_at_ranks(df: DataFrame, value: str, tie_hex: str, ranks, n_splits: int = N_SPLITS) -> DataFrame:
     """The rows at 0-based global positions ``ranks`` of the order
     (value, tie_hex), where ``tie_hex`` is a hex digest column (e.g. md5 of

@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from ..operators.cohort import AS_OF_DATE
 from ..operators.concordance import concordance
-from ..operators.quantiles import grouped_quantiles
+from ..operators.quantiles import global_quantiles, grouped_quantiles
 from ..operators.rates import compound_projection, exit_gaps, monthly_rates, permutation_test
 from ..operators.survival import mean_curves, nelson_aalen, score
+from ..session import cut_lineage
 from .common import cohort_df, materialized_cohort, scored_df, scores_df
 from .q_features import split_df
 from .registry import query, r
@@ -43,7 +44,6 @@ SELECT round(tr.c_index, 9) AS c_train, round(te.c_index, 9) AS c_test,
 FROM ({_CONC.format(src="sc_train")}) tr, ({_CONC.format(src="sc_test")}) te"""))
 def q_concordance_gap(spark, d):
     """Train / test concordance and their gap, of either sign (> 0.05 flagged)."""
-    from ..session import cut_lineage
     s = cut_lineage(score(split_df(spark, d)).select("split", "years_at_company", "attrition", "margin"))
     tr = concordance(s.where("split = 'train'"), "years_at_company", "attrition", "margin")
     te = concordance(s.where("split = 'test'"), "years_at_company", "attrition", "margin")
@@ -67,11 +67,11 @@ SELECT 'all' AS scope, round(avg(prob_12m), 9) AS mean, round(quantile_cont(prob
        round(quantile_cont(prob_12m, 0.5), 9) AS p50, round(quantile_cont(prob_12m, 0.9), 9) AS p90,
        round(min(prob_12m), 9) AS min, round(max(prob_12m), 9) AS max FROM scores"""))
 def q_percentile_summary(spark, d):
-    s = scores_df(spark, d)
-    q = grouped_quantiles(s, [], "prob_12m", [0.1, 0.5, 0.9])
-    m = s.agg(F.avg("prob_12m").alias("mean"), F.min("prob_12m").alias("min"), F.max("prob_12m").alias("max"))
-    j = q.select("*", *[m.select(c).scalar().alias(c) for c in ("mean", "min", "max")])
-    return j.select(F.lit("all").alias("scope"), *[r(c).alias(c) for c in ("mean", "p10", "p50", "p90", "min", "max")])
+    s = cut_lineage(scores_df(spark, d).select("prob_12m"))
+    (p10, p50, p90), x = global_quantiles(s, "prob_12m", [0.1, 0.5, 0.9])
+    row = spark.createDataFrame([("all", x["mean"], p10, p50, p90, x["min"], x["max"])],
+                                "scope string, mean double, p10 double, p50 double, p90 double, min double, max double")
+    return row.select("scope", *[r(c).alias(c) for c in ("mean", "p10", "p50", "p90", "min", "max")])
 
 
 @query("percentile_bands", with_ctes("""
@@ -92,8 +92,8 @@ def q_cohort_curves(spark, d):
     median risk multiplier."""
     c = materialized_cohort(spark, d)
     sc = score(c)
-    med = grouped_quantiles(sc, [], "margin", [0.5]).select("p50").scalar()
-    sc = sc.withColumn("grp", F.when(F.col("margin") >= med, "high").otherwise("low"))
+    (med,), _ = global_quantiles(sc, "margin", [0.5])
+    sc = sc.withColumn("grp", F.when(F.col("margin") >= F.lit(med), "high").otherwise("low"))
     return mean_curves(sc, nelson_aalen(c), "grp").select("grp", "t", r("mean_survival").alias("mean_survival"))
 
 

@@ -67,6 +67,21 @@ def test_concordance_ranges_match_brute_force(spark, cells, kind):
     assert math.isclose(r.c_index, want, rel_tol=1e-12)
 
 
+def test_global_quantiles_match_numpy(spark, monkeypatch):
+    import numpy as np
+
+    from tenurelens.operators import quantiles
+    rnd = random.Random(3)
+    for rows, size in ((50, 4000), (3, 4000), (100_000, 500), (5, 1), (5, 0)):
+        monkeypatch.setattr(quantiles, "BRACKET_ROWS", rows)
+        values = [0.25 if rnd.random() < 0.4 else rnd.choice([rnd.random(), rnd.gauss(0, 9)]) for _ in range(size)]
+        df = spark.createDataFrame([(v,) for v in values] + [(None,)], "v double").repartition(3)
+        got, sums = quantiles.global_quantiles(df, "v", [0.0, 0.1, 0.5, 0.9, 1.0])
+        assert sums["n"] == size
+        want = np.quantile(values, [0.0, 0.1, 0.5, 0.9, 1.0]) if size else [None] * 5
+        assert all(g == w or math.isclose(g, w, rel_tol=1e-12) for g, w in zip(got, want, strict=True))
+
+
 def test_concordance_without_pairs(spark):
     none = spark.createDataFrame([], "t double, e int, s double")
     censored = spark.createDataFrame([(1.0, 0, 2.0), (2.0, 0, 1.0)], "t double, e int, s double")
