@@ -74,7 +74,7 @@ def one_hot(df: DataFrame, cols: dict, levels: dict | None = None) -> DataFrame:
 BROADCAST_ROWS = 10_000
 
 
-def small_join(df: DataFrame, stats: DataFrame, key: str) -> DataFrame:
+def small_join(df: DataFrame, stats: DataFrame, key: str | list[str]) -> DataFrame:
     """``df`` left joined to one row of ``stats`` per key.  Stats of at most
     ``BROADCAST_ROWS`` rows are broadcast, so that rows do not meet by a few
     keys; the number is checked first."""

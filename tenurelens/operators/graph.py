@@ -22,6 +22,7 @@ from ..functions.hashing import md5_mod
 from ..functions.labels import (EDGE_WEIGHTS, EXPOSURE_DECAY, EXPOSURE_WINDOW_DAYS, MANAGER_CHUNK,
                                 ROLE_DRAWS, TENURE_COHORTS, TENURE_DRAWS)
 from ..session import cut_lineage
+from .features import small_join
 from .ranking import group_rank, hex_sub_bucket
 
 BROADCAST_IDS = 500_000
@@ -186,7 +187,7 @@ def org_hierarchy(cohort: DataFrame) -> DataFrame:
                .join(cand, "department").where(F.col("target_level") > F.col("level"))
                .groupBy("department", "level").agg(F.min("target_level").alias("target_level")))
     targets = targets.join(cand, ["department", "target_level"])
-    e = emp.join(targets, ["department", "level"], "left")
+    e = small_join(emp, targets, ["department", "level"])
     e = e.withColumn("_idx", md5_mod(F.concat(F.col("id"), F.lit("|manager")), 1 << 30) % F.col("pool_size") + 1)
     pool = _ranked(emp.select("id", "department", F.col("level").alias("target_level")),
                    ["department", "target_level"]).select("department", "target_level",

@@ -165,8 +165,10 @@ def q_theme_split(spark, d):
 
 @query("ml_features_view", with_ctes("SELECT emp_key, " + _TR_SQL + " FROM hist_built WHERE is_active"))
 def q_ml_features_view(spark, d):
-    """Active rows of the five theme tables re-joined on the key."""
-    v = scd2.star_join_active(scd2.theme_split(built_history(spark, d)))
+    """Active rows of the five theme tables re-joined on the key.  The history
+    is written once, clustered by the key, and read by all five."""
+    history = cut_lineage(built_history(spark, d).where("is_active").repartition(scd2.KEY))
+    v = scd2.star_join_active(scd2.theme_split(history))
     return v.select("emp_key", *_TR)
 
 
