@@ -3,12 +3,18 @@ and the exit-clustering permutation test."""
 from __future__ import annotations
 
 import hashlib
+import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
+
+HASHES = 1 << 22  # md5 draws of a task, about
+SPACE = 1 << 64
+
 
 def monthly_rates(cohort: DataFrame, as_of: str, months: int = 12) -> DataFrame:
     """Per department and calendar month of the ``months`` before ``as_of``:
@@ -115,3 +121,116 @@ def permutation_test(exits: DataFrame, group: str, date_col: str, n_perm: int =
     known = F.lit(observed).cast("double")
     return stat.agg(known.alias("observed"), F.avg("g").alias("expected"), (known / F.avg("g")).alias("lift"),
                     (F.count_if(F.col("g") <= known) / F.lit(float(n_perm))).alias("p_value"), F.lit(n_perm).alias("permutations"))
+
+
+def _windows(bounds: list[int], total: int, width: float) -> list[tuple[int, int, int, int]]:
+    """(first hash, hash after the last, first bound, last bound) of stretches
+    of the hash space that hold the places ``bounds`` of ``total`` hashes but
+    for a deviation of more than ``width``."""
+    out: list[tuple[int, int, int, int]] = []
+    for b in bounds:
+        off = int(width * math.sqrt(b * (total - b) / total) + 2) * SPACE // total
+        low, high = max(b * SPACE // total - off, 0), min(b * SPACE // total + off, SPACE)
+        if out and low <= out[-1][1]:
+            out[-1] = (min(out[-1][0], low), max(out[-1][1], high), out[-1][2], b)
+        else:
+            out.append((low, high, b, b))
+    return out
+
+
+def shuffle_test(exits: DataFrame, group: str, date_col: str, id_col: str, n_perm: int = 1000, seed: int = 7,
+                 width: float = 4.5) -> DataFrame:
+    """The columns of ``permutation_test`` with every exit dealt anew in every
+    permutation: exits in the order of md5(seed|p|id), those without an id
+    last, fill the places of the groups (in name order, those without a name
+    last), one group after the other.
+
+    Hashes are uniform, so the hash at which a group ends is known but for a
+    few deviations: rows outside these windows have their group at once and
+    leave counts and ends of dates, one row per task, permutation and stretch;
+    only rows inside (about ``width`` times the root of the number of exits)
+    are ranked.  Counts tell whether a window holds its bounds; permutations
+    where one does not are dealt again with wider windows, in the end the whole
+    space.
+    """
+    spark = exits.sparkSession
+    ex = cut_lineage(exits.select(F.col(group).alias("_grp"), F.to_date(F.col(date_col)).alias("_d"), F.col(id_col).cast("string").alias("_id")))
+    per_group = exit_gaps(ex, "_grp", "_d")
+    sizes = [r.n_exits for r in per_group.orderBy(F.col("_grp").asc_nulls_last()).collect()]  # one row per group
+    total, ends = sum(sizes), np.cumsum(sizes).tolist()
+    pairs = total - len(sizes)
+    observed = per_group.agg((F.sum("span_days") / F.sum(F.col("n_exits") - 1)).alias("o")).first()["o"] if pairs else None
+    rows = ex.select("_id", F.unix_date("_d").alias("_d")).repartition(max(1, math.ceil(total * n_perm / HASHES)))
+    todo, dealt = list(range(n_perm)) if pairs else [], None
+    while todo:
+        windows = _windows(ends[:-1], total, width)
+        kept = cut_lineage(_stretches(rows, todo, windows, seed))
+        counts = np.zeros((n_perm, 2 * len(windows) + 1), np.int64)
+        for r in kept.groupBy("p", "stretch").agg(F.sum("n").alias("n")).collect():  # permutations x stretches
+            counts[r.p, r.stretch] = r.n
+        upto = np.cumsum(counts, axis=1)
+        whole = [low == 0 and high == SPACE for low, high, _, _ in windows]
+        held = np.all([whole[k] | ((upto[:, 2 * k] <= first) & (last <= upto[:, 2 * k + 1])) for k, (_, _, first, last) in enumerate(windows)]
+                      or [np.ones(n_perm, bool)], axis=0)
+        done = [p for p in todo if held[p]]
+        mine = spark.createDataFrame([(p, j, int(upto[p, j] - counts[p, j])) for p in done for j in range(counts.shape[1])],
+                                     "p int, stretch int, before long")
+        inside = kept.join(F.broadcast(mine), ["p", "stretch"])
+        rank = F.row_number().over(Window.partitionBy("p", "stretch").orderBy("hash", F.col("low").asc_nulls_last()))
+        place = F.when(F.col("hash").isNull(), F.col("before") + 1).otherwise(F.col("before") + F.col("rank"))
+        ranked = inside.where("hash IS NOT NULL").withColumn("rank", rank).unionByName(inside.where("hash IS NULL").withColumn("rank", F.lit(0)))
+        mates = ranked.withColumn("g", F.size(F.filter(F.array(*map(F.lit, ends)), lambda e: e < place)))
+        per = mates.groupBy("p", "g").agg((F.max("high") - F.min("low")).alias("span"))
+        some = per.groupBy("p").agg((F.sum("span") / F.lit(pairs)).alias("g"))
+        dealt = some if dealt is None else dealt.unionByName(some)
+        todo, width = [p for p in todo if not held[p]], width * 8
+    stat = dealt if dealt is not None else spark.createDataFrame([], "p int, g double")
+    known = F.lit(observed).cast("double")
+    return stat.agg(known.alias("observed"), F.avg("g").alias("expected"), (known / F.avg("g")).alias("lift"),
+                    (F.count_if(F.col("g") <= known) / F.lit(float(n_perm))).alias("p_value"), F.lit(n_perm).alias("permutations"))
+
+
+def _stretches(rows: DataFrame, numbers: list[int], windows: list[tuple[int, int, int, int]], seed: int) -> DataFrame:
+    """(p, stretch, n, low, high, hash): number and ends of dates of the rows
+    of each stretch between windows, even ones; every row inside a window, odd
+    stretches, by itself and with its hash."""
+    edges = np.array([e for w in windows for e in w[:2] if e < SPACE], np.uint64)
+    names = ["p", "stretch", "n", "low", "high", "hash"]
+    types = [pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
+    parts, none = 2 * len(windows) + 1, np.iinfo(np.int32)
+
+    def run(batches):
+        count = np.zeros((len(numbers), parts), np.int64)
+        low, high = np.full(count.shape, none.max, np.int32), np.full(count.shape, none.min, np.int32)
+        for batch in batches:
+            ids = batch["_id"].to_pylist()
+            last = np.array([i is None for i in ids], bool)
+            known = [i.encode() for i in ids if i is not None]
+            days = np.array([none.max if d is None else d for d in batch["_d"].to_pylist()], np.int32)
+            dated = days != none.max
+            for k, p in enumerate(numbers):
+                start = f"{seed}|{p}|".encode()
+                digests = [hashlib.md5(start + i).digest() for i in known]
+                place = np.full(len(ids), SPACE - 1, np.uint64)
+                place[~last] = np.frombuffer(b"".join(digests), ">u8")[::2]
+                at = np.searchsorted(edges, place, side="right")
+                for j in range(0, parts, 2):
+                    use = at == j
+                    count[k, j] += np.count_nonzero(use)
+                    use &= dated
+                    if use.any():
+                        low[k, j], high[k, j] = min(low[k, j], days[use].min()), max(high[k, j], days[use].max())
+                inside = np.flatnonzero(at % 2)
+                if len(inside):
+                    row = np.cumsum(~last) - 1  # of the digest
+                    whole = [b"\xff" * 17 if last[i] else digests[row[i]] for i in inside]
+                    day = pa.array(days[inside], pa.int32(), mask=~dated[inside])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(inside), p), types[0]), pa.array(at[inside], types[1]),
+                                                      pa.array(np.ones(len(inside)), types[2]), day, day, pa.array(whole, types[5])], names=names)
+        k, j = np.nonzero(count)
+        no = low[k, j] == none.max
+        yield pa.RecordBatch.from_arrays([pa.array(np.array(numbers)[k], types[0]), pa.array(j, types[1]), pa.array(count[k, j]),
+                                          pa.array(low[k, j], types[3], mask=no), pa.array(high[k, j], types[4], mask=no),
+                                          pa.nulls(len(k), types[5])], names=names)
+
+    return rows.mapInArrow(run, "p int, stretch int, n long, low int, high int, hash binary")

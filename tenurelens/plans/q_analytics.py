@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..operators.cohort import AS_OF_DATE
 from ..operators.concordance import concordance
 from ..operators.quantiles import global_quantiles, grouped_quantiles
-from ..operators.rates import compound_projection, exit_gaps, monthly_rates, permutation_test
+from ..operators.rates import compound_projection, exit_gaps, monthly_rates, shuffle_test
 from ..operators.survival import mean_curves, nelson_aalen, score
 from ..session import cut_lineage
 from .common import cohort_df, materialized_cohort, scored_df, scores_df
@@ -174,51 +174,29 @@ def q_exit_gap(spark, d):
     return x.select("department", "n_exits", r("mean_gap_days").alias("mean_gap_days"))
 
 
-_PICK = "('0x' || substr(md5('7|' || p || '|' || draw), 1, 8))::BIGINT * (high - low + 1) // 4294967296"
-
-
-def _put(values: str, place: str, keep: bool) -> str:
-    new = f"coalesce({values}[i], {place})" if keep else place
-    return f"list_transform(range(1, k + 1), lambda i: CASE WHEN i = g THEN {new} ELSE {values}[i] END)"
-
-
 _PERMUTED = {
-    "pt_ex": "SELECT department AS g, CAST(date_of_leaving AS DATE) AS d FROM cohort WHERE attrition = 1",
-    "pt_sizes": "SELECT list(n ORDER BY g) AS sizes, count(*) AS k, CAST(sum(n) AS BIGINT) AS total FROM (SELECT g, count(*) AS n FROM pt_ex GROUP BY g)",
-    "pt_days": "SELECT d, row_number() OVER (ORDER BY d) - 1 AS place FROM pt_ex",
-    "pt_walk": f"""
-  SELECT p, 0 AS draw, sizes AS n_left, 0::BIGINT AS low, total - 1 AS high, k, none AS front, none AS back, none AS front_end, none AS back_end
-  FROM (SELECT *, list_transform(range(0, k), lambda i: NULL::BIGINT) AS none FROM pt_sizes), (SELECT unnest(range(0, 1000)) AS p)
-  UNION ALL
-  SELECT p, draw + 1, list_transform(range(1, k + 1), lambda i: n_left[i] - CAST(i = g AS BIGINT)),
-         CASE WHEN draw % 2 = 0 THEN low + 1 ELSE low END, CASE WHEN draw % 2 = 1 THEN high - 1 ELSE high END, k,
-         CASE WHEN draw % 2 = 0 THEN {_put('front', 'low', True)} ELSE front END, CASE WHEN draw % 2 = 1 THEN {_put('back', 'high', True)} ELSE back END,
-         CASE WHEN draw % 2 = 0 THEN {_put('front_end', 'low', False)} ELSE front_end END,
-         CASE WHEN draw % 2 = 1 THEN {_put('back_end', 'high', False)} ELSE back_end END
-  FROM (SELECT *, len(list_filter(range(1, k + 1), lambda i: list_sum(n_left[1:i]) <= pick)) + 1 AS g
-        FROM (SELECT *, {_PICK} AS pick FROM pt_walk
-              WHERE len(list_filter(range(1, k + 1), lambda i: n_left[i] > 0 AND (front[i] IS NULL OR back[i] IS NULL))) > 0))""",
-    "pt_ends": """
-  SELECT p, unnest(list_transform(range(1, k + 1), lambda i: coalesce(front[i], back_end[i]))) AS a,
-         unnest(list_transform(range(1, k + 1), lambda i: coalesce(back[i], front_end[i]))) AS b
-  FROM pt_walk WHERE len(list_filter(range(1, k + 1), lambda i: n_left[i] > 0 AND (front[i] IS NULL OR back[i] IS NULL))) = 0""",
-    "pt_stat": """
-  SELECT p, sum(date_diff('day', x.d, y.d)) / (SELECT total - k FROM pt_sizes) AS gap
-  FROM pt_ends JOIN pt_days x ON a = x.place JOIN pt_days y ON b = y.place GROUP BY p""",
-    "pt_obs": """SELECT sum(span) / sum(n - 1) AS gap FROM (
-                   SELECT g, count(*) AS n, date_diff('day', min(d), max(d)) AS span FROM pt_ex GROUP BY g)""",
+    "pt_ex": """SELECT department AS g, CAST(date_of_leaving AS DATE) AS d, employee_id AS id
+                FROM cohort WHERE attrition = 1""",
+    "pt_sizes": "SELECT g, n, sum(n) OVER (ORDER BY g) AS hi FROM (SELECT g, count(*) AS n FROM pt_ex GROUP BY g)",
+    "pt_dealt": """SELECT p, d, row_number() OVER (PARTITION BY p ORDER BY md5('7|' || p || '|' || id), id) - 1 AS slot
+                   FROM pt_ex, (SELECT unnest(range(0, 1000)) AS p)""",
+    "pt_stat": """SELECT p, sum(span) / sum(k - 1) AS gap FROM (
+                    SELECT p, g, count(*) AS k, date_diff('day', min(d), max(d)) AS span
+                    FROM pt_dealt JOIN pt_sizes ON slot >= hi - n AND slot < hi GROUP BY p, g) GROUP BY p""",
+    "pt_obs": """SELECT sum(span) / sum(k - 1) AS gap FROM (
+                   SELECT g, count(*) AS k, date_diff('day', min(d), max(d)) AS span FROM pt_ex GROUP BY g)""",
 }
 
 
 @query("permutation_test", with_ctes("""
 SELECT round(o.gap, 9) AS observed, round(avg(s.gap), 9) AS expected, round(o.gap / avg(s.gap), 9) AS lift,
        count(*) FILTER (WHERE s.gap <= o.gap) / CAST(1000 AS DOUBLE) AS p_value, CAST(1000 AS INTEGER) AS permutations
-FROM pt_stat s, pt_obs o GROUP BY o.gap""", _PERMUTED).replace("WITH ", "WITH RECURSIVE ", 1))
+FROM pt_stat s, pt_obs o GROUP BY o.gap""", _PERMUTED))
 def q_permutation_test(spark, d):
-    """Exit-clustering permutation test, 1,000 repeatable permutations of
-    department labels among exits."""
-    ex = materialized_cohort(spark, d).where("attrition = 1")
-    res = permutation_test(ex, "department", "date_of_leaving", n_perm=1000)
+    """Exit-clustering permutation test, 1,000 md5 permutations of
+    department labels among all exits."""
+    ex = cohort_df(spark, d).where("attrition = 1")
+    res = shuffle_test(ex, "department", "date_of_leaving", "employee_id", n_perm=1000)
     return res.select(r("observed").alias("observed"), r("expected").alias("expected"), r("lift").alias("lift"),
                       "p_value", "permutations")
 

@@ -227,6 +227,37 @@ def test_permutation_test_matches_python(spark):
     assert len(seen) == 10 and all(330 < n < 470 for n in seen.values())
 
 
+def test_shuffle_test_deals_every_exit(spark):
+    """The whole shuffle against plain Python, with windows that miss, an exit
+    without a date, one without a group and one without an id."""
+    import datetime
+    import hashlib
+
+    from tenurelens.operators.rates import shuffle_test
+    rnd = random.Random(9)
+    exits = [(rnd.choice("AABC"), f"2000-0{rnd.randint(1, 9)}-1{rnd.randint(0, 9)}", f"e{i}") for i in range(60)]
+    exits += [("A", None, "e60"), (None, "2001-01-01", "e61"), (None, "2001-01-05", "e62"), ("B", "1999-01-01", None)]
+    day = lambda d: None if d is None else datetime.date.fromisoformat(d)
+    slots = sorted((g for g, _, _ in exits), key=lambda g: (g is None, g))
+
+    def pooled(dealt):
+        groups = {}
+        for g, d in dealt:
+            groups.setdefault(g, []).extend([] if d is None else [day(d)])
+        return sum((max(v) - min(v)).days for v in groups.values() if v) / (len(exits) - len(groups))
+
+    def order(p):
+        return lambda x: (x[2] is None, hashlib.md5(f"7|{p}|{x[2]}".encode()).hexdigest())
+
+    observed = pooled([(g, d) for g, d, _ in exits])
+    stats = [pooled([(g, x[1]) for g, x in zip(slots, sorted(exits, key=order(p)), strict=True)]) for p in range(25)]
+    df = spark.createDataFrame(exits, "g string, d string, id string")
+    for width in (0.01, 4.5):
+        r = shuffle_test(df, "g", "d", "id", n_perm=25, seed=7, width=width).first()
+        assert math.isclose(r.observed, observed) and math.isclose(r.expected, sum(stats) / 25)
+        assert math.isclose(r.p_value, sum(x <= observed for x in stats) / 25)
+
+
 def _py_dist(x, y):
     m = 0.0 if (x[2] == y[2] and x[2] != "") else 1.0
     dep = 0.0 if x[1] == y[1] else 1.0
