@@ -14,9 +14,11 @@ level above left.  Pairs of blocks that remain are compared as arrays and give
 only neighbours within tau, so a member yields a few times k candidates
 whatever the size of its department.
 
-Members under one manager are 0.2 nearer and lie anywhere in that sort, so a
-second family of blocks, sorted by manager and curve, serves them; the first
-then only looks for members of other managers, whose bound is 0.2 higher.  A
+Members under one manager are 0.2 nearer and lie anywhere in that sort, so they
+are paired by themselves: up to ``BLOCK`` of them by a join, more in a second
+family of blocks, sorted by manager first, whose members get a tau from it too.
+The first family then only looks for members of other managers, whose bound is
+0.2 higher.  A
 department, project or manager with a third of all rows is many blocks, and no
 task holds more than two of them.
 """
@@ -32,11 +34,12 @@ from pyspark.sql import functions as F
 
 from ..functions.labels import KNN_MAX, KNN_MIN, KNN_SHARE
 from ..session import cut_lineage
-from .similarity import W_CAT, W_CONT, W_HIER
+from .similarity import W_CAT, W_CONT, W_HIER, distance_expr
 
 BLOCK = 128
 RUN = 32  # blocks that the level above treats as one
 EPS = 1e-9
+HELD = 256  # blocks that a task keeps as arrays
 _ATTRIBUTES = ("manager_id", "project", "gender", "tier")
 _NUMBERS = ("age_norm", "risk_norm")
 _BOX = ("age_lo", "age_hi", "risk_lo", "risk_hi")
@@ -65,6 +68,17 @@ class _Members:
         self.ids = np.array(row["ids"], dtype=object)
         self.attributes = {c: row[f"{c}s"] for c in _ATTRIBUTES}
         self.numbers = {c: np.array(row[f"{c}s"], dtype=float) for c in _NUMBERS}
+        self.k, self.taus, self.tau_ids = row["k"], np.array(row["taus"], dtype=float), np.array(row["tau_ids"], dtype=object)
+
+    def some(self, rows: np.ndarray) -> _Members:
+        """The members ``rows``."""
+        if len(rows) == len(self.ids):
+            return self
+        out = object.__new__(_Members)
+        out.k, out.ids, out.taus, out.tau_ids = self.k, self.ids[rows], self.taus[rows], self.tau_ids[rows]
+        out.attributes = {c: [v[i] for i in rows] for c, v in self.attributes.items()}
+        out.numbers = {c: v[rows] for c, v in self.numbers.items()}
+        return out
 
 
 def _equal(a: list, b: list) -> np.ndarray:
@@ -105,10 +119,10 @@ def kth(a: _Members, b: _Members, k: int) -> list[tuple[float, str]]:
 
 
 def blocks(rows: DataFrame, by_manager: bool) -> DataFrame:
-    """The packed blocks (``_PACKED``) of ``rows``.  Without ``by_manager`` the
-    members get their ``tau``, from the distances inside the block."""
+    """The packed blocks (``_PACKED``) of ``rows``.  Members get their ``tau``
+    from the distances inside the block, or keep a lower one."""
     first = ["department", "manager_id"] if by_manager else ["department"]
-    order = [*first, *([] if by_manager else ["project", "gender", "tier"]), "_z", "id"]
+    order = [*first, "project", "gender", "tier", "_z", "id"]
     sorted_rows = (rows.withColumn("_z", z_order(F.col("age_norm"), F.col("risk_norm"))).repartitionByRange(*order)
                    .sortWithinPartitions(*order).select("department", "id", *_ATTRIBUTES, *_NUMBERS, "_k", "tau", "tau_id"))
 
@@ -122,17 +136,18 @@ def blocks(rows: DataFrame, by_manager: bool) -> DataFrame:
             row[c] = column[f"{c}s"][0] if len(set(column[f"{c}s"])) == 1 else None
         for c, name in zip(_NUMBERS, ("age", "risk"), strict=True):
             row[f"{name}_lo"], row[f"{name}_hi"] = min(column[f"{c}s"]), max(column[f"{c}s"])
-        if not by_manager:
-            m = _Members(row)
-            best = kth(m, m, row["k"])
-            shared = {tuple(r[c] for c in ("department", "project", "gender", "tier", *_NUMBERS)) for r in held}
-            if len(shared) > 1:
-                alike[:] = None, None
-            elif alike[0] == shared:
-                best = list(map(min, best, kth(m, alike[1], row["k"])))
-            else:
-                alike[:] = shared, m
-            row["taus"], row["tau_ids"] = [t for t, _ in best], [i for _, i in best]
+        m = _Members(row)
+        best = kth(m, m, row["k"])
+        shared = {tuple(r[c] for c in (*first, "project", "gender", "tier", *_NUMBERS)) for r in held}
+        if len(shared) > 1:
+            alike[:] = None, None
+        elif alike[0] == shared:
+            best = list(map(min, best, kth(m, alike[1], row["k"])))
+        else:
+            alike[:] = shared, m
+        if by_manager:
+            best = list(map(min, best, zip(row["taus"], row["tau_ids"], strict=True)))
+        row["taus"], row["tau_ids"] = [t for t, _ in best], [i for _, i in best]
         row["reach"], row["reach_id"] = max(row["taus"]), max(row["tau_ids"])
         return row
 
@@ -208,26 +223,56 @@ def neighbours(packed: DataFrame, pairs: DataFrame, by_manager: bool) -> DataFra
     """(a, b, distance, k): members of paired blocks within the tau of a, of
     one manager or of different ones."""
     fields = ["ids", *(f"{c}s" for c in (*_ATTRIBUTES, *_NUMBERS)), "taus", "tau_ids", "k"]
+    place = ["part_a", "number_a", "part_b", "number_b"]
     side = lambda x: packed.select(F.col("part").alias(f"part_{x}"), F.col("number").alias(f"number_{x}"),
                                    F.struct(*fields).alias(x))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        read: dict[tuple[int, int], _Members] = {}  # the last blocks met
+
+        def block(where: tuple[int, int], cell: pa.Scalar) -> _Members:
+            if where not in read:
+                if len(read) >= HELD:
+                    read.pop(next(iter(read)))
+                read[where] = _Members(cell.as_py())
+            return read[where]
+
         for batch in batches:
-            for i in range(len(batch)):
-                x, y = batch["a"][i].as_py(), batch["b"][i].as_py()
-                a, b = _Members(x), _Members(y)
+            places = zip(*(batch[c].to_pylist() for c in place), strict=True)
+            for i, (part_a, number_a, part_b, number_b) in enumerate(places):
+                a, b = block((part_a, number_a), batch["a"][i]), block((part_b, number_b), batch["b"][i])
+                gaps = [np.maximum(np.maximum(a.numbers[c] - b.numbers[c].max(), b.numbers[c].min() - a.numbers[c]), 0.0) for c in _NUMBERS]
+                near = np.flatnonzero(~(0.1 * ((0 if by_manager else 2) + gaps[0] + gaps[1]) - EPS > a.taus))
+                if not len(near):
+                    continue
+                a = a.some(near)
                 d, manager = distances(a, b)
-                tau, last = np.array(x["taus"])[:, None], np.array(x["tau_ids"], dtype=object)[:, None]
-                use = (d < tau) | ((d == tau) & (b.ids[None, :] <= last))
+                tau, last = a.taus[:, None], a.tau_ids[:, None]
+                use = d < tau
+                tied = np.flatnonzero((d == tau).any(axis=1))
+                use[tied] |= (d[tied] == tau[tied]) & (b.ids[None, :] <= last[tied])
                 use &= (manager == by_manager) & (a.ids[:, None] != b.ids[None, :])
+                for row in np.flatnonzero(np.count_nonzero(use, axis=1) > a.k):  # ties of the k-th stay
+                    use[row] &= d[row] <= np.partition(d[row][use[row]], a.k - 1)[a.k - 1]
                 p, q = np.nonzero(use)
                 yield pa.RecordBatch.from_arrays([pa.array(a.ids[p], pa.string()), pa.array(b.ids[q], pa.string()), pa.array(d[p, q]),
-                                                  pa.array(np.full(len(p), x["k"]), pa.int32())], names=["a", "b", "distance", "k"])
+                                                  pa.array(np.full(len(p), a.k), pa.int32())], names=["a", "b", "distance", "k"])
 
-    both = pairs.join(side("a"), ["part_a", "number_a"]).join(side("b"), ["part_b", "number_b"]).select("a", "b")
+    both = pairs.join(side("a"), ["part_a", "number_a"]).join(side("b"), ["part_b", "number_b"]).select(*place, "a", "b")
     return both.mapInArrow(run, "a string, b string, distance double, k int")
 
 
+def same_manager(members: DataFrame, sizes: DataFrame) -> DataFrame:
+    """(a, b, distance, k): members of one manager within the tau of a, for
+    managers of at most ``BLOCK`` members, from a join."""
+    keys = ["department", "manager_id"]
+    some = members.join(sizes.where((F.col("_n") > 1) & (F.col("_n") <= BLOCK)).drop("_n"), keys)
+    x, y = some.alias("x"), some.select(*keys, "id", "project", "gender", "tier", *_NUMBERS).alias("y")
+    both = x.join(y, [F.col(f"x.{c}") == F.col(f"y.{c}") for c in keys]).where(~F.col("x.id").eqNullSafe(F.col("y.id")))
+    found = both.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), distance_expr("x", "y").alias("distance"), F.col("x._k").alias("k"), "tau", "tau_id")
+    return found.where((F.col("distance") < F.col("tau")) | ((F.col("distance") == F.col("tau")) & (F.col("b") <= F.col("tau_id")))).drop("tau", "tau_id")
+
+
 def knn(att: DataFrame, stats: list | None = None, k_floor: int = KNN_MIN, k_cap: int = KNN_MAX,
         k_share: float = KNN_SHARE) -> DataFrame:
     """``att``: id, department, manager_id, project, gender, tier, age_norm,
@@ -242,15 +287,17 @@ def knn(att: DataFrame, stats: list | None = None, k_floor: int = KNN_MIN, k_cap
     others = blocks(rows, False)
     members = others.select("department", F.col("k").alias("_k"), F.explode(F.arrays_zip(
         F.col("ids").alias("id"), *[F.col(f"{c}s").alias(c) for c in (*_ATTRIBUTES, *_NUMBERS, "tau", "tau_id")])).alias("m")).select("department", "_k", "m.*")
-    own = blocks(members.where("manager_id IS NOT NULL AND manager_id != ''"), True)
-    found = []
+    managed = members.where("manager_id IS NOT NULL AND manager_id != ''")
+    sizes = managed.groupBy("department", "manager_id").agg(F.count(F.lit(1)).alias("_n"))
+    own = blocks(managed.join(sizes.where(F.col("_n") > BLOCK).drop("_n"), ["department", "manager_id"]), True)
+    found = [same_manager(managed, sizes)]
     for packed, by_manager in ((others, False), (own, True)):
         pairs = cut_lineage(near_pairs(packed, by_manager))
         found.append(neighbours(packed, pairs, by_manager))
         if stats is not None:  # diagnostics only
             size = lambda x: packed.select(F.col("part").alias(f"part_{x}"), F.col("number").alias(f"number_{x}"), F.size("ids").alias(f"n_{x}"))  # noqa: B023, E731
             stats.append(pairs.join(size("a"), ["part_a", "number_a"]).join(size("b"), ["part_b", "number_b"]).agg(F.sum(F.col("n_a") * F.col("n_b"))).first()[0])
-    ranked = found[0].union(found[1]).withColumn("rank", F.row_number().over(Window.partitionBy("a").orderBy("distance", "b")))
+    ranked = found[0].union(found[1]).union(found[2]).withColumn("rank", F.row_number().over(Window.partitionBy("a").orderBy("distance", "b")))
     return ranked.where(F.col("rank") <= F.col("k")).select("a", "b", "distance", "rank")
 
 

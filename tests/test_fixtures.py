@@ -328,3 +328,23 @@ def test_stratified_split_membership_matches_sort(spark):
         for k, i in enumerate(members):
             want[i] = "train" if k < n_train else "test"
     assert got == want
+
+
+def test_knn_under_one_manager_compares_few_blocks(spark):
+    """Members of one large manager: most pairs of their blocks are never
+    compared (all were, at every size), and the neighbours stay exact."""
+    from tenurelens.operators.knn import knn
+    rnd = random.Random(4)
+    rows = [(f"m{i:04d}", "D", "boss", f"P{i % 3}", "FM"[i % 2], None, rnd.random(), rnd.random()) for i in range(2400)]
+    rows += [(f"s{i:04d}", "D", f"b{i // 3}", "P0", "F", None, rnd.random(), rnd.random()) for i in range(90)]
+    stats: list = []
+    df = spark.createDataFrame(rows, "id string, department string, manager_id string, project string, gender string, tier string, "
+                                     "age_norm double, risk_norm double")
+    got = {(r.a, r["rank"]): (r.b, r.distance) for r in knn(df, stats).collect()}
+    assert stats[1] < 2400 * 2400 / 2
+    assert len(got) == len(rows) * 20
+    for x in rows[:2400:300] + rows[2400::13]:
+        near = sorted((0.6 * ((0.0 if x[2] == y[2] else 1.0) / 3.0 + 0.0 / 3.0 + (0.0 if x[3] == y[3] else 1.0) / 3.0)
+                       + 0.2 * (0.0 if x[4] == y[4] else 1.0) + 0.2 * (0.5 * abs(x[6] - y[6]) + 0.5 * abs(x[7] - y[7])), y[0])
+                      for y in rows if y[0] != x[0])[:20]
+        assert [got[x[0], k + 1][0] for k in range(20)] == [b for _, b in near]
