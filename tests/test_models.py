@@ -82,6 +82,22 @@ def test_cox_matches_numpy_newton(spark):
     np.testing.assert_allclose([got[c] for c in ("x", "y", "w")], beta / sd, rtol=1e-6, atol=1e-9)
 
 
+@pytest.mark.parametrize("rows", [20, 100])
+def test_vectors_of_ranges_travel_as_arrays(spark, monkeypatch, rows):
+    """A vector of 10,000 numbers comes in 3 values, not in 10,000 rows; of many
+    ranges their sum only."""
+    monkeypatch.setattr(time_ranges, "ROWS", rows)
+    t, e, z = _rows(5, 500, 12)
+    packed = time_ranges.by_time(_frame(spark, t, e, z), "t", "e", ["x", "y", "w"])
+    ranges = packed.select("part").distinct().count()
+    assert (ranges > time_ranges.FEW) == (rows == 20)
+    seen, read = [], type(packed).toArrow
+    monkeypatch.setattr(type(packed), "toArrow", lambda df: seen.append(read(df)) or seen[-1])
+    got = time_ranges.vector_sum(packed, 10_000, lambda r: np.arange(10_000) * r.x[:, 0].sum(), ranges)
+    np.testing.assert_allclose(got, np.arange(10_000) * z[:, 0].sum(), rtol=1e-9, atol=1e-9)
+    assert sum(x.num_rows for x in seen) == (3 if rows == 20 else 3 * ranges)
+
+
 def _numpy_derivatives(t, e, margin, mine):
     w, g, h = np.exp(margin), np.zeros(len(t)), np.zeros(len(t))
     times = [(tt, ((t == tt) & (e > 0) & mine).sum(), w[(t >= tt) & mine].sum()) for tt in np.unique(t[(e > 0) & mine])]
